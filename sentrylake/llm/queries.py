@@ -26,6 +26,18 @@ def op1_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_held_out
+
+    return score_held_out(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_held_out
+
+    return score_held_out(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -52,7 +64,15 @@ def op10_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mixture_packing, op5_near_duplicates, op7_decontamination, op8_language, op10_embedding_near_duplicates)
+    for f in (
+        op1_mixture_packing,
+        op2_toxicity,
+        op4_quality,
+        op5_near_duplicates,
+        op7_decontamination,
+        op8_language,
+        op10_embedding_near_duplicates,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
