@@ -27,21 +27,25 @@ def map_batches(
     df: DataFrame, schema: str, each: Callable[[], Callable[[pa.RecordBatch], Iterator[dict] | dict | None]]
 ) -> DataFrame:
     """``mapInArrow`` with set-up: ``each()`` runs once a task and gives the function
-    that turns a batch into a dict of columns (or several of them)."""
+    that turns a batch into a dict of columns (or several of them). What that function has
+    as ``finish`` is called after the last batch and may give a last dict of columns."""
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark_schema = _parse_datatype_string(schema)
     arrow_schema = to_arrow_schema(spark_schema)
 
+    def as_batch(part: dict) -> pa.RecordBatch:
+        columns = [part[f.name].cast(f.type) if isinstance(part[f.name], pa.Array) else pa.array(part[f.name], f.type) for f in arrow_schema]
+        return pa.RecordBatch.from_arrays(columns, schema=arrow_schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = each()
         for batch in batches:
             out = turn(batch)
-            for part in [out] if isinstance(out, dict) else out or ():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part[f.name], f.type) if not isinstance(part[f.name], pa.Array) else part[f.name].cast(f.type) for f in arrow_schema],
-                    schema=arrow_schema,
-                )
+            yield from map(as_batch, [out] if isinstance(out, dict) else out or ())
+        last = getattr(turn, "finish", lambda: None)()
+        if last:
+            yield as_batch(last)
 
     return df.mapInArrow(run, spark_schema)
