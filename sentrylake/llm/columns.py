@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 
 def fold_of(doc_id: str | Column, folds: int) -> Column:
@@ -24,15 +26,12 @@ def free_name(df: DataFrame, wanted: str) -> str:
 
 
 def map_batches(
-    df: DataFrame, schema: str, each: Callable[[], Callable[[pa.RecordBatch], Iterator[dict] | dict | None]]
+    df: DataFrame, schema: str | StructType, each: Callable[[], Callable[[pa.RecordBatch], Iterator[dict] | dict | None]]
 ) -> DataFrame:
     """``mapInArrow`` with set-up: ``each()`` runs once a task and gives the function
     that turns a batch into a dict of columns (or several of them). What that function has
     as ``finish`` is called after the last batch and may give a last dict of columns."""
-    from pyspark.sql.types import _parse_datatype_string
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    spark_schema = _parse_datatype_string(schema)
+    spark_schema = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow_schema = to_arrow_schema(spark_schema)
 
     def as_batch(part: dict) -> pa.RecordBatch:
@@ -49,3 +48,26 @@ def map_batches(
             yield as_batch(last)
 
     return df.mapInArrow(run, spark_schema)
+
+
+def keep_rows(df: DataFrame, each: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
+    """The rows of ``df`` that a function of batches says True for, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = each()
+        for batch in batches:
+            yield batch.filter(pa.array(chosen(batch), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def beside_rows(df: DataFrame, schema: str, each: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
+    """row (a struct of all columns of ``df``) and, beside it, what a function of batches says of each row."""
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    added = _parse_datatype_string(schema)
+
+    def of_row():
+        turn = each()
+        return lambda batch: {"row": batch.column("row"), **turn(pa.RecordBatch.from_struct_array(batch.column("row")))}
+
+    return map_batches(packed, StructType([StructField("row", df.schema), *added.fields]), of_row)

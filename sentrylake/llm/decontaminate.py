@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import map_batches
+from .columns import keep_rows, map_batches
 
 WINDOW = 10
 #: Benchmark words that one search may hold in memory; a larger benchmark is searched for
@@ -88,6 +88,13 @@ def build(items: list[tuple[int, str]], window: int = WINDOW) -> list[Search]:
 _BUILT: dict[str, list[Search]] = {}
 
 
+def _searches(sent, key: str, window: int) -> list[Search]:
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = build(sent.value, window)
+    return _BUILT[key]
+
+
 def _passes(benchmark: DataFrame, window: int) -> list[DataFrame]:
     """The benchmark in parts whose words one search can hold."""
     size = F.length("text") / 2  # a word takes a letter and a gap at least
@@ -124,10 +131,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
         sent = sc.broadcast([(r["item_id"], r["text"]) for r in part.collect()])
 
         def each(sent=sent, key=uuid.uuid4().hex):
-            if key not in _BUILT:
-                _BUILT.clear()
-                _BUILT[key] = build(sent.value, window)
-            searches = _BUILT[key]
+            searches = _searches(sent, key, window)
 
             def turn(batch: pa.RecordBatch):
                 n_words, spans, items = [], [], []
@@ -172,6 +176,25 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     return found.select("doc_id", "n_words", "spans", "item_ids")
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` without any occurrence of a window, their columns as they are.
+
+    A pass per part of the benchmark filters the rows in place; texts are not shuffled.
+    """
+    sc = docs.sparkSession.sparkContext
+    benchmark = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text")
+    for part in _passes(benchmark, window):
+        sent = sc.broadcast([(r["item_id"], r["text"]) for r in part.collect()])
+
+        def each(sent=sent, key=uuid.uuid4().hex):
+            searches = _searches(sent, key, window)
+            hit = lambda words: any(True for x in searches for _ in x.occurrences(words))
+            return lambda batch: [not hit(words_of(t)) for t in batch.column("text").to_pylist()]
+
+        docs = keep_rows(docs, each)
+    return docs
+
+
 def digest_of_ids(ids) -> str:
     """sha256 of the ids, sorted as strings and joined by commas."""
     return hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import fold_of, map_batches
+from .columns import fold_of, keep_rows, map_batches
 
 #: Labelled documents a model is fitted on, at most (in expectation: a hash draws them).
 TRAINING_DOCUMENTS = 20_000
@@ -119,6 +119,24 @@ def train(docs: DataFrame, bound: int = TRAINING_DOCUMENTS, smoothing: float = 0
     )
 
 
+def predict(text: str | None, model: LanguageModel | None, letters: np.ndarray) -> tuple[str, float]:
+    """Language and posterior of one text; `und` with 0 without a letter or a model."""
+    if model is None or not text:
+        return "und", 0.0
+    total, found = model.log_prior.astype(float).copy(), False
+    for at in range(0, len(text), PIECE - 2):
+        clean = _normalise(_codes(text[at : at + PIECE]), letters)
+        if len(clean) < 2 or not (clean != 32).any():
+            continue
+        found = True
+        for buckets in _buckets(clean):
+            total += model.log_probability[buckets].sum(0, dtype=np.float64)
+    if not found:
+        return "und", 0.0
+    best = int(total.argmax())
+    return model.languages[best], float(1.0 / np.exp(total - total[best]).sum())
+
+
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """doc_id, lang_pred, score of every row of ``docs`` (doc_id, text), by the whole text.
 
@@ -131,24 +149,8 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     def each():
         model, letters = sent.value, _letters()
 
-        def score(text: str | None):
-            if model is None or not text:
-                return "und", 0.0
-            total, found = model.log_prior.astype(float).copy(), False
-            for at in range(0, len(text), PIECE - 2):
-                clean = _normalise(_codes(text[at : at + PIECE]), letters)
-                if len(clean) < 2 or not (clean != 32).any():
-                    continue
-                found = True
-                for buckets in _buckets(clean):
-                    total += model.log_probability[buckets].sum(0, dtype=np.float64)
-            if not found:
-                return "und", 0.0
-            best = int(total.argmax())
-            return model.languages[best], float(1.0 / np.exp(total - total[best]).sum())
-
         def turn(batch: pa.RecordBatch):
-            scored = [score(t) for t in batch.column("text").to_pylist()]
+            scored = [predict(t, model, letters) for t in batch.column("text").to_pylist()]
             return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": [x for x, _ in scored], "score": [x for _, x in scored]}
 
         return turn
@@ -160,6 +162,25 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     )
 
 
+def keep_identified(docs: DataFrame, model: LanguageModel | None, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` in a known language with a posterior of ``least``, their columns as
+    they are. Without a model all stay."""
+    if model is None:
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def each():
+        model, letters = sent.value, _letters()
+
+        def chosen(batch: pa.RecordBatch):
+            found = (predict(t, model, letters) for t in batch.column("text").to_pylist())
+            return [lang != "und" and score >= least for lang, score in found]
+
+        return chosen
+
+    return keep_rows(docs, each)
+
+
 def identify_held_out(docs: DataFrame) -> DataFrame:
     """Learn from three of four folds (by crc32 of the id), predict every document."""
     return identify(docs, train(docs.where(fold_of("doc_id", 4) != 2)))

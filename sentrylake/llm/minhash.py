@@ -259,3 +259,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     return found.select(
         "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
     )
+
+
+def keep_first(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` that :func:`near_duplicates` keeps, their columns as they are.
+
+    Of rows that share a doc_id the one whose text has the smallest hash stays. Rows
+    without a doc_id stay. Up to ``MAX_BROADCAST_IDS`` dropped ids are broadcast, more are joined by a shuffle.
+    """
+    found = materialise(near_duplicates(docs, percent, size).select("doc_id", "kept"), "near_duplicates")
+    dropped = found.where("not kept").select("doc_id").distinct()
+    if dropped.count() <= MAX_BROADCAST_IDS:
+        dropped = F.broadcast(dropped)
+    left = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    again = materialise(found.where("doc_id is not null and kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if not again.limit(1).count():
+        return left
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.xxhash64("text")).alias("row"))
+    return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import fold_of, map_batches
+from .columns import beside_rows, fold_of, keep_rows, map_batches
 from .scratch import materialise
 
 #: Labelled documents the ranking is learnt from, at most (in expectation: a hash draws them).
@@ -148,16 +148,16 @@ def learn(rows: np.ndarray, good: np.ndarray, pairs: int = PAIRS, penalty: float
     return ranking
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, statistics (binary float32) of every row of ``docs``."""
+def _measure():
+    def turn(batch: pa.RecordBatch):
+        return {"statistics": [statistics(t).tobytes() for t in batch.column("text").to_pylist()]}
 
-    def each():
-        def turn(batch: pa.RecordBatch):
-            return {"doc_id": batch.column("doc_id"), "statistics": [statistics(t).tobytes() for t in batch.column("text").to_pylist()]}
+    return turn
 
-        return turn
 
-    return map_batches(docs.select("doc_id", "text"), "doc_id long, statistics binary", each)
+def measured(docs: DataFrame) -> DataFrame:
+    """row (struct of the columns of ``docs``), statistics (binary float32) of every row."""
+    return beside_rows(docs, "statistics binary", _measure)
 
 
 def _matrix(rows) -> np.ndarray:
@@ -175,46 +175,75 @@ def threshold(scores: DataFrame, share: float, slack: float = SLACK) -> float:
     return (values[widest] + values[widest + 1]) / 2
 
 
-def score(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_DOCUMENTS) -> DataFrame:
-    """doc_id, score of every row of ``docs`` (doc_id, text), by the whole text.
+def fit(table: DataFrame, labels: DataFrame, bound: int = TRAINING_DOCUMENTS) -> tuple[Ranking | None, float]:
+    """The ranking and its threshold, from a table of :func:`measured` and ``labels`` (doc_id, label).
 
-    ``labels`` (doc_id, label 0/1) are all that is learnt from. The score is the logistic of a
-    document's lead over the threshold, CUT at the threshold. Null and empty texts have the
-    statistics 0. Repeated rows are scored each; of several labels of a document the smallest
-    counts; rows without id or label teach nothing; other columns are ignored. Where the labels hold one
-    class only (or none), every document gets that class's end of the range (or CUT).
+    Without a ranking (labels of one class or none) the second value is everyone's score.
     """
-    spark = docs.sparkSession
-    table = materialise(measured(docs), "quality_statistics")
     labels = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
     total = labels.count()
     if total > bound:
         labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil(bound / total * (1 << 20)))
-    taught = table.join(F.broadcast(labels), "doc_id").toPandas()  # about ``bound`` rows at most
+    # about ``bound`` labels at most, and so about as many rows
+    taught = table.select("row.doc_id", "statistics").join(F.broadcast(labels), "doc_id").toPandas()
     good = taught["label"].to_numpy() > 0
     ranking = learn(_matrix(taught["statistics"]), good) if len(taught) else None
     if ranking is None:
-        flat = CUT if not len(taught) else 0.99 if good.all() else 0.01
-        return table.select("doc_id", F.lit(flat).alias("score"))
-    sent = spark.sparkContext.broadcast(ranking)
+        return None, CUT if not len(taught) else 0.99 if good.all() else 0.01
+    return ranking, threshold(_raw(table, ranking), 1 - float(good.mean()))
+
+
+def _raw(table: DataFrame, ranking: Ranking) -> DataFrame:
+    """doc_id, raw score of every row of a table of :func:`measured`."""
+    sent = table.sparkSession.sparkContext.broadcast(ranking)
 
     def each():
         ranking = sent.value
+        return lambda batch: {"doc_id": batch.column("doc_id"), "raw": ranking.scores(_matrix(batch.column("statistics").to_pylist()))}
 
-        def turn(batch: pa.RecordBatch):
-            return {"doc_id": batch.column("doc_id"), "raw": ranking.scores(_matrix(batch.column("statistics").to_pylist()))}
+    return map_batches(table.select("row.doc_id", "statistics"), "doc_id long, raw double", each)
 
-        return turn
 
-    raw = materialise(map_batches(table, "doc_id long, raw double", each), "quality_scores")
-    cut = threshold(raw, 1 - float(good.mean()))
+def score(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_DOCUMENTS) -> DataFrame:
+    """doc_id, score of every row of ``docs`` (doc_id, text), by the whole text.
+
+    ``labels`` (doc_id, label 0/1) are all that is learnt from. The score is the logistic of a
+    document's lead over the threshold, CUT at the threshold. Null and empty texts have the
+    statistics 0. Repeated rows are scored each; of several labels of a document the smallest
+    counts; rows without id or label teach nothing; other columns are ignored. Where the labels hold one
+    class only (or none), every document gets that class's end of the range (or CUT).
+    """
+    table = materialise(measured(docs.select("doc_id", "text")).select(F.struct("row.doc_id").alias("row"), "statistics"), "quality_statistics")
+    ranking, cut = fit(table, labels, bound)
+    if ranking is None:
+        return table.select("row.doc_id", F.lit(cut).alias("score"))
     lead = F.col("raw") - F.lit(cut) + F.lit(math.log(CUT / (1 - CUT)))
-    return raw.select("doc_id", (1 / (1 + F.exp(-lead))).alias("score"))
+    return _raw(table, ranking).select("doc_id", (1 / (1 + F.exp(-lead))).alias("score"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_DOCUMENTS) -> DataFrame:
+    """The rows of ``docs`` with a score of CUT at least, their columns as they are; texts are
+    read once and not shuffled. Where nothing can be learnt, all stay."""
+    table = materialise(measured(docs), "quality_rows")
+    ranking, cut = fit(table, labels, bound)
+    if ranking is None:
+        return docs
+    sent = table.sparkSession.sparkContext.broadcast(ranking)
+
+    def each():
+        ranking = sent.value
+        return lambda batch: ranking.scores(_matrix(batch.column("statistics").to_pylist())) >= cut
+
+    return keep_rows(table, each).select("row.*")
+
+
+def training_labels(labels: DataFrame) -> DataFrame:
+    """The labels of three of four folds (by crc32 of the id)."""
+    return labels.where(fold_of("doc_id", FOLDS) != 2).select("doc_id", F.col("quality").alias("label"))
 
 
 def score_held_out(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_DOCUMENTS) -> DataFrame:
     """Learn from three of four folds (by crc32 of the id), score every document."""
-    known = labels.where(fold_of("doc_id", FOLDS) != 2).select("doc_id", F.col("quality").alias("label"))
-    return score(docs, known, bound).select(
+    return score(docs, training_labels(labels), bound).select(
         "doc_id", (fold_of("doc_id", FOLDS) == 2).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted")
     )
