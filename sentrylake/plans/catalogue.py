@@ -2,5 +2,517 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import fixed, props
+from ..operators import compliance, filters, findings, history, keywords, risk, rollups
+from ..sources import inventory
+from . import oracle as o
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with the SQL that gives the same rows."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory.normalise(inventory.stand_in(spark, sf_dir))
+
+
+def assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.assess(findings.classify(records(spark, sf_dir)))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# -- filters and properties ------------------------------------------------------------
+
+
+@query(o.sql("SELECT doc_id, extension FROM normal WHERE extension IN ('.csv', '.env', '.sql')", "normal"))
+def scan_filter_extension(spark, sf_dir):
+    return records(spark, sf_dir).where(filters.scan_filter(["CSV", ".env", " sql "], include_system=True)).select("doc_id", "extension")
+
+
+@query(o.sql("SELECT doc_id FROM normal WHERE NOT is_hidden AND NOT is_system", "normal"))
+def scan_filter_hidden(spark, sf_dir):
+    return records(spark, sf_dir).where(filters.scan_filter(include_hidden=False)).select("doc_id")
+
+
+@query(o.sql("SELECT doc_id FROM normal WHERE is_system", "normal"))
+def scan_filter_system(spark, sf_dir):
+    return records(spark, sf_dir).where(filters.scan_filter(only_system=True)).select("doc_id")
+
+
+@query(o.sql("SELECT doc_id, contains(path, '/node_modules/') OR contains(lower(path), '/windows/') AS skipped, contains(path, '/.') AS hidden, contains(lower(path), '/windows/') AS system, len(list_filter(string_split(path, '/'), lambda p: p <> '')) - 1 <= 3 AS shallow FROM files", "files"))
+def path_filters(spark, sf_dir):
+    return inventory.stand_in(spark, sf_dir).select(
+        "doc_id", props.skipped_path("path").alias("skipped"), props.hidden_path("path").alias("hidden"), props.system_path("path").alias("system"), filters.depth_at_most(3).alias("shallow")
+    )
+
+
+@query(o.sql("SELECT doc_id, extension, scan_mode, content_status, protected FROM normal", "normal"))
+def record_states(spark, sf_dir):
+    return records(spark, sf_dir).select("doc_id", "extension", "scan_mode", "content_status", "protected")
+
+
+@query(o.sql(f"SELECT doc_id, protected OR {o.marked(chr(39) + chr(39) + ' || content_status || ' + chr(39) + ' ' + chr(39) + ' || scan_error || ' + chr(39) + ' ' + chr(39) + ' || protection_type')} AS in_summary, protected OR {o.marked(o.FIRST_OF_THREE)} AS in_risk, protected OR {o.marked('coalesce(nullif(content_status, ' + chr(39) * 2 + '), nullif(scan_error, ' + chr(39) * 2 + '), ' + chr(39) * 2 + ')')} AS in_remediation, {o.VIEW} AS in_views FROM normal", "normal"))
+def protected_variants(spark, sf_dir):
+    return records(spark, sf_dir).select(
+        "doc_id", props.protected_for_summary().alias("in_summary"), props.protected_for_risk().alias("in_risk"), props.protected_for_remediation().alias("in_remediation"), props.protected_in_views().alias("in_views")
+    )
+
+
+@query(o.sql("SELECT coalesce(nullif(extension, ''), 'no extension') AS extension, count(*) AS files FROM normal GROUP BY 1", "normal"))
+def extension_histogram(spark, sf_dir):
+    return rollups.extension_histogram(records(spark, sf_dir))
+
+
+@query(o.sql("SELECT doc_id, CASE WHEN is_hidden AND is_system THEN 'H, S' WHEN is_hidden THEN 'H' WHEN is_system THEN 'S' ELSE 'Normal' END AS attributes FROM files", "files"))
+def attribute_labels(spark, sf_dir):
+    return inventory.stand_in(spark, sf_dir).select("doc_id", props.attribute_label("is_hidden", "is_system").alias("attributes"))
+
+
+@query(
+    o.sql(
+        "SELECT doc_id, content <> '' AS available, substr(text, 1, 1800) AS lines, len(every) > 8 AND content <> '' OR length(text) > 1800 AS truncated FROM "
+        "(SELECT doc_id, content, every, array_to_string(every[1:8], chr(10)) AS text FROM (SELECT doc_id, content, string_split(regexp_replace(content, chr(13) || chr(10) || '?', chr(10), 'g'), chr(10)) AS every FROM files))",
+        "files",
+    )
+)
+def preview_lines(spark, sf_dir):
+    rows = inventory.stand_in(spark, sf_dir).select("doc_id", props.preview("content").alias("p"))
+    return rows.select("doc_id", "p.available", F.array_join("p.lines", "\n").alias("lines"), "p.truncated")
+
+
+# -- detection and risk ----------------------------------------------------------------
+
+
+@query(o.sql("SELECT doc_id, pos, type, risk, count FROM findings", "findings"))
+def regex_findings(spark, sf_dir):
+    return findings.long_form(findings.classify(records(spark, sf_dir))).drop("samples")
+
+
+@query(
+    o.sql(
+        "SELECT doc_id, array_to_string(list_transform(regexp_extract_all(content, '(?i)\\b(?:password|passwd|pwd)\\s*[:=]\\s*[^\\s''\"]+', 0)[1:10], lambda v: CASE WHEN length(v) <= 6 THEN '***' ELSE substr(v, 1, 3) || '***' || right(v, 2) END), ';') AS samples "
+        "FROM files WHERE regexp_matches(content, '(?i)\\b(?:password|passwd|pwd)\\s*[:=]\\s*[^\\s''\"]+')",
+        "files",
+    )
+)
+def redacted_samples(spark, sf_dir):
+    rows = findings.long_form(findings.classify(records(spark, sf_dir)))
+    return rows.where("type = 'password'").select("doc_id", F.array_join("samples", ";").alias("samples"))
+
+
+@query(o.sql("SELECT type, CAST(sum(count) AS BIGINT) AS matches FROM findings GROUP BY type ORDER BY matches DESC, type LIMIT 6", "findings"))
+def finding_stats_top(spark, sf_dir):
+    return rollups.top_findings(findings.classify(records(spark, sf_dir)))
+
+
+@query(
+    o.sql(
+        "SELECT type, matches, CAST(96 + floor(matches / max(matches) OVER () * 70 + 0.5) AS BIGINT) AS size FROM (SELECT type, CAST(sum(count) AS BIGINT) AS matches FROM findings GROUP BY type ORDER BY matches DESC, type LIMIT 6)",
+        "findings",
+    )
+)
+def signal_sizes(spark, sf_dir):
+    return rollups.signal_sizes(findings.classify(records(spark, sf_dir)))
+
+
+@query(
+    o.sql(
+        "SELECT count(DISTINCT doc_id) AS sensitive, count(DISTINCT doc_id) FILTER (regexp_matches(type, 'secret|password|token|key|credential|private')) AS secrets, count(DISTINCT doc_id) FILTER (regexp_matches(type, 'pii|personal|gdpr|hipaa|pci|card|passport|ssn|iban')) AS regulated FROM findings",
+        "findings",
+    )
+)
+def finding_kpis(spark, sf_dir):
+    return rollups.finding_kpis(findings.classify(records(spark, sf_dir)))
+
+
+@query(o.sql("SELECT doc_id, CAST(acl AS INTEGER) AS score, wide, writable, privileged, CAST(n_issues AS INTEGER) AS n_issues FROM access", "access"))
+def acl_assessment(spark, sf_dir):
+    return records(spark, sf_dir).select("doc_id", risk.access().alias("a")).select("doc_id", "a.score", "a.wide", "a.writable", "a.privileged", F.size("a.issues").alias("n_issues"))
+
+
+@query(o.sql("SELECT doc_id, CAST(fold AS INTEGER) AS fold FROM scored", "scored"))
+def risk_score_fold(spark, sf_dir):
+    return findings.classify(records(spark, sf_dir)).select("doc_id", risk.folded("findings").alias("fold"))
+
+
+@query(o.sql("SELECT doc_id, score, level FROM risk", "risk"))
+def risk_score_full(spark, sf_dir):
+    return assessed(spark, sf_dir).select("doc_id", "score", "level")
+
+
+@query(
+    o.sql(
+        "SELECT level, count(doc_id) AS files FROM (VALUES ('CRITICAL'), ('HIGH'), ('MEDIUM'), ('LOW')) l(level) LEFT JOIN risk USING (level) GROUP BY level", "risk"
+    )
+)
+def risk_level_distribution(spark, sf_dir):
+    return rollups.level_distribution(assessed(spark, sf_dir))
+
+
+SUMMARY_SQL = (
+    "SELECT count(*) AS total_files, count(*) FILTER (level = 'CRITICAL') AS critical, count(*) FILTER (level = 'HIGH') AS high, count(*) FILTER (level = 'MEDIUM') AS medium, count(*) FILTER (level = 'LOW') AS low, "
+    "count(*) FILTER (n_findings > 0) AS sensitive_files, count(*) FILTER (is_hidden) AS hidden_files, "
+    f"count(*) FILTER (protected OR {o.marked('content_status || chr(32) || scan_error || chr(32) || protection_type')}) AS protected_files FROM risk"
+)
+
+
+@query(o.sql(SUMMARY_SQL, "risk"))
+def scan_summary(spark, sf_dir):
+    return rollups.summary(assessed(spark, sf_dir))
+
+
+@query(
+    o.sql(
+        f"SELECT CAST(greatest(0, least(100, round_even(100 - (critical * 95 + high * 80 + medium * 55 + low * 20) / total_files, 0))) AS BIGINT) AS posture FROM ({SUMMARY_SQL})", "risk"
+    )
+)
+def posture_score_summary(spark, sf_dir):
+    return rollups.summary(assessed(spark, sf_dir)).select(rollups.posture_from_counts().alias("posture"))
+
+
+@query(o.sql("SELECT CAST(greatest(0, least(100, 100 - floor(avg(score) + 0.5))) AS BIGINT) AS posture FROM risk", "risk"))
+def posture_score_files(spark, sf_dir):
+    return rollups.posture_from_files(assessed(spark, sf_dir))
+
+
+OVERRIDES = [("finance", "HIGH", "ledgers"), ("credit_card", "critical", ""), ("/src1/", "LOW", "test share"), ("", "HIGH", "no pattern"), ("fr/", "MEDIUM", "")]
+
+
+@query(
+    o.sql(
+        "SELECT doc_id, level, score FROM (SELECT r.doc_id, coalesce(v.level, r.level) AS level, CAST(coalesce(v.score, r.score) AS INTEGER) AS score, row_number() OVER (PARTITION BY r.doc_id ORDER BY v.ord) AS k "
+        "FROM risk r LEFT JOIN (SELECT doc_id, string_agg(type, ' ') AS types FROM findings GROUP BY doc_id) t USING (doc_id) "
+        "LEFT JOIN (VALUES (1, 'finance', 'HIGH', 80), (2, 'credit_card', 'CRITICAL', 95), (3, '/src1/', 'LOW', 20), (5, 'fr/', 'MEDIUM', 55)) v(ord, pattern, level, score) "
+        "ON contains(lower(path), pattern) OR contains(lower(name), pattern) OR contains(coalesce(types, ''), pattern)) WHERE k = 1",
+        "risk",
+    )
+)
+def asset_override_first_match(spark, sf_dir):
+    return risk.assess(findings.classify(records(spark, sf_dir)), OVERRIDES).select("doc_id", "level", "score")
+
+
+@query(
+    o.sql(
+        "SELECT r.doc_id, CASE WHEN l.toxic IS NULL THEN r.level WHEN l.toxic = 1 THEN 'CRITICAL' WHEN l.quality = 0 THEN 'MEDIUM' ELSE 'LOW' END AS level, "
+        "CAST(CASE WHEN l.toxic IS NULL THEN r.score WHEN l.toxic = 1 THEN 95 WHEN l.quality = 0 THEN 55 ELSE 20 END AS INTEGER) AS score FROM risk r LEFT JOIN labels l ON l.doc_id = r.doc_id AND r.doc_id % 3 = 0",
+        "risk",
+    )
+)
+def row_override_effective_risk(spark, sf_dir):
+    rows = assessed(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels").where("doc_id % 3 = 0")
+    forced = F.when(F.col("toxic") == 1, "CRITICAL").when(F.col("quality") == 0, "MEDIUM").otherwise("LOW")
+    keys = inventory.stand_in(spark, sf_dir).select("doc_id", props.file_key().alias("file_key"))
+    manual = keys.join(labels.select("doc_id", forced.alias("forced_level")), "doc_id").select("file_key", "forced_level")
+    return risk.effective(rows, manual).select("doc_id", "level", "score")
+
+
+_TICKET = "'TICKET-' || lpad(CAST(CAST('0x' || substr(sha1(path), 1, 8) AS BIGINT) % 100000 AS VARCHAR), 5, '0')"
+
+
+@query(
+    o.sql(
+        "SELECT doc_id, " + ", ".join(f"CASE level {o.PLAN[n]} END AS {n}" for n in o.PLAN) + f", {_TICKET} AS ticket, "
+        "CAST(CASE WHEN 3 * secret + 3 * regulated + 2 * issue + 3 * sealed = 0 THEN 1 ELSE 3 * secret + 3 * regulated + 2 * issue + 3 * sealed END AS INTEGER) AS n_actions FROM ("
+        "SELECT r.*, coalesce(secret, 0) AS secret, coalesce(regulated, 0) AS regulated, CAST(n_issues > 0 AS INTEGER) AS issue, "
+        f"CAST(protected OR {o.marked('coalesce(nullif(content_status, ' + chr(39) * 2 + '), nullif(scan_error, ' + chr(39) * 2 + '), ' + chr(39) * 2 + ')')} AS INTEGER) AS sealed "
+        "FROM risk r LEFT JOIN (SELECT doc_id, max(CAST(regexp_matches(type, 'key|token|secret|password') AS INTEGER)) AS secret, max(CAST(type IN ('credit_card', 'iban', 'swift_bic', 'passport_number', 'national_id') AS INTEGER)) AS regulated FROM findings GROUP BY doc_id) t USING (doc_id))",
+        "risk",
+    )
+)
+def remediation_plan(spark, sf_dir):
+    rows = assessed(spark, sf_dir).select("doc_id", risk.remediation().alias("r"))
+    return rows.select("doc_id", "r.status", "r.owner", "r.sla", "r.ticket", F.size("r.actions").alias("n_actions"))
+
+
+@query(
+    o.sql(
+        "SELECT doc_id, CASE level WHEN 'CRITICAL' THEN 'Immediate remediation' WHEN 'HIGH' THEN 'Restrict and review' WHEN 'MEDIUM' THEN 'Owner review' ELSE CASE WHEN score > 0 THEN 'Monitor' ELSE 'No action' END END AS label FROM risk",
+        "risk",
+    )
+)
+def risk_labels(spark, sf_dir):
+    return assessed(spark, sf_dir).select("doc_id", props.risk_label("level", "score").alias("label"))
+
+
+@query()
+def risk_reasons(spark, sf_dir):
+    return assessed(spark, sf_dir).select("doc_id", F.array_join(risk.reasons(), "; ").alias("reasons"))
+
+
+# -- rollups and lists -----------------------------------------------------------------
+
+
+@query(o.sql(f"SELECT {o.DEPARTMENT} AS department, count(*) AS files, count(*) FILTER (level = 'CRITICAL') AS critical, count(*) FILTER (level = 'HIGH') AS high, CAST(sum(score) AS BIGINT) AS score FROM risk GROUP BY 1", "risk"))
+def department_risk(spark, sf_dir):
+    return rollups.by_department(assessed(spark, sf_dir))
+
+
+@query(o.sql(f"SELECT {o.FOLDER} AS folder, count(*) AS files, count(*) FILTER (level = 'CRITICAL') AS critical, CAST(sum(score) AS BIGINT) AS score, CAST(floor(sum(score) / count(*) + 0.5) AS BIGINT) AS average FROM risk GROUP BY 1 ORDER BY score DESC, folder LIMIT 6", "risk"))
+def folder_risk_top(spark, sf_dir):
+    return rollups.riskiest_folders(assessed(spark, sf_dir))
+
+
+@query(
+    o.sql(
+        "SELECT *, least(CAST(0.32 AS DOUBLE), greatest(CAST(0.06 AS DOUBLE), score / CAST(files * 95 AS DOUBLE) * CAST(0.32 AS DOUBLE))) AS intensity FROM ("
+        f"SELECT {o.HEAT} AS label, count(*) AS files, count(*) FILTER (level = 'CRITICAL') AS critical, CAST(sum(score) AS BIGINT) AS score FROM risk GROUP BY 1 ORDER BY score DESC, label LIMIT 12)",
+        "risk",
+    )
+)
+def folder_heatmap(spark, sf_dir):
+    return rollups.folder_heatmap(assessed(spark, sf_dir))
+
+
+@query(o.sql("SELECT doc_id, level, score FROM risk WHERE level IN ('CRITICAL', 'HIGH') OR locked ORDER BY score DESC, doc_id LIMIT 16", "risk"))
+def priority_files(spark, sf_dir):
+    return rollups.priority_files(assessed(spark, sf_dir)).select("doc_id", "level", "score")
+
+
+@query(o.sql("SELECT doc_id, level, score FROM risk WHERE level IN ('CRITICAL', 'HIGH', 'MEDIUM') OR locked ORDER BY score DESC, doc_id LIMIT 18", "risk"))
+def remediation_queue(spark, sf_dir):
+    return rollups.remediation_queue(assessed(spark, sf_dir)).select("doc_id", "level", "score")
+
+
+@query(o.sql("SELECT doc_id, score FROM risk WHERE n_findings > 0 OR level IN ('CRITICAL', 'HIGH') ORDER BY score DESC, doc_id LIMIT 10", "risk"))
+def findings_queue(spark, sf_dir):
+    return rollups.findings_queue(assessed(spark, sf_dir)).select("doc_id", "score")
+
+
+@query(o.sql("SELECT doc_id FROM risk WHERE level = 'HIGH' AND source = 'smb' AND (contains(lower(path), 'finance') OR contains(lower(owner), 'finance'))", "risk"))
+def inventory_filter(spark, sf_dir):
+    return filters.inventory(assessed(spark, sf_dir), "HIGH", "smb", query=" Finance ").select("doc_id")
+
+
+@query(
+    o.sql(
+        "SELECT CAST(sum(n) AS BIGINT) AS visible, CAST(sum(s) AS BIGINT) AS sensitive, CAST(floor(sum(s) / sum(n) * 100 + 0.5) AS BIGINT) AS sensitive_percent, CAST(floor(sum(sc) / sum(n) + 0.5) AS BIGINT) AS average_risk, first(source ORDER BY n DESC, source) AS top_source "
+        "FROM (SELECT source, count(*) AS n, count(*) FILTER (n_findings > 0) AS s, sum(score) AS sc FROM risk WHERE locked GROUP BY source)",
+        "risk",
+    )
+)
+def inventory_metrics(spark, sf_dir):
+    return rollups.inventory_metrics(filters.inventory(assessed(spark, sf_dir), "PROTECTED"))
+
+
+@query(
+    o.sql(
+        "SELECT 'ALL' AS bucket, count(*) AS files FROM risk UNION ALL SELECT 'PROTECTED', count(*) FROM risk WHERE locked UNION ALL SELECT level, count(r.doc_id) FROM (VALUES ('CRITICAL'), ('HIGH'), ('MEDIUM'), ('LOW')) l(level) LEFT JOIN risk r USING (level) GROUP BY level",
+        "risk",
+    )
+)
+def risk_bucket_counts(spark, sf_dir):
+    return rollups.bucket_counts(assessed(spark, sf_dir))
+
+
+@query(o.sql("SELECT source, count(*) AS files FROM risk GROUP BY source", "risk"))
+def facet_sources(spark, sf_dir):
+    return rollups.source_facet(assessed(spark, sf_dir))
+
+
+@query(o.sql("SELECT type AS finding, count(*) AS files FROM findings GROUP BY type UNION ALL SELECT 'Protected / locked', count(*) FROM risk WHERE locked", "risk"))
+def facet_findings(spark, sf_dir):
+    return rollups.finding_facet(assessed(spark, sf_dir))
+
+
+# -- compliance ------------------------------------------------------------------------
+
+
+def evaluated(spark, sf_dir):
+    return compliance.evaluate(assessed(spark, sf_dir))
+
+
+@query(o.sql("SELECT doc_id, category FROM categories", "categories"))
+def compliance_categories(spark, sf_dir):
+    return compliance.with_categories(findings.classify(records(spark, sf_dir))).select("doc_id", F.explode("categories").alias("category"))
+
+
+@query(o.sql("SELECT doc_id, framework, base, data, evidence, exposure, location, protection, CAST(compliance_score AS INTEGER) AS score, control FROM evaluated", "evaluated"))
+def compliance_scores(spark, sf_dir):
+    return evaluated(spark, sf_dir).select("doc_id", "framework", "base", "data", "evidence", "exposure", "location", "protection", F.col("compliance_score").alias("score"), "control")
+
+
+@query(
+    o.sql(
+        "SELECT doc_id, CAST(max(compliance_score) AS INTEGER) AS score, CASE WHEN max(compliance_score) >= 85 THEN 'CRITICAL' WHEN max(compliance_score) >= 70 THEN 'HIGH' WHEN max(compliance_score) >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS severity, "
+        "count(*) AS n_frameworks, string_agg(framework, ',' ORDER BY framework) AS frameworks, "
+        "CASE WHEN bool_or(wide) THEN 'broad access' WHEN doc_id IN (SELECT doc_id FROM categories WHERE category IN ('pci_payment', 'phi', 'credentials_secrets', 'government_ids')) THEN 'high impact' ELSE 'relevant' END AS criticality "
+        "FROM evaluated GROUP BY doc_id",
+        "evaluated",
+    )
+)
+def compliance_file_summary(spark, sf_dir):
+    return compliance.per_file(evaluated(spark, sf_dir))
+
+
+@query(o.sql("SELECT category, count(*) AS files FROM categories WHERE doc_id IN (SELECT doc_id FROM evaluated) GROUP BY category ORDER BY files DESC, category LIMIT 8", "evaluated"))
+def compliance_top_categories(spark, sf_dir):
+    return compliance.top_categories(evaluated(spark, sf_dir))
+
+
+@query(o.sql("SELECT control, count(DISTINCT doc_id) AS files FROM evaluated GROUP BY control ORDER BY files DESC, control LIMIT 8", "evaluated"))
+def compliance_top_controls(spark, sf_dir):
+    return compliance.top_controls(evaluated(spark, sf_dir))
+
+
+# -- scans compared --------------------------------------------------------------------
+
+_EARLIER = {
+    "earlier": "SELECT doc_id, source, share, path, name, CASE WHEN doc_id % 10 = 0 THEN sha256(sha256 || 'earlier') ELSE sha256 END AS sha256 FROM files WHERE doc_id % 13 <> 0 UNION ALL SELECT doc_id, source, share, '/gone' || path, name, sha256 FROM files WHERE doc_id % 19 = 0"
+}
+
+
+def two_scans(spark, sf_dir):
+    now = inventory.stand_in(spark, sf_dir).drop("content")
+    return now, inventory.previous(now)
+
+
+@query(o.sql(f"SELECT {o.KEY.replace('source', 'f.source').replace('share', 'f.share').replace('path', 'f.path')} AS key, f.path, e.sha256 AS previous_hash, f.sha256 AS current_hash FROM files f JOIN earlier e ON f.path = e.path AND f.source = e.source AND f.share = e.share WHERE f.sha256 <> e.sha256", "files", more=_EARLIER))
+def hash_changed(spark, sf_dir):
+    return history.changed(*two_scans(spark, sf_dir))
+
+
+@query(o.sql(f"SELECT {o.KEY} AS key, path FROM files WHERE {o.KEY} NOT IN (SELECT {o.KEY} FROM earlier)", "files", more=_EARLIER))
+def hash_added(spark, sf_dir):
+    return history.only_in(*two_scans(spark, sf_dir))
+
+
+@query(o.sql(f"SELECT {o.KEY} AS key, path FROM earlier WHERE {o.KEY} NOT IN (SELECT {o.KEY} FROM files)", "files", more=_EARLIER))
+def hash_removed(spark, sf_dir):
+    return history.only_in(*reversed(two_scans(spark, sf_dir)))
+
+
+@query(
+    o.sql(
+        f"SELECT sha256 AS hash, count(*) AS files, min({o.KEY}) AS first_key, first(name ORDER BY {o.KEY}) AS first_name, array_to_string(list(path ORDER BY {o.KEY})[1:20], ';') AS paths FROM files GROUP BY sha256 HAVING count(*) > 1", "files"
+    )
+)
+def hash_duplicate_groups(spark, sf_dir):
+    rows = history.duplicate_groups(inventory.stand_in(spark, sf_dir).drop("content"))
+    return rows.withColumn("paths", F.array_join("paths", ";"))
+
+
+def scans(spark, sf_dir):
+    """Orders as scans: the customer's nation is the tenant, line items are the files by level."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("scan_id"), "o_custkey", F.col("o_orderdate").alias("created_at"))
+    tenant = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("tenant_id"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("scan_id")).agg(
+        F.count_if("l_quantity > 40").alias("critical"), F.count_if("l_quantity > 25 AND l_quantity <= 40").alias("high"),
+        F.count_if("l_quantity > 10 AND l_quantity <= 25").alias("medium"), F.count_if("l_quantity <= 10").alias("low"), F.count(F.lit(1)).alias("total_files"),
+    )
+    counters = ["critical", "high", "medium", "low", "total_files"]
+    return orders.join(tenant, "o_custkey").drop("o_custkey").join(lines, "scan_id", "left").fillna(0, counters).select("tenant_id", "scan_id", "created_at", *counters)
+
+
+_SCANS = {
+    "scans": "SELECT c_nationkey AS tenant_id, o_orderkey AS scan_id, o_orderdate AS created_at, count(l_orderkey) FILTER (l_quantity > 40) AS critical, count(l_orderkey) FILTER (l_quantity > 25 AND l_quantity <= 40) AS high, "
+    "count(l_orderkey) FILTER (l_quantity > 10 AND l_quantity <= 25) AS medium, count(l_orderkey) FILTER (l_quantity <= 10) AS low, count(l_orderkey) AS total_files "
+    "FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL",
+    "ranked": "SELECT *, CAST(row_number() OVER (PARTITION BY tenant_id ORDER BY created_at DESC, scan_id DESC) AS INTEGER) AS back FROM scans",
+}
+
+
+@query(o.sql("SELECT * EXCLUDE (back) FROM ranked WHERE back = 1", more=_SCANS))
+def history_latest_per_tenant(spark, sf_dir):
+    return history.latest(scans(spark, sf_dir))
+
+
+@query(o.sql("SELECT * FROM ranked WHERE back <= 14", more=_SCANS))
+def history_trend_14(spark, sf_dir):
+    return history.trend(scans(spark, sf_dir))
+
+
+@query(
+    o.sql(
+        " UNION ALL ".join(f"SELECT a.tenant_id, '{c}' AS metric, a.{c} AS current, b.{c} AS prior, a.{c} - b.{c} AS delta FROM ranked a JOIN ranked b ON a.tenant_id = b.tenant_id AND a.back = 1 AND b.back = 2" for c in history.COUNTERS),
+        more=_SCANS,
+    )
+)
+def history_delta(spark, sf_dir):
+    return history.deltas(scans(spark, sf_dir))
+
+
+@query(o.sql("SELECT tenant_id, scan_id, 'CRITICAL' AS severity, critical FROM scans WHERE critical > 0", more=_SCANS))
+def scan_alerts(spark, sf_dir):
+    return history.alerts(scans(spark, sf_dir))
+
+
+@query(
+    o.sql(
+        "SELECT n.n_nationkey AS tenant_id, n_name AS name, r.scan_id, coalesce(s.n, 0) AS n_scans, coalesce(c.n, 0) AS n_users, "
+        "CASE WHEN r.scan_id IS NULL THEN NULL WHEN total_files <= 0 THEN 100 ELSE CAST(greatest(0, least(100, round_even(100 - (critical * 95 + high * 80 + medium * 55 + low * 20) / total_files, 0))) AS BIGINT) END AS posture "
+        "FROM nation n LEFT JOIN (SELECT * FROM ranked WHERE back = 1) r ON r.tenant_id = n_nationkey LEFT JOIN (SELECT tenant_id, count(*) AS n FROM scans GROUP BY tenant_id) s ON s.tenant_id = n_nationkey LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey) c ON c.c_nationkey = n_nationkey",
+        more=_SCANS,
+    )
+)
+def portfolio_posture(spark, sf_dir):
+    tenants = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("tenant_id"), F.col("n_name").alias("name"))
+    users = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("tenant_id"))
+    return history.portfolio(tenants, scans(spark, sf_dir), {"users": users}).select("tenant_id", "name", "scan_id", "n_scans", "n_users", "posture")
+
+
+@query("SELECT DISTINCT CAST(c_nationkey AS VARCHAR) AS tenant_id FROM (SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier) WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 2)")
+def tenant_registry_union(spark, sf_dir):
+    known = table(spark, sf_dir, "nation").where("n_regionkey < 2").select(F.col("n_nationkey").alias("tenant_id"))
+    users = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("tenant_id"))
+    vendors = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("tenant_id"))
+    return history.registry(known, users, vendors)
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 200")
+def audit_tail(spark, sf_dir):
+    return history.tail(table(spark, sf_dir, "events").select("event_id", "event_type"), 200, "event_id")
+
+
+#: Instead of the clock, so that results stay as they are.
+NOW = datetime(2024, 1, 20, 12, 0, 0)
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-19 12:00:00'")
+def time_range_rolling(spark, sf_dir):
+    return filters.in_range(table(spark, sf_dir, "events"), "ts", days=1, now=NOW).select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-14 00:00:00'")
+def time_range_days(spark, sf_dir):
+    return filters.in_range(table(spark, sf_dir, "events"), "ts", days=7, now=NOW).select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts <= TIMESTAMP '2024-01-09 23:59:59'")
+def time_range_custom(spark, sf_dir):
+    return filters.in_range(table(spark, sf_dir, "events"), "ts", start="2024-01-05", end="2024-01-09").select("event_id")
+
+
+@query(
+    "WITH t AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS second, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY ALL) "
+    "SELECT user_id, second, n, CAST(sum(n) OVER (PARTITION BY user_id ORDER BY second RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS BIGINT) AS failures FROM t"
+)
+def login_failure_window(spark, sf_dir):
+    errors = table(spark, sf_dir, "events").where("event_type = 'error'")
+    return history.failures_in_window(errors, "user_id", "ts", 86400)
+
+
+@query("SELECT * FROM (VALUES ('finance', 'HIGH', 'block-and-alert', 'ledgers'), ('fr/', 'MEDIUM', 'monitor', 'reading room')) t(name, severity, action, reason)")
+def dlp_policy(spark, sf_dir):
+    rows = [("finance", "HIGH", "ledgers"), ("fr/", "MEDIUM", "reading room")]
+    return history.level_policy(spark.createDataFrame(rows, "pattern string, level string, reason string"))
