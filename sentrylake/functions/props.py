@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed
@@ -16,6 +16,15 @@ PROTECTED_STATES = ("protected", "password_protected", "encrypted", "locked", "b
 PROTECTED_IN_VIEWS = fixed.PROTECTED_EXTENSIONS
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with costly columns that are worked out once a row.
+
+    A plain projection is merged into whatever reads it, filters that move down among
+    them, and its expressions are then evaluated again at each use; a generator is not.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

@@ -36,8 +36,8 @@ def categories() -> Column:
 
 
 def with_categories(assessed: DataFrame) -> DataFrame:
-    typed = assessed.withColumn("type_categories", categories_of_types("findings", _type_map()))
-    return typed.withColumn("categories", categories())
+    typed = props.once(assessed, type_categories=categories_of_types("findings", _type_map()))
+    return props.once(typed, categories=categories())
 
 
 def _percent(points: Column) -> Column:
@@ -102,10 +102,10 @@ def evaluate(assessed: DataFrame, frameworks: list[str] | None = None) -> DataFr
     listed = F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(f[0]).alias("framework"), _strings(f[2]).alias("scope")) for k, f in chosen])
     # a handful of frameworks: each record unfolds into them without a join
     rows = with_categories(assessed).withColumn("f", F.explode(listed))
-    rows = rows.withColumn("matched", F.array_sort(F.array_intersect("categories", "f.scope")))
+    rows = props.once(rows, matched=F.array_sort(F.array_intersect("categories", "f.scope")))
     exposed = F.col("access.wide") | F.col("access.writable")
     by_exposure = F.col("f.framework").isin(*BY_EXPOSURE) & exposed & (F.size("categories") > 0)
-    rows = rows.where((F.size("matched") > 0) | by_exposure).withColumns(dict(score_parts(F.col("matched"))))
+    rows = props.once(rows.where((F.size("matched") > 0) | by_exposure), **dict(score_parts(F.col("matched"))))
     total = reduce(lambda a, b: a + b, (F.col(c) for c in ("base", "data", "evidence", "exposure", "location", "protection")))
     return rows.withColumns(
         {"compliance_score": F.greatest(F.lit(1), F.least(F.lit(100), total)), "framework": F.col("f.framework"), "control": control(F.col("f.framework"), F.col("matched"))}

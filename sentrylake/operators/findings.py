@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.props import redacted
+from ..functions.props import once, redacted
 
 #: Matches of one detector that count.
 MOST_MATCHES = 10
@@ -36,7 +36,7 @@ def detect(content: Column | str) -> Column:
 
 def classify(records: DataFrame, keep_content: bool = False) -> DataFrame:
     """``records`` with their ``findings``; the content goes once it has been read."""
-    found = records.withColumn("findings", detect("content"))
+    found = once(records, findings=detect("content"))
     return found if keep_content else found.drop("content")
 
 

@@ -101,7 +101,7 @@ def failures_in_window(failures: DataFrame, key: str, moment: str, seconds: int)
     A key with very many failures is handled by time: counts per second first, so the
     window runs over seconds, not rows.
     """
-    ticks = failures.select(key, F.unix_seconds(F.col(moment)).alias("second")).groupBy(key, "second").agg(F.count(F.lit(1)).alias("n"))
+    ticks = failures.select(key, F.unix_seconds(F.col(moment).cast("timestamp")).alias("second")).groupBy(key, "second").agg(F.count(F.lit(1)).alias("n"))
     window = Window.partitionBy(key).orderBy("second").rangeBetween(-seconds, 0)
     return ticks.withColumn("failures", F.sum("n").over(window))
 

@@ -72,7 +72,7 @@ def first_override(overrides: list[tuple[str, str, str]]) -> Column:
 
 def assess(classified: DataFrame, overrides: list[tuple[str, str, str]] = ()) -> DataFrame:
     """Add access, score and level to classified records, in the fixed order of the rules."""
-    rows = classified.withColumn("access", access())
+    rows = props.once(classified, access=access())
     path = F.lower(F.coalesce("path", F.lit("")))
     points = folded("findings")
     points = points + F.when(props.contains_any(path, fixed.PATH_KEYWORDS), 15).otherwise(0)
@@ -81,7 +81,7 @@ def assess(classified: DataFrame, overrides: list[tuple[str, str, str]] = ()) ->
     points = points + F.col("access.score")
     points = F.greatest(points, F.when(props.protected_for_risk(), 70).otherwise(0))
     points = points + F.when(F.col("source") == "smb", 5).otherwise(0)
-    rows = rows.withColumn("score", F.least(points, F.lit(100)).cast("int"))
+    rows = props.once(rows, score=F.least(points, F.lit(100)).cast("int"))
     if not overrides:
         return rows.withColumn("level", level_of(F.col("score")))
     rows = rows.withColumn("override", first_override(list(overrides)))

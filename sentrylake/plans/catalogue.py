@@ -299,9 +299,9 @@ def findings_queue(spark, sf_dir):
     return rollups.findings_queue(assessed(spark, sf_dir)).select("doc_id", "score")
 
 
-@query(o.sql("SELECT doc_id FROM risk WHERE level = 'HIGH' AND source = 'smb' AND (contains(lower(path), 'finance') OR contains(lower(owner), 'finance'))", "risk"))
+@query(o.sql("SELECT doc_id FROM risk WHERE level = 'HIGH' AND source = 'local' AND (contains(lower(path), 'finance') OR contains(lower(owner), 'finance'))", "risk"))
 def inventory_filter(spark, sf_dir):
-    return filters.inventory(assessed(spark, sf_dir), "HIGH", "smb", query=" Finance ").select("doc_id")
+    return filters.inventory(assessed(spark, sf_dir), "HIGH", "local", query=" Finance ").select("doc_id")
 
 
 @query(
@@ -417,8 +417,8 @@ def scans(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("scan_id"), "o_custkey", F.col("o_orderdate").alias("created_at"))
     tenant = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("tenant_id"))
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("scan_id")).agg(
-        F.count_if("l_quantity > 40").alias("critical"), F.count_if("l_quantity > 25 AND l_quantity <= 40").alias("high"),
-        F.count_if("l_quantity > 10 AND l_quantity <= 25").alias("medium"), F.count_if("l_quantity <= 10").alias("low"), F.count(F.lit(1)).alias("total_files"),
+        F.count_if(F.expr("l_quantity > 40")).alias("critical"), F.count_if(F.expr("l_quantity > 25 AND l_quantity <= 40")).alias("high"),
+        F.count_if(F.expr("l_quantity > 10 AND l_quantity <= 25")).alias("medium"), F.count_if(F.expr("l_quantity <= 10")).alias("low"), F.count(F.lit(1)).alias("total_files"),
     )
     counters = ["critical", "high", "medium", "low", "total_files"]
     return orders.join(tenant, "o_custkey").drop("o_custkey").join(lines, "scan_id", "left").fillna(0, counters).select("tenant_id", "scan_id", "created_at", *counters)
