@@ -6,8 +6,8 @@
 3. Classes in the race list the rarest values of a long sketch (``LONG``), as many as it
    takes for two similar sets to meet in a list. A passage that many documents share is
    frequent, so it comes last and is listed only where it makes up most of a document.
-4. Each list generates overlaps with a few pivots; the union of two sketches estimates
-   similarity and filters; the full sets confirm. Linked classes merge, and what is still
+4. Each list generates overlaps with a few pivots, except where parities of the sets rule
+   them out; the union of two sketches estimates similarity and filters; the full sets confirm. Linked classes merge, and what is still
    outside the largest component of a list is compared in further rounds, until every pair
    of a list lies in one component or has been looked at. No list is emitted as all pairs.
 
@@ -33,6 +33,8 @@ SHINGLE = 5
 PERCENT = 75
 SHORT, LONG, FILTER = 32, 256, 64
 MISS = 1e-9
+#: Buckets of the parities that rule pairs out before their sets are fetched.
+PARITY = 512
 #: Up to this many ids (8 bytes each) a set of documents is broadcast, beyond it shuffled.
 MAX_BROADCAST_IDS = 2_000_000
 #: Pivots of a list in each round; the last round takes all that are left.
@@ -84,17 +86,38 @@ def needed(n: Column, k: int, percent: int) -> Column:
     return F.when(n * 100 <= k * percent, exact).otherwise(F.lit(least_overlap(k, percent / 100)))
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """For each of ``PARITY`` buckets of hashes whether a set has an odd number in it, as bits of longs.
+
+    The parities of two sets differ in no more buckets than the sets differ in members.
+    """
+    bits = np.bincount((shingles.view(np.uint64) >> np.uint64(7)) % np.uint64(PARITY), minlength=PARITY) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def may_be_similar(n: Column, m: Column, differing: Column, percent: int) -> Column:
+    """Whether sets of ``n`` and ``m`` whose parities differ in so many buckets can be similar.
+
+    Similar sets differ in at most ``most`` members. That bounds the buckets; where buckets
+    are shared by many members, so does their expectation plus a margin that a similar pair passes with
+    probability ``MISS`` at most.
+    """
+    most = (n + m) * float(100 - percent) / float(100 + percent)
+    expected = PARITY / 2 * (1 - F.exp(most * (-2.0 / PARITY)))
+    return differing <= F.least(most, expected + math.sqrt(-math.log(MISS) * PARITY / 2))
+
+
 def shingled(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, shingles (array<long>, ascending) of each document."""
+    """doc_id, shingles (array<long>, ascending), parity (array<long>) of each document."""
 
     def each():
         def turn(batch: pa.RecordBatch):
             sets = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
-            return {"doc_id": batch.column("doc_id"), "shingles": _list_array(sets)}
+            return {"doc_id": batch.column("doc_id"), "shingles": _list_array(sets), "parity": _list_array([parity(x) for x in sets])}
 
         return turn
 
-    return map_batches(docs.select("doc_id", "text"), "doc_id long, shingles array<long>", each)
+    return map_batches(docs.select("doc_id", "text"), "doc_id long, shingles array<long>, parity array<long>", each)
 
 
 def _list_array(rows: list[np.ndarray]) -> pa.Array:
@@ -206,10 +229,15 @@ def _components_of_classes(sets: DataFrame, percent: int) -> DataFrame | None:
             if done:
                 break
             continue  # the hash drew no pivot this time
+        parities = sets.select("doc_id", *[F.col("parity")[k].alias(f"p{k}") for k in range(PARITY // 64)])
+        left = placed.join(pivots.select("value").distinct(), "value", "left_semi").join(parities, "doc_id")
+        right = pivots.join(parities.select(F.col("doc_id").alias("pivot"), *[F.col(f"p{k}").alias(f"q{k}") for k in range(PARITY // 64)]), "pivot")
+        differing = sum((F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"q{k}"))) for k in range(1, PARITY // 64)), F.bit_count(F.col("p0").bitwiseXOR(F.col("q0"))))
         pairs = (
-            placed.join(pivots, "value")
+            left.join(right, "value")
             .where("component <> pivot_component")
             .where((F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent))
+            .where(may_be_similar(F.col("n"), F.col("pivot_n"), differing, percent))
             .select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b"))
             .distinct()
         )
