@@ -154,7 +154,7 @@ def write(pages: DataFrame, folder: str, dictionary: bytes, date: str = "2000-01
             if held["out"]:
                 held["out"].close()
             name = f"{uuid.uuid4().hex}.warc.zst"
-            held.update(out=system.open_output_stream(f"{base}/{name}"), name=name, at=0)
+            held.update(out=system.open_output_stream(f"{base}/{name}", compression=None), name=name, at=0)
             head = struct.pack("<II", SKIPPABLE, len(sent.value)) + sent.value
             info = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {record_id(None)}\r\nWARC-Date: {date}\r\nWARC-Filename: {name}\r\nContent-Type: application/warc-fields\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
             put(head)
@@ -223,7 +223,7 @@ def read(archives: DataFrame, folder: str) -> DataFrame:
         def turn(batch: pa.RecordBatch):
             for name in batch.column("archive").to_pylist():
                 rows, size = _empty(), 0
-                with system.open_input_stream(f"{base}/{name}") as stream:
+                with system.open_input_stream(f"{base}/{name}", compression=None) as stream:
                     for raw in frames(stream):
                         found = parse(raw)
                         warc = found["warc"]
