@@ -299,7 +299,7 @@ def findings_queue(spark, sf_dir):
     return rollups.findings_queue(assessed(spark, sf_dir)).select("doc_id", "score")
 
 
-@query(o.sql("SELECT doc_id FROM risk WHERE level = 'HIGH' AND source = 'local' AND (contains(lower(path), 'finance') OR contains(lower(owner), 'finance'))", "risk"))
+@query(o.sql("SELECT doc_id FROM risk WHERE level = 'HIGH' AND source = 'local' AND (contains(lower(path), 'finance') OR contains(lower(owner), 'finance') OR doc_id IN (SELECT doc_id FROM findings WHERE contains(type, 'finance')))", "risk"))
 def inventory_filter(spark, sf_dir):
     return filters.inventory(assessed(spark, sf_dir), "HIGH", "local", query=" Finance ").select("doc_id")
 
@@ -516,3 +516,65 @@ def login_failure_window(spark, sf_dir):
 def dlp_policy(spark, sf_dir):
     rows = [("finance", "HIGH", "ledgers"), ("fr/", "MEDIUM", "reading room")]
     return history.level_policy(spark.createDataFrame(rows, "pattern string, level string, reason string"))
+
+
+# -- keyword library -------------------------------------------------------------------
+
+
+def library(spark, sf_dir, rows: str):
+    """Keyword groups from the parts table: brands as languages, types as finding types, names as terms."""
+    part = table(spark, sf_dir, "part").where(rows)
+    words = F.split(F.lower(F.regexp_replace("p_name", "[^A-Za-z0-9]+", " ")), " ")
+    return part.select(
+        F.lit("gdpr").alias("framework"), keywords.language("p_brand").alias("language"), F.lit("custom").alias("category"), keywords.token("p_type").alias("type"),
+        F.filter(words, lambda w: w != "").alias("terms"), F.col("p_partkey").cast("int").alias("ord"),
+    )
+
+
+def _library_sql(rows: str) -> str:
+    token = "regexp_replace(regexp_replace(lower(trim(p_type)), '[^a-z0-9_]', '_', 'g'), '^_+|_+$', '', 'g')"
+    return (
+        f"SELECT 'gdpr' AS framework, regexp_replace(lower(trim(p_brand)), '[^a-z0-9_-]', '', 'g') AS language, 'custom' AS category, {token} AS type, "
+        f"list_filter(string_split(lower(regexp_replace(p_name, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '') AS terms, p_partkey AS ord FROM part WHERE {rows}"
+    )
+
+
+_LIBRARY = {
+    "current": _library_sql("p_partkey % 3 <> 0"),
+    "incoming": _library_sql("p_partkey % 3 = 0"),
+    "have": "SELECT DISTINCT language, type, unnest(terms) AS term FROM current",
+    "give": "SELECT language, type, unnest(terms) AS term FROM incoming",
+}
+
+
+@query(o.sql("SELECT language, type, CAST(count(DISTINCT term) AS INTEGER) AS count FROM (SELECT * FROM have UNION ALL SELECT * FROM give) GROUP BY language, type", more=_LIBRARY))
+def keyword_merge(spark, sf_dir):
+    merged = keywords.apply_import(library(spark, sf_dir, "p_partkey % 3 <> 0"), library(spark, sf_dir, "p_partkey % 3 = 0"))
+    return merged.select("language", "type", "count")
+
+
+@query(
+    o.sql(
+        "SELECT (SELECT count(*) FROM (SELECT DISTINCT language, type, term FROM give EXCEPT SELECT language, type, term FROM have)) AS new, "
+        "(SELECT count(*) FROM give) - (SELECT count(*) FROM (SELECT DISTINCT language, type, term FROM give EXCEPT SELECT language, type, term FROM have)) AS duplicates",
+        more=_LIBRARY,
+    )
+)
+def keyword_import_preview(spark, sf_dir):
+    return keywords.preview(library(spark, sf_dir, "p_partkey % 3 <> 0"), library(spark, sf_dir, "p_partkey % 3 = 0"))
+
+
+@query(
+    o.sql(
+        "SELECT language, type, CAST(count(DISTINCT term) AS INTEGER) AS count FROM (SELECT * FROM have WHERE type NOT IN (SELECT type FROM incoming) UNION ALL SELECT * FROM give) GROUP BY language, type",
+        more=_LIBRARY,
+    )
+)
+def keyword_import_replace_type(spark, sf_dir):
+    after = keywords.apply_import(library(spark, sf_dir, "p_partkey % 3 <> 0"), library(spark, sf_dir, "p_partkey % 3 = 0"), "replace_type")
+    return after.select("language", "type", "count")
+
+
+@query(o.sql('SELECT count(*) AS "groups", CAST(sum(len(terms)) AS BIGINT) AS terms, count(DISTINCT language) AS languages, count(DISTINCT category) AS categories FROM current', more=_LIBRARY))
+def keyword_totals(spark, sf_dir):
+    return keywords.totals(library(spark, sf_dir, "p_partkey % 3 <> 0"))
