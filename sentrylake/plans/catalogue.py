@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, props
-from ..operators import compliance, filters, findings, history, keywords, risk, rollups
+from ..operators import compliance, filters, findings, history, keywords, risk, rollups, validated
 from ..sources import inventory
 from . import oracle as o
 
@@ -578,3 +578,55 @@ def keyword_import_replace_type(spark, sf_dir):
 @query(o.sql('SELECT count(*) AS "groups", CAST(sum(len(terms)) AS BIGINT) AS terms, count(DISTINCT language) AS languages, count(DISTINCT category) AS categories FROM current', more=_LIBRARY))
 def keyword_totals(spark, sf_dir):
     return keywords.totals(library(spark, sf_dir, "p_partkey % 3 <> 0"))
+
+
+# -- validated personal data -----------------------------------------------------------
+
+
+def _validated(spark, sf_dir, kind: str) -> DataFrame:
+    rows = inventory.stand_in(spark, sf_dir).select("doc_id", F.explode(validated.values("content", kind)).alias("value"))
+    return rows
+
+
+@query()
+def gdpr_email(spark, sf_dir):
+    return _validated(spark, sf_dir, "gdpr_email_address")
+
+
+@query(
+    o.sql(
+        "SELECT DISTINCT doc_id, value FROM (SELECT doc_id, unnest(regexp_extract_all(content, '(?i)(?:^|[^A-Za-z0-9])((?:AZE|OR|AA)[ -]?[0-9]{7,8})(?:$|[^A-Za-z0-9])', 1)) AS value FROM files)", "files"
+    )
+)
+def gdpr_national_id(spark, sf_dir):
+    return _validated(spark, sf_dir, "gdpr_national_id")
+
+
+@query()
+def gdpr_card_luhn(spark, sf_dir):
+    return _validated(spark, sf_dir, "gdpr_payment_card_data")
+
+
+@query(
+    o.sql(
+        "SELECT DISTINCT doc_id, value FROM (SELECT doc_id, unnest(string_split_regex(content, '[^A-Za-z0-9]+')) AS value FROM files) WHERE regexp_full_match(value, '[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}') AND length(value) BETWEEN 15 AND 34 "
+        "AND list_reduce(list_transform(string_split(substr(value, 5) || substr(value, 1, 4), ''), lambda c: CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END), lambda r, c: (r * CASE WHEN c > 9 THEN 100 ELSE 10 END + c) % 97, 0) = 1",
+        "files",
+    )
+)
+def gdpr_iban_mod97(spark, sf_dir):
+    return _validated(spark, sf_dir, "gdpr_bank_account_data")
+
+
+@query()
+def gdpr_near_keywords(spark, sf_dir):
+    return validated.near_keywords(inventory.stand_in(spark, sf_dir))
+
+
+TERMS = [("custom_ledger", ["invoice register", "export"]), ("custom_code", ["git clone", "api_key"]), ("custom_people", ["patient", "board minutes"])]
+
+
+@query()
+def custom_keyword_findings(spark, sf_dir):
+    groups = spark.createDataFrame(TERMS, "type string, terms array<string>")
+    return validated.custom_terms(inventory.stand_in(spark, sf_dir), groups)
