@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, props
-from ..operators import compliance, filters, findings, history, keywords, risk, rollups, validated
+from ..operators import compliance, filters, findings, history, keywords, report, risk, rollups, validated
 from ..sources import inventory
 from . import oracle as o
 
@@ -630,3 +630,27 @@ TERMS = [("custom_ledger", ["invoice register", "export"]), ("custom_code", ["gi
 def custom_keyword_findings(spark, sf_dir):
     groups = spark.createDataFrame(TERMS, "type string, terms array<string>")
     return validated.custom_terms(inventory.stand_in(spark, sf_dir), groups)
+
+
+# -- reports ---------------------------------------------------------------------------
+
+
+@query(
+    o.sql(
+        "SELECT doc_id, type, label FROM findings JOIN (VALUES " + ", ".join(f"('{p}', '{label}')" for p, label in report.DATA_TYPES) + ") l(pattern, label) ON regexp_matches(type, pattern)",
+        "findings",
+    )
+)
+def finding_data_types(spark, sf_dir):
+    rows = findings.long_form(findings.classify(records(spark, sf_dir)))
+    return rows.select("doc_id", "type", F.explode(report.data_types(F.col("type"))).alias("label"))
+
+
+@query()
+def risk_register(spark, sf_dir):
+    return report.register(assessed(spark, sf_dir))
+
+
+@query()
+def reason_categories(spark, sf_dir):
+    return report.reason_counts(assessed(spark, sf_dir))
