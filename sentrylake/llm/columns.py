@@ -25,6 +25,16 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+#: Rows handled at a time, so that few texts are Python objects at once.
+SLICE = 1000
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def map_batches(
     df: DataFrame, schema: str | StructType, each: Callable[[], Callable[[pa.RecordBatch], Iterator[dict] | dict | None]]
 ) -> DataFrame:
@@ -40,7 +50,7 @@ def map_batches(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = each()
-        for batch in batches:
+        for batch in _slices(batches):
             out = turn(batch)
             yield from map(as_batch, [out] if isinstance(out, dict) else out or ())
         last = getattr(turn, "finish", lambda: None)()
@@ -55,7 +65,7 @@ def keep_rows(df: DataFrame, each: Callable[[], Callable[[pa.RecordBatch], list]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = each()
-        for batch in batches:
+        for batch in _slices(batches):
             yield batch.filter(pa.array(chosen(batch), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

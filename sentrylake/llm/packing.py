@@ -12,7 +12,8 @@ another's: packing shuffles no token.
 
 from __future__ import annotations
 
-import string
+import re
+from array import array
 from collections import OrderedDict
 
 import numpy as np
@@ -30,17 +31,20 @@ MAX_QUEUES = 256
 FAN = 512
 #: Up to this many (partition, queue) offsets are broadcast (24 bytes each).
 MAX_BROADCAST_OFFSETS = 1_000_000
-#: Words and chunks whose ids a Python worker remembers.
-WORD_CACHE, CHUNK_CACHE = 800_000, 250_000
-_TAIL = string.punctuation.replace("'", "")
+#: Pieces of text whose ids a Python worker remembers.
+PIECE_CACHE = 450_000
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+_PIECES = re.compile(f"[{_LATIN}]+|[^{_LATIN} \n]+")
+_BEYOND_LATIN = re.compile(f"[^\0-\x7f{_LATIN}]")
 
 
 class WordEncoder:
-    """Token ids of whole texts by a public tokenizer that never joins across white space.
+    """Token ids of whole texts by a public tokenizer that never joins across white space,
+    nor a letter with anything but letters (contractions apart).
 
-    A text is cut at spaces and line feeds; each distinct piece is encoded once. A piece
-    that is letters followed by ASCII punctuation is encoded as those two parts, which the
-    tokenizer separates as well.
+    A text is cut at spaces and line feeds and, where it holds Latin letters only and
+    neither apostrophes nor special tokens, between letters and all else; each distinct
+    piece is encoded once.
     """
 
     def __init__(self, path: str):
@@ -52,51 +56,46 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 65536
         self.dtype = np.dtype("<u4") if wide else np.dtype("<u2")
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {"": b""}
+        self.code = "I" if wide else "H"
+        self.pieces: dict[str, bytes] = {}
+
+    def cut(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if "'" in text or "<|" in text or not (text.isascii() or _BEYOND_LATIN.search(text) is None):
+            return text.replace("\n", " ").split(" ")
+        return _PIECES.findall(text)
 
     def _learn(self, missing: list[str]) -> None:
-        parts = []
-        for chunk in missing:
-            core = chunk.rstrip(_TAIL)
-            if core.isalpha():
-                parts.append((chunk, core.lower() if core.isascii() else core, chunk[len(core) :]))
-            else:
-                parts.append((chunk, chunk, ""))
-        new = list({w for _, core, tail in parts for w in (core, tail) if w and w not in self.words})
-        if len(self.words) + len(new) > WORD_CACHE:
-            self.words.clear()
-            new = list({w for _, core, tail in parts for w in (core, tail) if w})
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for word, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.words[word] = np.array(coded.ids, self.dtype).tobytes()
-        if len(self.chunks) > CHUNK_CACHE:
-            self.chunks.clear()
-            self.chunks[""] = b""
-        for chunk, core, tail in parts:
-            self.chunks[chunk] = self.words[core] + (self.words[tail] if tail else b"")
+        pieces = self.pieces
+        for at in range(0, len(missing), 4096):
+            some = missing[at : at + 4096]
+            for piece, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                pieces[piece] = array(self.code, coded.ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned integers of ``self.dtype``."""
         out: list[bytes] = []
+        known = self.pieces.__getitem__
         for at in range(0, len(texts), 64):
-            split = [(t or "").replace("\n", " ").split(" ") for t in texts[at : at + 64]]
-            missing = set().union(*split).difference(self.chunks)
-            if len(missing) > 2 * CHUNK_CACHE:  # very long texts of rare words
-                for words in split:
-                    coded = self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids
-                    out.append(np.array(coded, self.dtype).tobytes())
-                continue
-            if missing:
-                if len(self.chunks) > CHUNK_CACHE:
-                    missing = set().union(*split)
-                self._learn(sorted(missing))
-            known = self.chunks.__getitem__
-            out.extend(b"".join(map(known, words)) for words in split)
+            cut = [self.cut(t) for t in texts[at : at + 64]]
+            if len(self.pieces) > PIECE_CACHE:
+                self.pieces.clear()
+            self._learn(list(set().union(*cut).difference(self.pieces)))
+            out.extend(b"".join(map(known, own)) for own in cut)
         return out
 
 
+#: Encoders of this Python worker, by path: what one task has learnt serves the next.
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
     """doc_id, queue, part, local_start, n_tokens, ids (binary) of every document.
 
@@ -110,7 +109,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame
         source = F.concat(F.lit("queue "), F.pmod(F.xxhash64(source), F.lit(MAX_QUEUES)).cast("string"))
 
     def each():
-        encoder, part, before = WordEncoder(tokenizer_path), TaskContext.get().partitionId(), {}
+        encoder, part, before = encoder_of(tokenizer_path), TaskContext.get().partitionId(), {}
         end = np.array([end_id], encoder.dtype).tobytes()
 
         def turn(batch: pa.RecordBatch):
