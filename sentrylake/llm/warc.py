@@ -24,6 +24,8 @@ from .scratch import materialise, new_path, release
 
 #: Payloads shorter than this are always stored.
 LEAST_REVISIT = 1000
+#: Up to this many repeated payloads (some 70 bytes each) are broadcast, more are joined by a shuffle in so many parts each.
+MAX_BROADCAST_COPIES, SALTS = 300_000, 64
 #: Records a dictionary is trained on, at most, and the longest payload among them.
 DICTIONARY_RECORDS, DICTIONARY_PAYLOAD = 1000, 1 << 16
 DICTIONARY_BYTES = 1 << 16
@@ -36,7 +38,7 @@ DICTIONARY = 0xEC30A437
 _FRAME_OUT = 1 << 20
 
 
-def decide(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
+def decide(pages: DataFrame, least: int = LEAST_REVISIT, most_broadcast: int = MAX_BROADCAST_COPIES) -> DataFrame:
     """``pages`` (page_id, url, html) with payload_bytes, payload_digest (hex SHA-1), record_type, refers_to.
 
     Equal payloads of at least ``least`` bytes: the row with the largest page_id is the
@@ -58,7 +60,13 @@ def decide(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
         .where("n > 1 and newest is not null")
         .drop("n")
     )
-    joined = rows.join(copies, ["payload_digest", "payload_bytes"], "left")
+    copies = materialise(copies, "warc_copies")
+    if copies.count() <= most_broadcast:
+        joined = rows.join(F.broadcast(copies), ["payload_digest", "payload_bytes"], "left")
+    else:  # a payload may have very many copies: they meet its row in several places
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+        spread = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+        joined = salted.join(spread, ["payload_digest", "payload_bytes", "salt"], "left")
     revisits = F.col("newest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("newest"))
     return joined.select(
         *rows.columns,

@@ -1,6 +1,6 @@
 import io
 
-from sentrylake.llm.warc import archive, frames, read, record, round_trip
+from sentrylake.llm.warc import archive, decide, frames, read, record, round_trip
 
 
 def test_round_trip(spark, tmp_path):
@@ -35,3 +35,11 @@ def test_record_has_no_payload_when_it_revisits():
     row = {"page_id": 1, "url": "http://x", "html": "body", "payload_digest": "00" * 20, "record_type": "revisit", "refers_to": 2}
     raw = record(row, "2000-01-01T00:00:00Z")
     assert b"body" not in raw and b"Content-Length: 4\r\n" in raw and b"WARC-Refers-To: <urn:x-page:2>" in raw
+
+
+def test_decisions_are_the_same_without_a_broadcast(spark):
+    pages = spark.createDataFrame([(k, f"http://x/{k}", "y" * (990 + k % 20)) for k in range(200)], "page_id long, url string, html string")
+    columns = ["page_id", "payload_digest", "record_type", "refers_to"]
+    one, two = (decide(pages, most_broadcast=n).select(columns) for n in (10**6, 0))
+    assert sorted(map(tuple, one.collect()), key=str) == sorted(map(tuple, two.collect()), key=str)
+    assert one.where("record_type = 'revisit'").count() == 90
