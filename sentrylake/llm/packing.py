@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from bisect import bisect_right
 from collections import OrderedDict
 
 import numpy as np
@@ -31,8 +32,8 @@ MAX_QUEUES = 256
 FAN = 512
 #: Up to this many (partition, queue) offsets are broadcast (24 bytes each).
 MAX_BROADCAST_OFFSETS = 1_000_000
-#: Pieces of text whose ids a Python worker remembers.
-PIECE_CACHE = 450_000
+#: Pieces of text whose ids a Python worker remembers, some 400 bytes each.
+PIECE_CACHE = 700_000
 _LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
 _PIECES = re.compile(f"[{_LATIN}]+|[^{_LATIN} \n]+")
 _BEYOND_LATIN = re.compile(f"[^\0-\x7f{_LATIN}]")
@@ -180,6 +181,7 @@ class Mixture:
         while FAN**self.levels < self.windows:
             self.levels += 1
         self.nodes: OrderedDict[tuple[int, int], tuple] = OrderedDict()
+        self.runs: dict[int, tuple] = {}
 
     def _node(self, level: int, index: int):
         """(start of each child in each queue, queues' tokens of each child) of a node."""
@@ -208,25 +210,34 @@ class Mixture:
             self.nodes.move_to_end((level, index))
         return found
 
+    def _runs(self, queue: int, start: int):
+        """First window, starts, ends and offsets of ``queue`` in the windows of the node that holds ``start``."""
+        found = self.runs.get(queue)
+        if found is None or not found[1][0] <= start < found[2][-1]:
+            index = 0
+            for level in range(self.levels, 1, -1):
+                starts, _ = self._node(level, index)
+                index = index * FAN + int(np.searchsorted(starts[:, queue], start, "right")) - 1
+            starts, served = self._node(1, index)
+            own = starts[:, queue]
+            found = (index * FAN, own.tolist(), (own + served[:, queue]).tolist(), served[:, :queue].sum(1).tolist())
+            self.runs[queue] = found
+        return found
+
     def pieces(self, queue: int, start: int, length: int):
         """(sequence, offset in it, tokens) of the parts of a run of ``queue``."""
         end = start + length
         while start < end:
-            index = 0
-            for level in range(self.levels, 0, -1):
-                starts, served = self._node(level, index)
-                child = int(np.searchsorted(starts[:, queue], start, "right")) - 1
-                index = index * FAN + child
-            # the last node is that of single windows: go on in it as far as it reaches
+            first, starts, stops, inside = self._runs(queue, start)
+            child = bisect_right(starts, start) - 1
             while start < end and child < len(starts):
-                stop = int(starts[child, queue] + served[child, queue])
+                stop = stops[child]
                 if stop > start:
                     take = min(stop, end) - start
-                    yield index, int(served[child, :queue].sum() + start - starts[child, queue]), take
+                    yield first + child, inside[child] + start - starts[child], take
                     start += take
                 if start >= stop:
                     child += 1
-                    index += 1
 
 
 def pack(
@@ -271,7 +282,8 @@ def pack(
         last_length = mix.tokens - (mix.windows - 1) * window
 
         def turn(batch: pa.RecordBatch):
-            rows: dict[str, list] = {k: [] for k in ("doc_id", "source", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "padded_length")}
+            columns = ("doc_id", "source", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "padded_length")
+            out: list[tuple] = []
             size = 0
             for doc, queue, at, n, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "queue", "at", "n_tokens", "ids")), strict=True):
                 width = len(ids) // n
@@ -279,14 +291,15 @@ def pack(
                 done = 0
                 for sequence, offset, take in mix.pieces(number[queue], at, n):
                     length = last_length if sequence == mix.windows - 1 else window
-                    for k, v in zip(rows, (doc, queue, done, take, wide[4 * done : 4 * (done + take)], n, sequence, offset, length if length & (length - 1) == 0 else window), strict=True):
-                        rows[k].append(v)
+                    padded = length if length & (length - 1) == 0 else window
+                    out.append((doc, queue, done, take, wide[4 * done : 4 * (done + take)], n, sequence, offset, padded))
                     done += take
                 size += len(wide)
                 if size > 16 << 20:
-                    yield rows
-                    rows, size = {k: [] for k in rows}, 0
-            yield rows
+                    yield dict(zip(columns, zip(*out), strict=True))
+                    out, size = [], 0
+            if out:
+                yield dict(zip(columns, zip(*out), strict=True))
 
         return turn
 
