@@ -21,7 +21,7 @@ def tokenizer_path() -> str:
 def op1_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(_table(spark, sf_dir, "documents"), tokenizer_path()).select(
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_path(), remembered=700_000).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source", "padded_length"
     )
 
