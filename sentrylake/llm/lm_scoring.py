@@ -3,8 +3,9 @@
 A small network reads the words on both sides of a position and predicts the one in the
 middle; the sum of these log-probabilities over all positions scores a document. The
 output is factored: the network gives the word's class, and the corpus counts give the
-word within its class. Words are counted over all documents. The network is trained in numpy by many
-tasks at once on a fixed share of the documents; after each round their weights are averaged.
+word within its class. Words are counted over all documents, and all documents train the
+network: many tasks at once, each in numpy on a shard of fixed size; after each round their
+weights are averaged. Texts are cut into words once for training and scoring.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from .columns import map_batches
 from .scratch import materialise, release
@@ -30,9 +33,8 @@ CLASSES = SINGLE + KNOWN + RARE
 PAD = CLASSES
 #: Words looked at on either side, and units of the network.
 SIDE, HIDDEN = 2, 24
-#: One in so many documents trains the network, by a hash of the id; it grows with the corpus.
-TRAIN_ONE_IN = 16
-SHARD_TOKENS = 500_000
+#: Tokens that one task trains a network on, so shards grow in number with the corpus.
+SHARD_TOKENS = 4_000_000
 ROUNDS = 2
 #: Distinct words a task counts before it passes them on.
 COUNTER_SIZE = 300_000
@@ -41,6 +43,10 @@ STEP, MINIBATCH = 8192, 1024
 
 _words = re.compile(r"\w+").findall
 _OFFSETS = np.array([k for k in range(-SIDE, SIDE + 1) if k])
+#: First row of each position's weights where those of all positions lie below each other.
+_ROWS = (np.arange(2 * SIDE) * (CLASSES + 1)).astype(np.uint16)
+#: Logits above this would overflow when their exponentials are summed.
+_HIGHEST = 80.0
 
 
 def tokens_of(text: str | None) -> list[str]:
@@ -108,6 +114,26 @@ def lexicon(counts: DataFrame, size: int = VOCABULARY) -> Lexicon:
     return Lexicon(classes, {w: x for w, x in within.items() if x}, -np.log(np.maximum(rare_kinds, 1)))
 
 
+def _exponentials(logits: np.ndarray) -> np.ndarray:
+    """exp of ``logits`` in place, each row up to a factor; what was subtracted for it."""
+    less = np.zeros((len(logits), 1), np.float32)
+    if logits.max(initial=0.0) > _HIGHEST:
+        less = logits.max(1, keepdims=True)
+        logits -= less
+    np.exp(logits, out=logits)
+    return less[:, 0]
+
+
+def sums_by(keys: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the rows of ``values`` by key; a row serves len(keys) / len(values) keys in turn."""
+    order = np.argsort(keys, kind="stable")  # a radix sort: the keys are small unsigned integers
+    found = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+    out = np.zeros((size, values.shape[1]), np.float32)
+    out[found[first]] = np.add.reduceat(np.take(values, order // (len(keys) // len(values)), axis=0), first)
+    return out
+
+
 @dataclass
 class Network:
     """One hidden layer over the classes beside a position; softmax over its class."""
@@ -141,30 +167,38 @@ class Network:
         return Network(*parts)
 
     def hidden(self, beside: np.ndarray) -> np.ndarray:
-        total = self.inputs[0][beside[:, 0]] + self.bias
+        total = np.take(self.inputs[0], beside[:, 0], axis=0)
         for k in range(1, 2 * SIDE):
-            total += self.inputs[k][beside[:, k]]
-        return np.tanh(total)
+            total += np.take(self.inputs[k], beside[:, k], axis=0)
+        total += self.bias
+        return np.tanh(total, out=total)
 
     def log_probability(self, beside: np.ndarray, target: np.ndarray) -> np.ndarray:
         logits = self.hidden(beside) @ self.outputs
         logits += self.prior
         chosen = logits[np.arange(len(target)), target]
-        np.exp(logits, out=logits)  # the weights are small: no overflow
-        return chosen - np.log(logits.sum(1))
+        less = _exponentials(logits)
+        return chosen - less - np.log(logits.sum(1))
 
     def train(self, beside: np.ndarray, target: np.ndarray, history: list[np.ndarray], rate: float = 0.1) -> None:
         """One Adagrad step on a batch of positions."""
+        n = np.float32(len(target))
         h = self.hidden(beside)
-        logits = h @ self.outputs + self.prior
-        logits -= logits.max(1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(1, keepdims=True)
-        logits[np.arange(len(target)), target] -= 1
-        logits /= len(target)
-        back = (logits @ self.outputs.T) * (1 - h * h)
-        one_hot = np.eye(CLASSES + 1, dtype=np.float32)
-        gradients = [np.stack([one_hot[beside[:, k]].T @ back for k in range(2 * SIDE)]), back.sum(0), h.T @ logits, logits.sum(0)]
+        logits = h @ self.outputs
+        logits += self.prior
+        _exponentials(logits)
+        # softmax less the target, over n: the division by the sum is left to the smaller side of each product
+        each = 1 / (n * (logits @ np.ones(CLASSES, np.float32)))
+        back = logits @ self.outputs.T
+        back *= each[:, None]
+        back -= np.take(self.outputs.T / n, target, axis=0)
+        back *= 1 - h * h
+        gradients = [
+            sums_by((beside + _ROWS).astype(np.uint16).ravel(), back, 2 * SIDE * (CLASSES + 1)).reshape(self.inputs.shape),
+            back.sum(0),
+            (h * each[:, None]).T @ logits - sums_by(target.astype(np.uint8), h, CLASSES).T / n,
+            each @ logits - np.bincount(target, minlength=CLASSES).astype(np.float32) / n,
+        ]
         for part, gradient, seen in zip(self.parts(), gradients, history, strict=True):
             seen += gradient * gradient
             part -= rate * gradient / (np.sqrt(seen) + 1e-6)
@@ -222,63 +256,72 @@ def train(encoded: DataFrame, tokens: int, rounds: int = ROUNDS) -> Network:
 
 
 def encode(docs: DataFrame, words: Lexicon) -> DataFrame:
-    """classes (binary, a byte per word) of the texts of ``docs``."""
+    """The columns of ``docs`` other than text, row (unique), classes (binary, a byte per word)
+    and inside (log-probability of the words within their classes) of each row.
+
+    ``row`` counts the rows of a partition: write the result before using it twice.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(words)
+    kept = [f for f in docs.schema.fields if f.name != "text"]
 
     def each():
-        words = sent.value
+        words, at = sent.value, [TaskContext.get().partitionId() << 33]
 
         def turn(batch: pa.RecordBatch):
-            return {"classes": [words.encode(tokens_of(t))[0].tobytes() for t in batch.column("text").to_pylist()]}
+            coded = [words.encode(tokens_of(t)) for t in batch.column("text").to_pylist()]
+            first = at[0]
+            at[0] += len(coded)
+            return {f.name: batch.column(f.name) for f in kept} | {
+                "row": range(first, at[0]),
+                "classes": [c.tobytes() for c, _ in coded],
+                "inside": [x for _, x in coded],
+            }
 
         return turn
 
-    return map_batches(docs.select("text"), "classes binary", each)
+    added = _parse_datatype_string("row long, classes binary, inside double")
+    return map_batches(docs, StructType([*kept, *added.fields]), each)
 
 
-def likelihoods(docs: DataFrame, words: Lexicon, network: Network) -> DataFrame:
-    """doc_id, n_tokens, log_likelihood, per_token of every row of ``docs``."""
-    sent = docs.sparkSession.sparkContext.broadcast((words, network))
+def likelihoods(encoded: DataFrame, network: Network) -> DataFrame:
+    """row, doc_id, n_tokens, log_likelihood of every row of ``encoded``."""
+    sent = encoded.sparkSession.sparkContext.broadcast(network)
 
     def each():
-        words, network = sent.value
+        network = sent.value
 
         def turn(batch: pa.RecordBatch):
-            texts = batch.column("text").to_pylist()
-            sums, sizes = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-            for first in range(0, len(texts), 64):
-                coded = [words.encode(tokens_of(t)) for t in texts[first : first + 64]]
-                lengths = np.array([len(c) for c, _ in coded])
-                beside, target = windows([c for c, _ in coded])
+            coded = [np.frombuffer(x, np.uint8) for x in batch.column("classes").to_pylist()]
+            sizes = np.array([len(c) for c in coded], np.int64)
+            sums = np.array(batch.column("inside").to_pylist(), float)
+            for first in range(0, len(coded), 64):
+                beside, target = windows(coded[first : first + 64])
                 if len(target):
                     found = np.concatenate(
                         [network.log_probability(beside[at : at + STEP], target[at : at + STEP]) for at in range(0, len(target), STEP)]
                     )
-                    owner = np.repeat(np.arange(len(coded)), lengths)
-                    sums[first : first + 64] = np.bincount(owner, found, len(coded)) + [x for _, x in coded]
-                sizes[first : first + 64] = lengths
-            return {"doc_id": batch.column("doc_id"), "n_tokens": sizes, "log_likelihood": sums}
+                    owner = np.repeat(np.arange(len(coded[first : first + 64])), sizes[first : first + 64])
+                    sums[first : first + 64] += np.bincount(owner, found, len(coded[first : first + 64]))
+            return {"row": batch.column("row"), "doc_id": batch.column("doc_id"), "n_tokens": sizes, "log_likelihood": sums}
 
         return turn
 
-    scored = map_batches(docs.select("doc_id", "text"), "doc_id long, n_tokens long, log_likelihood double", each)
-    return scored.withColumn("per_token", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
+    return map_batches(encoded.select("row", "doc_id", "classes", "inside"), "row long, doc_id long, n_tokens long, log_likelihood double", each)
 
 
-def score(docs: DataFrame, one_in: int = TRAIN_ONE_IN) -> DataFrame:
+def score(docs: DataFrame) -> DataFrame:
     """Count, train and score ``docs`` (doc_id, text): doc_id, n_tokens, log_likelihood, per_token.
 
     Null, empty and wordless texts have no tokens, likelihood 0 and a null ``per_token``.
-    Repeated rows are scored each; other columns are ignored. Where the hash draws
-    no document for training (tiny tables), all of them train.
+    Repeated rows are scored each; other columns are ignored. All documents are counted,
+    train the network and are scored, whatever their ids and however many they are.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = materialise(count_words(docs), "lm_counts")
     words = lexicon(counts)
+    tokens = counts.agg(F.sum("n")).first()[0] or 0
     release(counts)
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0) if docs.limit(one_in * 20).count() == one_in * 20 else docs
-    encoded = materialise(encode(drawn, words), "lm_sample")
-    tokens = encoded.agg(F.sum(F.octet_length("classes"))).first()[0] or 0
-    network = train(encoded, tokens)
-    release(encoded)
-    return likelihoods(docs, words, network)
+    encoded = materialise(encode(docs, words), "lm_encoded")
+    network = train(encoded.select("classes"), tokens)
+    scored = likelihoods(encoded, network).drop("row")
+    return scored.withColumn("per_token", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))

@@ -1,5 +1,7 @@
 import numpy as np
+from pyspark.sql import functions as F
 
+from sentrylake.llm import lm_scoring
 from sentrylake.llm.lm_scoring import PAD, SIDE, Lexicon, Network, count_words, encode, lexicon, score, tokens_of, train, windows
 
 
@@ -32,6 +34,31 @@ def test_within_class_probabilities_sum_to_one(spark):
     assert isinstance(words, Lexicon) and words.encode(["a", "zz"])[0].tolist()[0] == 0
 
 
+def test_every_document_trains(spark, monkeypatch):
+    """Null ids, one id for all, a small and a larger table: the network sees all tokens."""
+    seen = []
+    monkeypatch.setattr(lm_scoring, "train", lambda encoded, tokens: (seen.append((tokens, encoded.agg(F.sum(F.octet_length("classes"))).first()[0])), Network.start())[1])
+    for n, doc in ((400, None), (400, 1), (319, None), (5, 7)):
+        score(spark.createDataFrame([(doc, "one two three")] * n, "doc_id long, text string")).collect()
+        assert seen[-1] == (3 * n, 3 * n)
+
+
+def test_step_equals_dense_gradients():
+    draw = np.random.default_rng(1)
+    beside, target = draw.integers(0, PAD + 1, (50, 4)), draw.integers(0, PAD, 50)
+    network, before = Network.start(), Network.start()
+    network.train(beside, target, [np.full(p.shape, 1e-4, np.float32) for p in network.parts()])
+    h = before.hidden(beside)
+    errors = np.exp(h @ before.outputs)
+    errors /= errors.sum(1, keepdims=True)
+    errors[np.arange(50), target] -= 1
+    errors /= 50
+    back = (errors @ before.outputs.T) * (1 - h * h)
+    inputs = np.stack([np.eye(PAD + 1)[beside[:, k]].T @ back for k in range(4)])
+    for part, old, gradient in zip(network.parts(), before.parts(), (inputs, back.sum(0), h.T @ errors, errors.sum(0)), strict=True):
+        assert np.abs(part - (old - 0.1 * gradient / (np.sqrt(gradient**2 + 1e-4) + 1e-6))).max() < 1e-4
+
+
 def test_odd_rows(odd_documents, no_documents):
     rows = score(odd_documents).toPandas()
     assert len(rows) == odd_documents.count()
