@@ -25,7 +25,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from .columns import map_batches
 from .scratch import materialise, release
 
-#: Words with a probability of their own; rarer ones share that of their class.
+#: Words that every task knows with their counts; those of all others are joined.
 VOCABULARY = 20_000
 #: Classes: one for each of the most frequent words, some for other known words, some for the rest.
 SINGLE, KNOWN, RARE = 64, 48, 16
@@ -59,14 +59,20 @@ def ending(word: str) -> int:
 
 @dataclass
 class Lexicon:
-    """Class of each word, and the log-probability of a word within its class."""
+    """Class of each word, and the log-probability of a word within its class.
+
+    A word that is not among the most frequent ones has log n - log N within its class, from its
+    own count and that of all such words of the class. ``rare_within`` is -log N of each
+    class; :func:`own_counts` gives log n.
+    """
 
     classes: dict[str, int]
     within: dict[str, float]
     rare_within: np.ndarray
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, float]:
-        """Classes of ``words``, and the sum of their log-probabilities within the classes."""
+        """Classes of ``words``, and the sum of their log-probabilities within the classes, without
+        log n of the words of :meth:`rare`."""
         known = self.classes.get
         out = np.fromiter((known(w, -1) for w in words), np.int16, len(words))
         rare = np.flatnonzero(out < 0)
@@ -78,6 +84,11 @@ class Lexicon:
         inside += sum(within(w, 0.0) for w in words)
         return out.astype(np.uint8), inside
 
+    @staticmethod
+    def rare(words: list[str], classes: np.ndarray) -> list[str]:
+        """Those of ``words`` whose counts are not at hand, as often as they occur."""
+        return [words[i] for i in np.flatnonzero(classes >= SINGLE + KNOWN)]
+
 
 def count_words(docs: DataFrame) -> DataFrame:
     """word, n over all texts of ``docs``."""
@@ -105,13 +116,13 @@ def lexicon(counts: DataFrame, size: int = VOCABULARY) -> Lexicon:
         classes[r["word"]] = rank if rank < SINGLE else SINGLE + ending(r["word"]) % KNOWN
         totals[classes[r["word"]]] += r["n"]
     within = {r["word"]: float(np.log(r["n"] / totals[classes[r["word"]]])) for r in top}
-    rare_kinds = np.zeros(RARE)
+    rare_totals = np.zeros(RARE)
     kind = F.crc32(F.substring("word", -2, 2).cast("binary")) % RARE
-    for r in counts.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n")).collect():
-        rare_kinds[r["kind"]] = r["n"]
+    for r in counts.groupBy(kind.alias("kind")).agg(F.sum("n").alias("n")).collect():
+        rare_totals[r["kind"]] = r["n"]
     for r in top:  # the known words are not among the rare ones
-        rare_kinds[ending(r["word"]) % RARE] -= 1
-    return Lexicon(classes, {w: x for w, x in within.items() if x}, -np.log(np.maximum(rare_kinds, 1)))
+        rare_totals[ending(r["word"]) % RARE] -= r["n"]
+    return Lexicon(classes, {w: x for w, x in within.items() if x}, -np.log(np.maximum(rare_totals, 1)))
 
 
 def _exponentials(logits: np.ndarray) -> np.ndarray:
@@ -256,8 +267,9 @@ def train(encoded: DataFrame, tokens: int, rounds: int = ROUNDS) -> Network:
 
 
 def encode(docs: DataFrame, words: Lexicon) -> DataFrame:
-    """The columns of ``docs`` other than text, row (unique), classes (binary, a byte per word)
-    and inside (log-probability of the words within their classes) of each row.
+    """The columns of ``docs`` other than text, row (unique), classes (binary, a byte per word),
+    rare (the words whose counts are to be joined, with a space between them) and inside
+    (log-probability of the words within their classes, without log n of the rare ones) of each row.
 
     ``row`` counts the rows of a partition: write the result before using it twice.
     """
@@ -268,21 +280,33 @@ def encode(docs: DataFrame, words: Lexicon) -> DataFrame:
         words, at = sent.value, [TaskContext.get().partitionId() << 33]
 
         def turn(batch: pa.RecordBatch):
-            coded = [words.encode(tokens_of(t)) for t in batch.column("text").to_pylist()]
+            coded, rare = [], []
+            for text in batch.column("text").to_pylist():
+                own = tokens_of(text)
+                coded.append(words.encode(own))
+                rare.append(" ".join(words.rare(own, coded[-1][0])))
             first = at[0]
             at[0] += len(coded)
             return {f.name: batch.column(f.name) for f in kept} | {
                 "row": range(first, at[0]),
                 "classes": [c.tobytes() for c, _ in coded],
+                "rare": rare,
                 "inside": [x for _, x in coded],
             }
 
         return turn
 
-    added = _parse_datatype_string("row long, classes binary, inside double")
+    added = _parse_datatype_string("row long, classes binary, rare string, inside double")
     return map_batches(docs, StructType([*kept, *added.fields]), each)
 
 
+def own_counts(encoded: DataFrame, counts: DataFrame) -> DataFrame:
+    """row, log_n: sum of log n over the rare words of each row that has any with n > 1, from
+    the counts of all words. None of these words is frequent, so no key of the join is large."""
+    rare = encoded.where(F.col("rare") != "").select("row", F.explode(F.split("rare", " ")).alias("word"))
+    return rare.join(counts.where("n > 1"), "word").groupBy("row").agg(F.sum(F.log("n")).alias("log_n"))
+
+
 def likelihoods(encoded: DataFrame, network: Network) -> DataFrame:
     """row, doc_id, n_tokens, log_likelihood of every row of ``encoded``."""
     sent = encoded.sparkSession.sparkContext.broadcast(network)
@@ -320,8 +344,11 @@ def score(docs: DataFrame) -> DataFrame:
     counts = materialise(count_words(docs), "lm_counts")
     words = lexicon(counts)
     tokens = counts.agg(F.sum("n")).first()[0] or 0
-    release(counts)
     encoded = materialise(encode(docs, words), "lm_encoded")
     network = train(encoded.select("classes"), tokens)
-    scored = likelihoods(encoded, network).drop("row")
+    scored = (
+        likelihoods(encoded, network)
+        .join(own_counts(encoded, counts), "row", "left")
+        .select("doc_id", "n_tokens", (F.col("log_likelihood") + F.coalesce("log_n", F.lit(0.0))).alias("log_likelihood"))
+    )
     return scored.withColumn("per_token", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))

@@ -2,7 +2,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sentrylake.llm import lm_scoring
-from sentrylake.llm.lm_scoring import PAD, SIDE, Lexicon, Network, count_words, encode, lexicon, score, tokens_of, train, windows
+from sentrylake.llm.lm_scoring import PAD, SIDE, Lexicon, Network, count_words, encode, lexicon, own_counts, score, tokens_of, train, windows
+from sentrylake.llm.scratch import materialise
 
 
 def test_scores_equal_a_plain_loop():
@@ -59,6 +60,28 @@ def test_step_equals_dense_gradients():
         assert np.abs(part - (old - 0.1 * gradient / (np.sqrt(gradient**2 + 1e-4) + 1e-6))).max() < 1e-4
 
 
+def test_rare_words_keep_their_counts(spark):
+    """Words beyond the known ones, in one class: their scores differ as their counts do, and
+    the probabilities of a class add up to one."""
+    docs = spark.createDataFrame([(1, "a a a a a a a a a a xing xing xing xing ying ying"), (2, "zing"), (3, None), (3, "a ying")], "doc_id long, text string")
+    counts = count_words(docs)
+    words = lexicon(counts, size=1)
+    coded, inside = words.encode(["xing", "ying", "zing", "a"])
+    assert words.rare(["xing", "ying", "zing", "a"], coded) == ["xing", "ying", "zing"] and len(set(coded[:3].tolist())) == 1
+    assert abs(inside - 3 * -np.log(4 + 3 + 1)) < 1e-9
+    rows = materialise(encode(docs, words), "test")
+    joined = {r["doc_id"]: r["log_n"] for r in rows.join(own_counts(rows, counts), "row", "left").collect() if r["classes"]}
+    assert abs(joined[1] - (4 * np.log(4) + 2 * np.log(3))) < 1e-9 and joined[2] is None and abs(joined[3] - np.log(3)) < 1e-9
+
+
+def test_frequent_rare_words_score_above_single_ones(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring.lexicon, "__defaults__", (1,))
+    text = "the the the the the the the the " + "often " * 5 + "soften"
+    rows = score(spark.createDataFrame([(1, text), (2, "the often"), (3, "the soften")], "doc_id long, text string")).toPandas().set_index("doc_id")
+    # same class, same context: the difference is log 6 - log 2
+    assert abs(rows.log_likelihood[2] - rows.log_likelihood[3] - np.log(3)) < 1e-5
+
+
 def test_odd_rows(odd_documents, no_documents):
     rows = score(odd_documents).toPandas()
     assert len(rows) == odd_documents.count()
