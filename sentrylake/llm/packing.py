@@ -16,17 +16,19 @@ import re
 from array import array
 from bisect import bisect_right
 from collections import OrderedDict
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import map_batches
-from .scratch import materialise
+from .scratch import materialise, release
 
-#: Queues kept apart; a corpus with more sources shares this many queues by hash.
+#: Sources that have a queue each. With more of them, those with a target and those with a share of
+#: 2 / MAX_QUEUES of the characters keep theirs; the tail shares half as many queues by hash.
 MAX_QUEUES = 256
 #: Children of a node of the dealing tree.
 FAN = 512
@@ -100,8 +102,25 @@ def encoder_of(path: str, remembered: int) -> WordEncoder:
     return _ENCODERS[path, remembered]
 
 
-def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 1, remembered: int = PIECE_CACHE) -> DataFrame:
-    """doc_id, queue, part, local_start, n_tokens, ids (binary) of every document.
+def own_queue(source: str) -> str:
+    return "=" + source
+
+
+def queue_of(docs: DataFrame, source: Column, targets: Iterable[str] = ()) -> Column:
+    """Queue of each row of ``docs``: that of its source alone, or one shared by sources of the tail."""
+    alone = F.concat(F.lit(own_queue("")), source)
+    if docs.select(source).distinct().limit(MAX_QUEUES + 1).count() <= MAX_QUEUES:
+        return alone
+    sizes = materialise(docs.groupBy(source.alias("source")).agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 1).alias("n")), "source_sizes")
+    least = sizes.agg(F.sum("n")).first()[0] * 2 / MAX_QUEUES
+    kept = sorted({r["source"] for r in sizes.where(F.col("n") >= least).collect()}.union(targets))
+    release(sizes)
+    shared = F.concat(F.lit("#"), F.pmod(F.xxhash64(source), F.lit(MAX_QUEUES // 2)).cast("string"))
+    return F.when(source.isin(kept), alone).otherwise(shared)
+
+
+def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 1, remembered: int = PIECE_CACHE, targets: Iterable[str] = ()) -> DataFrame:
+    """doc_id, source, queue, part, local_start, n_tokens, ids (binary) of every document.
 
     ``local_start`` counts the tokens of the same queue before the document in its input
     partition ``part``. A null text is an empty one, so it has only the end id; a null
@@ -109,8 +128,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 1, remembered:
     """
     docs = docs.select("doc_id", "text", "source")
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    if docs.select(source).distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
-        source = F.concat(F.lit("queue "), F.pmod(F.xxhash64(source), F.lit(MAX_QUEUES)).cast("string"))
+    queue = queue_of(docs, source, targets)
 
     def each():
         encoder, part, before = encoder_of(tokenizer_path, remembered), TaskContext.get().partitionId(), {}
@@ -124,13 +142,13 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 1, remembered:
             for q, k in zip(queues, n, strict=True):
                 starts.append(before.get(q, 0))
                 before[q] = starts[-1] + k
-            return {"doc_id": batch.column("doc_id"), "queue": queues, "part": [part] * len(n), "local_start": starts, "n_tokens": n, "ids": ids}
+            return {"doc_id": batch.column("doc_id"), "source": batch.column("source"), "queue": queues, "part": [part] * len(n), "local_start": starts, "n_tokens": n, "ids": ids}
 
         return turn
 
     return map_batches(
-        docs.select("doc_id", "text", source.alias("queue")),
-        "doc_id long, queue string, part int, local_start long, n_tokens long, ids binary",
+        docs.select("doc_id", "text", source.alias("source"), queue.alias("queue")),
+        "doc_id long, source string, queue string, part int, local_start long, n_tokens long, ids binary",
         each,
     )
 
@@ -255,16 +273,17 @@ def pack(
 
     ``targets`` are token shares by source name; without them each source has its share
     of the corpus, so that all queues end together. A source without a target gets its
-    share once those with one have run out. Rows: doc_id, source (the queue), start,
+    share once those with one have run out. With more than 256 sources those without a target and
+    with less than 1/128 of the characters share queues, which hold their share together. Rows: doc_id, source, start,
     length, ids (little-endian uint32), doc_tokens, sequence_id, offset, padded_length (of
     the sequence: ``window``, or its own length where that is a power of two).
 
     Null texts and sources count as empty; a null doc_id stays null; repeated rows are
     packed as often as they occur; an empty table gives no rows; other columns are ignored.
-    Only queue totals (at most 256 rows) reach the driver.
+    Only queue totals (at most 256 rows and one per target) reach the driver.
     """
     spark = docs.sparkSession
-    tokens = materialise(tokenise(docs, tokenizer_path, end_id, remembered), "tokens")
+    tokens = materialise(tokenise(docs, tokenizer_path, end_id, remembered, targets or ()), "tokens")
     by_part = materialise(tokens.groupBy("queue", "part").agg(F.sum("n_tokens").alias("n")), "token_offsets")
     totals = {r["queue"]: r["n"] for r in by_part.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
     names = sorted(totals)
@@ -274,12 +293,13 @@ def pack(
     offsets = by_part.select("queue", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     if by_part.count() <= MAX_BROADCAST_OFFSETS:
         offsets = F.broadcast(offsets)
-    placed = tokens.join(offsets, ["queue", "part"]).select("doc_id", "queue", (F.col("base") + F.col("local_start")).alias("at"), "n_tokens", "ids")
+    placed = tokens.join(offsets, ["queue", "part"]).select("doc_id", "source", "queue", (F.col("base") + F.col("local_start")).alias("at"), "n_tokens", "ids")
     number = {q: i for i, q in enumerate(names)}
     counts = [totals[q] for q in names]
     shares = None
     if targets:
-        shares = [float(targets.get(q, 0.0)) for q in names]
+        wanted = {own_queue(source): float(share) for source, share in targets.items()}  # no source with a target shares a queue
+        shares = [wanted.get(q, 0.0) for q in names]
 
     def each():
         mix = Mixture(counts, shares, window)
@@ -289,14 +309,14 @@ def pack(
             columns = ("doc_id", "source", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "padded_length")
             out: list[tuple] = []
             size = 0
-            for doc, queue, at, n, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "queue", "at", "n_tokens", "ids")), strict=True):
+            for doc, source, queue, at, n, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "queue", "at", "n_tokens", "ids")), strict=True):
                 width = len(ids) // n
                 wide = np.frombuffer(ids, "<u2" if width == 2 else "<u4").astype("<u4").tobytes()
                 done = 0
                 for sequence, offset, take in mix.pieces(number[queue], at, n):
                     length = last_length if sequence == mix.windows - 1 else window
                     padded = length if length & (length - 1) == 0 else window
-                    out.append((doc, queue, done, take, wide[4 * done : 4 * (done + take)], n, sequence, offset, padded))
+                    out.append((doc, source, done, take, wide[4 * done : 4 * (done + take)], n, sequence, offset, padded))
                     done += take
                 size += len(wide)
                 if size > 16 << 20:

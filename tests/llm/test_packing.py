@@ -35,6 +35,23 @@ def test_every_token_lies_in_one_piece(odd_documents):
     assert (sizes[sizes.index < sizes.index.max()] == 256).all()
 
 
+def test_many_sources_keep_targets_shares_and_names(spark):
+    """More sources than queues: targets hold, a large source has its share of every window, names are true."""
+    big = [(k, "one two three four " * 8, "big") for k in range(300)]
+    small = [(1000 + k, "five six seven eight " * 8, "queue 17" if k == 0 else f"s{k}") for k in range(600)]
+    docs = spark.createDataFrame(big + small, "doc_id long, text string, source string").coalesce(2)
+    rows = pack(docs, tokenizer_path(), window=256).toPandas()
+    assert rows.groupby("doc_id").source.first().to_dict() == {d: s for d, _, s in big + small}
+    full = rows[rows.sequence_id < rows.sequence_id.max()]
+    share = full[full.source == "big"].groupby("sequence_id").length.sum() / 256
+    assert share.size == full.sequence_id.nunique() and ((share - 1 / 3).abs() < 0.02).all()
+
+    rows = pack(docs, tokenizer_path(), window=256, targets={"s1": 0.25, "big": 0.75}).toPandas()
+    first = rows[rows.sequence_id == 0].groupby("source").length.sum()
+    s1 = rows[rows.source == "s1"].length.sum()
+    assert first["s1"] == min(s1, 64) and first["big"] == 256 - first["s1"]
+
+
 def test_sequences_join_their_pieces(odd_documents):
     pieces = pack(odd_documents, tokenizer_path(), window=256)
     joined = sequences(pieces).toPandas()
