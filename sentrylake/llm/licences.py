@@ -2,7 +2,10 @@
 
 Everything is DataFrame operations. Sentences that mention a licence, and whole licence
 files, become sparse vectors (segment, token, weight) that are joined with the templates'
-vectors; the sum of products is the cosine. A file without a licence of its own
+vectors; the sum of products is the cosine. Headers count as a whole as well: paragraphs
+without their comment signs, and their sentences joined over line feeds, are compared with these
+templates and with the standard notices and titles of whole licences. SPDX lines name
+their licence. A file without a licence of its own
 takes that of the licence file in its nearest ancestor directory, found by joining the
 directories' ancestor paths.
 """
@@ -55,6 +58,38 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("proprietary", "Copyright. All rights reserved. Unauthorized copying of this file is strictly prohibited."),
 )
 
+#: What else tells of a licence in a header.
+HEADER_MARKERS = (*MARKERS, "spdx", "free software", "redistribut", "creative commons", "gpl", "rights reserved")
+COMMENT_SIGNS = r"(?m)^[ \t]*(?:/\*+|\*+/?|//+|#+|;+|--+|<!--+|%+|\.\.|dnl\b)?[ \t]*"
+SPDX = r"(?i)SPDX-License-Identifier:\s*\(?\s*([a-z0-9.+-]+)"
+
+
+def _gnu(name: str, version: str, subject: str = "program") -> str:
+    return (
+        f"This {subject} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} License "
+        f"as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version."
+    )
+
+
+# Standard notices of whole headers, and the titles of whole licence texts.
+HEADERS: tuple[tuple[str, str], ...] = (
+    ("GPL-2.0", _gnu("General Public", "2")), ("GPL-3.0", _gnu("General Public", "3")),
+    ("LGPL-2.1", _gnu("Lesser General Public", "2.1", "library")), ("LGPL-3.0", _gnu("Lesser General Public", "3", "library")),
+    ("AGPL-3.0", _gnu("Affero General Public", "3")),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"), ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"), ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+)
+
+#: Licence of an SPDX identifier, in lower case and without -only, -or-later and +.
+IDENTIFIERS: dict[str, str] = {name.lower(): name for name, _ in (*TEMPLATES, *HEADERS) if name != "proprietary"}
+
 
 def template_tokens(text: str) -> list[str]:
     return [t for t in re.sub(NOT_TOKEN, " ", text.lower()).split(" ") if t]
@@ -88,41 +123,61 @@ def _directory(path: Column) -> Column:
 
 
 def segments(files: DataFrame) -> DataFrame:
-    """doc_id, segment (its text): sentences that mention a licence, and whole licence files."""
+    """doc_id, segment (its text): sentences that mention a licence, whole licence files, and
+    paragraphs that mention one, with their sentences, without comment signs and line feeds."""
 
-    def mentions(text: Column) -> Column:
-        return reduce(or_, (F.lower(text).contains(m) for m in MARKERS))
+    def mentions(text: Column, markers=MARKERS) -> Column:
+        return reduce(or_, (F.lower(text).contains(m) for m in markers))
+
+    def in_header(text: Column) -> Column:
+        return mentions(text, HEADER_MARKERS)
 
     whole = F.coalesce(_name(F.col("path")).rlike(LICENCE_FILE), F.lit(False))
-    sentences = F.filter(F.split("text", SENTENCE_END), mentions)
+    sentences = F.filter(F.split("text", SENTENCE_END), lambda x: mentions(x))
+    bare = F.regexp_replace(F.regexp_replace("text", "\r\n?", "\n"), COMMENT_SIGNS, "")
+    paragraphs = F.transform(F.filter(F.split(bare, r"\n\s*\n"), in_header), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    joined = F.filter(F.flatten(F.transform(paragraphs, lambda x: F.split(x, r"(?<=[.!?])\s+"))), in_header)
     return (
         files.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-        .where(mentions(F.col("text")) | whole)
-        .select("doc_id", F.explode(F.array_distinct(F.concat(sentences, F.when(whole, F.array("text")).otherwise(F.array().cast("array<string>"))))).alias("segment"))
+        .where(in_header(F.col("text")) | whole)
+        .select("doc_id", F.explode(F.array_distinct(F.concat(sentences, paragraphs, joined, F.when(whole, F.array("text")).otherwise(F.array().cast("array<string>"))))).alias("segment"))
     )
 
 
+def cosines(terms: DataFrame, templates) -> DataFrame:
+    """doc_id, licence, cosine (six digits) of the segments in ``terms`` (doc_id, segment, token, tf) to ``templates``."""
+    spark = terms.sparkSession
+    weight, rows, unknown = template_vectors(templates)
+    # the templates' few hundred tokens
+    weights = F.broadcast(spark.createDataFrame(sorted(weight.items()), "token string, idf double"))
+    vectors = F.broadcast(spark.createDataFrame(rows, "template int, licence string, token string, share double"))
+    terms = terms.join(weights, "token", "left").withColumn("value", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
+    norms = terms.groupBy("doc_id", "segment").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
+    dots = terms.join(vectors, "token").groupBy("doc_id", "segment", "template", "licence").agg(F.sum(F.col("value") * F.col("share")).alias("dot"))
+    return dots.join(norms, ["doc_id", "segment"]).select("doc_id", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"))
+
+
+def identified(files: DataFrame) -> DataFrame:
+    """doc_id, licence, cosine (1) of the SPDX lines of ``files`` with a known identifier."""
+    known = F.create_map(*[F.lit(x) for pair in sorted(IDENTIFIERS.items()) for x in pair])
+    names = files.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(SPDX), 1)).alias("name"))
+    licence = known[F.regexp_replace(F.lower("name"), r"(-only|-or-later|\+)$", "")]
+    return names.select("doc_id", licence.alias("licence"), F.lit(1.0).alias("cosine")).where(F.col("licence").isNotNull())
+
+
 def detect(files: DataFrame, cosine: float = COSINE) -> DataFrame:
     """doc_id, licence, cosine (six digits) of the files with a licence statement of their own.
 
     The best template of any segment wins; ties go to the licence that sorts first.
     """
-    spark = files.sparkSession
-    weight, rows, unknown = template_vectors()
-    # the templates' few hundred tokens
-    weights = F.broadcast(spark.createDataFrame(sorted(weight.items()), "token string, idf double"))
-    vectors = F.broadcast(spark.createDataFrame(rows, "template int, licence string, token string, share double"))
-    terms = (
+    terms = materialise(
         segments(files)
         .select("doc_id", F.xxhash64("segment").alias("segment"), F.explode(_tokens(F.col("segment"))).alias("token"))
         .groupBy("doc_id", "segment", "token")
-        .agg(F.count(F.lit(1)).alias("tf"))
-        .join(weights, "token", "left")
-        .withColumn("value", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
+        .agg(F.count(F.lit(1)).alias("tf")),
+        "licence_terms",
     )
-    norms = terms.groupBy("doc_id", "segment").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-    dots = terms.join(vectors, "token").groupBy("doc_id", "segment", "template", "licence").agg(F.sum(F.col("value") * F.col("share")).alias("dot"))
-    scored = dots.join(norms, ["doc_id", "segment"]).select("doc_id", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"))
+    scored = cosines(terms, TEMPLATES).union(cosines(terms, HEADERS)).union(identified(files))
     best = scored.where(F.col("cosine") >= cosine).groupBy("doc_id").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "licence")).alias("best"))
     return best.select("doc_id", "best.licence", (-F.col("best.less")).alias("cosine"))
 

@@ -13,3 +13,28 @@ def test_own_and_inherited_licences(spark):
     assert found[4][0] == "GPL-3.0" and found[5] == (None, None, None) and found[6][0] == "MIT" and found[7] == (None, None, None)
     assert found[None][:2] == ("MIT", "a") and found[8][:2] == ("MIT", "a")
     assert scan(files.limit(0)).count() == 0
+
+
+GNU = """{sign} This program is free software; you can redistribute it and/or modify
+{sign} it under the terms of the GNU {name} License as published by
+{sign} the Free Software Foundation; either version {version} of the License, or
+{sign} (at your option) any later version.
+{sign}
+{sign} This program is distributed in the hope that it will be useful,
+{sign} but WITHOUT ANY WARRANTY.
+code = 1
+"""
+
+
+def test_wrapped_headers_identifiers_and_whole_licences(spark):
+    title = "                    GNU GENERAL PUBLIC LICENSE\n                       Version {}\n\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n"
+    cases = [
+        ("GPL-2.0", "x.py", GNU.format(sign="#", name="General Public", version=2)), ("GPL-3.0", "x.c", "/*\n" + GNU.format(sign=" *", name="General Public", version=3)),
+        ("AGPL-3.0", "x.js", GNU.format(sign="//", name="Affero General Public", version=3)), ("GPL-2.0", "y.py", GNU.format(sign="", name="General Public", version=2).replace("\n", " ")),
+        ("MIT", "z.py", "# SPDX-License-Identifier: MIT\nx = 1"), ("Apache-2.0", "z.c", "/* SPDX-License-Identifier: Apache-2.0 */"), ("GPL-2.0", "z.h", "// SPDX-License-Identifier: GPL-2.0-or-later"),
+        ("GPL-2.0", "p/COPYING", title.format("2, June 1991")), ("GPL-3.0", "q/COPYING", title.format("3, 29 June 2007")),
+        ("Apache-2.0", "w.py", "# Licensed under the Apache\n# License, Version 2.0.\n"), (None, "n.txt", "A free software fair with licensed vendors\nopens in town, and all are invited to come."),
+    ]
+    files = spark.createDataFrame([(k, f"d{k}/{path}", text) for k, (_, path, text) in enumerate(cases)], "doc_id long, path string, text string")
+    found = {r["doc_id"]: r["licence"] for r in scan(files).collect()}
+    assert found == {k: licence for k, (licence, _, _) in enumerate(cases)}
