@@ -68,19 +68,33 @@ def _buckets(clean: np.ndarray):
         yield mixed >> np.uint32(32 - int(math.log2(BUCKETS)))
 
 
+def shares(sizes: list[int], bound: int) -> list[float]:
+    """Share of the documents of each language to draw: all of a small one, what is left of ``bound`` alike for the others."""
+    out, left = [1.0] * len(sizes), bound
+    order = sorted(range(len(sizes)), key=lambda i: sizes[i])
+    for k, i in enumerate(order):
+        own = min(sizes[i], left / (len(order) - k))
+        out[i] = own / sizes[i]
+        left -= own
+    return out
+
+
 def train(docs: DataFrame, bound: int = TRAINING_DOCUMENTS, smoothing: float = 0.5) -> LanguageModel | None:
     """Fit on ``docs`` (doc_id, text, lang): those with a text and a language.
 
     At most about ``bound`` documents are drawn, by a hash of the id, so the draw does not
-    depend on their order. None where there is nothing to learn from.
+    depend on their order; a language with few documents gives all of them. The prior is
+    that of all rows. None where there is nothing to learn from.
     """
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    languages = sorted(r["lang"] for r in docs.select("lang").distinct().collect())
-    total = docs.count()
-    if not total:
+    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
+    if not sizes:
         return None
+    languages = sorted(sizes)
+    total = sum(sizes.values())
     if total > bound:
-        docs = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil(bound / total * (1 << 20)))
+        drawn = F.create_map(*[F.lit(x) for name, part in zip(languages, shares([sizes[x] for x in languages], bound), strict=True) for x in (name, math.ceil(part * (1 << 20)))])
+        docs = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < drawn[F.col("lang")])
     number = {name: i for i, name in enumerate(languages)}
 
     def each():
@@ -88,10 +102,8 @@ def train(docs: DataFrame, bound: int = TRAINING_DOCUMENTS, smoothing: float = 0
 
         def turn(batch: pa.RecordBatch):
             counts: dict[int, np.ndarray] = {}
-            documents: dict[int, int] = {}
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 row = number[lang]
-                documents[row] = documents.get(row, 0) + 1
                 own = counts.setdefault(row, np.zeros(BUCKETS, np.int64))
                 for at in range(0, len(text), PIECE):
                     for found in _buckets(_normalise(_codes(text[at : at + PIECE]), letters)):
@@ -99,18 +111,18 @@ def train(docs: DataFrame, bound: int = TRAINING_DOCUMENTS, smoothing: float = 0
             for row, own in counts.items():
                 filled = np.flatnonzero(own)
                 yield {
-                    "row": np.full(len(filled) + 1, row, np.int32),
-                    "bucket": np.append(filled, BUCKETS).astype(np.int32),
-                    "n": np.append(own[filled], documents[row]),
+                    "row": np.full(len(filled), row, np.int32),
+                    "bucket": filled.astype(np.int32),
+                    "n": own[filled],
                 }
 
         return turn
 
-    # at most languages x (buckets + 1) sums reach the driver
+    # at most languages x buckets sums reach the driver
     sums = map_batches(docs, "row int, bucket int, n long", each).groupBy("row", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros((len(languages), BUCKETS + 1))
-    table[sums["row"], sums["bucket"]] = sums["n"]
-    counts, documents = table[:, :BUCKETS], table[:, BUCKETS]
+    counts = np.zeros((len(languages), BUCKETS))
+    counts[sums["row"], sums["bucket"]] = sums["n"]
+    documents = np.array([sizes[x] for x in languages])
     smooth = counts + smoothing
     return LanguageModel(
         languages,

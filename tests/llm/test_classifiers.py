@@ -57,3 +57,11 @@ def test_pairs_teach_a_ranking():
     scores = ranking.scores(rows)
     assert scores[good].mean() > scores[~good].mean() + 1
     assert quality.learn(rows, np.ones(400, bool)) is None
+
+
+def test_small_languages_are_drawn_whole(spark):
+    rows = [(k, "the old house by the river was sold", "en") for k in range(2000)] + [(5000 + k, "zażółć gęślą jaźń wśród łąk", "pl") for k in range(3)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), bound=20)
+    assert langid.predict("łąka wśród gęśli", model, langid._letters())[0] == "pl"
+    assert abs(model.log_prior[1] - np.log(4 / 2005)) < 1e-9
+    assert langid.shares([2000, 3], 20) == [17 / 2000, 1.0] and langid.shares([5, 5], 20) == [1.0, 1.0]
