@@ -42,7 +42,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     roots = _roots(links)
     labels = roots.select("node", F.col("root").alias("component"))
-    held = roots
+    labels._scratch_path = roots._scratch_path  # for the caller to release
     while True:
         a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in "ab")
         shorter = links.join(a, "a").join(b, "b").where("a_root <> b_root")
@@ -54,10 +54,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if not links.limit(1).count():
             release(links)
             return labels
-        roots = _roots(links)
+        merged = _roots(links)
+        if roots._scratch_path != labels._scratch_path:
+            release(roots)
+        roots = merged
         moved = roots.select(F.col("node").alias("component"), "root")
         relabelled = materialise(
             labels.join(moved, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels"
         )
-        release(held)
-        labels = held = relabelled
+        release(labels)
+        labels = relabelled

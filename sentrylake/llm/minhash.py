@@ -6,10 +6,11 @@
 3. Classes in the race list the rarest values of a long sketch (``LONG``), as many as it
    takes for two similar sets to meet in a list. A passage that many documents share is
    frequent, so it comes last and is listed only where it makes up most of a document.
-4. Each list generates overlaps with a few pivots, except where parities of the sets rule
-   them out; the union of two sketches estimates similarity and filters; the full sets confirm. Linked classes merge, and what is still
-   outside the largest component of a list is compared in further rounds, until every pair
-   of a list lies in one component or has been looked at. No list is emitted as all pairs.
+4. Each list generates overlaps with a few pivots; parities of the sets rule pairs out, the
+   union of two sketches estimates similarity and filters, the full sets confirm. Linked classes
+   merge, and what is still outside the largest component of a list is compared in further
+   rounds, a bounded number of pivots each, until every pair of a list lies in one component
+   or has been looked at.
 
 The thresholds on sketches are such that a pair at the wanted similarity is missed with
 a probability of at most 1e-9; sets no larger than the sketch are treated exactly.
@@ -18,6 +19,7 @@ a probability of at most 1e-9; sets no larger than the sketch are treated exactl
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,18 +29,20 @@ from pyspark.sql import functions as F
 
 from .columns import map_batches
 from .components import connected_components
-from .scratch import materialise, release
+from .scratch import materialise, materialise_by, release
 
 SHINGLE = 5
 PERCENT = 75
-SHORT, LONG, FILTER = 32, 256, 64
+SHORT, LONG, FILTER = 32, 128, 64
 MISS = 1e-9
 #: Buckets of the parities that rule pairs out before their sets are fetched.
 PARITY = 512
 #: Up to this many ids (8 bytes each) a set of documents is broadcast, beyond it shuffled.
 MAX_BROADCAST_IDS = 2_000_000
-#: Pivots of a list in each round; the last round takes all that are left.
-PIVOTS = (2, 8, 64)
+#: Pivots of a list in each round, about; the last number holds for all further rounds.
+PIVOTS = (2, 8, 64, 256)
+#: Sets in a file of the table they are stored in, about, and the most files of it.
+SETS_A_BUCKET, MOST_BUCKETS = 20_000, 50_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -108,16 +112,23 @@ def may_be_similar(n: Column, m: Column, differing: Column, percent: int) -> Col
 
 
 def shingled(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, shingles (array<long>, ascending), parity (array<long>) of each document."""
+    """doc_id, mark (64 bits of the set), shingles (array<long>, ascending), brief (the first
+    ``FILTER`` of them), parity (array<long>) of each document."""
 
     def each():
         def turn(batch: pa.RecordBatch):
             sets = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
-            return {"doc_id": batch.column("doc_id"), "shingles": _list_array(sets), "parity": _list_array([parity(x) for x in sets])}
+            return {
+                "doc_id": batch.column("doc_id"),
+                "mark": [xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in sets],
+                "shingles": _list_array(sets),
+                "brief": _list_array([x[:FILTER] for x in sets]),
+                "parity": _list_array([parity(x) for x in sets]),
+            }
 
         return turn
 
-    return map_batches(docs.select("doc_id", "text"), "doc_id long, shingles array<long>, parity array<long>", each)
+    return map_batches(docs.select("doc_id", "text"), "doc_id long, mark long, shingles array<long>, brief array<long>, parity array<long>", each)
 
 
 def _list_array(rows: list[np.ndarray]) -> pa.Array:
@@ -168,123 +179,171 @@ def _lists(sets: DataFrame, percent: int) -> DataFrame:
     return held.select("doc_id", "n", F.explode(listed).alias("posting")).select("posting.value", "doc_id", "n")
 
 
+def _first_pivots(lists: DataFrame) -> DataFrame:
+    """value, doc_id, n, component, pivot of the lists with two holders or more: the smallest id
+    and one drawn by hash are pivots."""
+    heads = (
+        lists.groupBy("value")
+        .agg(F.count(F.lit(1)).alias("holders"), F.min("doc_id").alias("first"), F.min_by("doc_id", F.xxhash64("doc_id")).alias("other"))
+        .where("holders > 1")
+    )
+    pivot = (F.col("doc_id") == F.col("first")) | (F.col("doc_id") == F.col("other"))
+    return lists.join(heads, "value").select("value", "doc_id", "n", F.col("doc_id").alias("component"), pivot.alias("pivot"))
+
+
+def _next_pivots(lists: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """The same of the lists whose documents are not all of one component: about so many
+    pivots as the turn has, drawn by hash from outside the list's largest component. Components only grow, so
+    a list left out here stays settled."""
+    known = labels.select(F.col("node").alias("doc_id"), "component")
+    placed = lists.join(known, "doc_id", "left").select("value", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    open_lists = (
+        placed.groupBy("value", "component")
+        .agg(F.count(F.lit(1)).alias("members"))
+        .groupBy("value")
+        .agg(F.sum("members").alias("all"), F.max(F.struct("members", "component")).alias("largest"))
+        .where(F.col("all") > F.col("largest.members"))
+        .select("value", F.col("largest.component").alias("largest"), (F.col("all") - F.col("largest.members")).alias("outside"))
+    )
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.ceil(F.col("outside") / PIVOTS[min(turn, len(PIVOTS) - 1)])) == 0
+    return placed.join(open_lists, "value").select("value", "doc_id", "n", "component", (drawn & (F.col("component") != F.col("largest"))).alias("pivot"))
+
+
+def _candidates(placed: DataFrame, percent: int) -> DataFrame:
+    """a, b: each pivot with the documents of its list that lie in other components and can be as large."""
+    pivots = placed.where("pivot").select(
+        "value", F.col("doc_id").alias("pivot_id"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component")
+    )
+    return (
+        placed.join(pivots, "value")
+        .where("component <> pivot_component")
+        .where(F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent)
+        .select(F.least("doc_id", "pivot_id").alias("a"), F.greatest("doc_id", "pivot_id").alias("b"))
+        .distinct()
+    )
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar: estimated on sketches, confirmed in full."""
+    """The pairs (a, b) whose sets are similar: ruled out by parities, estimated on sketches, confirmed in full.
+
+    ``sets`` is stored by doc_id, so the joins move pairs to it.
+    """
 
-    def with_sets(frame: DataFrame, column: Column) -> DataFrame:
+    def with_sets(frame: DataFrame, *names: str) -> DataFrame:
         for side in "ab":
-            frame = frame.join(sets.select(F.col("doc_id").alias(side), column.alias(f"{side}_set")), side)
+            frame = frame.join(sets.select(F.col("doc_id").alias(side), *[F.col(x).alias(f"{side}_{x}") for x in names]), side)
         return frame
 
-    both = F.array_intersect("a_set", "b_set")
-    union = F.slice(F.array_sort(F.array_union("a_set", "b_set")), 1, FILTER)
+    differing = F.aggregate(
+        F.zip_with("a_parity", "b_parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x
+    )
+    n, m = F.col("a_n").cast("long"), F.col("b_n").cast("long")
+    both = F.array_intersect("a_brief", "b_brief")
+    union = F.slice(F.array_sort(F.array_union("a_brief", "b_brief")), 1, FILTER)
     overlap = F.size(F.array_intersect(union, both))
-    estimated = with_sets(pairs, F.slice("shingles", 1, FILTER)).where(
-        F.when(F.size(union) < FILTER, overlap * 100 >= F.size(union) * percent).otherwise(overlap >= least_overlap(FILTER, percent / 100))
+    estimated = (
+        with_sets(pairs, "n", "parity", "brief")
+        .where(may_be_similar(n, m, differing, percent))
+        .where(F.when(F.size(union) < FILTER, overlap * 100 >= F.size(union) * percent).otherwise(overlap >= least_overlap(FILTER, percent / 100)))
     )
-    common = F.size(both)
+    common = F.size(F.array_intersect("a_shingles", "b_shingles"))
     return (
-        with_sets(estimated.select("a", "b"), F.col("shingles"))
-        .where(common.cast("long") * 100 >= (F.size("a_set") + F.size("b_set") - common).cast("long") * percent)
+        with_sets(estimated.select("a", "b"), "shingles")
+        .where(common.cast("long") * 100 >= (F.size("a_shingles") + F.size("b_shingles") - common).cast("long") * percent)
         .select("a", "b")
     )
 
 
 def _components_of_classes(sets: DataFrame, percent: int) -> DataFrame | None:
-    """node, component over all links between the sets of ``sets`` (doc_id, shingles)."""
+    """node, component over all links between the sets of ``sets`` (doc_id, n, shingles, brief, parity)."""
     lists = materialise(_lists(sets, percent), "lists")
-    edges = labels = None
-    for turn in range(10_000):
-        if labels is None:
-            placed = lists.withColumn("component", F.col("doc_id"))
-        else:
-            known = labels.select(F.col("node").alias("doc_id"), "component")
-            placed = lists.join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        placed = materialise(placed.select("value", "doc_id", "n", "component"), "placed")
-        if turn == 0:
-            pivots = (
-                placed.groupBy("value")
-                .agg(F.count(F.lit(1)).alias("holders"), F.min("doc_id").alias("first"), F.min_by("doc_id", F.xxhash64("doc_id")).alias("other"))
-                .where("holders > 1")
-                .select("value", F.explode(F.array_distinct(F.array("first", "other"))).alias("doc_id"))
-                .join(placed, ["value", "doc_id"])
-            )
+    edges: list[DataFrame] = []
+    labels = None
+    turn = 0
+    while True:
+        if turn:
+            placed = _next_pivots(lists, labels if labels is not None else _no_labels(sets), turn)
         else:
-            by_component = placed.groupBy("value", "component").agg(F.count(F.lit(1)).alias("members"))
-            open_lists = (
-                by_component.groupBy("value")
-                .agg(F.sum("members").alias("all"), F.max(F.struct("members", "component")).alias("largest"))
-                .where(F.col("all") > F.col("largest.members"))
-                .select("value", F.col("largest.component").alias("largest"), (F.col("all") - F.col("largest.members")).alias("outside"))
-            )
-            most = PIVOTS[turn] if turn < len(PIVOTS) else None
-            outside = placed.join(open_lists, "value").where("component <> largest")
-            if most:
-                outside = outside.where(F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.ceil(F.col("outside") / most)) == 0)
-            pivots = outside.select("value", "doc_id", "n", "component")
-        pivots = materialise(pivots.select("value", F.col("doc_id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component")), "pivots")
-        if not pivots.limit(1).count():
-            done = turn == 0 or not open_lists.limit(1).count()
-            release(placed, pivots)
-            if done:
-                break
-            continue  # the hash drew no pivot this time
-        parities = sets.select("doc_id", *[F.col("parity")[k].alias(f"p{k}") for k in range(PARITY // 64)])
-        left = placed.join(pivots.select("value").distinct(), "value", "left_semi").join(parities, "doc_id")
-        right = pivots.join(parities.select(F.col("doc_id").alias("pivot"), *[F.col(f"p{k}").alias(f"q{k}") for k in range(PARITY // 64)]), "pivot")
-        differing = sum((F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"q{k}"))) for k in range(1, PARITY // 64)), F.bit_count(F.col("p0").bitwiseXOR(F.col("q0"))))
-        pairs = (
-            left.join(right, "value")
-            .where("component <> pivot_component")
-            .where((F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent))
-            .where(may_be_similar(F.col("n"), F.col("pivot_n"), differing, percent))
-            .select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b"))
-            .distinct()
-        )
-        found = materialise(_linked(pairs, sets, percent), "edges")
-        # a pivot has been compared with its whole list
-        rest = placed.join(pivots.select("value", F.col("pivot").alias("doc_id")), ["value", "doc_id"], "left_anti")
-        kept = materialise(rest.select("value", "doc_id", "n"), "lists")
-        release(lists, placed, pivots)
-        lists = kept
+            placed = _first_pivots(lists)
+        placed = materialise(placed, "placed")
+        release(lists)
+        if not placed.limit(1).count():
+            break
+        found = materialise(_linked(_candidates(placed, percent), sets, percent), "edges")
+        lists = materialise(placed.where("not pivot").select("value", "doc_id", "n"), "lists")  # a pivot has met its whole list
+        release(placed)
         if found.limit(1).count():
-            edges = found if edges is None else edges.unionByName(found)
-            labels = connected_components(edges)
+            edges.append(found)
+            if labels is not None:
+                release(labels)
+            labels = connected_components(reduce(DataFrame.unionByName, edges))
+        else:
+            release(found)
+        turn += 1
+    release(placed, *edges)
     return labels
 
 
+def _no_labels(like: DataFrame) -> DataFrame:
+    return like.sparkSession.createDataFrame([], "node long, component long")
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    """A written table of ids, to be broadcast while they are at most ``MAX_BROADCAST_IDS``."""
+    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
+
+
+def _components(docs: DataFrame, percent: int, size: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, rows of each distinct id of ``docs``; only this table stays."""
+    summary = materialise(summaries(docs, size), "summaries")
+    # one set for each doc_id: that of the smallest hash
+    own = F.min(F.struct("set_1", "set_2", "n_shingles"))
+    ones = summary.where("doc_id is not null").groupBy("doc_id").agg(own.alias("own"), F.count(F.lit(1)).alias("rows"))
+    ones = materialise(ones.select("doc_id", "own.*", "rows"), "documents")
+    real = ones.where("n_shingles > 0")
+    copies = real.groupBy("set_1", "set_2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    copies = materialise(real.join(copies, ["set_1", "set_2"]).select("doc_id", "first"), "copies")
+    later = _small(copies.where("doc_id <> first").select("doc_id"))
+    classes = summary.where("n_shingles > 0 and doc_id is not null").join(later, "doc_id", "left_anti")
+    again = ones.where("rows > 1")
+    repeated = again.limit(1).count() > 0
+    if repeated:
+        classes = classes.join(again.select("doc_id", "set_1", "set_2"), ["doc_id"], "left_anti").select(classes.columns).unionByName(
+            classes.join(again.select("doc_id", "set_1", "set_2"), ["doc_id", "set_1", "set_2"], "left_semi").dropDuplicates(["doc_id"]).select(classes.columns)
+        )
+    race = materialise(_in_race(classes.select("doc_id", "n_shingles", "sketch"), percent), "in_race")
+    release(summary)
+    racing = race.count()
+    sets = shingled(docs.select("doc_id", "text").join(_small(race), "doc_id", "left_semi"), size)
+    if repeated:
+        sets = sets.groupBy("doc_id").agg(F.min_by(F.struct("mark", "shingles", "brief", "parity"), "mark").alias("own")).select("doc_id", "own.*")
+    buckets = min(MOST_BUCKETS, max(docs.sparkSession.sparkContext.defaultParallelism, -(-racing // SETS_A_BUCKET)))
+    sets = materialise_by(sets.select("doc_id", F.size("shingles").alias("n"), "shingles", "brief", "parity"), "sets", "doc_id", buckets)
+    labels = _components_of_classes(sets, percent)
+    release(race, sets)
+    found = ones.join(copies, "doc_id", "left").withColumn("first", F.coalesce("first", "doc_id"))
+    if labels is not None:
+        found = found.join(labels.select(F.col("node").alias("first"), "component"), "first", "left")
+    else:
+        found = found.withColumn("component", F.lit(None).cast("long"))
+    found = materialise(found.select("doc_id", "n_shingles", F.coalesce("component", "first").alias("component_id"), "rows"), "near_duplicates")
+    release(ones, copies, *([] if labels is None else [labels]))
+    return found
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text).
 
     Documents are linked where 100 * shared >= percent * union of their shingle sets;
     ``component_id`` is the smallest doc_id reachable by links. Null, empty and blank texts have
-    an empty set and no link. Rows of one doc_id count as one document. A row without a
-    doc_id is never linked: its component is null and it is kept. Other columns are ignored.
+    an empty set and no link. Rows of one doc_id count as one document, whose text is that with the
+    smallest hash of its set. A row without a doc_id is never linked: its component is null, it
+    is kept and n_shingles is that of its text. Other columns are ignored.
     """
-    summary = materialise(summaries(docs, size), "summaries")
-    real = summary.where("n_shingles > 0 and doc_id is not null")
-    copies = materialise(
-        real.groupBy("set_1", "set_2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "copies"
-    )
-    joined = summary.join(copies, ["set_1", "set_2"], "left")
-    first = F.when(F.col("n_shingles") > 0, F.coalesce("first", "doc_id")).otherwise(F.col("doc_id"))
-    members = materialise(joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), first).alias("first"), "sketch"), "members")
-    classes = members.where("n_shingles > 0 and doc_id = first").select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id"])
-    release(summary, copies)
-    race = materialise(_in_race(classes, percent), "in_race")
-    if race.count() <= MAX_BROADCAST_IDS:
-        racing = docs.join(F.broadcast(race), "doc_id", "left_semi")
-    else:
-        racing = docs.join(race, "doc_id", "left_semi")
-    sets = materialise(shingled(racing, size).dropDuplicates(["doc_id"]), "sets")
-    labels = _components_of_classes(sets, percent)
-    release(race, sets)
-    if labels is None:
-        found = members.withColumn("component_id", F.col("first"))
-    else:
-        labels = labels.select(F.col("node").alias("first"), "component")
-        found = members.join(labels, "first", "left").withColumn("component_id", F.coalesce("component", "first"))
-    return found.select(
+    found = _components(docs, percent, size)
+    known = found.select("doc_id", "n_shingles", "component_id", F.explode(F.array_repeat(F.lit(1), F.col("rows").cast("int"))).alias("one")).drop("one")
+    nameless = summaries(docs.where("doc_id is null"), size).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    return known.unionByName(nameless).select(
         "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
     )
 
@@ -295,14 +354,13 @@ def keep_first(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
     Of rows that share a doc_id the one whose text has the smallest hash stays. Rows
     without a doc_id stay. Up to ``MAX_BROADCAST_IDS`` dropped ids are broadcast, more are joined by a shuffle.
     """
-    found = materialise(near_duplicates(docs, percent, size).select("doc_id", "kept"), "near_duplicates")
-    dropped = found.where("not kept").select("doc_id").distinct()
-    if dropped.count() <= MAX_BROADCAST_IDS:
-        dropped = F.broadcast(dropped)
-    left = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    again = materialise(found.where("doc_id is not null and kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    found = _components(docs, percent, size)
+    dropped = materialise(found.where("doc_id <> component_id").select("doc_id"), "dropped")
+    again = materialise(found.where("doc_id = component_id and rows > 1").select("doc_id"), "repeated")
+    release(found)
+    left = docs.join(_small(dropped), "doc_id", "left_anti").select(docs.columns)
     if not again.limit(1).count():
         return left
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    once = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.xxhash64("text")).alias("row"))
-    return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
+    once = left.join(_small(again), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.xxhash64("text")).alias("row"))
+    return left.join(_small(again), "doc_id", "left_anti").select(docs.columns).unionByName(once.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import beside_rows, fold_of, keep_rows, map_batches
-from .scratch import materialise
+from .scratch import materialise, release
 
 #: Labelled documents the ranking is learnt from, at most (in expectation: a hash draws them).
 TRAINING_DOCUMENTS = 20_000
@@ -222,19 +222,24 @@ def score(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_DOCUMENTS) -
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_DOCUMENTS) -> DataFrame:
-    """The rows of ``docs`` with a score of CUT at least, their columns as they are; texts are
-    read once and not shuffled. Where nothing can be learnt, all stay."""
-    table = materialise(measured(docs), "quality_rows")
+    """The rows of ``docs`` with a score of CUT at least, their columns as they are.
+
+    Texts are neither copied nor shuffled: a first pass measures them for the ranking and its
+    threshold, a second one filters them where they lie. Nulls, repeated rows and labels
+    of one class are as in :func:`score`; where nothing can be learnt, all stay.
+    """
+    table = materialise(measured(docs.select("doc_id", "text")).select(F.struct("row.doc_id").alias("row"), "statistics"), "quality_statistics")
     ranking, cut = fit(table, labels, bound)
+    release(table)
     if ranking is None:
         return docs
-    sent = table.sparkSession.sparkContext.broadcast(ranking)
+    sent = docs.sparkSession.sparkContext.broadcast(ranking)
 
     def each():
         ranking = sent.value
-        return lambda batch: ranking.scores(_matrix(batch.column("statistics").to_pylist())) >= cut
+        return lambda batch: ranking.scores(np.array([statistics(t) for t in batch.column("text").to_pylist()]).reshape(-1, len(STATISTICS))) >= cut
 
-    return keep_rows(table, each).select("row.*")
+    return keep_rows(docs, each)
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
