@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sentrylake.llm import decontaminate, langid, minhash, packing, quality
 from sentrylake.llm.columns import fold_of
 from sentrylake.llm.queries import tokenizer_path
-from sentrylake.llm.scratch import materialise
+from sentrylake.llm.scratch import materialise, release
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +53,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages; each one's result is written as Parquet and read by the next."""
+    """Apply the stages; each one's result is written as Parquet, read by the next and deleted after it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        kept = materialise(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        release(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
