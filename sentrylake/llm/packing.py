@@ -12,7 +12,6 @@ another's: packing shuffles no token.
 
 from __future__ import annotations
 
-import re
 from array import array
 from bisect import bisect_right
 from collections import OrderedDict
@@ -20,6 +19,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,21 +34,18 @@ MAX_QUEUES = 256
 FAN = 512
 #: Up to this many (partition, queue) offsets are broadcast (24 bytes each).
 MAX_BROADCAST_OFFSETS = 1_000_000
-#: Pieces of text whose ids a Python worker remembers, some 400 bytes each. More of them
-#: save time where nothing else needs the worker's memory.
-PIECE_CACHE = 450_000
-_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
-_PIECES = re.compile(f"[{_LATIN}]+|[^{_LATIN} \n]+")
-_BEYOND_LATIN = re.compile(f"[^\0-\x7f{_LATIN}]")
+#: Pieces of text whose ids a Python worker remembers, some 250 bytes each, and the longest of them.
+PIECE_CACHE = 400_000
+LONGEST_REMEMBERED = 64
+#: Texts cut at a time, about so many characters.
+CUT_CHARACTERS = 1 << 21
 
 
 class WordEncoder:
-    """Token ids of whole texts by a public tokenizer that never joins across white space,
-    nor a letter with anything but letters (contractions apart).
+    """Token ids of whole texts by a public tokenizer that never joins across white space.
 
-    A text is cut at spaces and line feeds and, where it holds Latin letters only and
-    neither apostrophes nor special tokens, between letters and all else; each distinct
-    piece is encoded once.
+    Texts are cut at spaces and line feeds in Arrow, a batch at a time; each distinct piece of
+    a batch is looked up or encoded once, and the ids of all pieces are gathered in Arrow too.
     """
 
     def __init__(self, path: str, remembered: int = PIECE_CACHE):
@@ -64,32 +61,45 @@ class WordEncoder:
         self.pieces: dict[str, bytes] = {}
         self.remembered = remembered
 
-    def cut(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        if "'" in text or "<|" in text or not (text.isascii() or _BEYOND_LATIN.search(text) is None):
-            return text.replace("\n", " ").split(" ")
-        return _PIECES.findall(text)
-
-    def _learn(self, missing: list[str]) -> None:
-        pieces = self.pieces
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        known = self.pieces
+        missing = [p for p in pieces if p not in known]
+        if len(known) + len(missing) > self.remembered:
+            known.clear()
+            missing = pieces
         for at in range(0, len(missing), 4096):
             some = missing[at : at + 4096]
             for piece, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                pieces[piece] = array(self.code, coded.ids).tobytes()
+                known[piece] = array(self.code, coded.ids).tobytes()
+        found = [known[p] for p in pieces]
+        for p in missing:  # what is long is not kept: the bound counts pieces
+            if len(p) > LONGEST_REMEMBERED:
+                del known[p]
+        return found
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text as little-endian unsigned integers of ``self.dtype``."""
         out: list[bytes] = []
-        known = self.pieces.__getitem__
-        for at in range(0, len(texts), 64):
-            cut = [self.cut(t) for t in texts[at : at + 64]]
-            if len(self.pieces) > self.remembered:
-                self.pieces.clear()
-            self._learn(list(set().union(*cut).difference(self.pieces)))
-            out.extend(b"".join(map(known, own)) for own in cut)
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + CUT_CHARACTERS)))
+            out.extend(self._encode(texts[at:stop]))
+            at = stop
         return out
 
+    def _encode(self, texts: pa.Array) -> list[bytes]:
+        flat = pc.fill_null(texts.cast(pa.large_string()), "")
+        lists = pc.split_pattern(pc.replace_substring(flat, "\n", " "), " ")
+        coded = pc.dictionary_encode(lists.flatten())
+        ids = pa.array(self._ids(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, 8 * ids.offset)
+        data = ids.buffers()[2]
+        data = data.to_pybytes() if data else b""
+        bounds = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))
+        at = ends[bounds].tolist()
+        return [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
 
 #: Encoders of this Python worker: what one task has learnt serves the next.
 _ENCODERS: dict[tuple[str, int], WordEncoder] = {}
@@ -136,7 +146,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = 1, remembered:
 
         def turn(batch: pa.RecordBatch):
             queues = batch.column("queue").to_pylist()
-            ids = [x + end for x in encoder.encode(batch.column("text").to_pylist())]
+            ids = [x + end for x in encoder.encode(batch.column("text"))]
             n = [len(x) // encoder.dtype.itemsize for x in ids]
             starts = []
             for q, k in zip(queues, n, strict=True):

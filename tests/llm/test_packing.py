@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -9,7 +10,9 @@ from sentrylake.llm.queries import tokenizer_path
 @pytest.mark.parametrize("text", ["Don't stop", "a<|endoftext|>b", "x\ty", "İx.", "naïve, ÉTÉ... 3.14", "é o", "ж1é²", "", "a\x1cb\xa0c", "_x_ y-z"])
 def test_encoder_equals_the_tokenizer(text):
     own, whole = WordEncoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
-    assert np.frombuffer(own.encode([text])[0], own.dtype).tolist() == whole.encode(text, add_special_tokens=False).ids
+    found = own.encode(pa.array([None, text, "x " + text, text * 2]))
+    for ids, wanted in zip(found, ("", text, "x " + text, text * 2), strict=True):
+        assert np.frombuffer(ids, own.dtype).tolist() == whole.encode(wanted, add_special_tokens=False).ids
 
 
 def test_deal_fills_rooms_and_keeps_the_mixture():
