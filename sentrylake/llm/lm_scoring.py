@@ -2,10 +2,11 @@
 
 A small network reads the words on both sides of a position and predicts the one in the
 middle; the sum of these log-probabilities over all positions scores a document. The
-output is factored: the network gives the word's class, and the corpus counts give the
-word within its class. Words are counted over all documents, and all documents train the
-network: many tasks at once, each in numpy on a shard of fixed size; after each round their
-weights are averaged. Texts are cut into words once for training and scoring.
+output is a softmax in two levels, both learnt from the context: the word's class, then the
+word among those of its class. The words that are too rare to have weights of their own
+share classes by their endings, and each has the share of its own count in its class. Words are
+counted over all documents, and all documents train the network: many tasks at once, each in numpy on
+its own partition; after each round their weights are averaged.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,28 +25,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from .columns import map_batches
-from .scratch import materialise, release
-
-#: Words that every task knows with their counts; those of all others are joined.
-VOCABULARY = 20_000
-#: Classes: one for each of the most frequent words, some for other known words, some for the rest.
-SINGLE, KNOWN, RARE = 64, 48, 16
+from .scratch import materialise
+
+#: Words that the network predicts and reads one by one.
+NETWORK_WORDS = 8192
+#: Words whose counts every task knows; those of all others are joined.
+LISTED_WORDS = 50_000
+#: Classes: one for each of the most frequent words, some for the other words of the network, some for the rest.
+SINGLE, KNOWN, RARE = 32, 80, 16
 CLASSES = SINGLE + KNOWN + RARE
-PAD = CLASSES
 #: Words looked at on either side, and units of the network.
-SIDE, HIDDEN = 2, 24
-#: Tokens that one task trains a network on, so shards grow in number with the corpus.
-SHARD_TOKENS = 4_000_000
+SIDE, HIDDEN = 2, 16
+#: Each document trains in one of the rounds.
 ROUNDS = 2
 #: Distinct words a task counts before it passes them on.
 COUNTER_SIZE = 300_000
-#: Positions in one step of scoring and of training.
-STEP, MINIBATCH = 8192, 1024
+#: Positions in one step of scoring and of training, and tokens shuffled among each other in training.
+STEP, MINIBATCH, MIXED = 8192, 4096, 65_536
 
 _words = re.compile(r"\w+").findall
 _OFFSETS = np.array([k for k in range(-SIDE, SIDE + 1) if k])
-#: First row of each position's weights where those of all positions lie below each other.
-_ROWS = (np.arange(2 * SIDE) * (CLASSES + 1)).astype(np.uint16)
 #: Logits above this would overflow when their exponentials are summed.
 _HIGHEST = 80.0
 
@@ -59,35 +59,45 @@ def ending(word: str) -> int:
 
 @dataclass
 class Lexicon:
-    """Class of each word, and the log-probability of a word within its class.
+    """Ids of words: those of the network first, class by class, then one for each class of rare words.
 
-    A word that is not among the most frequent ones has log n - log N within its class, from its
-    own count and that of all such words of the class. ``rare_within`` is -log N of each
-    class; :func:`own_counts` gives log n.
+    A rare word's log-probability within its class is log n - log N, from its own count and that of
+    all rare words of the class. ``rare_within`` is -log N of each class; :func:`own_counts`
+    gives log n of the words that are not listed.
     """
 
-    classes: dict[str, int]
-    within: dict[str, float]
+    codes: dict[str, int]  # listed words
+    ids: np.ndarray  # of each listed word
+    log_n: np.ndarray  # of each listed word; 0 for the network's
+    first: np.ndarray  # first id of each class; ends with that of PAD
     rare_within: np.ndarray
 
-    def encode(self, words: list[str]) -> tuple[np.ndarray, float]:
-        """Classes of ``words``, and the sum of their log-probabilities within the classes, without
-        log n of the words of :meth:`rare`."""
-        known = self.classes.get
-        out = np.fromiter((known(w, -1) for w in words), np.int16, len(words))
-        rare = np.flatnonzero(out < 0)
-        inside = 0.0
-        if len(rare):
-            out[rare] = SINGLE + KNOWN + np.fromiter((ending(words[i]) % RARE for i in rare), np.int64, len(rare))
-            inside += float(self.rare_within[out[rare] - SINGLE - KNOWN].sum())
-        within = self.within.get
-        inside += sum(within(w, 0.0) for w in words)
-        return out.astype(np.uint8), inside
-
-    @staticmethod
-    def rare(words: list[str], classes: np.ndarray) -> list[str]:
-        """Those of ``words`` whose counts are not at hand, as often as they occur."""
-        return [words[i] for i in np.flatnonzero(classes >= SINGLE + KNOWN)]
+    @property
+    def words(self) -> int:
+        """How many words the network has."""
+        return int(self.first[SINGLE + KNOWN])
+
+    def encode(self, documents: list[list[str]]) -> tuple[list[np.ndarray], list[float], list[str]]:
+        """Of each document its ids, the log-probability of its rare words within their classes but for
+        log n of those not listed, and these words with a space between them."""
+        known = self.codes.get
+        flat = [w for d in documents for w in d]
+        codes = np.fromiter((known(w, -1) for w in flat), np.int64, len(flat))
+        missing = np.flatnonzero(codes < 0)
+        ids = self.ids[codes] if len(self.ids) else np.zeros(len(flat), np.uint16)
+        inside = self.log_n[codes] if len(self.ids) else np.zeros(len(flat))
+        ids[missing] = self.words + np.fromiter((ending(flat[i]) % RARE for i in missing), np.int64, len(missing))
+        inside[missing] = 0
+        rare = ids >= self.words
+        inside[rare] += self.rare_within[ids[rare] - self.words]
+        ends = np.cumsum([0] + [len(d) for d in documents])
+        sums = np.concatenate(([0.0], np.cumsum(inside)))
+        cut = np.searchsorted(missing, ends)
+        return (
+            [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)],
+            [float(sums[b] - sums[a]) for a, b in zip(ends[:-1], ends[1:], strict=True)],
+            [" ".join(flat[i] for i in missing[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)],
+        )
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -108,168 +118,225 @@ def count_words(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("text"), "word string, n long", each).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def lexicon(counts: DataFrame, size: int = VOCABULARY) -> Lexicon:
-    """From corpus counts (word, n); the ``size`` most frequent words and a row per class reach the driver."""
-    top = counts.orderBy(F.col("n").desc(), "word").limit(size).collect()
-    classes, totals = {}, Counter()
-    for rank, r in enumerate(top):
-        classes[r["word"]] = rank if rank < SINGLE else SINGLE + ending(r["word"]) % KNOWN
-        totals[classes[r["word"]]] += r["n"]
-    within = {r["word"]: float(np.log(r["n"] / totals[classes[r["word"]]])) for r in top}
+def lexicon(counts: DataFrame, words: int = NETWORK_WORDS, listed: int = LISTED_WORDS) -> Lexicon:
+    """From corpus counts (word, n); the ``listed`` most frequent words and a row per class reach the driver."""
+    top = counts.orderBy(F.col("n").desc(), "word").limit(listed).collect()
+    own = top[:words]
+    class_of = [rank if rank < SINGLE else SINGLE + ending(r["word"]) % KNOWN for rank, r in enumerate(own)]
+    order = sorted(range(len(own)), key=lambda i: (class_of[i], i))
+    first = np.searchsorted(np.sort(class_of), np.arange(SINGLE + KNOWN + 1)) if own else np.zeros(SINGLE + KNOWN + 1, np.int64)
+    first = np.concatenate([first, first[-1] + np.arange(1, RARE + 1)])
+    codes = {top[i]["word"]: k for k, i in enumerate(order)}
+    codes |= {r["word"]: len(own) + k for k, r in enumerate(top[words:])}
+    kinds = [ending(r["word"]) % RARE for r in top[words:]]
     rare_totals = np.zeros(RARE)
     kind = F.crc32(F.substring("word", -2, 2).cast("binary")) % RARE
     for r in counts.groupBy(kind.alias("kind")).agg(F.sum("n").alias("n")).collect():
         rare_totals[r["kind"]] = r["n"]
-    for r in top:  # the known words are not among the rare ones
+    for r in own:  # the network's words are not among the rare ones
         rare_totals[ending(r["word"]) % RARE] -= r["n"]
-    return Lexicon(classes, {w: x for w, x in within.items() if x}, -np.log(np.maximum(rare_totals, 1)))
+    return Lexicon(
+        codes,
+        np.array([*range(len(own)), *(len(own) + k for k in kinds)], np.uint16),
+        np.array([0.0] * len(own) + [float(np.log(r["n"])) for r in top[words:]]),
+        first,
+        -np.log(np.maximum(rare_totals, 1)),
+    )
 
 
 def _exponentials(logits: np.ndarray) -> np.ndarray:
     """exp of ``logits`` in place, each row up to a factor; what was subtracted for it."""
-    less = np.zeros((len(logits), 1), np.float32)
+    less = np.zeros(len(logits), np.float32)
     if logits.max(initial=0.0) > _HIGHEST:
-        less = logits.max(1, keepdims=True)
-        logits -= less
+        less = logits.max(1)
+        logits -= less[:, None]
     np.exp(logits, out=logits)
-    return less[:, 0]
+    return less
 
 
-def sums_by(keys: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    """Sums of the rows of ``values`` by key; a row serves len(keys) / len(values) keys in turn."""
-    order = np.argsort(keys, kind="stable")  # a radix sort: the keys are small unsigned integers
+def sums_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys and the sum of the rows of ``values`` of each."""
+    order = np.argsort(keys, kind="stable")  # a radix sort: the keys have 16 bits
     found = keys[order]
     first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
-    out = np.zeros((size, values.shape[1]), np.float32)
-    out[found[first]] = np.add.reduceat(np.take(values, order // (len(keys) // len(values)), axis=0), first)
-    return out
+    return found[first], np.add.reduceat(np.take(values, order, axis=0), first)
 
 
 @dataclass
 class Network:
-    """One hidden layer over the classes beside a position; softmax over its class."""
+    """One hidden layer over the words beside a position; softmax over classes, then over a class' words."""
 
-    inputs: np.ndarray  # positions x (classes + pad) x hidden
-    bias: np.ndarray
-    outputs: np.ndarray  # hidden x classes
-    prior: np.ndarray
+    first: np.ndarray  # first id of each class; ends with that of PAD
+    inputs: np.ndarray  # positions x (ids + PAD) x hidden
+    outputs: np.ndarray  # classes x (hidden + 1): weights and bias
+    words: np.ndarray  # words x (hidden + 1)
 
     @staticmethod
-    def start(seed: int = 5) -> Network:
+    def start(first: np.ndarray, seed: int = 5) -> Network:
         draw = np.random.default_rng(seed)
         return Network(
-            draw.normal(0, 0.1, (2 * SIDE, CLASSES + 1, HIDDEN)).astype(np.float32),
-            np.zeros(HIDDEN, np.float32),
-            draw.normal(0, 0.1, (HIDDEN, CLASSES)).astype(np.float32),
-            np.zeros(CLASSES, np.float32),
+            first,
+            draw.normal(0, 0.1, (2 * SIDE, int(first[-1]) + 1, HIDDEN)).astype(np.float32),
+            np.pad(draw.normal(0, 0.1, (CLASSES, HIDDEN)), ((0, 0), (0, 1))).astype(np.float32),
+            np.pad(draw.normal(0, 0.1, (int(first[SINGLE + KNOWN]), HIDDEN)), ((0, 0), (0, 1))).astype(np.float32),
         )
 
-    def parts(self) -> list[np.ndarray]:
-        return [self.inputs, self.bias, self.outputs, self.prior]
+    def __post_init__(self):
+        self.pad = int(self.first[-1])
+        self.class_of = np.repeat(np.arange(CLASSES), np.diff(self.first)).astype(np.uint8)
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.parts()])
+    def rows(self) -> np.ndarray:
+        """All weights as a matrix of hidden + 1 columns, a row for each input, class and word."""
+        flat = self.inputs.reshape(-1, HIDDEN)
+        return np.concatenate([np.pad(flat, ((0, 0), (0, 1))), self.outputs, self.words])
 
-    def filled(self, flat: np.ndarray) -> Network:
-        parts, at = [], 0
-        for p in self.parts():
-            parts.append(flat[at : at + p.size].reshape(p.shape).astype(np.float32))
-            at += p.size
-        return Network(*parts)
+    def filled(self, rows: np.ndarray) -> Network:
+        n = self.inputs.shape[0] * self.inputs.shape[1]
+        rows = rows.astype(np.float32)
+        return Network(self.first, rows[:n, :HIDDEN].reshape(self.inputs.shape).copy(), rows[n : n + CLASSES].copy(), rows[n + CLASSES :].copy())
 
     def hidden(self, beside: np.ndarray) -> np.ndarray:
-        total = np.take(self.inputs[0], beside[:, 0], axis=0)
+        """The layer's values, and a last column of ones for the biases."""
+        total = np.empty((len(beside), HIDDEN + 1), np.float32)
+        sums = np.take(self.inputs[0], beside[:, 0], axis=0)
         for k in range(1, 2 * SIDE):
-            total += np.take(self.inputs[k], beside[:, k], axis=0)
-        total += self.bias
-        return np.tanh(total, out=total)
+            sums += np.take(self.inputs[k], beside[:, k], axis=0)
+        np.tanh(sums, out=total[:, :HIDDEN])
+        total[:, HIDDEN] = 1
+        return total
+
+    def _classes(self, kinds: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """First word, end and positions of each class of several words that ``kinds`` holds."""
+        order = np.argsort(kinds, kind="stable")
+        bounds = np.searchsorted(kinds[order], np.arange(SINGLE, SINGLE + KNOWN + 1))
+        for c in range(KNOWN):
+            a, b = int(self.first[SINGLE + c]), int(self.first[SINGLE + c + 1])
+            if bounds[c + 1] > bounds[c] and b - a > 1:
+                yield a, b, order[bounds[c] : bounds[c + 1]]
 
     def log_probability(self, beside: np.ndarray, target: np.ndarray) -> np.ndarray:
-        logits = self.hidden(beside) @ self.outputs
-        logits += self.prior
-        chosen = logits[np.arange(len(target)), target]
+        """Of each target word, or of the class of a rare one."""
+        h, kinds = self.hidden(beside), self.class_of[target]
+        logits = h @ self.outputs.T
+        chosen = logits[np.arange(len(target)), kinds]
         less = _exponentials(logits)
-        return chosen - less - np.log(logits.sum(1))
+        out = chosen - less - np.log(logits.sum(1))
+        for a, b, at in self._classes(kinds):
+            logits = h[at] @ self.words[a:b].T
+            chosen = logits[np.arange(len(at)), target[at] - a]
+            less = _exponentials(logits)
+            out[at] += chosen - less - np.log(logits.sum(1))
+        return out
+
+    def train(self, beside: np.ndarray, target: np.ndarray, history: Network, rate: float = 0.1) -> None:
+        """One Adagrad step on a batch of positions; ``history`` holds the sums of squares."""
+
+        def step(part: np.ndarray, seen: np.ndarray, at, gradient: np.ndarray) -> None:
+            squares = seen[at] + gradient * gradient
+            seen[at] = squares
+            part[at] -= rate * gradient / (np.sqrt(squares) + 1e-6)
 
-    def train(self, beside: np.ndarray, target: np.ndarray, history: list[np.ndarray], rate: float = 0.1) -> None:
-        """One Adagrad step on a batch of positions."""
         n = np.float32(len(target))
-        h = self.hidden(beside)
-        logits = h @ self.outputs
-        logits += self.prior
+        h, kinds = self.hidden(beside), self.class_of[target]
+        logits = h @ self.outputs.T
         _exponentials(logits)
-        # softmax less the target, over n: the division by the sum is left to the smaller side of each product
-        each = 1 / (n * (logits @ np.ones(CLASSES, np.float32)))
-        back = logits @ self.outputs.T
-        back *= each[:, None]
-        back -= np.take(self.outputs.T / n, target, axis=0)
-        back *= 1 - h * h
-        gradients = [
-            sums_by((beside + _ROWS).astype(np.uint16).ravel(), back, 2 * SIDE * (CLASSES + 1)).reshape(self.inputs.shape),
-            back.sum(0),
-            (h * each[:, None]).T @ logits - sums_by(target.astype(np.uint8), h, CLASSES).T / n,
-            each @ logits - np.bincount(target, minlength=CLASSES).astype(np.float32) / n,
-        ]
-        for part, gradient, seen in zip(self.parts(), gradients, history, strict=True):
-            seen += gradient * gradient
-            part -= rate * gradient / (np.sqrt(seen) + 1e-6)
-
-
-def windows(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Classes beside each position of each document (PAD beyond its ends), and at it."""
-    gap = np.full(SIDE, PAD, np.uint8)
-    line = np.concatenate([gap, *(x for d in documents for x in (d, gap))]).astype(np.int64)
-    at = np.flatnonzero(line != PAD)
-    return line[at[:, None] + _OFFSETS], line[at]
-
-
-def train(encoded: DataFrame, tokens: int, rounds: int = ROUNDS) -> Network:
-    """Average the networks that tasks train on shards of ``encoded`` (classes binary), round by round."""
+        logits /= (n * logits.sum(1))[:, None]
+        logits[np.arange(len(target)), kinds] -= 1 / n
+        back = logits @ self.outputs
+        step(self.outputs, history.outputs, slice(None), logits.T @ h)
+        for a, b, at in self._classes(kinds):
+            own = h[at]
+            logits = own @ self.words[a:b].T
+            _exponentials(logits)
+            logits /= (n * logits.sum(1))[:, None]
+            logits[np.arange(len(at)), target[at] - a] -= 1 / n
+            back[at] += logits @ self.words[a:b]
+            step(self.words, history.words, slice(a, b), logits.T @ own)
+        back = back[:, :HIDDEN] * (1 - h[:, :HIDDEN] ** 2)
+        for k in range(2 * SIDE):
+            keys, gradient = sums_by(beside[:, k], back)
+            step(self.inputs[k], history.inputs[k], keys, gradient)
+
+
+def lines(documents: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """All documents in a line with ``pad`` before, between and after them, and where their words lie in it."""
+    gap = np.full(SIDE, pad, np.uint16)
+    line = np.concatenate([gap, *(x for d in documents for x in (d, gap))]).astype(np.uint16)
+    return line, np.flatnonzero(line != pad)
+
+
+def beside(line: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return line[at[:, None] + _OFFSETS]
+
+
+def _groups(documents: list[np.ndarray], tokens: int) -> Iterator[list[np.ndarray]]:
+    """``documents`` in runs of about so many tokens."""
+    held, size = [], 0
+    for d in documents:
+        held.append(d)
+        size += len(d)
+        if size >= tokens:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+_COLUMNS = [f"w{k}" for k in range(HIDDEN + 1)]
+
+
+def train(encoded: DataFrame, first: np.ndarray, rounds: int = ROUNDS) -> Network:
+    """A network from ``encoded`` (row, ids binary): each partition trains its own on the documents of
+    a round; then each row of weights becomes their average, by how often they met it."""
     spark = encoded.sparkSession
-    network = Network.start()
-    shards = materialise(encoded.repartition(max(1, -(-tokens // SHARD_TOKENS))), "lm_shards")
-    for _ in range(rounds):
+    network = Network.start(first)
+    for turn_of in range(rounds):
         sent = spark.sparkContext.broadcast(network)
 
         def each(sent=sent):
-            own = sent.value.filled(sent.value.flat().copy())
-            history = [np.full(p.shape, 1e-4, np.float32) for p in own.parts()]
-            seen = [0]
+            own = sent.value.filled(sent.value.rows())
+            history = own.filled(np.full(own.rows().shape, 1e-4))
+            met = np.zeros((2 * SIDE, own.pad + 1), np.int64)
+            targets = np.zeros(own.pad, np.int64)
 
             def turn(batch: pa.RecordBatch):
-                documents = [np.frombuffer(x, np.uint8) for x in batch.column("classes").to_pylist()]
-                for first in range(0, len(documents), 64):
-                    beside, target = windows(documents[first : first + 64])
-                    order = np.random.default_rng(first).permutation(len(target))
-                    for at in range(0, len(order), MINIBATCH):
-                        some = order[at : at + MINIBATCH]
-                        own.train(beside[some], target[some], history)
-                    seen[0] += len(target)
+                documents = [np.frombuffer(x, np.uint16) for x in batch.column("ids").to_pylist()]
+                for some in _groups(documents, MIXED):
+                    line, at = lines(some, own.pad)
+                    targets[:] += np.bincount(line[at], minlength=own.pad)
+                    for k, offset in enumerate(_OFFSETS):
+                        met[k] += np.bincount(line[at + offset], minlength=own.pad + 1)
+                    order = np.random.default_rng(len(at)).permutation(at)
+                    for i in range(0, len(order), MINIBATCH):
+                        own.train(beside(line, order[i : i + MINIBATCH]), line[order[i : i + MINIBATCH]], history)
                 return None
 
             def finish():
-                if seen[0]:
-                    flat = own.flat()
-                    return {"place": np.arange(len(flat)), "weight": flat.astype(float) * seen[0], "seen": np.full(len(flat), seen[0])}
+                of_class = np.add.reduceat(np.append(targets, 0), own.first[:-1]) * (np.diff(own.first) > 0)
+                seen = np.concatenate([met.ravel(), np.full(CLASSES, targets.sum()), of_class[own.class_of[: len(own.words)]]])
+                place = np.flatnonzero(seen)
+                if len(place):
+                    weighed = own.rows()[place].astype(float) * seen[place, None]
+                    return {"place": place, "seen": seen[place]} | {c: weighed[:, k] for k, c in enumerate(_COLUMNS)}
 
             turn.finish = finish
             return turn
 
-        trained = map_batches(shards, "place int, weight double, seen long", each)
-        # as many rows as the network has weights, from partial sums of each task
-        means = trained.groupBy("place").agg((F.sum("weight") / F.sum("seen")).alias("mean")).toPandas()
+        schema = "place int, seen long, " + ", ".join(f"{c} double" for c in _COLUMNS)
+        trained = map_batches(encoded.where(F.pmod("row", F.lit(rounds)) == turn_of).select("ids"), schema, each)
+        # as many rows as the network has, whatever the number of partitions
+        means = trained.groupBy("place").agg(*[(F.sum(c) / F.sum("seen")).alias(c) for c in _COLUMNS]).toPandas()
         if len(means):
-            flat = np.zeros(len(means))
-            flat[means["place"]] = means["mean"]
-            network = network.filled(flat)
-    release(shards)
+            rows = network.rows()
+            rows[means["place"]] = means[_COLUMNS]
+            network = network.filled(rows)
     return network
 
 
 def encode(docs: DataFrame, words: Lexicon) -> DataFrame:
-    """The columns of ``docs`` other than text, row (unique), classes (binary, a byte per word),
+    """The columns of ``docs`` other than text, row (unique), ids (binary, 16 bits a word),
     rare (the words whose counts are to be joined, with a space between them) and inside
-    (log-probability of the words within their classes, without log n of the rare ones) of each row.
+    (log-probability of rare words within their classes, without log n of those to be joined) of each row.
 
     ``row`` counts the rows of a partition: write the result before using it twice.
     """
@@ -280,28 +347,24 @@ def encode(docs: DataFrame, words: Lexicon) -> DataFrame:
         words, at = sent.value, [TaskContext.get().partitionId() << 33]
 
         def turn(batch: pa.RecordBatch):
-            coded, rare = [], []
-            for text in batch.column("text").to_pylist():
-                own = tokens_of(text)
-                coded.append(words.encode(own))
-                rare.append(" ".join(words.rare(own, coded[-1][0])))
+            ids, inside, rare = words.encode([tokens_of(t) for t in batch.column("text").to_pylist()])
             first = at[0]
-            at[0] += len(coded)
+            at[0] += len(ids)
             return {f.name: batch.column(f.name) for f in kept} | {
                 "row": range(first, at[0]),
-                "classes": [c.tobytes() for c, _ in coded],
+                "ids": [x.tobytes() for x in ids],
                 "rare": rare,
-                "inside": [x for _, x in coded],
+                "inside": inside,
             }
 
         return turn
 
-    added = _parse_datatype_string("row long, classes binary, rare string, inside double")
+    added = _parse_datatype_string("row long, ids binary, rare string, inside double")
     return map_batches(docs, StructType([*kept, *added.fields]), each)
 
 
 def own_counts(encoded: DataFrame, counts: DataFrame) -> DataFrame:
-    """row, log_n: sum of log n over the rare words of each row that has any with n > 1, from
+    """row, log_n: sum of log n over the words to be joined of each row that has any with n > 1, from
     the counts of all words. None of these words is frequent, so no key of the join is large."""
     rare = encoded.where(F.col("rare") != "").select("row", F.explode(F.split("rare", " ")).alias("word"))
     return rare.join(counts.where("n > 1"), "word").groupBy("row").agg(F.sum(F.log("n")).alias("log_n"))
@@ -315,22 +378,25 @@ def likelihoods(encoded: DataFrame, network: Network) -> DataFrame:
         network = sent.value
 
         def turn(batch: pa.RecordBatch):
-            coded = [np.frombuffer(x, np.uint8) for x in batch.column("classes").to_pylist()]
-            sizes = np.array([len(c) for c in coded], np.int64)
-            sums = np.array(batch.column("inside").to_pylist(), float)
-            for first in range(0, len(coded), 64):
-                beside, target = windows(coded[first : first + 64])
-                if len(target):
-                    found = np.concatenate(
-                        [network.log_probability(beside[at : at + STEP], target[at : at + STEP]) for at in range(0, len(target), STEP)]
-                    )
-                    owner = np.repeat(np.arange(len(coded[first : first + 64])), sizes[first : first + 64])
-                    sums[first : first + 64] += np.bincount(owner, found, len(coded[first : first + 64]))
-            return {"row": batch.column("row"), "doc_id": batch.column("doc_id"), "n_tokens": sizes, "log_likelihood": sums}
+            coded = [np.frombuffer(x, np.uint16) for x in batch.column("ids").to_pylist()]
+            sums: list[np.ndarray] = []
+            for some in _groups(coded, MIXED):
+                line, at = lines(some, network.pad)
+                owner = np.repeat(np.arange(len(some)), [len(d) for d in some])
+                own = np.zeros(len(some))
+                for i in range(0, len(at), STEP):
+                    found = network.log_probability(beside(line, at[i : i + STEP]), line[at[i : i + STEP]])
+                    own += np.bincount(owner[i : i + STEP], found, len(some))
+                sums.append(own)
+            inside = batch.column("inside").to_numpy()
+            return {
+                "row": batch.column("row"), "doc_id": batch.column("doc_id"), "n_tokens": [len(c) for c in coded],
+                "log_likelihood": np.concatenate(sums) + inside if sums else inside,
+            }
 
         return turn
 
-    return map_batches(encoded.select("row", "doc_id", "classes", "inside"), "row long, doc_id long, n_tokens long, log_likelihood double", each)
+    return map_batches(encoded.select("row", "doc_id", "ids", "inside"), "row long, doc_id long, n_tokens long, log_likelihood double", each)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -343,9 +409,8 @@ def score(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = materialise(count_words(docs), "lm_counts")
     words = lexicon(counts)
-    tokens = counts.agg(F.sum("n")).first()[0] or 0
     encoded = materialise(encode(docs, words), "lm_encoded")
-    network = train(encoded.select("classes"), tokens)
+    network = train(encoded.select("row", "ids"), words.first)
     scored = (
         likelihoods(encoded, network)
         .join(own_counts(encoded, counts), "row", "left")

@@ -1,85 +1,138 @@
+import math
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from sentrylake.llm import lm_scoring
-from sentrylake.llm.lm_scoring import PAD, SIDE, Lexicon, Network, count_words, encode, lexicon, own_counts, score, tokens_of, train, windows
+from sentrylake.llm.lm_scoring import CLASSES, HIDDEN, KNOWN, RARE, SIDE, SINGLE, Network, beside, count_words, encode, lexicon, lines, own_counts, score, tokens_of, train
 from sentrylake.llm.scratch import materialise
 
 
+def small_network(seed=3):
+    sizes = [1] * SINGLE + [k % 4 for k in range(KNOWN)] + [1] * RARE
+    return Network.start(np.cumsum([0, *sizes]), seed)
+
+
+def plain(network, ids, k):
+    """log-probability of every word of the network, and of every rare class, at position k: no numpy tricks."""
+    line = [network.pad] * SIDE + list(ids) + [network.pad] * SIDE
+    near = [line[k + SIDE + d] for d in (-2, -1, 1, 2)]
+    h = [math.tanh(sum(float(network.inputs[j][x][u]) for j, x in enumerate(near))) for u in range(HIDDEN)] + [1.0]
+    of = lambda row: sum(a * float(b) for a, b in zip(h, row, strict=True))
+    by_class = [of(row) for row in network.outputs]
+    total = math.log(sum(map(math.exp, by_class)))
+    out = {}
+    for c in range(CLASSES):
+        a, b = int(network.first[c]), int(network.first[c + 1])
+        inside = [of(network.words[w]) for w in range(a, b)] if SINGLE <= c < SINGLE + KNOWN else [0.0]
+        if a < b:
+            norm = math.log(sum(map(math.exp, inside)))
+            out |= {w: by_class[c] - total + x - norm for w, x in zip(range(a, b), inside, strict=True)}
+    return out
+
+
 def test_scores_equal_a_plain_loop():
-    network = Network.start(3)
-    coded = np.array([3, 7, 7, 1, 120], np.uint8)
-    beside, target = windows([coded])
-    fast = network.log_probability(beside, target)
-    line = [PAD] * SIDE + coded.tolist() + [PAD] * SIDE
-    for k, c in enumerate(coded):
-        near = [line[k + SIDE + d] for d in (-2, -1, 1, 2)]
-        h = np.tanh(sum(network.inputs[j][x] for j, x in enumerate(near)) + network.bias)
-        logits = h @ network.outputs + network.prior
-        assert abs(fast[k] - (logits[c] - np.log(np.exp(logits).sum()))) < 1e-4
+    network = small_network()
+    ids = np.array([3, 40, 40, 1, network.pad - 1, 41, 0], np.uint16)
+    line, at = lines([ids[:4], ids[4:]], network.pad)
+    fast = network.log_probability(beside(line, at), line[at])
+    for part, found in ((ids[:4], fast[:4]), (ids[4:], fast[4:])):
+        for k, word in enumerate(part):
+            assert abs(plain(network, part, k)[word] - found[k]) < 1e-4
+
+
+def test_words_tell_contexts_apart():
+    """Two words of one class are predicted and read as words."""
+    network = small_network()
+    c = SINGLE + 3
+    a, b = int(network.first[c]), int(network.first[c]) + 1
+    score_of = lambda ids: network.log_probability(beside(*lines([np.array(ids, np.uint16)], network.pad)), np.array(ids)).sum()
+    assert network.class_of[a] == network.class_of[b] and abs(score_of([5, a, 7, b]) - score_of([5, b, 7, a])) > 1e-4
+
+
+def test_a_step_goes_down_the_numerical_gradient():
+    network, before, history = small_network(), small_network(), small_network()
+    for part in (history.inputs, history.outputs, history.words):
+        part[:] = 1e-4
+    draw = np.random.default_rng(1)
+    near, target = draw.integers(0, network.pad + 1, (50, 4)).astype(np.uint16), draw.integers(0, network.pad, 50).astype(np.uint16)
+    loss = lambda: -before.log_probability(near, target).astype(float).mean()
+    network.train(near, target, history)
+    for part, old in ((network.inputs, before.inputs), (network.outputs, before.outputs), (network.words, before.words)):
+        moved = np.argwhere(np.abs(part - old) > 1e-3)
+        for at in moved[:: max(1, len(moved) // 15)]:
+            at = tuple(at)
+            kept, ends = old[at], []
+            for d in (1e-2, -1e-2):
+                old[at] = kept + d
+                ends.append(loss())
+            old[at] = kept
+            gradient = (ends[0] - ends[1]) / 2e-2
+            assert abs(part[at] - (kept - 0.1 * gradient / (math.sqrt(gradient**2 + 1e-4) + 1e-6))) < 5e-3
+
+
+def test_whole_documents_equal_a_plain_loop(spark, monkeypatch):
+    """score() against counts, classes and sums from plain dictionaries, the trained network given."""
+    texts = ["one two three two one", "four Five five six", None, "two two seven", ""]
+    monkeypatch.setattr(lm_scoring.lexicon, "__defaults__", (3, 5))
+    networks = []
+    monkeypatch.setattr(lm_scoring, "train", lambda encoded, first: networks.append(Network.start(first, 9)) or networks[-1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = score(docs).toPandas().set_index("doc_id")
+    counts = Counter(w for t in texts for w in tokens_of(t))
+    words = lexicon(count_words(docs), 3, 5)
+    own = sorted(counts, key=lambda w: (-counts[w], w))[:3]
+    rare_of = lambda w: lm_scoring.ending(w) % RARE
+    totals = Counter()
+    for w, n in counts.items():
+        if w not in own:
+            totals[rare_of(w)] += n
+    for doc, text in enumerate(texts):
+        tokens = tokens_of(text)
+        ids = [words.codes[w] if w in own else words.words + rare_of(w) for w in tokens]
+        wanted = sum(plain(networks[0], ids, k)[i] + (0 if w in own else math.log(counts[w] / totals[rare_of(w)])) for k, (i, w) in enumerate(zip(ids, tokens, strict=True)))
+        assert rows.n_tokens[doc] == len(tokens) and abs(rows.log_likelihood[doc] - wanted) < 1e-3
 
 
 def test_trained_network_prefers_real_order(spark):
     text = "the quick brown fox jumps over the lazy dog and runs away " * 4
-    docs = spark.createDataFrame([(k, text) for k in range(200)], "doc_id long, text string")
+    docs = spark.createDataFrame([(k, text) for k in range(400)], "doc_id long, text string")
     words = lexicon(count_words(docs))
-    network = train(encode(docs, words), 10_000, rounds=2)
-    real, _ = words.encode(tokens_of(text))
-    shuffled = np.random.default_rng(0).permutation(real)
-    assert network.log_probability(*windows([real])).sum() > network.log_probability(*windows([shuffled])).sum() + 10
+    network = train(encode(docs, words), words.first)
+    real = words.encode([tokens_of(text)])[0][0]
+    of = lambda ids: network.log_probability(beside(*lines([ids], network.pad)), ids).sum()
+    assert of(real) > of(np.random.default_rng(0).permutation(real)) + 10
 
 
-def test_within_class_probabilities_sum_to_one(spark):
-    docs = spark.createDataFrame([(1, "a a b c"), (2, "b d")], "doc_id long, text string")
-    words = lexicon(count_words(docs), size=3)
-    assert isinstance(words, Lexicon) and words.encode(["a", "zz"])[0].tolist()[0] == 0
-
-
-def test_every_document_trains(spark, monkeypatch):
-    """Null ids, one id for all, a small and a larger table: the network sees all tokens."""
+def test_every_document_trains_once(spark, monkeypatch):
+    """Null ids, one id for all, a small and a larger table: the rounds share out all rows."""
     seen = []
-    monkeypatch.setattr(lm_scoring, "train", lambda encoded, tokens: (seen.append((tokens, encoded.agg(F.sum(F.octet_length("classes"))).first()[0])), Network.start())[1])
-    for n, doc in ((400, None), (400, 1), (319, None), (5, 7)):
-        score(spark.createDataFrame([(doc, "one two three")] * n, "doc_id long, text string")).collect()
-        assert seen[-1] == (3 * n, 3 * n)
+    taught = lm_scoring.train
 
+    def watched(encoded, first, rounds=lm_scoring.ROUNDS):
+        parts = [encoded.where(F.pmod("row", F.lit(rounds)) == r).agg(F.sum(F.octet_length("ids"))).first()[0] or 0 for r in range(rounds)]
+        seen.append(sum(parts) // 2)
+        return taught(encoded, first, rounds)
 
-def test_step_equals_dense_gradients():
-    draw = np.random.default_rng(1)
-    beside, target = draw.integers(0, PAD + 1, (50, 4)), draw.integers(0, PAD, 50)
-    network, before = Network.start(), Network.start()
-    network.train(beside, target, [np.full(p.shape, 1e-4, np.float32) for p in network.parts()])
-    h = before.hidden(beside)
-    errors = np.exp(h @ before.outputs)
-    errors /= errors.sum(1, keepdims=True)
-    errors[np.arange(50), target] -= 1
-    errors /= 50
-    back = (errors @ before.outputs.T) * (1 - h * h)
-    inputs = np.stack([np.eye(PAD + 1)[beside[:, k]].T @ back for k in range(4)])
-    for part, old, gradient in zip(network.parts(), before.parts(), (inputs, back.sum(0), h.T @ errors, errors.sum(0)), strict=True):
-        assert np.abs(part - (old - 0.1 * gradient / (np.sqrt(gradient**2 + 1e-4) + 1e-6))).max() < 1e-4
+    monkeypatch.setattr(lm_scoring, "train", watched)
+    for n, doc in ((400, None), (319, 1), (5, 7)):
+        score(spark.createDataFrame([(doc, "one two three")] * n, "doc_id long, text string")).collect()
+        assert seen[-1] == 3 * n
 
 
 def test_rare_words_keep_their_counts(spark):
-    """Words beyond the known ones, in one class: their scores differ as their counts do, and
+    """Words beyond the network's, in one class: their scores differ as their counts do, and
     the probabilities of a class add up to one."""
     docs = spark.createDataFrame([(1, "a a a a a a a a a a xing xing xing xing ying ying"), (2, "zing"), (3, None), (3, "a ying")], "doc_id long, text string")
     counts = count_words(docs)
-    words = lexicon(counts, size=1)
-    coded, inside = words.encode(["xing", "ying", "zing", "a"])
-    assert words.rare(["xing", "ying", "zing", "a"], coded) == ["xing", "ying", "zing"] and len(set(coded[:3].tolist())) == 1
-    assert abs(inside - 3 * -np.log(4 + 3 + 1)) < 1e-9
-    rows = materialise(encode(docs, words), "test")
-    joined = {r["doc_id"]: r["log_n"] for r in rows.join(own_counts(rows, counts), "row", "left").collect() if r["classes"]}
-    assert abs(joined[1] - (4 * np.log(4) + 2 * np.log(3))) < 1e-9 and joined[2] is None and abs(joined[3] - np.log(3)) < 1e-9
-
-
-def test_frequent_rare_words_score_above_single_ones(spark, monkeypatch):
-    monkeypatch.setattr(lm_scoring.lexicon, "__defaults__", (1,))
-    text = "the the the the the the the the " + "often " * 5 + "soften"
-    rows = score(spark.createDataFrame([(1, text), (2, "the often"), (3, "the soften")], "doc_id long, text string")).toPandas().set_index("doc_id")
-    # same class, same context: the difference is log 6 - log 2
-    assert abs(rows.log_likelihood[2] - rows.log_likelihood[3] - np.log(3)) < 1e-5
+    for listed in (1, 2, 9):
+        words = lexicon(counts, 1, listed)
+        rows = materialise(encode(docs, words), "test")
+        joined = {r["doc_id"]: r["inside"] + (r["log_n"] or 0) for r in rows.join(own_counts(rows, counts), "row", "left").collect() if r["ids"]}
+        n = 4 + 3 + 1  # all rare words end in "ng"
+        assert abs(joined[1] - (4 * np.log(4 / n) + 2 * np.log(3 / n))) < 1e-9
+        assert abs(joined[2] - np.log(1 / n)) < 1e-9 and abs(joined[3] - np.log(3 / n)) < 1e-9
 
 
 def test_odd_rows(odd_documents, no_documents):
