@@ -3,10 +3,14 @@
 Unit vectors with cosine >= c lie within eps = sqrt(2 - 2c) of each other. They are sorted by
 their grid cells (of width eps) on the leading principal axes and cut into blocks. Pairs
 of intervals of that sequence are refined level by level, from the whole sequence down to
-single blocks; a pair whose boxes are more than eps apart is skipped with all that it
-holds. What remains is compared block against block: single precision settles what is
+single blocks; a pair whose boxes (on those axes, and of the lengths of what lies beyond them) are more
+than eps apart is skipped with all that it holds. What remains is compared block against block, in square
+tiles of block pairs that fetch each of their blocks once: single precision settles what is
 clear, double precision what is near the threshold. A block pair returns a count per vector
 and a spanning set of links, never all pairs.
+
+How much is skipped depends on the vectors: where they spread over all axes alike, as random
+directions do, boxes of few axes say little, and most blocks meet.
 """
 
 from __future__ import annotations
@@ -22,8 +26,10 @@ from .components import connected_components
 from .scratch import materialise, release
 
 COSINE = 0.9
-AXES = 6
-BLOCK = 2048
+AXES = 16
+BLOCK = 1024
+#: Blocks on each side of a tile.
+TILE = 8
 #: Vectors the principal axes are fitted on, about; axes change what is skipped, not what is found.
 AXIS_SAMPLE = 20_000
 #: Children of an interval on the way from the whole sequence to single blocks.
@@ -65,6 +71,17 @@ def principal_axes(vectors: DataFrame, axes: int = AXES) -> dict[int, np.ndarray
     return sums
 
 
+def _seen(unit: np.ndarray, axes: dict[int, np.ndarray]) -> np.ndarray:
+    """Where unit rows lie on the axes, and in a last column the length of the rest of each: the distance of
+    two rows is at least that of these."""
+    size = unit.shape[1]
+    fitted = axes.get(size, np.eye(size, min(AXES, size)))
+    out = np.zeros((len(unit), AXES + 1))
+    out[:, : fitted.shape[1]] = unit @ fitted
+    out[:, AXES] = np.sqrt(np.maximum(1 - (out * out).sum(1), 0))
+    return out
+
+
 def _blocks(vectors: DataFrame, axes: dict[int, np.ndarray], eps: float, block: int) -> DataFrame:
     """part, at, size, lo, hi, ids, weights, vectors: the sequence in grid order, in blocks."""
     sent = vectors.sparkSession.sparkContext.broadcast(axes)
@@ -77,8 +94,7 @@ def _blocks(vectors: DataFrame, axes: dict[int, np.ndarray], eps: float, block:
             for size in np.unique(sizes):
                 mine = np.flatnonzero(sizes == size)
                 unit = _unit(_matrices(rows.take(pa.array(mine))))
-                fitted = sent.value.get(int(size), np.eye(int(size), min(AXES, int(size))))
-                cells[mine, : fitted.shape[1]] = np.floor(unit @ fitted / eps).astype(np.int64)
+                cells[mine] = np.floor(_seen(unit, sent.value)[:, :AXES] / eps).astype(np.int64)
             return {
                 "vec_id": batch.column("vec_id"),
                 "weight": batch.column("weight"),
@@ -105,9 +121,7 @@ def _blocks(vectors: DataFrame, axes: dict[int, np.ndarray], eps: float, block:
             table = pa.Table.from_batches(rows).combine_chunks()
             matrix = _matrices(table.column("vector").combine_chunks())
             size = matrix.shape[1]
-            fitted = sent.value.get(size, np.eye(size, min(AXES, size)))
-            seen = np.zeros((len(matrix), AXES))
-            seen[:, : fitted.shape[1]] = _unit(matrix) @ fitted
+            seen = _seen(_unit(matrix), sent.value)
             ids = table.column("vec_id").to_numpy().astype("<i8")
             weights = table.column("weight").to_numpy().astype("<i8")
             out = pa.RecordBatch.from_pylist(
@@ -147,12 +161,12 @@ def _blocks(vectors: DataFrame, axes: dict[int, np.ndarray], eps: float, block:
 def _block_pairs(boxes: DataFrame, blocks: int, eps: float) -> DataFrame:
     """left, right (left <= right): block pairs that may hold a link, by refining intervals."""
     spark = boxes.sparkSession
-    edges = [f"{side}{k}" for side in ("lo", "hi") for k in range(AXES)]
+    edges = [f"{side}{k}" for side in ("lo", "hi") for k in range(AXES + 1)]
     flat = boxes.select("seq", "size", *[F.col(e[:2])[int(e[2:])].alias(e) for e in edges])
     levels = 0
     while FAN**levels < blocks:
         levels += 1
-    pairs = spark.createDataFrame([(0, 0)], "left long, right long")
+    pairs = above = spark.createDataFrame([(0, 0)], "left long, right long")
     for level in range(levels - 1, -1, -1):
         interval = F.floor(F.col("seq") / FAN**level)
         nodes = flat.groupBy(interval.alias("node")).agg(
@@ -160,8 +174,8 @@ def _block_pairs(boxes: DataFrame, blocks: int, eps: float) -> DataFrame:
         )
         nodes = nodes.withColumn("above", F.floor(F.col("node") / FAN))
         left, right = (nodes.select(*[F.col(c).alias(f"{side}_{c}") for c in nodes.columns]) for side in ("l", "r"))
-        gaps = [F.greatest(F.col(f"l_lo{k}") - F.col(f"r_hi{k}"), F.col(f"r_lo{k}") - F.col(f"l_hi{k}"), F.lit(0.0)) for k in range(AXES)]
-        near = sum((g * g for g in gaps[1:]), gaps[0] * gaps[0]) <= eps * eps + 1e-9
+        gaps = [F.greatest(F.col(f"l_lo{k}") - F.col(f"r_hi{k}"), F.col(f"r_lo{k}") - F.col(f"l_hi{k}"), F.lit(0.0)) for k in range(AXES + 1)]
+        near = sum((g * g for g in gaps[1:]), gaps[0] * gaps[0]) <= eps * eps + 1e-6
         pairs = (
             pairs.join(left, F.col("left") == F.col("l_above"))
             .join(right, F.col("right") == F.col("r_above"))
@@ -169,7 +183,9 @@ def _block_pairs(boxes: DataFrame, blocks: int, eps: float) -> DataFrame:
             .where(near)
             .select(F.col("l_node").alias("left"), F.col("r_node").alias("right"))
         )
-        pairs = materialise(pairs, "intervals")
+        finer = materialise(pairs, "intervals")
+        release(above)
+        pairs = above = finer
     return pairs
 
 
@@ -204,49 +220,46 @@ def links(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> Dat
     eps = float(np.sqrt(2 - 2 * cosine))
     kind = np.float64 if "double" in dict(vectors.dtypes)["vector"] else np.float32
     cut = materialise(_blocks(vectors, principal_axes(vectors), eps, block), "blocks")
-    counts = sorted((r["part"], r["n"]) for r in cut.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
-    starts, blocks = [], 0
-    for part, n in counts:
-        starts.append((part, blocks))
-        blocks += n
-    spark = vectors.sparkSession
-    seq = spark.createDataFrame(starts, "part int, first long")
-    numbered = cut.join(F.broadcast(seq), "part").withColumn("seq", F.col("first") + F.col("at"))
-    pairs = _block_pairs(numbered.select("seq", "size", "lo", "hi"), blocks, eps)
-    load = numbered.select("seq", "size", "ids", "weights", "vectors")
-    a, b = (load.select(*[F.col(c).alias(f"{side}_{c}") for c in load.columns]) for side in ("a", "b"))
-    joined = pairs.join(a, F.col("left") == F.col("a_seq")).join(b, F.col("right") == F.col("b_seq"))
-
-    def each():
-        def turn(batch: pa.RecordBatch):
-            for row in batch.to_pylist():
-                ids, weights, units = [], [], []
-                for side in "ab":
-                    ids.append(np.frombuffer(row[f"{side}_ids"], "<i8"))
-                    weights.append(np.frombuffer(row[f"{side}_weights"], "<i8"))
-                    units.append(_unit(np.frombuffer(row[f"{side}_vectors"], kind).reshape(len(ids[-1]), -1)))
-                same = row["left"] == row["right"]
-                linked = _compare(units[0], units[1], cosine)
-                if same:
-                    np.fill_diagonal(linked, False)
-                some_a, some_b = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
-                if not len(some_a):
-                    continue
-                linked = linked[np.ix_(some_a, some_b)]
-                label_a, label_b = _spanning(linked)
-                head = ids[0][some_a]
-                sides = [(ids[0][some_a], head[label_a], linked.astype(np.float64) @ weights[1][some_b])]
-                if same:  # the matrix is symmetric: rows and columns are the same vectors
-                    sides.append((ids[1][some_b], head[label_b], np.zeros(len(some_b))))
-                else:
-                    sides.append((ids[1][some_b], head[label_b], linked.T.astype(np.float64) @ weights[0][some_a]))
-                for who, to, n in sides:
-                    yield {"a": who, "b": to, "n": n.astype(np.int64)}
-
-        return turn
-
-    out = joined.select("left", "right", "a_ids", "a_weights", "a_vectors", "b_ids", "b_weights", "b_vectors")
-    return map_batches(out.repartition(max(spark.sparkContext.defaultParallelism, -(-blocks // 2)), "left", "right"), "a long, b long, n long", each)
+    most = cut.agg((F.max("at") + 1).alias("at"), (F.max("part") + 1).alias("part")).first()
+    numbered = cut.withColumn("seq", F.col("part").cast("long") * most["at"] + F.col("at"))  # in order, with gaps
+    pairs = _block_pairs(numbered.select("seq", "size", "lo", "hi"), most["part"] * most["at"], eps)
+    tile = [F.floor(F.col(side) / TILE).alias(f"tile_{side}") for side in ("left", "right")]
+    tiles = pairs.groupBy(*tile).agg(F.collect_list(F.struct("left", "right")).alias("pairs"))  # at most TILE * TILE
+    sides = F.array_distinct(F.flatten(F.transform("pairs", lambda p: F.array(p["left"], p["right"]))))
+    fetched = tiles.withColumn("seq", F.explode(sides)).join(numbered.select("seq", "ids", "weights", "vectors"), "seq")
+
+    def compare(table: pa.Table) -> pa.Table:
+        blocks = {}
+        for k in range(table.num_rows):
+            seq, ids, weights, vectors = (table.column(c)[k].as_py() for c in ("seq", "ids", "weights", "vectors"))
+            ids = np.frombuffer(ids, "<i8")
+            blocks[seq] = ids, np.frombuffer(weights, "<i8"), _unit(np.frombuffer(vectors, kind).reshape(len(ids), -1))
+        out = [np.zeros((3, 0), np.int64)]
+        for pair in table.column("pairs")[0].as_py():
+            out.extend(_pair_links(blocks[pair["left"]], blocks[pair["right"]], pair["left"] == pair["right"], cosine))
+        return pa.table(dict(zip("abn", map(pa.array, np.concatenate(out, axis=1)), strict=True)))
+
+    return fetched.groupBy("tile_left", "tile_right").applyInArrow(compare, "a long, b long, n long")
+
+
+def _pair_links(left: tuple, right: tuple, same: bool, cosine: float) -> list[np.ndarray]:
+    """Rows a, b, n of :func:`links` from two blocks of ids, weights and unit vectors."""
+    if left[2].shape[1] != right[2].shape[1]:
+        return []
+    linked = _compare(left[2], right[2], cosine)
+    if same:
+        np.fill_diagonal(linked, False)
+    some_a, some_b = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
+    if not len(some_a):
+        return []
+    linked = linked[np.ix_(some_a, some_b)]
+    label_a, label_b = _spanning(linked)
+    head = left[0][some_a]
+    out = [np.stack([head, head[label_a], (linked.astype(np.float64) @ right[1][some_b]).astype(np.int64)])]
+    # within a block the matrix is symmetric: rows and columns are the same vectors
+    n = np.zeros(len(some_b), np.int64) if same else (linked.T.astype(np.float64) @ left[1][some_a]).astype(np.int64)
+    out.append(np.stack([right[0][some_b], head[label_b], n]))
+    return out
 
 
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
@@ -255,7 +268,8 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, block: int =
     Vectors of one length are linked at a cosine of at least ``cosine``. A vector that is null,
     zero, or holds a null or non-finite component links with nothing, nor does one without a
     vec_id (its component is null and it is kept). Equal vectors, repeated rows among
-    them, collapse first and count as many as they are.
+    them, collapse first and count as many as they are. Of several vectors of one vec_id that with the
+    smallest hash links for all. Other columns are ignored.
     """
     rows = embeddings.select("vec_id", F.col("embedding").alias("vector"))
     usable = _usable(F.col("vector")) & F.col("vec_id").isNotNull()
@@ -266,9 +280,10 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, block: int =
         "copies",
     )
     placed = rows.join(copies, ["mark_0", "mark_1"], "left").select(
-        "vec_id", "vector", "usable", F.coalesce("first", "vec_id").alias("first"), F.coalesce("copies", F.lit(1)).alias("weight")
+        "mark_0", "mark_1", "vec_id", "vector", "usable", F.coalesce("first", "vec_id").alias("first"), F.coalesce("copies", F.lit(1)).alias("weight")
     )
-    classes = materialise(placed.where("usable and vec_id = first").select("vec_id", "weight", "vector").dropDuplicates(["vec_id"]), "classes")
+    own = F.min_by(F.struct("weight", "vector"), F.struct("mark_0", "mark_1"))
+    classes = materialise(placed.where("usable and vec_id = first").groupBy("vec_id").agg(own.alias("own")).select("vec_id", "own.*"), "classes")
     if not classes.limit(1).count():
         return embeddings.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = materialise(links(classes, cosine, block), "links")
