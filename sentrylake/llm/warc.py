@@ -125,12 +125,19 @@ def parse(raw: bytes) -> dict:
 
 
 def train_dictionary(pages: DataFrame, records: int = DICTIONARY_RECORDS) -> bytes:
-    """A dictionary from about ``records`` of the records, drawn by hash; raw header text where there are too few."""
+    """A dictionary from about ``records`` of the records; raw header text where there are too few.
+
+    A hash draws them before anything is gathered, so no task handles more pages than are drawn,
+    twice ``records`` at most (of equal rows all or none are drawn).
+    """
     import zstandard
 
     fit = pages.where(F.col("record_type") == "response").where(F.col("payload_bytes") <= DICTIONARY_PAYLOAD)
-    drawn = fit.orderBy(F.xxhash64("page_id", "payload_digest")).limit(records)
-    samples = [record(r.asDict(), "2000-01-01T00:00:00Z") for r in drawn.toLocalIterator()]
+    total = fit.count()
+    if total > records:
+        fit = fit.where(F.pmod(F.xxhash64("page_id", "payload_digest"), F.lit(1 << 40)) < -(-records * (1 << 40) // total))
+    drawn = sorted(fit.limit(2 * records).collect(), key=lambda r: (r["payload_digest"], r["page_id"] or 0))
+    samples = [record(r.asDict(), "2000-01-01T00:00:00Z") for r in drawn]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too few or too small samples
