@@ -6,8 +6,9 @@
 2. A label model with a hidden class explains the votes of all documents: per voter how
    often it fires in either class (its accuracy), and how far voters agree beyond that
    (their correlation); votes that only repeat each other are discounted.
-3. The model's posterior labels train a logistic regression on words and word beginnings,
-   which gives the score.
+   A row's own label, where it has one, is a voter too, whose accuracy the model estimates.
+3. The model's posterior labels of all documents, labelled or not, train a logistic regression on words
+   and word beginnings, which gives the score.
 """
 
 from __future__ import annotations
@@ -22,15 +23,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import fold_of, map_batches
-from .scratch import materialise
+from .scratch import materialise, release
 
-#: Labelled documents that patterns are mined from and the classifier is fitted on, at most
+#: Labelled documents that patterns are mined from and whose labels vote, at most
 #: (in expectation: a hash of the id draws them).
 TRAINING_DOCUMENTS = 20_000
 #: Words and beginnings the classifier has a weight for.
 FEATURES = 2048
 #: Patterns dealt to the mined voters, and those voters.
 MINED_PATTERNS, MINED_VOTERS = 96, 8
+#: The classifier's steps: rounds over all documents, passes over each batch in a round.
+ROUNDS, LOCAL_PASSES, MINIBATCH = 2, 4, 32
+RATE, PENALTY = 0.2, 1e-4
 PREFIXES = (3, 4, 5, 6, 7, 8)
 FOLDS = 5
 
@@ -165,6 +169,13 @@ class LabelModel:
     #: share of a voter's evidence that other voters don't repeat
     weight: np.ndarray
     correlation: np.ndarray
+    #: per class the probability that a given label says toxic
+    gold: np.ndarray = field(default_factory=lambda: np.array([0.05, 0.95]))
+
+    def gold_odds(self, label: int) -> float:
+        """Evidence of a given label."""
+        says = self.gold if label else 1 - self.gold
+        return float(np.log(says[1] / says[0]))
 
     def log_odds(self, votes: np.ndarray) -> np.ndarray:
         on = np.log(self.fires[1] / self.fires[0])
@@ -180,7 +191,8 @@ def fit_label_model(votes: np.ndarray, counts: np.ndarray, known: np.ndarray, ro
     """Expectation maximisation on distinct vote patterns (rows of the boolean ``votes``).
 
     ``counts`` are documents per pattern; ``known`` (patterns x 2) those of them whose
-    label is given, by label: they start the estimate and keep the classes in place.
+    label is given, by label: they start the estimate, and the labels vote with an accuracy that is estimated
+    like any voter's.
     """
     n, known_n = counts.astype(float), known.astype(float)
     free = np.maximum(n - known_n.sum(1), 0)
@@ -191,13 +203,17 @@ def fit_label_model(votes: np.ndarray, counts: np.ndarray, known: np.ndarray, ro
         fires, prior = np.array([np.full(votes.shape[1], 0.02), np.full(votes.shape[1], 0.4)]), 0.1
     model = LabelModel(float(np.clip(prior, 1e-3, 0.5)), np.clip(fires, 1e-4, 1 - 1e-4), np.ones(votes.shape[1]), np.eye(votes.shape[1]))
     for turn in range(rounds):
-        p = _sigmoid(model.log_odds(votes))
-        mass = np.stack([free * (1 - p) + known_n[:, 0], free * p + known_n[:, 1]])
+        odds = model.log_odds(votes)
+        p = _sigmoid(odds)
+        told = np.stack([_sigmoid(odds + model.gold_odds(label)) for label in (0, 1)], axis=1)
+        mass = np.stack([free * (1 - p) + (known_n * (1 - told)).sum(1), free * p + (known_n * told).sum(1)])
         total = mass.sum(1)
         if not total.all():
             break
         model.fires = np.clip((mass @ votes + 0.5) / (total[:, None] + 1), 1e-4, 1 - 1e-4)
         model.prior = float(np.clip(total[1] / total.sum(), 1e-3, 0.5))
+        says = np.array([(known_n * side).sum(0) for side in (1 - told, told)])  # class x label
+        model.gold = np.clip((says[:, 1] + [0.05, 0.95]) / (says.sum(1) + 1), 1e-3, 1 - 1e-3)
         covariance = sum((mass[y][:, None] * (votes - model.fires[y])).T @ (votes - model.fires[y]) for y in (0, 1)) / total.sum()
         spread = np.sqrt(np.maximum(np.diag(covariance), 1e-9))
         model.correlation = covariance / np.outer(spread, spread)
@@ -216,25 +232,64 @@ class Classifier:
         return _sigmoid(sums + self.bias)
 
 
-def fit_classifier(rows: list[np.ndarray], target: np.ndarray, size: int, rounds: int = 150, penalty: float = 1.0) -> Classifier:
-    """Logistic regression of soft labels on sets of features, by accelerated gradient steps."""
-    if not len(rows) or not size:
-        return Classifier(np.zeros(max(size, 1)), float(-3 if not len(rows) else np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3))))
-    lengths = np.array([len(r) for r in rows])
-    columns = np.concatenate(rows).astype(np.int64)
-    owner = np.repeat(np.arange(len(rows)), lengths)
-    share = float(np.clip(target.mean(), 1e-3, 1 - 1e-3))
-    w, bias = np.zeros(size), math.log(share / (1 - share))
-    first, second = np.zeros(size + 1), np.zeros(size + 1)
-    for t in range(1, rounds + 1):
-        error = _sigmoid(np.bincount(owner, w[columns], len(rows)) + bias) - target
-        gradient = np.append(np.bincount(columns, error[owner], size) + penalty * w, error.sum()) / len(rows)
-        first = 0.9 * first + 0.1 * gradient
-        second = 0.99 * second + 0.01 * gradient**2
-        step = 0.15 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8) * min(1, 3 * (1 - t / (rounds + 1)))
-        w -= step[:-1]
-        bias -= step[-1]
-    return Classifier(w, bias)
+def train_classifier(voted: DataFrame, model: LabelModel, size: int, rounds: int = ROUNDS) -> Classifier:
+    """Logistic regression of the posterior labels of all of ``voted`` (features, votes, label or null) on
+    sets of features: each task takes its own steps over its rows; then each weight becomes
+    the average of the tasks', by how often they met its feature."""
+    spark = voted.sparkSession
+    classifier = Classifier(np.zeros(size), math.log(model.prior / (1 - model.prior)))
+    for _ in range(rounds):
+        sent = spark.sparkContext.broadcast((classifier, model))
+
+        def each(sent=sent):
+            start, model = sent.value
+            w = np.append(start.weights, start.bias)
+            history, met = np.full(size + 1, 1e-4), np.zeros(size + 1)
+            draw = np.random.default_rng(3)
+
+            def turn(batch: pa.RecordBatch):
+                rows = [np.append(np.frombuffer(x, np.int16), size) for x in batch.column("features").to_pylist()]
+                target = posteriors(model, batch)
+                for k in range(LOCAL_PASSES):
+                    order = draw.permutation(len(rows))
+                    for at in range(0, len(order), MINIBATCH):
+                        some = order[at : at + MINIBATCH]
+                        lengths = [len(rows[i]) for i in some]
+                        columns = np.concatenate([rows[i] for i in some])
+                        owner = np.repeat(np.arange(len(some)), lengths)
+                        error = _sigmoid(np.bincount(owner, w[columns], len(some))) - target[some]
+                        gradient = np.bincount(columns, error[owner], size + 1) / len(some)
+                        gradient[:-1] += PENALTY * w[:-1]
+                        history[:] += gradient**2
+                        w[:] -= RATE * gradient / np.sqrt(history)
+                        if not k:
+                            met[:] += np.bincount(columns, minlength=size + 1)
+                return None
+
+            def finish():
+                place = np.flatnonzero(met)
+                return {"place": place, "weight": w[place] * met[place], "met": met[place]} if len(place) else None
+
+            turn.finish = finish
+            return turn
+
+        trained = map_batches(voted, "place int, weight double, met double", each)
+        means = trained.groupBy("place").agg((F.sum("weight") / F.sum("met")).alias("mean")).toPandas()
+        w = np.append(classifier.weights, classifier.bias)
+        w[means["place"]] = means["mean"]
+        classifier = Classifier(w[:-1], float(w[-1]))
+    return classifier
+
+
+def as_votes(masks) -> np.ndarray:
+    return (np.asarray(masks, np.int64)[:, None] & (1 << np.arange(len(VOTERS)))) > 0
+
+
+def posteriors(model: LabelModel, batch: pa.RecordBatch) -> np.ndarray:
+    """Probability of being toxic of each row (votes, label or null) by the label model."""
+    labels = batch.column("label").to_numpy(zero_copy_only=False).astype(float)
+    gold = np.where(np.isnan(labels), 0.0, np.where(labels > 0, model.gold_odds(1), model.gold_odds(0)))
+    return _sigmoid(model.log_odds(as_votes(batch.column("votes").to_numpy())) + gold)
 
 
 def score(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_DOCUMENTS) -> DataFrame:
@@ -248,7 +303,8 @@ def score(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_DOCUMENTS) -
     spark = docs.sparkSession
     labels = materialise(_label_sample(labels, bound), "toxic_labels")
     known_rows = F.broadcast(labels)  # about ``bound`` rows at most
-    vocabulary = mine(materialise(docs.select("doc_id", "text").join(known_rows, "doc_id"), "toxic_sample"))
+    sample = materialise(docs.select("doc_id", "text").join(known_rows, "doc_id"), "toxic_sample")
+    vocabulary = mine(sample)
     sent = spark.sparkContext.broadcast(vocabulary)  # at most FEATURES + MINED_PATTERNS terms
 
     def read():
@@ -260,36 +316,34 @@ def score(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_DOCUMENTS) -
 
         return turn
 
-    voted = materialise(map_batches(docs.select("doc_id", "text"), "doc_id long, features binary, votes int", read), "toxic_votes")
-    # at most 2 ** voters patterns reach the driver
-    patterns = voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    taught = voted.join(known_rows, "doc_id").select("label", "features", "votes").toPandas()
-    bits = 1 << np.arange(len(VOTERS))
-    as_votes = lambda masks: (np.asarray(masks, np.int64)[:, None] & bits) > 0
-    place = {m: i for i, m in enumerate(patterns["votes"])}
-    known = np.zeros((len(patterns), 2))
-    for mask, label in zip(taught["votes"], taught["label"], strict=True):
-        known[place[mask], int(label > 0)] += 1
-    model = fit_label_model(as_votes(patterns["votes"]), patterns["n"].to_numpy(), known)
-    # where a row's own label is known, it is one voter more
-    odds = model.log_odds(as_votes(taught["votes"])) + np.where(taught["label"].to_numpy(float) > 0, 3.5, -3.5)
-    rows = [np.frombuffer(x, np.int16) for x in taught["features"]]
-    classifier = fit_classifier(rows, _sigmoid(odds), len(vocabulary.features))
+    voted = map_batches(docs.select("doc_id", "text"), "doc_id long, features binary, votes int", read)
+    voted = materialise(voted.join(known_rows, "doc_id", "left"), "toxic_votes")
+    release(sample)
+    # at most 2 ** voters patterns reach the driver, each for no label or one of two
+    seen = voted.groupBy("votes", (F.col("label") > 0).alias("toxic")).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    masks = sorted(set(seen["votes"]))
+    place = {m: i for i, m in enumerate(masks)}
+    counts, known = np.zeros(len(masks)), np.zeros((len(masks), 2))
+    for mask, toxic, n in zip(seen["votes"], seen["toxic"], seen["n"], strict=True):
+        counts[place[mask]] += n
+        if toxic is not None and toxic == toxic:
+            known[place[mask], int(toxic)] += n
+    model = fit_label_model(as_votes(masks), counts, known)
     learnt = bool(vocabulary.features)
+    classifier = train_classifier(voted.select("features", "votes", "label"), model, len(vocabulary.features)) if learnt else None
     shared = spark.sparkContext.broadcast((classifier, model))
 
     def judge():
         classifier, model = shared.value
 
         def turn(batch: pa.RecordBatch):
-            masks = batch.column("votes").to_numpy()
-            posterior = _sigmoid(model.log_odds((masks.astype(np.int64)[:, None] & bits) > 0))
+            posterior = _sigmoid(model.log_odds(as_votes(batch.column("votes").to_numpy())))
             scores = classifier.scores([np.frombuffer(x, np.int16) for x in batch.column("features").to_pylist()]) if learnt else posterior
             return {"doc_id": batch.column("doc_id"), "score": scores, "vote_posterior": posterior}
 
         return turn
 
-    return map_batches(voted, "doc_id long, score double, vote_posterior double", judge)
+    return map_batches(voted.select("doc_id", "features", "votes"), "doc_id long, score double, vote_posterior double", judge)
 
 
 def score_held_out(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_DOCUMENTS) -> DataFrame:
