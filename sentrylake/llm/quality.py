@@ -184,8 +184,9 @@ def fit(table: DataFrame, labels: DataFrame, bound: int = TRAINING_DOCUMENTS) ->
     total = labels.count()
     if total > bound:
         labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil(bound / total * (1 << 20)))
-    # about ``bound`` labels at most, and so about as many rows
-    taught = table.select("row.doc_id", "statistics").join(F.broadcast(labels), "doc_id").toPandas()
+    # about ``bound`` labels at most, and a row for each of them however often its document occurs
+    taught = table.select("row.doc_id", "statistics").join(F.broadcast(labels), "doc_id")
+    taught = taught.groupBy("doc_id").agg(F.min("statistics").alias("statistics"), F.min("label").alias("label")).toPandas()
     good = taught["label"].to_numpy() > 0
     ranking = learn(_matrix(taught["statistics"]), good) if len(taught) else None
     if ranking is None:
