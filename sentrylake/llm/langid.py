@@ -2,13 +2,14 @@
 
 Training counts the hashed 1- to 3-grams of a bounded sample of labelled documents, a
 matrix of fixed size per task, and adds the matrices up. Scoring broadcasts the matrix of
-log-probabilities and gathers and sums its rows for the n-grams of whole texts.
+log-probabilities; a batch of whole texts is a sparse matrix that is multiplied with it in numpy.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,12 @@ from .columns import fold_of, keep_rows, map_batches
 TRAINING_DOCUMENTS = 20_000
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-#: Characters hashed at a time; longer texts go in pieces that overlap by two.
-PIECE = 1 << 20
+#: N-grams of each order hashed at a time, whatever the lengths of the texts.
+PIECE = 1 << 18
+#: Languages that a model may tell apart, a column of the matrix each.
+MOST_LANGUAGES = 1000
+#: Stands after each text in a line of code points.
+END = np.uint32(0xFFFFFFFF)
 _FACTORS = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
 
 
@@ -34,38 +39,47 @@ class LanguageModel:
     log_prior: np.ndarray
 
 
-def _codes(text: str) -> np.ndarray:
-    """Lower-cased letters and their gaps: anything else becomes one space."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    return codes
-
-
-def _normalise(codes: np.ndarray, letters: np.ndarray) -> np.ndarray:
-    """Code points with every run of non-letters as one space, a space at either end."""
-    clean = np.where(letters[np.minimum(codes, len(letters) - 1)], codes, 32).astype(np.uint32)
-    clean = np.concatenate(([np.uint32(32)], clean, [np.uint32(32)]))
-    keep = np.ones(len(clean), bool)
-    keep[1:] = (clean[1:] != 32) | (clean[:-1] != 32)
-    return clean[keep]
-
-
+@cache
 def _letters() -> np.ndarray:
-    """Which code points are letters; the last entry stands for what lies beyond the table."""
-    table = np.fromiter((chr(c).isalpha() for c in range(0x30000)), bool, 0x30000)
-    return np.append(table, True)
+    """Which code points are letters."""
+    return np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
+
 
+def _line(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts in one line of code points, and where each begins in it.
 
-def _buckets(clean: np.ndarray):
-    """Hash bucket of every n-gram, an array per order."""
+    Letters are lower-cased and every run of anything else becomes one space; each text has
+    a space at either end and an END after it, which no n-gram may hold.
+    """
+    codes = np.frombuffer("\n\0\n".join(t.lower().replace("\0", "\n") for t in texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    line = np.where(_letters()[codes], codes, 32).astype(np.uint32)
+    line[codes == 0] = END
+    line = np.concatenate(([np.uint32(32)], line, np.array([32, END], np.uint32)))
+    keep = np.ones(len(line), bool)
+    keep[1:] = (line[1:] != 32) | (line[:-1] != 32)
+    line = line[keep]
+    return line, np.concatenate(([0], np.flatnonzero(line == END)[:-1] + 1))
+
+
+def _buckets(line: np.ndarray, first: int, last: int):
+    """Hash bucket of every n-gram that begins in ``line[first:last]``, an array per order; BUCKETS
+    where it would reach beyond its text."""
     for order in ORDERS:
-        if len(clean) < order:
-            return
-        mixed = np.zeros(len(clean) - order + 1, np.uint32)
+        size = last - first
+        here = line[first : last + order - 1]
+        if len(here) < size + order - 1:  # the line's end
+            here = np.append(here, np.full(size + order - 1 - len(here), END, np.uint32))
+        mixed = np.zeros(size, np.uint32)
+        beyond = np.zeros(size, bool)
         for k in range(order):
-            mixed = (mixed ^ clean[k : len(clean) - order + 1 + k]) * _FACTORS[k]
+            code = here[k : size + k]
+            beyond |= code == END
+            mixed = (mixed ^ code) * _FACTORS[k]
             mixed ^= mixed >> np.uint32(15)
         mixed = (mixed + np.uint32(order)) * _FACTORS[0]
-        yield mixed >> np.uint32(32 - int(math.log2(BUCKETS)))
+        found = (mixed >> np.uint32(32 - int(math.log2(BUCKETS)))).astype(np.int64)
+        found[beyond] = BUCKETS
+        yield found
 
 
 def shares(sizes: list[int], bound: int) -> list[float]:
@@ -84,10 +98,12 @@ def train(docs: DataFrame, bound: int = TRAINING_DOCUMENTS, smoothing: float = 0
 
     At most about ``bound`` documents are drawn, by a hash of the id, so the draw does not
     depend on their order; a language with few documents gives all of them. The prior is
-    that of all rows. None where there is nothing to learn from.
+    that of all rows. More than MOST_LANGUAGES languages are refused. None where there is nothing to learn from.
     """
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: lang does not hold languages")
     if not sizes:
         return None
     languages = sorted(sizes)
@@ -98,23 +114,16 @@ def train(docs: DataFrame, bound: int = TRAINING_DOCUMENTS, smoothing: float = 0
     number = {name: i for i, name in enumerate(languages)}
 
     def each():
-        letters = _letters()
-
         def turn(batch: pa.RecordBatch):
-            counts: dict[int, np.ndarray] = {}
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                row = number[lang]
-                own = counts.setdefault(row, np.zeros(BUCKETS, np.int64))
-                for at in range(0, len(text), PIECE):
-                    for found in _buckets(_normalise(_codes(text[at : at + PIECE]), letters)):
-                        own += np.bincount(found, minlength=BUCKETS)
-            for row, own in counts.items():
-                filled = np.flatnonzero(own)
-                yield {
-                    "row": np.full(len(filled), row, np.int32),
-                    "bucket": filled.astype(np.int32),
-                    "n": own[filled],
-                }
+            counts = np.zeros((len(languages), BUCKETS + 1), np.int64)
+            rows = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)
+            line, starts = _line(batch.column("text").to_pylist())
+            owner = np.repeat(rows, np.diff(np.append(starts, len(line))))
+            for at in range(0, len(line), PIECE):
+                for found in _buckets(line, at, min(at + PIECE, len(line))):
+                    counts += np.bincount(owner[at : at + PIECE] * (BUCKETS + 1) + found, minlength=counts.size).reshape(counts.shape)
+            row, bucket = np.nonzero(counts[:, :BUCKETS])
+            return {"row": row.astype(np.int32), "bucket": bucket.astype(np.int32), "n": counts[row, bucket]}
 
         return turn
 
@@ -131,22 +140,35 @@ def train(docs: DataFrame, bound: int = TRAINING_DOCUMENTS, smoothing: float = 0
     )
 
 
-def predict(text: str | None, model: LanguageModel | None, letters: np.ndarray) -> tuple[str, float]:
-    """Language and posterior of one text; `und` with 0 without a letter or a model."""
-    if model is None or not text:
-        return "und", 0.0
-    total, found = model.log_prior.astype(float).copy(), False
-    for at in range(0, len(text), PIECE - 2):
-        clean = _normalise(_codes(text[at : at + PIECE]), letters)
-        if len(clean) < 2 or not (clean != 32).any():
-            continue
-        found = True
-        for buckets in _buckets(clean):
-            total += model.log_probability[buckets].sum(0, dtype=np.float64)
-    if not found:
-        return "und", 0.0
-    best = int(total.argmax())
-    return model.languages[best], float(1.0 / np.exp(total - total[best]).sum())
+def posteriors(texts: list[str | None], model: LanguageModel) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of each language for each text, and which texts have a letter.
+
+    A batch is a sparse matrix of texts by buckets, a one for each n-gram; its product with the matrix
+    of log-probabilities is taken a slice of n-grams at a time, so long texts need no more memory.
+    """
+    line, starts = _line([t or "" for t in texts])
+    total = np.tile(model.log_prior.astype(float), (len(texts), 1))
+    matrix = np.vstack([model.log_probability, np.zeros((1, len(model.languages)))]).astype(float)
+    step = max(1024, 8 * PIECE // max(8, len(model.languages)))
+    for at in range(0, len(line), step):
+        last = min(at + step, len(line))
+        first = int(np.searchsorted(starts, at, "right")) - 1
+        inside = np.concatenate(([at], starts[(starts > at) & (starts < last)])) - at
+        for found in _buckets(line, at, last):
+            total[first : first + len(inside)] += np.add.reduceat(matrix[found], inside, axis=0)
+    lettered = np.zeros(len(texts), bool)
+    lettered[np.searchsorted(starts, np.flatnonzero((line != 32) & (line != END)), "right") - 1] = True
+    odds = np.exp(total - total.max(1, keepdims=True))
+    return odds / odds.sum(1, keepdims=True), lettered
+
+
+def predict(texts: list[str | None], model: LanguageModel | None) -> tuple[list[str], np.ndarray]:
+    """Language and posterior of each text; `und` with 0 without a letter or a model."""
+    if model is None or not texts:
+        return ["und"] * len(texts), np.zeros(len(texts))
+    found, lettered = posteriors(texts, model)
+    best = found.argmax(1)
+    return [model.languages[k] if ok else "und" for k, ok in zip(best, lettered, strict=True)], np.where(lettered, found[np.arange(len(texts)), best], 0.0)
 
 
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
@@ -159,11 +181,11 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def each():
-        model, letters = sent.value, _letters()
+        model = sent.value
 
         def turn(batch: pa.RecordBatch):
-            scored = [predict(t, model, letters) for t in batch.column("text").to_pylist()]
-            return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": [x for x, _ in scored], "score": [x for _, x in scored]}
+            languages, scores = predict(batch.column("text").to_pylist(), model)
+            return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": languages, "score": scores}
 
         return turn
 
@@ -182,11 +204,11 @@ def keep_identified(docs: DataFrame, model: LanguageModel | None, least: float =
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def each():
-        model, letters = sent.value, _letters()
+        model = sent.value
 
         def chosen(batch: pa.RecordBatch):
-            found = (predict(t, model, letters) for t in batch.column("text").to_pylist())
-            return [lang != "und" and score >= least for lang, score in found]
+            languages, scores = predict(batch.column("text").to_pylist(), model)
+            return [lang != "und" and score >= least for lang, score in zip(languages, scores, strict=True)]
 
         return chosen
 
