@@ -42,7 +42,7 @@ MAX_BROADCAST_IDS = 2_000_000
 #: Pivots of a list in each round, about; the last number holds for all further rounds.
 PIVOTS = (2, 8, 64, 256)
 #: Sets in a file of the table they are stored in, about, and the most files of it.
-SETS_A_BUCKET, MOST_BUCKETS = 20_000, 50_000
+SETS_A_BUCKET, MOST_BUCKETS = 4_000, 50_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -180,15 +180,25 @@ def _lists(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _first_pivots(lists: DataFrame) -> DataFrame:
-    """value, doc_id, n, component, pivot of the lists with two holders or more: the smallest id
-    and one drawn by hash are pivots."""
+    """value, doc_id, n, component, pivot, first, other of the lists with two holders or more: the
+    smallest id and one drawn by hash are pivots, and stand beside every document of the list."""
     heads = (
         lists.groupBy("value")
         .agg(F.count(F.lit(1)).alias("holders"), F.min("doc_id").alias("first"), F.min_by("doc_id", F.xxhash64("doc_id")).alias("other"))
         .where("holders > 1")
     )
     pivot = (F.col("doc_id") == F.col("first")) | (F.col("doc_id") == F.col("other"))
-    return lists.join(heads, "value").select("value", "doc_id", "n", F.col("doc_id").alias("component"), pivot.alias("pivot"))
+    return lists.join(heads, "value").select("value", "doc_id", "n", F.col("doc_id").alias("component"), pivot.alias("pivot"), "first", "other")
+
+
+def _first_candidates(placed: DataFrame) -> DataFrame:
+    """a, b: each document with the two pivots of each of its lists."""
+    return (
+        placed.select("doc_id", F.explode(F.array_distinct(F.array("first", "other"))).alias("pivot_id"))
+        .where("doc_id <> pivot_id")
+        .select(F.least("doc_id", "pivot_id").alias("a"), F.greatest("doc_id", "pivot_id").alias("b"))
+        .distinct()
+    )
 
 
 def _next_pivots(lists: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
@@ -209,15 +219,21 @@ def _next_pivots(lists: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     return placed.join(open_lists, "value").select("value", "doc_id", "n", "component", (drawn & (F.col("component") != F.col("largest"))).alias("pivot"))
 
 
-def _candidates(placed: DataFrame, percent: int) -> DataFrame:
-    """a, b: each pivot with the documents of its list that lie in other components and can be as large."""
-    pivots = placed.where("pivot").select(
-        "value", F.col("doc_id").alias("pivot_id"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component")
-    )
+def _candidates(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: each pivot with the documents of its list that lie in other components, unless their sizes
+    or parities rule them out."""
+    bits = [F.col("parity")[k].alias(f"p{k}") for k in range(PARITY // 64)]
+    marked = placed.join(sets.select("doc_id", *bits), "doc_id")
+    pivots = marked.where("pivot").select(
+        "value", F.col("doc_id").alias("pivot_id"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component"),
+        *[F.col(f"p{k}").alias(f"q{k}") for k in range(PARITY // 64)],
+    )
+    differing = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"q{k}"))) for k in range(PARITY // 64)))
     return (
-        placed.join(pivots, "value")
+        marked.join(pivots, "value")
         .where("component <> pivot_component")
         .where(F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent)
+        .where(may_be_similar(F.col("n"), F.col("pivot_n"), differing, percent))
         .select(F.least("doc_id", "pivot_id").alias("a"), F.greatest("doc_id", "pivot_id").alias("b"))
         .distinct()
     )
@@ -269,7 +285,8 @@ def _components_of_classes(sets: DataFrame, percent: int) -> DataFrame | None:
         release(lists)
         if not placed.limit(1).count():
             break
-        found = materialise(_linked(_candidates(placed, percent), sets, percent), "edges")
+        pairs = _candidates(placed, sets, percent) if turn else _first_candidates(placed)
+        found = materialise(_linked(pairs, sets, percent), "edges")
         lists = materialise(placed.where("not pivot").select("value", "doc_id", "n"), "lists")  # a pivot has met its whole list
         release(placed)
         if found.limit(1).count():
