@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -25,14 +27,29 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-#: Rows handled at a time, so that few texts are Python objects at once.
-SLICE = 1000
+#: Rows, and bytes of texts, handled at a time, so that few texts are Python objects at once.
+SLICE, SLICE_BYTES = 1000, 2 << 20
+
+
+def _row_bytes(column: pa.Array) -> np.ndarray | int:
+    """Bytes of each row's text; what other columns take is not counted."""
+    if pa.types.is_struct(column.type):
+        return sum(_row_bytes(column.field(k)) for k in range(column.type.num_fields))
+    if any(is_kind(column.type) for is_kind in (pa.types.is_string, pa.types.is_binary, pa.types.is_large_string, pa.types.is_large_binary)):
+        return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return 0
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            yield batch.slice(at, SLICE)
+        size = np.zeros(batch.num_rows, np.int64) + sum(map(_row_bytes, batch.columns))
+        upto = np.cumsum(size)
+        at = 0
+        while at < batch.num_rows:
+            most = (upto[at - 1] if at else 0) + SLICE_BYTES
+            stop = min(at + SLICE, max(at + 1, int(np.searchsorted(upto, most, "right"))), batch.num_rows)
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
 def map_batches(
