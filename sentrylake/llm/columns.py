@@ -52,6 +52,19 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = stop
 
 
+#: Bytes that Spark hands to a Python worker at a time, about.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _small_batches(df: DataFrame) -> None:
+    """Bound the batches of Python workers by bytes, unless the session does: its default of 64 MB a batch
+    is much for a worker that holds several."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == "67108864b":
+        conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def map_batches(
     df: DataFrame, schema: str | StructType, each: Callable[[], Callable[[pa.RecordBatch], Iterator[dict] | dict | None]]
 ) -> DataFrame:
@@ -74,6 +87,7 @@ def map_batches(
         if last:
             yield as_batch(last)
 
+    _small_batches(df)
     return df.mapInArrow(run, spark_schema)
 
 
@@ -85,6 +99,7 @@ def keep_rows(df: DataFrame, each: Callable[[], Callable[[pa.RecordBatch], list]
         for batch in _slices(batches):
             yield batch.filter(pa.array(chosen(batch), pa.bool_()))
 
+    _small_batches(df)
     return df.mapInArrow(run, df.schema)
 
 
