@@ -223,7 +223,9 @@ def _candidates(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b: each pivot with the documents of its list that lie in other components, unless their sizes
     or parities rule them out."""
     bits = [F.col("parity")[k].alias(f"p{k}") for k in range(PARITY // 64)]
-    marked = placed.join(sets.select("doc_id", *bits), "doc_id")
+    # a document's lists, LONG at most, meet its parities in one row
+    by_document = placed.groupBy("doc_id").agg(F.collect_list(F.struct("value", "n", "component", "pivot")).alias("held"))
+    marked = by_document.join(sets.select("doc_id", *bits), "doc_id").selectExpr("*", "inline(held)").drop("held")
     pivots = marked.where("pivot").select(
         "value", F.col("doc_id").alias("pivot_id"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component"),
         *[F.col(f"p{k}").alias(f"q{k}") for k in range(PARITY // 64)],
