@@ -28,20 +28,20 @@ from .columns import map_batches
 from .scratch import materialise
 
 #: Words that the network predicts and reads one by one.
-NETWORK_WORDS = 8192
+NETWORK_WORDS = 4096
 #: Words whose counts every task knows; those of all others are joined.
 LISTED_WORDS = 50_000
 #: Classes: one for each of the most frequent words, some for the other words of the network, some for the rest.
-SINGLE, KNOWN, RARE = 32, 80, 16
+SINGLE, KNOWN, RARE = 16, 32, 16
 CLASSES = SINGLE + KNOWN + RARE
 #: Words looked at on either side, and units of the network.
 SIDE, HIDDEN = 2, 16
-#: Each document trains in one of the rounds.
-ROUNDS = 2
+#: Each document trains in one of the rounds; the length of an Adagrad step.
+ROUNDS, RATE = 2, 0.2
 #: Distinct words a task counts before it passes them on.
 COUNTER_SIZE = 300_000
 #: Positions in one step of scoring and of training, and tokens shuffled among each other in training.
-STEP, MINIBATCH, MIXED = 8192, 4096, 65_536
+STEP, MINIBATCH, MIXED = 8192, 8192, 65_536
 
 _words = re.compile(r"\w+").findall
 _OFFSETS = np.array([k for k in range(-SIDE, SIDE + 1) if k])
@@ -228,7 +228,7 @@ class Network:
             out[at] += chosen - less - np.log(logits.sum(1))
         return out
 
-    def train(self, beside: np.ndarray, target: np.ndarray, history: Network, rate: float = 0.1) -> None:
+    def train(self, beside: np.ndarray, target: np.ndarray, history: Network, rate: float = RATE) -> None:
         """One Adagrad step on a batch of positions; ``history`` holds the sums of squares."""
 
         def step(part: np.ndarray, seen: np.ndarray, at, gradient: np.ndarray) -> None:

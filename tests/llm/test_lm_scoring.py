@@ -69,7 +69,7 @@ def test_a_step_goes_down_the_numerical_gradient():
                 ends.append(loss())
             old[at] = kept
             gradient = (ends[0] - ends[1]) / 2e-2
-            assert abs(part[at] - (kept - 0.1 * gradient / (math.sqrt(gradient**2 + 1e-4) + 1e-6))) < 5e-3
+            assert abs(part[at] - (kept - lm_scoring.RATE * gradient / (math.sqrt(gradient**2 + 1e-4) + 1e-6))) < 1e-2
 
 
 def test_whole_documents_equal_a_plain_loop(spark, monkeypatch):
