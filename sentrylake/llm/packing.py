@@ -12,6 +12,7 @@ another's: packing shuffles no token.
 
 from __future__ import annotations
 
+import re
 from array import array
 from bisect import bisect_right
 from collections import OrderedDict
@@ -34,18 +35,28 @@ MAX_QUEUES = 256
 FAN = 512
 #: Up to this many (partition, queue) offsets are broadcast (24 bytes each).
 MAX_BROADCAST_OFFSETS = 1_000_000
-#: Pieces of text whose ids a Python worker remembers, some 250 bytes each, and the longest of them.
+#: Pieces of text whose ids a Python worker remembers, some 200 bytes each, and the longest of them.
 PIECE_CACHE = 400_000
 LONGEST_REMEMBERED = 64
+#: Pieces encoded in one call.
+PIECES_A_CALL = 2048
 #: Texts cut at a time, about so many characters.
 CUT_CHARACTERS = 1 << 21
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+#: Texts with these are cut at white space only: contractions, special tokens, other scripts.
+_WHOLE = f"'|<\\||[^\\x00-\\x7f{_LATIN}]"
+_MARKS = f"([^{_LATIN} \n]+)"
+_LETTERS = re.compile(f"[{_LATIN}]+").fullmatch
 
 
 class WordEncoder:
-    """Token ids of whole texts by a public tokenizer that never joins across white space.
+    """Token ids of whole texts by a public tokenizer that never joins across white space, nor a letter with
+    anything but letters (contractions apart), ignores case and marks the last token of a word.
 
-    Texts are cut at spaces and line feeds in Arrow, a batch at a time; each distinct piece of
-    a batch is looked up or encoded once, and the ids of all pieces are gathered in Arrow too.
+    Texts are cut at spaces and line feeds and, where it holds Latin letters only and neither apostrophes nor
+    special tokens, between letters and all else. That is done in Arrow, a batch at a time; each distinct piece of
+    a batch is looked up or encoded once, and the ids of all pieces are gathered in Arrow too. New runs of letters
+    are encoded many in one text, where the ends of words tell them apart.
     """
 
     def __init__(self, path: str, remembered: int = PIECE_CACHE):
@@ -55,26 +66,44 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 65536
-        self.dtype = np.dtype("<u4") if wide else np.dtype("<u2")
-        self.code = "I" if wide else "H"
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.dtype = np.dtype("<u4") if len(vocabulary) > 65536 else np.dtype("<u2")
+        self.code = "I" if self.dtype.itemsize == 4 else "H"
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
         self.pieces: dict[str, bytes] = {}
         self.remembered = remembered
 
+    def _apart(self, some: list[str]) -> None:
+        for piece, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+            self.pieces[piece] = array(self.code, coded.ids).tobytes()
+
+    def _learn(self, missing: list[str]) -> None:
+        letters = [p for p in missing if _LETTERS(p)]
+        for at in range(0, len(letters), PIECES_A_CALL):
+            some = letters[at : at + PIECES_A_CALL]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, self.dtype)
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * self.dtype.itemsize
+            if len(ends) != len(some):
+                self._apart(some)
+                continue
+            data, start = ids.tobytes(), 0
+            for piece, end in zip(some, ends.tolist(), strict=True):
+                self.pieces[piece] = data[start:end]
+                start = end
+        others = [p for p in missing if not _LETTERS(p)]
+        for at in range(0, len(others), PIECES_A_CALL):
+            self._apart(others[at : at + PIECES_A_CALL])
+
     def _ids(self, pieces: list[str]) -> list[bytes]:
-        known = self.pieces
-        missing = [p for p in pieces if p not in known]
-        if len(known) + len(missing) > self.remembered:
-            known.clear()
-            missing = pieces
-        for at in range(0, len(missing), 4096):
-            some = missing[at : at + 4096]
-            for piece, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[piece] = array(self.code, coded.ids).tobytes()
-        found = [known[p] for p in pieces]
+        if len(self.pieces) > self.remembered:
+            self.pieces.clear()
+        missing = [p for p in pieces if p not in self.pieces]
+        self._learn(missing)
+        found = list(map(self.pieces.__getitem__, pieces))
         for p in missing:  # what is long is not kept: the bound counts pieces
             if len(p) > LONGEST_REMEMBERED:
-                del known[p]
+                del self.pieces[p]
         return found
 
     def encode(self, texts: pa.Array) -> list[bytes]:
@@ -90,7 +119,11 @@ class WordEncoder:
 
     def _encode(self, texts: pa.Array) -> list[bytes]:
         flat = pc.fill_null(texts.cast(pa.large_string()), "")
-        lists = pc.split_pattern(pc.replace_substring(flat, "\n", " "), " ")
+        apart = pc.utf8_lower(pc.replace_substring_regex(flat, _MARKS, r" \1 "))
+        whole = pc.match_substring_regex(flat, _WHOLE)
+        if pc.any(whole).as_py():
+            apart = pc.if_else(whole, flat, apart)
+        lists = pc.split_pattern(pc.replace_substring(apart, "\n", " "), " ")
         coded = pc.dictionary_encode(lists.flatten())
         ids = pa.array(self._ids(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
         ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, 8 * ids.offset)
