@@ -100,3 +100,71 @@ def test_languages_equal_a_plain_loop(spark, monkeypatch):
         odds = {la: np.log(prior[la]) + sum(np.log(c[g] / c.sum()) for g in grams(text)) for la, c in counts.items()}
         best = max(odds, key=odds.get)
         assert found == best and abs(score - 1 / sum(np.exp(x - odds[best]) for x in odds.values())) < 1e-3
+
+
+def test_label_model_equals_plain_loops():
+    """Two rounds of expectation maximisation by loops over documents."""
+    draw = np.random.default_rng(3)
+    truth = draw.random(400) < 0.3
+    votes = draw.random((400, 3)) < np.where(truth[:, None], [0.8, 0.6, 0.5], [0.05, 0.1, 0.3])
+    label = [int(t) if draw.random() < 0.2 else None for t in truth]
+    patterns, place = np.unique(votes, axis=0, return_inverse=True)
+    place = place.ravel()
+    counts, known = np.bincount(place), np.zeros((len(patterns), 2))
+    for p, y in zip(place, label):
+        if y is not None:
+            known[p, y] += 1
+    found = toxicity.fit_label_model(patterns, counts, known, rounds=2)
+
+    fires = np.array([[(sum(votes[i, v] for i in range(400) if label[i] == y) + 0.5) / (label.count(y) + 1) for v in range(3)] for y in (0, 1)])
+    prior, weight, gold = label.count(1) / (label.count(0) + label.count(1)), np.ones(3), np.array([0.05, 0.95])
+    for _ in range(2):
+        p = []
+        for i in range(400):
+            odds = np.log(prior / (1 - prior))
+            for v in range(3):
+                a, b = (fires[1, v], fires[0, v]) if votes[i, v] else (1 - fires[1, v], 1 - fires[0, v])
+                odds += weight[v] * np.log(a / b)
+            if label[i] is not None:
+                odds += np.log(gold[1] / gold[0]) if label[i] else np.log((1 - gold[1]) / (1 - gold[0]))
+            p.append(1 / (1 + np.exp(-odds)))
+        p = np.array(p)
+        mass = np.array([1 - p, p])
+        fires = np.array([[(sum(mass[y] * votes[:, v]) + 0.5) / (mass[y].sum() + 1) for v in range(3)] for y in (0, 1)])
+        prior = mass[1].sum() / 400
+        says = [[sum(mass[y][i] for i in range(400) if label[i] == s) for s in (0, 1)] for y in (0, 1)]
+        gold = np.array([(says[y][1] + (0.05, 0.95)[y]) / (sum(says[y]) + 1) for y in (0, 1)])
+        covariance = sum(mass[y][i] * np.outer(votes[i] - fires[y], votes[i] - fires[y]) for y in (0, 1) for i in range(400)) / 400
+        spread = np.sqrt(np.diag(covariance))
+        correlation = covariance / np.outer(spread, spread)
+        np.fill_diagonal(correlation, 1)
+        weight = 1 / np.maximum(correlation, 0).sum(1)
+    assert np.allclose(found.fires, fires) and abs(found.prior - prior) < 1e-9 and np.allclose(found.gold, gold) and np.allclose(found.weight, weight)
+
+
+def test_unlabelled_documents_train_the_classifier(spark):
+    """A word that only unlabelled documents hold, always beside a voter's word, gets weight."""
+    rows = [(k, "calm words of the day" if k % 2 else "you idiot and fool strangeword") for k in range(400)]
+    docs = spark.createDataFrame([*rows, *((1000 + k, "you idiot unheard" if k % 2 else "calm unseen") for k in range(200)), (9000, "unheard"), (9001, "unseen"), (9002, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 2 == 0)) for k in range(400)], "doc_id long, label int")
+    found = {r["doc_id"]: r["score"] for r in toxicity.score(docs, labels).collect()}
+    assert found[0] > 0.5 > found[1] and found[1001] > 0.5 > found[1000] and 0 <= found[9002] <= 1
+
+
+def test_ranking_and_threshold_over_spark(spark):
+    """The Bradley-Terry scores of a table equal those of plain numpy, and the cut lies in the widest gap near the share."""
+    docs, labels = tables(spark)
+    known = quality.training_labels(labels)
+    table = quality.materialise(quality.measured(docs.select("doc_id", "text")), "test")
+    ranking, cut = quality.fit(table, known)
+    text = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    plain = {}
+    for doc, t in text.items():
+        row = quality.statistics(t)
+        plain[doc] = sum(ranking.weights[f * (ranking.cuts.shape[1] + 1) + int((row[f] > ranking.cuts[f]).sum())] for f in range(len(row)))
+    spread = {r["doc_id"]: r["raw"] for r in quality._raw(table, ranking).collect()}
+    assert max(abs(plain[d] - spread[d]) for d in plain) < 1e-6
+    share = 1 - np.mean([r["label"] for r in known.where("label is not null and doc_id is not null").collect()])
+    below = np.mean([x < cut for x in plain.values()])
+    assert abs(below - share) <= quality.SLACK + 0.01
+    assert all((r["score"] >= 0.7) == (spread[r["doc_id"]] >= cut) or abs(spread[r["doc_id"]] - cut) < 1e-6 for r in quality.score(docs, known).collect())

@@ -1,14 +1,23 @@
 import random
+import re
 
 import numpy as np
 
-from sentrylake.llm.minhash import PARITY, keep_first, near_duplicates, parity, shingle_set
+from sentrylake.llm import minhash
+from sentrylake.llm.minhash import PARITY, keep_first, near_duplicates, parity
 
 from .conftest import prose
 
 
+def shingles(text):
+    """The set as the contract has it, of words, not hashes."""
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
+
+
 def brute(rows):
-    sets = {i: set(shingle_set(t).tolist()) for i, t in rows if i is not None}
+    sets = {i: shingles(t) for i, t in rows if i is not None}
     root = {i: i for i in sets}
 
     def find(i):
@@ -61,3 +70,51 @@ def test_parity_bounds_the_difference():
         b = np.unique(np.concatenate([a[: draw.integers(1, 300)], draw.integers(-(2**62), 2**62, 50)]))
         bits = sum(int(x).bit_count() for x in (parity(a) ^ parity(b)).view(np.uint64))
         assert bits <= len(np.setxor1d(a, b)) and PARITY == 512
+
+
+def long_rows():
+    """Sets larger than any sketch, edited by chains of small steps, documents that share a hot passage, and words in other cases and spaces."""
+    draw = random.Random(11)
+    rows = []
+    for base in range(4):
+        words = prose(40 + base, 420).split()
+        for _ in range(10):
+            for _ in range(draw.randrange(1, 12)):
+                words[draw.randrange(len(words))] = f"edit{draw.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    passage = prose(99, 150)
+    for k in range(40):
+        rows.append((len(rows), f"{prose(200 + k, 30)} {passage} {prose(300 + k, draw.choice([5, 20, 60]))}"))
+    rows += [(len(rows), rows[0][1].upper()), (len(rows) + 1, rows[1][1].replace(" ", "\t\n")), (len(rows) + 2, "É é ñ Ñ a b c"), (len(rows) + 3, "É É ñ Ñ A b c"), (len(rows) + 4, "one\u00a0two three four five")]
+    return rows
+
+
+def test_large_sets_and_hot_passages(spark):
+    rows = long_rows()
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id")
+    assert found.component_id.to_dict() == brute(rows) and found.n_shingles.to_dict() == {i: len(shingles(t)) for i, t in rows}
+
+
+def test_further_rounds_and_shuffles_give_the_same(spark, monkeypatch):
+    """One pivot a round, and no broadcast of ids."""
+    rows = long_rows()
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(minhash, "PIVOTS", (1, 1))
+    monkeypatch.setattr(minhash, "MAX_BROADCAST_IDS", 3)
+    wanted = brute(rows)
+    assert near_duplicates(frame).toPandas().set_index("doc_id").component_id.to_dict() == wanted
+    assert sorted(r["doc_id"] for r in keep_first(frame).collect()) == sorted(i for i, c in wanted.items() if i == c)
+
+
+def test_rows_of_one_id(spark):
+    """Different texts under one id: one of them stands for all, in every order of the rows."""
+    a, b = prose(1, 60), prose(2, 60)
+    rows = [(1, a), (1, b), (1, a), (2, a), (3, b), (4, a), (4, a)]
+    seen = set()
+    for order in (rows, rows[::-1]):
+        found = near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).toPandas()
+        assert len(found) == len(rows)
+        seen.add(str(sorted(set(zip(found.doc_id, found.component_id)))))
+        kept = keep_first(spark.createDataFrame(order, "doc_id long, text string")).toPandas()
+        assert kept.doc_id.is_unique and 1 in set(kept.doc_id)
+    assert len(seen) == 1

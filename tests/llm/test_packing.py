@@ -63,3 +63,23 @@ def test_sequences_join_their_pieces(odd_documents):
 
 def test_empty_table(no_documents):
     assert pack(no_documents, tokenizer_path()).count() == 0
+
+
+def test_all_documents_equal_the_tokenizer(spark):
+    """Every id of every document, its places without gaps, and the corpus' shares in every full window."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    whole = Tokenizer.from_file(tokenizer_path())
+    rows = pack(docs, tokenizer_path()).toPandas()
+    texts = docs.select("doc_id", "text", "source").toPandas()
+    wanted = {d: [*whole.encode(t or "", add_special_tokens=False).ids, 1] for d, t in zip(texts.doc_id, texts.text)}
+    for doc, own in rows.sort_values("start").groupby("doc_id"):
+        assert np.concatenate([np.frombuffer(x, "<u4") for x in own.ids]).tolist() == wanted[doc]
+        assert own.start.tolist() == np.cumsum([0, *own.length[:-1]]).tolist() and (own.doc_tokens == len(wanted[doc])).all()
+    assert set(rows.doc_id) == set(wanted)
+    for _, own in rows.sort_values("offset").groupby("sequence_id"):
+        assert own.offset.tolist() == np.cumsum([0, *own.length[:-1]]).tolist()
+    sizes = rows.groupby("sequence_id").length.sum()
+    assert (sizes.sort_index()[:-1] == 2048).all()
+    share = rows.groupby("source").length.sum() / rows.length.sum()
+    full = rows[rows.sequence_id < rows.sequence_id.max()].pivot_table(index="sequence_id", columns="source", values="length", aggfunc="sum", fill_value=0) / 2048
+    assert (full - share[full.columns]).abs().max().max() < 0.005
