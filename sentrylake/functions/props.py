@@ -94,8 +94,10 @@ def skipped_path(path: Column | str) -> Column:
     return contains_any(normal, fixed.SKIP_FRAGMENTS)
 
 
-def attribute_label(hidden: Column | str, system: Column | str) -> Column:
-    label = F.concat_ws(", ", F.when(_col(hidden), "H"), F.when(_col(system), "S"))
+def attribute_label(hidden: Column | str, system: Column | str, attributes: Column | str | None = None) -> Column:
+    """A, R, H, S of a file (archive, read-only, hidden, system), the first two from its attribute bits, if it has any."""
+    bit = lambda b: F.coalesce(_col(attributes).bitwiseAND(b) != 0, F.lit(False)) if attributes is not None else F.lit(False)
+    label = F.concat_ws(", ", F.when(bit(0x20), "A"), F.when(bit(0x1), "R"), F.when(_col(hidden) | bit(0x2), "H"), F.when(_col(system) | bit(0x4), "S"))
     return F.when(label == "", "Normal").otherwise(label)
 
 

@@ -24,8 +24,55 @@ def _type_map() -> Column:
     return F.create_map(*[x for k, v in fixed.CATEGORY_OF_TYPE.items() for x in (F.lit(k), _strings(v))])
 
 
-def categories_of_types(findings: Column | str, types: Column) -> Column:
-    return F.transform(findings, lambda f: F.coalesce(F.try_element_at(types, F.lower(f["type"])), _strings(())))
+# Categories that a finding's own category stands for, where it is none itself; labels of categories.
+CATEGORY_OF_NAME = {
+    "personal_data": ("pii",), "identifier": ("pii",), "identity": ("pii", "government_ids"), "special_category": ("special_category_context",), "health": ("phi",), "medical": ("phi",),
+    "financial": ("financial_records",), "employment": ("hr_documents", "pii"), "hr": ("hr_documents", "pii"), "security": ("security_operations",), "secret": ("credentials_secrets",),
+}
+LABELS = {
+    "pii": "Personal data", "government_ids": "Government ID", "phi": "Health / PHI", "biometric_data": "Biometric data", "genetic_data": "Genetic data",
+    "special_category_context": "Special-category data", "financial_records": "Financial records", "customer_data": "Customer data", "hr_documents": "HR / employee data",
+    "online_identifiers": "Online identifier", "device_identifiers": "Device identifier", "location_data": "Location data", "behavioral_data": "Behavioral data",
+    "credentials_secrets": "Credentials / secrets", "identity_access": "Identity access", "security_operations": "Security operations",
+    "confidential_business": "Confidential business data", "source_code": "Source code", "legal_documents": "Legal documents", "contracts": "Contracts",
+    "audit_accounting": "Audit evidence", "pci_payment": "Payment card data",
+}
+
+
+def framework_ids(wanted: list[str] | None) -> list[str] | None:
+    """Ids of frameworks, each once: lower case, underscores; an unknown one is refused."""
+    if wanted is None:
+        return None
+    known = {f[0] for f in fixed.FRAMEWORKS}
+    out = [x.strip().lower().replace("-", "_") for x in wanted if x and x.strip()]
+    strange = [x for x in out if x not in known]
+    if strange:
+        raise ValueError(f"unknown compliance framework: {', '.join(strange)}")
+    return list(dict.fromkeys(out))
+
+
+def label(category: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
+    return F.coalesce(F.try_element_at(known, category), F.initcap(F.replace(category, F.lit("_"), F.lit(" "))))
+
+
+def categories_of_name(category: Column) -> Column:
+    """Categories that a finding's own category names."""
+    name = F.regexp_replace(F.lower(F.trim(F.coalesce(category, F.lit("")))), "[- ]", "_")
+    known = F.create_map(*[x for k, v in CATEGORY_OF_NAME.items() for x in (F.lit(k), _strings(v))])
+    return F.when(name.isin(*fixed.CATEGORY_WEIGHTS), F.array(name)).otherwise(F.coalesce(F.try_element_at(known, name), _strings(())))
+
+
+def categories_of_types(findings: Column | str, types: Column, labels: bool = True) -> Column:
+    """Categories of each finding: by its type, by its label, and by its own category."""
+
+    def of(f: Column) -> Column:
+        found = [F.coalesce(F.try_element_at(types, F.lower(f["type"])), _strings(()))]
+        if labels:
+            found.append(F.coalesce(F.try_element_at(types, F.lower(f["label"])), _strings(())))
+        return F.array_distinct(F.concat(*found, categories_of_name(f["category"])))
+
+    return F.transform(findings, of)
 
 
 def categories() -> Column:
@@ -36,7 +83,7 @@ def categories() -> Column:
 
 
 def with_categories(assessed: DataFrame) -> DataFrame:
-    typed = props.once(assessed, type_categories=categories_of_types("findings", _type_map()))
+    typed = props.once(assessed, type_categories=categories_of_types("findings", _type_map()), evidence_categories=categories_of_types("findings", _type_map(), labels=False))
     return props.once(typed, categories=categories())
 
 
@@ -58,7 +105,7 @@ def score_parts(matched: Column) -> list[tuple[str, Column]]:
         points = F.coalesce(F.try_element_at(level_points, F.upper(f["risk"])), F.lit(4)) + F.least(F.greatest(f["count"], F.lit(1)) - 1, F.lit(4))
         return total + F.when(F.coalesce(relevant, F.lit(False)), points).otherwise(0)
 
-    pairs = F.zip_with("findings", "type_categories", lambda f, c: F.struct(f.alias("f"), c.alias("c")))
+    pairs = F.zip_with("findings", "evidence_categories", lambda f, c: F.struct(f.alias("f"), c.alias("c")))
     evidence = F.least(F.aggregate(pairs, F.lit(0), evidence_step), F.lit(25))
     acl = F.col("access")
     exposure = F.least(
@@ -98,6 +145,7 @@ def severity(score: Column) -> Column:
 
 def evaluate(assessed: DataFrame, frameworks: list[str] | None = None) -> DataFrame:
     """A row per record and framework that it falls under: matched categories, parts, score, control."""
+    frameworks = framework_ids(frameworks)
     chosen = [(k, f) for k, f in enumerate(fixed.FRAMEWORKS) if frameworks is None or f[0] in frameworks]
     listed = F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(f[0]).alias("framework"), _strings(f[2]).alias("scope")) for k, f in chosen])
     # a handful of frameworks: each record unfolds into them without a join
@@ -112,15 +160,70 @@ def evaluate(assessed: DataFrame, frameworks: list[str] | None = None) -> DataFr
     ).drop("f")
 
 
-def per_file(evaluated: DataFrame) -> DataFrame:
-    """doc_id, score, severity, frameworks, criticality: a row per record under any framework."""
+def per_file(evaluated: DataFrame, every: DataFrame | None = None) -> DataFrame:
+    """doc_id, score, severity, frameworks, criticality: a row per record under any framework; with ``every`` (the
+    assessed records) one for each of these, score 0 and severity NONE where it falls under none."""
+    if every is not None:
+        matched = per_file(evaluated)
+        found = with_categories(every).select("doc_id", F.col("access.wide").alias("wide"), "categories").join(matched, "doc_id", "left")
+        return found.select(
+            "doc_id", F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("severity", F.lit("NONE")).alias("severity"), F.coalesce("n_frameworks", F.lit(0).cast("long")).alias("n_frameworks"),
+            F.coalesce("frameworks", F.lit("")).alias("frameworks"), F.coalesce("criticality", criticality()).alias("criticality"),
+        )
     rows = evaluated.groupBy("doc_id").agg(
         F.max("compliance_score").alias("score"), F.count(F.lit(1)).alias("n_frameworks"), F.array_join(F.array_sort(F.collect_list("framework")), ",").alias("frameworks"),
         F.first("categories").alias("categories"), F.first("access.wide").alias("wide"),
     )
+    return rows.select("doc_id", "score", severity(F.col("score")).alias("severity"), "n_frameworks", "frameworks", criticality().alias("criticality"))
+
+
+def criticality() -> Column:
+    """What the columns wide and categories make a record: none, relevant, high impact, broad access."""
     high = F.arrays_overlap("categories", _strings(("pci_payment", "phi", "credentials_secrets", "government_ids")))
-    label = F.when(F.col("wide"), "broad access").when(high, "high impact").otherwise("relevant")
-    return rows.select("doc_id", "score", severity(F.col("score")).alias("severity"), "n_frameworks", "frameworks", label.alias("criticality"))
+    any_of = F.size("categories") > 0
+    return F.when(F.col("wide") & any_of, "broad access").when(F.coalesce(high, F.lit(False)), "high impact").when(any_of, "relevant").otherwise("none")
+
+
+def evidence(assessed: DataFrame) -> DataFrame:
+    """doc_id, place, type, label, risk, count, data_types, samples: a row per finding, as compliance shows it."""
+    rows = with_categories(assessed).select("doc_id", F.posexplode(F.arrays_zip("findings", "evidence_categories")).alias("place", "e"))
+    f = F.col("e.findings")
+    shown = F.coalesce(F.nullif(f["label"], F.lit("")), F.initcap(F.replace(f["type"], F.lit("_"), F.lit(" "))))
+    return rows.select("doc_id", "place", f["type"].alias("type"), shown.alias("label"), f["risk"].alias("risk"), F.greatest(f["count"], F.lit(1)).alias("count"), F.transform("e.evidence_categories", label).alias("data_types"), f["samples"].alias("samples"))
+
+
+def summary(assessed: DataFrame, frameworks: list[str] | None, enabled: bool = True, k: int = 8, files: int = 10) -> DataFrame:
+    """One row: findings by severity, and the first categories, controls and files; nothing if it is not enabled or no framework is chosen."""
+    ids = framework_ids(frameworks or [])
+    spark = assessed.sparkSession
+    if not enabled or not ids:
+        return spark.createDataFrame([(False, [], 0, 0, 0, 0, 0, [], [], [])], SUMMARY)
+    found = evaluate(assessed, ids)
+    by_file = per_file(found)
+    counts = by_file.agg(F.count(F.lit(1)).alias("total"), *[F.coalesce(F.sum((F.col("severity") == s).cast("long")), F.lit(0)).alias(s.lower()) for s in ("CRITICAL", "HIGH", "MEDIUM", "LOW")])
+
+    def first(rows: DataFrame, name: str, order: list[Column]) -> DataFrame:
+        """One row with a short list in its order."""
+        return rows.agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*rows.columns).alias("row")))).alias(name)).select(F.transform(name, lambda x: x["row"]).alias(name))
+
+    top = by_file.orderBy(F.col("score").desc(), "doc_id").limit(files).select("doc_id", "score", "severity", "frameworks")
+    lists = [
+        first(top_categories(found, k).select("category", "files"), "top_violated_categories", [-F.col("files"), F.col("category")]),
+        first(top_controls(found, k).select("control", "files"), "remediation_priorities", [-F.col("files"), F.col("control")]),
+        first(top, "top_risky_files", [-F.col("score"), F.col("doc_id")]),
+    ]
+    out = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), lists, counts)  # rows of one
+    return out.select(
+        F.lit(True).alias("enabled"), _strings(ids).alias("selected_frameworks"), F.col("total").alias("total_compliance_findings"), "critical", "high", "medium", "low",
+        "top_violated_categories", "top_risky_files", "remediation_priorities",
+    )
+
+
+SUMMARY = (
+    "enabled boolean, selected_frameworks array<string>, total_compliance_findings long, critical long, high long, medium long, low long, "
+    "top_violated_categories array<struct<category:string,files:long>>, top_risky_files array<struct<doc_id:long,score:int,severity:string,frameworks:string>>, "
+    "remediation_priorities array<struct<control:string,files:long>>"
+)
 
 
 def top_categories(evaluated: DataFrame, k: int = 8) -> DataFrame:

@@ -40,7 +40,9 @@ def search_text() -> Column:
     return F.lower(
         F.concat_ws(
             " ", props.blank("name"), props.blank("path"), props.blank("source"), props.blank("share"), props.blank("extension"), props.blank("owner"),
-            props.blank("sha256"), "level", F.col("score").cast("string"), F.array_join(F.transform("findings", lambda f: f["type"]), " "),
+            props.blank("sha256"), props.blank("content_status"), props.blank("scan_mode"), props.blank("scan_error"), props.blank("protection_type"),
+            "level", F.col("score").cast("string"), F.array_join("principals", " "), F.array_join("permissions", " "),
+            F.array_join(F.transform("findings", lambda f: F.concat_ws(" ", f["type"], f["label"], f["category"], f["risk"], F.array_join(f["samples"], " "))), " "),
         )
     )
 

@@ -2,44 +2,64 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.literals import leading
 from ..functions.props import once, redacted
 
 #: Matches of one detector that count.
 MOST_MATCHES = 10
-FINDING = "array<struct<pos:int,type:string,risk:string,count:int,samples:array<string>>>"
+FINDING = "array<struct<pos:int,type:string,risk:string,count:int,samples:array<string>,category:string,label:string>>"
 
 
 def _finding(pos: int, kind: str, level: str, count: Column, samples: Column) -> Column:
-    return F.struct(F.lit(pos).alias("pos"), F.lit(kind).alias("type"), F.lit(level).alias("risk"), count.cast("int").alias("count"), samples.alias("samples"))
+    none = F.lit(None).cast("string")  # only findings of personal data have a category and a label
+    return F.struct(F.lit(pos).alias("pos"), F.lit(kind).alias("type"), F.lit(level).alias("risk"), count.cast("int").alias("count"), samples.alias("samples"), none.alias("category"), none.alias("label"))
+
+
+def _may_match(kind: str, pattern: str, text: Column, lowered: Column) -> Column:
+    """A cheap test that every text with a match passes: what matches begin with, an @, or enough digits."""
+    if kind == "credit_card":
+        return F.length(text) - F.length(F.translate(text, "0123456789", "")) >= 13
+    if kind == "email":
+        return text.contains("@")
+    starts = leading(pattern)
+    return F.lit(True) if starts is None else reduce(or_, (lowered.contains(s) for s in starts))
 
 
-def detect(content: Column | str) -> Column:
+def detect(content: Column | str, lowered: Column | str | None = None) -> Column:
     """The findings of all detectors in their order, then the context findings.
 
     At most ``MOST_MATCHES`` matches count and are sampled; samples of sensitive types are redacted.
-    Null and empty texts have no findings.
+    Null and empty texts have no findings. A pattern is tried where its text may hold a match at all;
+    ``lowered`` is the text in lower case, if it is at hand.
     """
     text = F.coalesce(F.col(content) if isinstance(content, str) else content, F.lit(""))
+    lower = F.lower(text) if lowered is None else F.col(lowered) if isinstance(lowered, str) else lowered
     rows = []
     for pos, (kind, level, cased, redact, pattern) in enumerate(fixed.DETECTORS, 1):
         found = F.slice(F.regexp_extract_all(text, F.lit(pattern if cased else "(?i)" + pattern), F.lit(0)), 1, MOST_MATCHES)
+        found = F.when(_may_match(kind, pattern, text, lower), found).otherwise(F.array().cast("array<string>"))
         rows.append(_finding(pos, kind, level, F.size(found), F.transform(found, lambda v: redacted(v)) if redact else found))
     none = F.array().cast("array<string>")
     for pos, (kind, level, pattern) in enumerate(fixed.CONTEXTS, len(fixed.DETECTORS) + 1):
-        rows.append(_finding(pos, kind, level, text.rlike("(?i)" + pattern).cast("int"), none))
+        told = _may_match(kind, pattern, text, lower) & text.rlike("(?i)" + pattern)
+        rows.append(_finding(pos, kind, level, told.cast("int"), none))
     return F.filter(F.array(*rows), lambda f: f["count"] > 0).cast(FINDING)
 
 
 def classify(records: DataFrame, keep_content: bool = False) -> DataFrame:
     """``records`` with their ``findings``; the content goes once it has been read."""
-    found = once(records, findings=detect("content"))
+    lowered = once(records, lowered_content=F.lower(F.coalesce("content", F.lit(""))))
+    found = once(lowered, findings=detect("content", "lowered_content")).drop("lowered_content")
     return found if keep_content else found.drop("content")
 
 
 def long_form(classified: DataFrame) -> DataFrame:
     """doc_id, pos, type, risk, count, samples: a row per finding."""
-    return classified.select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.*")
+    return classified.select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.pos", "f.type", "f.risk", "f.count", "f.samples")

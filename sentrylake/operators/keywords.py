@@ -28,9 +28,16 @@ def clean_term(c: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
+def distinct_terms(terms: Column) -> Column:
+    """Clean terms of 1 to 160 characters in their order, each once whatever its case."""
+    clean = F.filter(F.transform(terms, clean_term), lambda t: (F.length(t) >= 1) & (F.length(t) <= 160))
+    lower = F.transform(clean, F.lower)
+    return F.filter(clean, lambda t, i: F.array_position(lower, F.lower(t)) == i + 1)
+
+
 def split_terms(text: Column) -> Column:
-    """Terms of a delimited text, 1 to 160 characters each."""
-    return F.filter(F.transform(F.split(text, r"[\r\n,;\t|]+"), clean_term), lambda t: (F.length(t) >= 1) & (F.length(t) <= 160))
+    """Terms of a delimited text."""
+    return distinct_terms(F.split(text, r"[\r\n,;\t|]+"))
 
 
 def terms(groups: DataFrame) -> DataFrame:
@@ -43,8 +50,11 @@ def terms(groups: DataFrame) -> DataFrame:
 def merge(groups: DataFrame) -> DataFrame:
     """One group per key, with the terms of all, in the order in which they first come."""
     ordered = F.array_sort(F.collect_list(F.struct("place", "term")))
-    merged = terms(groups).groupBy(*KEY).agg(F.transform(ordered, lambda x: x["term"]).alias("terms"))
-    return merged.withColumn("count", F.size("terms"))
+    merged = terms(groups).groupBy(*KEY).agg(F.transform(ordered, lambda x: x["term"]).alias("terms")).withColumn("count", F.size("terms"))
+    if "updated_at" not in groups.columns:
+        return merged
+    newest = groups.where("updated_at <> ''").groupBy(*KEY).agg(F.max_by("updated_at", "ord").alias("updated_at"))
+    return merged.join(newest, list(KEY), "left").fillna("", ["updated_at"])
 
 
 def new_terms(current: DataFrame, incoming: DataFrame, mode: str = "merge") -> DataFrame:
@@ -76,6 +86,38 @@ def preview(current: DataFrame, incoming: DataFrame, mode: str = "merge") -> Dat
     return given.crossJoin(new).select("new", (F.col("given") - F.col("new")).alias("duplicates"))
 
 
+def chosen(library: DataFrame, language: str = "", category: str = "", source: str = "all") -> DataFrame:
+    """The groups of a language, category and source, where these are given."""
+    for column, value in (("language", language), ("category", category), ("source", source if source in ("built-in", "custom") else "")):
+        if value:
+            library = library.where(F.col(column) == value)
+    return library
+
+
+def listed(library: DataFrame) -> DataFrame:
+    """The groups in the order of a listing."""
+    return library.orderBy(*KEY)
+
+
+def types(library: DataFrame) -> DataFrame:
+    """type, category of the first group of each type."""
+    return library.groupBy("type").agg(F.min_by("category", F.struct(*KEY)).alias("category"))
+
+
+def built_in(spark, rules) -> DataFrame:
+    """The rules' own context words as groups of a library."""
+    rows = [("gdpr", "built-in", r.category, r.type, r.label, r.risk, "built-in", list(r.words), k) for k, r in enumerate(rules)]
+    return spark.createDataFrame(rows, "framework string, language string, category string, type string, label string, risk string, source string, terms array<string>, ord int")
+
+
+def unknown_types(incoming: DataFrame, rules) -> DataFrame:
+    """One row: how many groups of an import are of no known type and do not say what they are."""
+    known = [r.type for r in rules]
+    told = [F.coalesce(F.trim(F.col(c)), F.lit("")) != "" for c in ("category", "label", "risk") if c in incoming.columns]
+    described = told[0] & told[1] & told[2] if len(told) == 3 else F.lit(False)
+    return incoming.agg(F.coalesce(F.sum((~F.col("type").isin(*known) & ~described).cast("long")), F.lit(0)).alias("unknown_types"))
+
+
 def totals(library: DataFrame) -> DataFrame:
     return library.agg(
         F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("terms"),

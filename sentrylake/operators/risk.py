@@ -112,10 +112,16 @@ PLAN = {
     "MEDIUM": ("Needs review", "Business owner", "14 days"),
     "LOW": ("Monitor", "IT operations", "30 days"),
 }
+# Categories of findings that count as regulated, or call for a review of their own.
+REGULATED_CATEGORIES = (
+    "pii", "personal_data", "government_ids", "phi", "health", "medical", "financial", "financial_records", "pci_payment", "special_category", "biometric_data", "genetic_data",
+)
+REVIEWED_CATEGORIES = ("legal", "contracts", "hr", "hr_documents", "confidential_business", "custom")
 #: Actions by what calls for them.
 ACTIONS = {
     "secret": ("quarantine", "rotate secret", "review access logs"),
     "regulated": ("label regulated", "restrict sharing", "block identifiers"),
+    "category": ("label category", "route owner review", "validate retention"),
     "access": ("remove broad groups", "confirm least privilege"),
     "protected": ("confirm owner", "obtain readable copy", "document exception"),
 }
@@ -129,14 +135,17 @@ def ticket(seed: Column, prefix: str = "TICKET") -> Column:
 def remediation() -> Column:
     """status, owner, sla, ticket, actions of an assessed record."""
     types = F.transform("findings", lambda f: F.lower(f["type"]))
-    secret = F.exists(types, lambda t: props.contains_any(t, ("key", "token", "secret", "password")))
-    regulated = F.arrays_overlap(types, F.array(*map(F.lit, REGULATED)))
+    names = F.filter(F.transform("findings", lambda f: F.regexp_replace(F.lower(f["category"]), "[- ]", "_")), lambda c: c.isNotNull())
+    secret = F.exists(types, lambda t: props.contains_any(t, ("key", "token", "secret", "password"))) | F.exists(names, lambda c: props.contains_any(c, ("secret", "credential")))
+    among = lambda values, kinds: F.coalesce(F.arrays_overlap(values, F.array(*map(F.lit, kinds))), F.lit(False))
+    regulated = among(types, REGULATED) | among(names, REGULATED_CATEGORIES)
     none = F.array().cast("array<string>")
     acts = lambda on, names: F.when(on, F.array(*map(F.lit, names))).otherwise(none)
     actions = F.array_distinct(
         F.concat(
             acts(secret, ACTIONS["secret"]),
-            acts(F.coalesce(regulated, F.lit(False)), ACTIONS["regulated"]),
+            acts(regulated, ACTIONS["regulated"]),
+            acts(among(names, REVIEWED_CATEGORIES), ACTIONS["category"]),
             acts(F.size("access.issues") > 0, ACTIONS["access"]),
             acts(props.protected_for_remediation(), ACTIONS["protected"]),
         )
@@ -150,8 +159,9 @@ def remediation() -> Column:
     )
 
 
-def reasons() -> Column:
-    """Why a record has its score: a line per rule that gave points, in the order of the rules."""
+def reasons(overridden: bool = False) -> Column:
+    """Why a record has its score: a line per rule that gave points, in the order of the rules; before them the
+    reason of an override (column override)."""
     path = F.lower(F.coalesce("path", F.lit("")))
     told = F.transform("findings", lambda f: F.concat(F.replace(f["type"], F.lit("_"), F.lit(" ")), F.lit(" ("), f["count"].cast("string"), F.lit(")")))
     more = F.array(
@@ -161,5 +171,56 @@ def reasons() -> Column:
     )
     issues = F.when(F.col("access.score") > 0, F.col("access.issues")).otherwise(F.array().cast("array<string>"))
     last = F.array(F.when(props.protected_for_risk(), "protected or unreadable"), F.when(F.col("source") == "smb", "on a network share"))
-    every = F.array_distinct(F.array_compact(F.concat(told, more, issues, last)))
+    first = F.array(F.col("override.reason")) if overridden else F.array().cast("array<string>")
+    every = F.array_distinct(F.array_compact(F.concat(first, told, more, issues, last)))
     return F.when(F.size(every) > 0, every).otherwise(F.array(F.lit("no signal")))
+
+
+#: What to do about a finding, by words of its type, the first that match; then by its category.
+ADVICE = (
+    ("private_key|saml", ("take the key out of use and replace it", "keep keys in a vault")),
+    ("aws|azure|gcp|google|kubeconfig|terraform|docker", ("rotate the cloud credential and read its audit log", "keep cloud credentials in the platform's secret store")),
+    ("jwt|bearer|oauth|okta|auth0|mfa", ("revoke the token and look for its use elsewhere", "keep identity secrets with identity administrators")),
+    ("token|secret|password|api_key|_key|dsn|auth_url", ("rotate the secret if it is in use and take it out of the file", "block secrets of this form in shared files")),
+    ("connection|database|jdbc", ("change the database password and read the access log", "move connection strings to a protected configuration")),
+    ("credit_card|payment|iban|swift|routing|bank", ("label as payment data and restrict to finance", "check that it may be stored here and how long")),
+    ("passport|national_id|ssn|fin|government", ("label as identity data and restrict access", "check the legal basis and retention")),
+    ("phi|health|medical|special_category|biometric|genetic", ("label as special data and stop sharing", "have the privacy owner check place and retention")),
+    ("payroll|salary|employee|hr_", ("restrict to personnel and payroll", "watch exports of personnel data")),
+    ("legal|contract|board|strategy", ("restrict to the owners of the matter", "alert when it leaves")),
+    ("security_ops|incident|audit|vulnerability", ("restrict to security operations", "keep evidence in approved places")),
+    ("repo|source_code|build_log", ("look for secrets in the code", "restrict to engineering")),
+    ("email|phone|name|address|customer", ("treat as personal data", "watch transfers in bulk")),
+)
+GENERAL = ("tune a detection rule for this kind and ask the owner",)
+
+
+def recommendations() -> Column:
+    """What to do about an assessed record, in the order of its findings, then of the rules; each once."""
+
+    def of(f: Column) -> Column:
+        text = F.concat_ws(" ", F.lower(f["type"]), F.lower(f["category"]))
+        known = reduce(lambda c, kv: c.when(text.rlike(kv[0]), F.array(*map(F.lit, kv[1]))), ADVICE, F.when(F.lit(False), F.array().cast("array<string>")))
+        severe = F.when(F.upper(f["risk"]).isin("CRITICAL", "HIGH"), "block movement until the owner confirms").otherwise("watch where it moves")
+        own = F.when(f["category"].isNotNull(), F.array(severe)).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.coalesce(known, F.concat(F.array(*map(F.lit, GENERAL)), F.array(severe))), own)
+
+    path = F.lower(F.coalesce("path", F.lit("")))
+    more = F.array(
+        F.when(props.contains_any(path, fixed.PATH_KEYWORDS), "add the path to the data-loss policy"), F.when(F.col("access.score") > 0, "review groups and share permissions"),
+        F.when(props.protected_for_risk(), "ask the owner for a readable copy"), F.when(F.col("source") == "smb", "review the share"),
+    )
+    every = F.array_distinct(F.array_compact(F.concat(F.flatten(F.transform("findings", of)), more)))
+    return F.when(F.size(every) > 0, every).otherwise(F.array(F.lit("keep watching and confirm the owner")))
+
+
+def rule_catalogue(spark) -> DataFrame:
+    """rule, points, what: the rules of the score in the order in which they apply."""
+    levels = [(f"finding {k.lower()}", v, "each finding of this level" + (f", then at least {FLOOR[k]}" if k in FLOOR else "")) for k, v in fixed.FINDING_WEIGHTS.items()]
+    rest = [
+        ("path word", 15, "a sensitive word in the path"), ("extension", max(fixed.EXTENSION_RISK.values()), "by the extension, at most"), ("small file", 10, "under 256 bytes, with findings"),
+        ("broad access", 20, "everyone or a group as wide"), ("write access", 15, "rights to change it"), ("privileged access", 5, "administrators, if nobody else"), ("access, together", 40, "at most"),
+        ("protected", 70, "at least, if it can not be read"), ("network share", 5, "on a share"), ("cap", 100, "at most"), *((f"override {k.lower()}", v, "stands for the score") for k, v in FORCED_SCORE.items()),
+        *((f"level {k.lower()}", v, "from this score on") for k, v in (("CRITICAL", 90), ("HIGH", 70), ("MEDIUM", 40), ("LOW", 0))),
+    ]
+    return spark.createDataFrame([(k + 1, *r) for k, r in enumerate([*levels, *rest])], "ord int, rule string, points int, what string")

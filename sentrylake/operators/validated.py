@@ -1,136 +1,30 @@
-"""Personal-data detectors: a pattern, then a validator, over whole texts.
-
-Each gives the distinct redacted values of a text, ten at most. Where the words to the
-left of a match decide, a row function on Arrow batches finds them, since the built-in
-functions give no match positions.
-"""
+"""Values of whole texts that a pattern finds and a validator confirms, by built-in functions alone."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from dataclasses import dataclass
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import validators as v
+from ..functions.personal_rules import CARD, IBAN, NATIONAL_ID
 from ..functions.props import redacted
 
 MOST_SAMPLES = 10
-# The patterns.
-EMAIL = r"\b[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}\b"
-NATIONAL_ID = r"(?i)(?<![A-Za-z0-9])(?:AZE|OR|AA)[ -]?\d{7,8}(?![A-Za-z0-9])"
-CARD = r"(?<![0-9])(?:\d[ -]?){12,18}\d(?![0-9])"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
-
-
-def valid_email(value: Column) -> Column:
-    local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
-    labels = F.forall(F.split(domain, r"\."), lambda x: ~x.startswith("-") & ~x.endswith("-"))
-    return ~value.contains("..") & ~local.startswith(".") & ~local.endswith(".") & labels
-
-
-def valid_card(value: Column) -> Column:
-    digits = F.regexp_replace(value, r"\D", "")
-    return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits) & ~digits.rlike(r"^(\d)\1*$")
-
-
-def valid_iban(value: Column) -> Column:
-    """The rest modulo 97 of the rearranged number is 1, taken character by character."""
-    turned = F.split(F.concat(F.substring(value, 5, 34), F.substring(value, 1, 4)), "")
-    codes = F.transform(turned, lambda c: F.when(c.rlike("[A-Z]"), F.ascii(c) - 55).otherwise(c.try_cast("int")))
-    rest = F.aggregate(codes, F.lit(0), lambda r, c: (r * F.when(c > 9, 100).otherwise(10) + c) % 97)
-    return F.length(value).between(15, 34) & (rest == 1)
-
-
-#: type -> (pattern, validator)
+#: type -> (pattern, validator, form of the value)
 NATIVE = {
-    "gdpr_email_address": (EMAIL, valid_email),
-    "gdpr_national_id": (NATIONAL_ID, lambda v: F.lit(True)),
-    "gdpr_payment_card_data": (CARD, valid_card),
-    "gdpr_bank_account_data": (IBAN, valid_iban),
+    "gdpr_email_address": (v.EMAIL, v.valid_email, lambda x: x),
+    "gdpr_national_id": (NATIONAL_ID, lambda x: F.lit(True), lambda x: F.upper(F.regexp_replace(x, "[ -]", ""))),
+    "gdpr_payment_card_data": (CARD, v.valid_card, lambda x: x),
+    "gdpr_bank_account_data": (IBAN, v.valid_iban, F.upper),
 }
 
 
 def values(text: Column | str, kind: str) -> Column:
     """Distinct valid matches of a detector in their order, not redacted."""
-    pattern, valid = NATIVE[kind]
-    found = F.regexp_extract_all(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit(pattern), F.lit(0))
-    return F.array_distinct(F.filter(found, lambda v: F.coalesce(valid(v), F.lit(False))))
+    pattern, valid, formed = NATIVE[kind]
+    found = F.regexp_extract_all(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
+    return F.array_distinct(F.transform(F.filter(found, lambda x: F.coalesce(valid(x), F.lit(False))), formed))
 
 
 def samples(text: Column | str, kind: str) -> Column:
-    return F.slice(F.array_distinct(F.transform(values(text, kind), lambda v: redacted(v, squeeze=True))), 1, MOST_SAMPLES)
-
-
-@dataclass(frozen=True)
-class NearKeyword:
-    """A pattern that counts only with a keyword in the text just left of it, and no spoiling word there."""
-
-    kind: str
-    pattern: str
-    keywords: tuple[str, ...]
-    window: int = 90
-    spoilers: tuple[str, ...] = ()
-
-
-#: Detectors that need a keyword on the left; users add their own.
-NEAR_KEYWORDS = (
-    NearKeyword("gdpr_phone_number", r"(?<![\w@])(?:\+994|0|\+\d{1,3})[\s().-]?\d{2,3}[\s().-]?\d{3}[\s().-]?\d{2}[\s().-]?\d{2}(?![\w@])", ("phone", "mobile", "tel", "call", "contact")),
-    NearKeyword("gdpr_fin_pin", r"(?<![A-Za-z0-9])[A-Za-z0-9]{7}(?![A-Za-z0-9])", ("fin code", "fin:", "pin:", "personal number")),
-    NearKeyword("gdpr_birth_details", r"\b(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4})\b", ("birth", "born", "dob")),
-    NearKeyword("gdpr_salary_compensation", r"\b\d[\d,. ]{2,12}\b", ("salary", "compensation", "bonus", "payslip"), spoilers=("forecast", "severance")),
-)
-
-
-def near_keywords(rows: DataFrame, detectors: tuple[NearKeyword, ...] = NEAR_KEYWORDS) -> DataFrame:
-    """doc_id, type, value: a row per distinct value and detector of ``rows`` (doc_id, content).
-
-    Texts without any keyword never leave the JVM. Null texts have no values.
-    """
-    words = sorted({w for d in detectors for w in d.keywords})
-    lowered = F.lower("content")
-    any_word = F.lit(False)
-    for w in words:
-        any_word = any_word | lowered.contains(w)
-    schema = pa.schema([("doc_id", pa.int64()), ("type", pa.string()), ("value", pa.string())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [(d, re.compile(d.pattern)) for d in detectors]
-        for batch in batches:
-            out: list[tuple] = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                lower = text.lower()
-                for d, pattern in compiled:
-                    if not any(w in lower for w in d.keywords):
-                        continue
-                    seen = dict.fromkeys(
-                        m.group(0)
-                        for m in pattern.finditer(text)
-                        if any(w in (left := text[max(0, m.start() - d.window) : m.start()].lower()) for w in d.keywords) and not any(s in left for s in d.spoilers)
-                    )
-                    out += [(doc, d.kind, v) for v in seen]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
-
-    return rows.where(any_word).select("doc_id", "content").mapInArrow(run, "doc_id long, type string, value string")
-
-
-def custom_terms(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """doc_id, type, term: terms of a keyword library (type, terms) that stand alone in the texts of ``rows``.
-
-    A term that starts or ends with a letter or digit needs a neighbour that is none. Texts are cut into
-    words once and joined with the terms by their first word, so no text meets every term.
-    """
-    word = r"[^\p{Alnum}]+"
-    terms = groups.select("type", F.explode("terms").alias("term")).select("type", "term", F.lower(F.trim("term")).alias("folded")).where("folded <> ''").distinct()
-    keyed = terms.withColumn("first", F.try_element_at(F.filter(F.split("folded", word), lambda w: w != ""), F.lit(1)))
-    texts = rows.where("content is not null").select("doc_id", F.lower("content").alias("lowered"))
-    # only (document, word) pairs are shuffled; the text is looked at again for documents with a candidate
-    words = texts.select("doc_id", F.explode(F.array_distinct(F.split("lowered", word))).alias("first")).where("first <> ''")
-    candidates = words.join(keyed.where("first is not null"), "first").select("doc_id", "type", "term", "folded")
-    alone = F.concat(
-        F.when(F.col("folded").rlike(r"^\p{Alnum}"), r"(?<!\p{Alnum})").otherwise(""), F.lit(r"\Q"), "folded", F.lit(r"\E"),
-        F.when(F.col("folded").rlike(r"\p{Alnum}$"), r"(?!\p{Alnum})").otherwise(""),
-    )
-    return candidates.join(texts, "doc_id").where(F.rlike(F.col("lowered"), alone)).select("doc_id", "type", "term")
+    return F.slice(F.array_distinct(F.transform(values(text, kind), lambda x: redacted(x, squeeze=True))), 1, MOST_SAMPLES)

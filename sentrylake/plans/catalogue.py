@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, props
-from ..operators import compliance, filters, findings, history, keywords, report, risk, rollups, validated
-from ..sources import inventory
+from ..functions import personal_rules
+from ..operators import compliance, filters, findings, history, keywords, personal, report, risk, rollups, validated, views
+from ..sources import endpoints, inventory
+from ..sources.stored import stored
 from . import oracle as o
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,7 +36,13 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return risk.assess(findings.classify(records(spark, sf_dir)))
+    """Findings, access and scores of all records: worked out once a scan, then read by every view."""
+    source = f"{sf_dir}/documents.parquet"
+    return stored("assessed", source, lambda: risk.assess(findings.classify(records(spark, sf_dir))), spark)
+
+
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assessed(spark, sf_dir).drop("access", "score", "level")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,13 +124,13 @@ def regex_findings(spark, sf_dir):
     )
 )
 def redacted_samples(spark, sf_dir):
-    rows = findings.long_form(findings.classify(records(spark, sf_dir)))
+    rows = findings.long_form(classified(spark, sf_dir))
     return rows.where("type = 'password'").select("doc_id", F.array_join("samples", ";").alias("samples"))
 
 
 @query(o.sql("SELECT type, CAST(sum(count) AS BIGINT) AS matches FROM findings GROUP BY type ORDER BY matches DESC, type LIMIT 6", "findings"))
 def finding_stats_top(spark, sf_dir):
-    return rollups.top_findings(findings.classify(records(spark, sf_dir)))
+    return rollups.top_findings(classified(spark, sf_dir))
 
 
 @query(
@@ -132,7 +140,7 @@ def finding_stats_top(spark, sf_dir):
     )
 )
 def signal_sizes(spark, sf_dir):
-    return rollups.signal_sizes(findings.classify(records(spark, sf_dir)))
+    return rollups.signal_sizes(classified(spark, sf_dir))
 
 
 @query(
@@ -142,7 +150,7 @@ def signal_sizes(spark, sf_dir):
     )
 )
 def finding_kpis(spark, sf_dir):
-    return rollups.finding_kpis(findings.classify(records(spark, sf_dir)))
+    return rollups.finding_kpis(classified(spark, sf_dir))
 
 
 @query(o.sql("SELECT doc_id, CAST(acl AS INTEGER) AS score, wide, writable, privileged, CAST(n_issues AS INTEGER) AS n_issues FROM access", "access"))
@@ -152,7 +160,7 @@ def acl_assessment(spark, sf_dir):
 
 @query(o.sql("SELECT doc_id, CAST(fold AS INTEGER) AS fold FROM scored", "scored"))
 def risk_score_fold(spark, sf_dir):
-    return findings.classify(records(spark, sf_dir)).select("doc_id", risk.folded("findings").alias("fold"))
+    return classified(spark, sf_dir).select("doc_id", risk.folded("findings").alias("fold"))
 
 
 @query(o.sql("SELECT doc_id, score, level FROM risk", "risk"))
@@ -208,19 +216,19 @@ OVERRIDES = [("finance", "HIGH", "ledgers"), ("credit_card", "critical", ""), ("
     )
 )
 def asset_override_first_match(spark, sf_dir):
-    return risk.assess(findings.classify(records(spark, sf_dir)), OVERRIDES).select("doc_id", "level", "score")
+    return risk.assess(classified(spark, sf_dir), OVERRIDES).select("doc_id", "level", "score")
 
 
 @query(
     o.sql(
         "SELECT r.doc_id, CASE WHEN l.toxic IS NULL THEN r.level WHEN l.toxic = 1 THEN 'CRITICAL' WHEN l.quality = 0 THEN 'MEDIUM' ELSE 'LOW' END AS level, "
-        "CAST(CASE WHEN l.toxic IS NULL THEN r.score WHEN l.toxic = 1 THEN 95 WHEN l.quality = 0 THEN 55 ELSE 20 END AS INTEGER) AS score FROM risk r LEFT JOIN labels l ON l.doc_id = r.doc_id AND r.doc_id % 3 = 0",
+        "CAST(CASE WHEN l.toxic IS NULL THEN r.score WHEN l.toxic = 1 THEN 95 WHEN l.quality = 0 THEN 55 ELSE 20 END AS INTEGER) AS score FROM risk r LEFT JOIN labels l ON l.doc_id = r.doc_id",
         "risk",
     )
 )
 def row_override_effective_risk(spark, sf_dir):
     rows = assessed(spark, sf_dir)
-    labels = table(spark, sf_dir, "labels").where("doc_id % 3 = 0")
+    labels = table(spark, sf_dir, "labels")
     forced = F.when(F.col("toxic") == 1, "CRITICAL").when(F.col("quality") == 0, "MEDIUM").otherwise("LOW")
     keys = inventory.stand_in(spark, sf_dir).select("doc_id", props.file_key().alias("file_key"))
     manual = keys.join(labels.select("doc_id", forced.alias("forced_level")), "doc_id").select("file_key", "forced_level")
@@ -344,7 +352,7 @@ def evaluated(spark, sf_dir):
 
 @query(o.sql("SELECT doc_id, category FROM categories", "categories"))
 def compliance_categories(spark, sf_dir):
-    return compliance.with_categories(findings.classify(records(spark, sf_dir))).select("doc_id", F.explode("categories").alias("category"))
+    return compliance.with_categories(classified(spark, sf_dir)).select("doc_id", F.explode("categories").alias("category"))
 
 
 @query(o.sql("SELECT doc_id, framework, base, data, evidence, exposure, location, protection, CAST(compliance_score AS INTEGER) AS score, control FROM evaluated", "evaluated"))
@@ -575,9 +583,9 @@ def keyword_import_replace_type(spark, sf_dir):
     return after.select("language", "type", "count")
 
 
-@query(o.sql('SELECT count(*) AS "groups", CAST(sum(len(terms)) AS BIGINT) AS terms, count(DISTINCT language) AS languages, count(DISTINCT category) AS categories FROM current', more=_LIBRARY))
+@query(o.sql('SELECT count(*) AS "groups", CAST(sum(len(terms)) AS BIGINT) AS terms, count(DISTINCT language) AS languages, count(DISTINCT category) AS categories FROM every', more={"every": _library_sql("true")}))
 def keyword_totals(spark, sf_dir):
-    return keywords.totals(library(spark, sf_dir, "p_partkey % 3 <> 0"))
+    return keywords.totals(library(spark, sf_dir, "true"))
 
 
 # -- validated personal data -----------------------------------------------------------
@@ -588,14 +596,20 @@ def _validated(spark, sf_dir, kind: str) -> DataFrame:
     return rows
 
 
-@query()
+@query(
+    o.sql(
+        "SELECT DISTINCT doc_id, value FROM (SELECT doc_id, unnest(regexp_extract_all(content, '" + o.EMAIL + "')) AS value FROM files) WHERE NOT contains(value, '..') "
+        "AND NOT starts_with(value, '.') AND len(list_filter(string_split(split_part(value, '@', 2), '.'), lambda x: starts_with(x, '-') OR ends_with(x, '-'))) = 0",
+        "files",
+    )
+)
 def gdpr_email(spark, sf_dir):
     return _validated(spark, sf_dir, "gdpr_email_address")
 
 
 @query(
     o.sql(
-        "SELECT DISTINCT doc_id, value FROM (SELECT doc_id, unnest(regexp_extract_all(content, '(?i)(?:^|[^A-Za-z0-9])((?:AZE|OR|AA)[ -]?[0-9]{7,8})(?:$|[^A-Za-z0-9])', 1)) AS value FROM files)", "files"
+        "SELECT DISTINCT doc_id, replace(replace(upper(value), ' ', ''), '-', '') AS value FROM (SELECT doc_id, unnest(regexp_extract_all(content, '(?i)(?:^|[^A-Za-z0-9])((?:AZE|OR|AA)[ -]?[0-9]{7,8})(?:$|[^A-Za-z0-9])', 1)) AS value FROM files)", "files"
     )
 )
 def gdpr_national_id(spark, sf_dir):
@@ -609,7 +623,7 @@ def gdpr_card_luhn(spark, sf_dir):
 
 @query(
     o.sql(
-        "SELECT DISTINCT doc_id, value FROM (SELECT doc_id, unnest(string_split_regex(content, '[^A-Za-z0-9]+')) AS value FROM files) WHERE regexp_full_match(value, '[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}') AND length(value) BETWEEN 15 AND 34 "
+        "SELECT DISTINCT doc_id, value FROM (SELECT doc_id, upper(unnest(string_split_regex(content, '[^A-Za-z0-9]+'))) AS value FROM files) WHERE regexp_full_match(value, '[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}') AND length(value) BETWEEN 15 AND 34 "
         "AND list_reduce(list_transform(string_split(substr(value, 5) || substr(value, 1, 4), ''), lambda c: CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END), lambda r, c: (r * CASE WHEN c > 9 THEN 100 ELSE 10 END + c) % 97, 0) = 1",
         "files",
     )
@@ -618,18 +632,58 @@ def gdpr_iban_mod97(spark, sf_dir):
     return _validated(spark, sf_dir, "gdpr_bank_account_data")
 
 
+def _rules(*types: str) -> tuple:
+    return tuple(r for r in personal_rules.RULES if r.type in types or not types)
+
+
+def _personal(spark, sf_dir, *types: str) -> DataFrame:
+    return personal.detect(inventory.stand_in(spark, sf_dir), _rules(*types))
+
+
 @query()
 def gdpr_near_keywords(spark, sf_dir):
-    return validated.near_keywords(inventory.stand_in(spark, sf_dir))
+    found = _personal(spark, sf_dir, "gdpr_phone_number", "gdpr_birth_details", "gdpr_fin_pin", "gdpr_salary_compensation")
+    return found.select("doc_id", "type", F.explode("samples").alias("value"))
 
 
-TERMS = [("custom_ledger", ["invoice register", "export"]), ("custom_code", ["git clone", "api_key"]), ("custom_people", ["patient", "board minutes"])]
+@query()
+def personal_findings(spark, sf_dir):
+    """All rules, over whole texts and paths."""
+    return _personal(spark, sf_dir)
+
+
+@query(o.sql(o.contextual({r.type: r.words for r in _rules("gdpr_race_ethnicity", "gdpr_religious_philosophical_belief")}, 220, 3, 160, 140), "files"))
+def personal_contextual(spark, sf_dir):
+    return _personal(spark, sf_dir, "gdpr_race_ethnicity", "gdpr_religious_philosophical_belief").select("doc_id", "type", F.explode("samples").alias("sample"))
+
+
+@query(o.sql("SELECT CAST(count(DISTINCT doc_id) AS BIGINT) AS files, category, count(*) AS findings FROM (" + o.contextual({r.type: r.words for r in _rules("gdpr_race_ethnicity", "gdpr_religious_philosophical_belief")}, 220, 3, 160, 140, "DISTINCT doc_id, type, 'special_category_context' AS category") + ") GROUP BY category", "files"))
+def personal_categories(spark, sf_dir):
+    found = _personal(spark, sf_dir, "gdpr_race_ethnicity", "gdpr_religious_philosophical_belief")
+    return found.groupBy("category").agg(F.count_distinct("doc_id").alias("files"), F.count(F.lit(1)).alias("findings"))
 
 
 @query()
+def personal_risk(spark, sf_dir):
+    """Score and level where personal data counts as well."""
+    rows = findings.classify(records(spark, sf_dir), keep_content=True)
+    return risk.assess(personal.into_findings(rows.drop("content"), personal.detect(rows))).select("doc_id", "score", "level", F.size("findings").alias("n_findings"))
+
+
+TERMS = [("custom_ledger", ["invoice register", "export"]), ("custom_code", ["git clone", "api_key"]), ("custom_people", ["patient", "board minutes"])]
+
+
+@query(
+    o.sql(
+        "SELECT doc_id, type, term FROM (SELECT doc_id, lower(content || ' ' || coalesce(name, '') || ' ' || coalesce(path, '') || ' ') AS evidence FROM files) "
+        "JOIN (VALUES " + ", ".join(f"('{k}', '{t}')" for k, ts in TERMS for t in ts) + ") t(type, term) ON regexp_matches(evidence, '(^|[^a-z0-9_])' || term || '($|[^a-z0-9_])')",
+        "files",
+    )
+)
 def custom_keyword_findings(spark, sf_dir):
-    groups = spark.createDataFrame(TERMS, "type string, terms array<string>")
-    return validated.custom_terms(inventory.stand_in(spark, sf_dir), groups)
+    groups = spark.createDataFrame([(k, t, "custom", k, "HIGH") for k, t in TERMS], "type string, terms array<string>, category string, label string, risk string")
+    found = personal.custom_terms(inventory.stand_in(spark, sf_dir), groups)
+    return found.select("doc_id", "type", F.explode("terms").alias("term"))
 
 
 # -- reports ---------------------------------------------------------------------------
@@ -642,7 +696,7 @@ def custom_keyword_findings(spark, sf_dir):
     )
 )
 def finding_data_types(spark, sf_dir):
-    rows = findings.long_form(findings.classify(records(spark, sf_dir)))
+    rows = findings.long_form(classified(spark, sf_dir))
     return rows.select("doc_id", "type", F.explode(report.data_types(F.col("type"))).alias("label"))
 
 
@@ -654,3 +708,140 @@ def risk_register(spark, sf_dir):
 @query()
 def reason_categories(spark, sf_dir):
     return report.reason_counts(assessed(spark, sf_dir))
+
+
+# -- views -----------------------------------------------------------------------------
+
+
+@query(
+    o.sql(
+        "SELECT CASE " + " ".join(f"WHEN extension IN ({', '.join(repr(e) for e in v)}) THEN '{k}'" for k, v in {"Custom": (".txt",), **views.EXTENSION_GROUPS}.items()) + " ELSE 'Other' END AS extension_group, count(*) AS files FROM normal GROUP BY 1",
+        "normal",
+    )
+)
+def extension_groups(spark, sf_dir):
+    return records(spark, sf_dir).groupBy(views.extension_group("extension", (".txt",)).alias("extension_group")).agg(F.count(F.lit(1)).alias("files"))
+
+
+@query(o.sql("SELECT tenant_id, CASE WHEN posture >= 80 THEN 'healthy exposure' WHEN posture >= 55 THEN 'watch risk concentration' ELSE 'remediate at once' END AS label FROM (SELECT tenant_id, CASE WHEN total_files <= 0 THEN 100 ELSE greatest(0, least(100, round_even(100 - (critical * 95 + high * 80 + medium * 55 + low * 20) / total_files, 0))) END AS posture FROM ranked WHERE back = 1)", more=_SCANS))
+def posture_labels(spark, sf_dir):
+    return history.latest(scans(spark, sf_dir)).select("tenant_id", views.posture_label(rollups.posture_from_counts()).alias("label"))
+
+
+@query(o.sql("SELECT scan_id, tenant_id FROM scans WHERE tenant_id = 3 ORDER BY created_at DESC, scan_id DESC LIMIT 200", more=_SCANS))
+def history_page(spark, sf_dir):
+    return views.history_page(views.of_tenant(scans(spark, sf_dir), 3)).select("scan_id", "tenant_id")
+
+
+@query(o.sql("SELECT scan_id FROM scans ORDER BY created_at DESC, scan_id LIMIT 50 OFFSET 100", more=_SCANS))
+def scans_third_page(spark, sf_dir):
+    return views.page(scans(spark, sf_dir), 3, 50, F.col("created_at").desc(), "scan_id").select("scan_id")
+
+
+@query(o.sql("SELECT tenant_id, CASE metric WHEN 'total_files' THEN 'Total files' ELSE upper(metric[1]) || metric[2:] END AS label, current, prior, delta FROM (" + " UNION ALL ".join(f"SELECT a.tenant_id, '{c}' AS metric, a.{c} AS current, b.{c} AS prior, a.{c} - b.{c} AS delta FROM ranked a JOIN ranked b ON a.tenant_id = b.tenant_id AND a.back = 1 AND b.back = 2" for c in history.COUNTERS) + ")", more=_SCANS))
+def report_comparison(spark, sf_dir):
+    return views.comparison(scans(spark, sf_dir))
+
+
+@query(o.sql(f"SELECT {o.KEY.replace('source', 'f.source').replace('share', 'f.share').replace('path', 'f.path')} AS key, f.path, e.sha256 AS previous_hash, f.sha256 AS current_hash, count(*) OVER () AS changed_files FROM files f JOIN earlier e ON f.path = e.path AND f.source = e.source AND f.share = e.share WHERE f.sha256 <> e.sha256 ORDER BY key LIMIT 100", "files", more=_EARLIER))
+def hash_changes_first_100(spark, sf_dir):
+    return views.hash_changes(*two_scans(spark, sf_dir))
+
+
+@query(o.sql(f"SELECT sha256 AS hash, count(*) AS files, first(name ORDER BY {o.KEY}) AS first_name FROM files GROUP BY sha256 HAVING count(*) > 1 ORDER BY files DESC, first_name, hash LIMIT 100", "files"))
+def hash_duplicates_first_100(spark, sf_dir):
+    return views.hash_duplicates(inventory.stand_in(spark, sf_dir).drop("content")).select("hash", "files", "first_name")
+
+
+@query(o.sql("SELECT f.doc_id, coalesce(f.sha256 <> e.sha256, false) AS hash_changed, count(*) OVER (PARTITION BY f.sha256) > 1 AS hash_duplicate FROM files f LEFT JOIN earlier e ON f.path = e.path AND f.source = e.source AND f.share = e.share", "files", more=_EARLIER))
+def integrity_flags(spark, sf_dir):
+    return views.integrity_flags(*two_scans(spark, sf_dir))
+
+
+@query(o.sql("SELECT count(*) FILTER (coalesce(trim(owner), '') <> '') AS owner_resolved, count(*) FILTER (coalesce(trim(owner), '') = '') AS owner_missing FROM files", "files"))
+def owners_resolved(spark, sf_dir):
+    return views.owners(inventory.stand_in(spark, sf_dir))
+
+
+@query(o.sql("SELECT doc_id, level, score FROM risk ORDER BY score DESC, doc_id LIMIT 6", "risk"))
+def executive_six(spark, sf_dir):
+    return views.executive(assessed(spark, sf_dir)).select("doc_id", "level", "score")
+
+
+@query(o.sql("SELECT doc_id, score, (SELECT count(*) FROM risk) AS total_files, (SELECT count(*) FROM risk) > 500 AS result_truncated FROM risk ORDER BY doc_id LIMIT 500", "risk"))
+def result_first_500(spark, sf_dir):
+    return views.truncated(assessed(spark, sf_dir)).select("doc_id", "score", "total_files", "result_truncated")
+
+
+@query(o.sql("SELECT type AS signal, count(DISTINCT doc_id) AS files, CAST(sum(count) AS BIGINT) AS hits, round(count(DISTINCT doc_id) * 100 / (SELECT count(*) FROM files), 1) AS percent_of_files FROM findings GROUP BY type", "findings", "files"))
+def workbook_signals(spark, sf_dir):
+    return views.sheets(assessed(spark, sf_dir), scans(spark, sf_dir))["signals"]
+
+
+@query(o.sql("SELECT doc_id, contains(lower(path), '/samples/') AS demo FROM files", "files"))
+def demo_paths(spark, sf_dir):
+    return inventory.stand_in(spark, sf_dir).select("doc_id", views.demo_path("path").alias("demo"))
+
+
+@query(o.sql("SELECT count(*) AS seen, count(*) FILTER (contains(path, '/.')) AS hidden, count(*) FILTER (contains(lower(path), '/windows/')) AS system FROM files", "files"))
+def scan_diagnostics(spark, sf_dir):
+    return views.diagnostics(inventory.stand_in(spark, sf_dir).drop("content"), 3).select("seen", "hidden", "system")
+
+
+@query("SELECT event_id FROM events WHERE event_type IN ('error', 'click')")
+def allowed_events(spark, sf_dir):
+    known = spark.createDataFrame([("error",), ("click",), ("error",)], "event_type string")
+    return views.allowed(table(spark, sf_dir, "events"), known, "event_type").select("event_id")
+
+
+@query(o.sql("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS place, type, risk, CAST(greatest(count, 1) AS INTEGER) AS count FROM findings", "findings"))
+def compliance_evidence(spark, sf_dir):
+    return compliance.evidence(assessed(spark, sf_dir)).select("doc_id", F.col("place").cast("long").alias("place"), "type", "risk", "count")
+
+
+@query(
+    o.sql(
+        "SELECT count(*) AS total, count(*) FILTER (score >= 85) AS critical, count(*) FILTER (score >= 70 AND score < 85) AS high, count(*) FILTER (score >= 40 AND score < 70) AS medium, count(*) FILTER (score < 40) AS low FROM (SELECT doc_id, max(compliance_score) AS score FROM evaluated WHERE framework IN ('gdpr', 'iso27001') GROUP BY doc_id)",
+        "evaluated",
+    )
+)
+def compliance_summary(spark, sf_dir):
+    found = compliance.summary(assessed(spark, sf_dir), ["GDPR", "iso27001", "gdpr"])
+    return found.select(F.col("total_compliance_findings").alias("total"), "critical", "high", "medium", "low")
+
+
+@query()
+def risk_recommendations(spark, sf_dir):
+    return assessed(spark, sf_dir).select("doc_id", F.posexplode(risk.recommendations()).alias("place", "advice"))
+
+
+@query()
+def endpoint_scopes(spark, sf_dir):
+    wanted = endpoints.scopes(["desktop", "All", "c_drive", "D:/data", "Projects/Secure"], "test.user01")
+    return spark.createDataFrame([(k, *w) for k, w in enumerate(wanted)], f"ord int, {endpoints.SCOPE}")
+
+
+@query(o.sql(f"SELECT {o.KEY} AS key, 'added' AS state FROM files WHERE {o.KEY} NOT IN (SELECT {o.KEY} FROM earlier) UNION ALL SELECT {o.KEY}, 'removed' FROM earlier WHERE {o.KEY} NOT IN (SELECT {o.KEY} FROM files) UNION ALL SELECT {o.KEY.replace('source', 'f.source').replace('share', 'f.share').replace('path', 'f.path')}, 'changed' FROM files f JOIN earlier e ON f.path = e.path AND f.source = e.source AND f.share = e.share WHERE f.sha256 <> e.sha256", "files", more=_EARLIER))
+def rescan_states(spark, sf_dir):
+    now, earlier = two_scans(spark, sf_dir)
+    return views.rescan(earlier, now)
+
+
+@query(o.sql("SELECT count(*) AS tenants, CAST(sum(critical) AS BIGINT) AS critical FROM nation LEFT JOIN (SELECT tenant_id, critical FROM ranked WHERE back = 1) ON tenant_id = n_nationkey", more=_SCANS))
+def portfolio_totals(spark, sf_dir):
+    tenants = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("tenant_id"), F.col("n_name").alias("name"))
+    return views.portfolio_totals(tenants, scans(spark, sf_dir)).select("tenants", "critical")
+
+
+@query(o.sql("SELECT 'source' AS list, source AS value FROM (SELECT DISTINCT source FROM risk) UNION ALL SELECT 'finding', type FROM (SELECT DISTINCT type FROM findings) UNION ALL SELECT 'finding', 'Protected / locked' WHERE EXISTS (SELECT 1 FROM risk WHERE locked)", "risk", "findings"))
+def pick_lists(spark, sf_dir):
+    return views.pick_lists(assessed(spark, sf_dir))
+
+
+@query("SELECT event_id FROM events e WHERE ts > TIMESTAMP '2024-01-14 00:00:00' AND event_type <> 'error' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND ts > TIMESTAMP '2024-01-14 00:00:00')")
+def live_tokens(spark, sf_dir):
+    """Events as tokens of their users, errors as revocations, at a fixed moment."""
+    events = table(spark, sf_dir, "events")
+    tokens = events.where("event_type <> 'error'").select("event_id", F.col("user_id").alias("token_id"), F.col("ts").alias("issued_at"))
+    revoked = events.where("event_type = 'error'").select(F.col("user_id").alias("token_id"), F.col("ts").alias("revoked_at"))
+    return views.live_tokens(tokens, revoked, F.lit(datetime(2024, 1, 21))).select("event_id")

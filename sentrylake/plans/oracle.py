@@ -12,6 +12,10 @@ from ..operators import risk
 from ..sources.inventory import record_columns
 
 
+#: The pattern of e-mail addresses, in SQL.
+EMAIL = r"\b[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}\b"
+
+
 def _q(values) -> str:
     return ", ".join("'" + str(v).replace("'", "''") + "'" for v in values)
 
@@ -197,3 +201,24 @@ FOLDER = (
 HEAT = "coalesce(nullif(share, ''), list_filter(string_split(path, '/'), lambda p: p <> '')[-2], nullif(source, ''))"
 KEY = "lower(source || '|' || share || '|' || path)"
 PLAN = {n: " ".join(f"WHEN '{k}' THEN '{v[i]}'" for k, v in risk.PLAN.items()) for i, n in enumerate(("status", "owner", "sla"))}
+
+
+def contextual(words: dict[str, tuple[str, ...]], longest: int, least: int, most: int, clip: int, columns: str = "DISTINCT doc_id, type, sample") -> str:
+    """Values that follow a context word: up to 20 in a text, cut at a bar, redacted, ten distinct ones."""
+    from ..functions.validators import PLACEHOLDERS
+
+    quoted = lambda x: "".join("\\" + c if c in "\\.^$|()[]{}*+?-/" else c for c in x).replace("'", "''")
+    tables = []
+    for kind, list_of in words.items():
+        anyone = "|".join(quoted(x) for x in sorted(set(list_of), key=len, reverse=True))
+        # the character that ends the word is the value's first, or one of the marks before it
+        pattern = rf"(?i)(?:^|[^A-Za-z0-9_])(?:{anyone})([^A-Za-z0-9_\r\n;][^\r\n;]{{0,{longest + 40}}})"
+        tables.append(f"SELECT doc_id, '{kind}' AS type, list_transform(regexp_extract_all(content, '{pattern}', 1), lambda x: regexp_replace(x, '^ *(?:[:=,-]|is\\b)? *', '')) AS raw FROM files")
+    return rf"""
+        SELECT {columns} FROM (
+            SELECT doc_id, type, unnest(list_distinct(list_transform(list_filter(list_transform(list_filter(list_transform(raw, lambda x: trim(substr(x, 1, {longest}), chr(9) || ' :=-,')), lambda x: x <> '')[1:20],
+                lambda x: trim(split_part(x, '|', 1), ' :=,-')), lambda x: length(trim(regexp_replace(x, '\s+', ' ', 'g'))) BETWEEN {least} AND {most} AND lower(trim(regexp_replace(x, '\s+', ' ', 'g'))) NOT IN ({_q(PLACEHOLDERS)})),
+                lambda x: CASE WHEN length(trim(regexp_replace(substr(x, 1, {clip}), '\s+', ' ', 'g'))) <= 6 THEN '***' ELSE left(trim(regexp_replace(substr(x, 1, {clip}), '\s+', ' ', 'g')), 3) || '***' || right(trim(regexp_replace(substr(x, 1, {clip}), '\s+', ' ', 'g')), 2) END))[1:10]) AS sample
+            FROM ({" UNION ALL ".join(tables)})
+        )
+    """

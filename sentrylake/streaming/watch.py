@@ -18,6 +18,11 @@ def failure_counts(failures: DataFrame, key: str, moment: str, window: str = "10
     )
 
 
+def revocations(revoked: DataFrame, moment: str = "revoked_at", kept: str = "7 days") -> DataFrame:
+    """Each revoked token once, for as long as a token can live: the state of older ones is dropped with the watermark."""
+    return revoked.withWatermark(moment, kept).dropDuplicatesWithinWatermark(["token_id"])
+
+
 def exceeding(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(F.col("failures") >= most)
 

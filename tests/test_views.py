@@ -1,0 +1,100 @@
+import pytest
+
+from sentrylake.functions.literals import leading
+from sentrylake.functions.personal_rules import RULES
+from sentrylake.operators import keywords, views
+from sentrylake.sources import endpoints, keyword_files
+from sentrylake.sources.stored import stored
+
+
+def test_endpoint_scopes():
+    wanted = ["desktop", "documents", "downloads", "profile_standard", "all", "all_profiles", "c_drive", "onedrive", "all_fixed_drives", "Projects\\Secure", "desktop"]
+    got = endpoints.scopes(wanted, "test.user01")
+    me = "test.user01"
+    assert got == [
+        ("folder", me, "Desktop"), ("folder", me, "Documents"), ("folder", me, "Downloads"), ("standard", me, ""), ("profile", me, ""), ("profiles", "", ""), ("path", "", "C:\\"), ("onedrive", me, ""),
+        ("drives", "", ""), ("relative", me, "Projects\\Secure"),
+    ]
+    assert endpoints.scopes(["C:/Users/x/Downloads", r"\\server\share"], me) == [("path", "", r"C:\Users\x\Downloads"), ("path", "", r"\\server\share")]
+    assert endpoints.scopes([]) == [("folder", "", "Desktop"), ("folder", "", "Documents"), ("folder", "", "Downloads")]
+    assert endpoints.scopes(["all", "work/x"]) == [("profiles", "", ""), ("path", "", "C:\\Users\\work\\x")] and endpoints.windows_path("D:") == "D:\\"
+
+
+def test_files_in_scopes(spark):
+    files = spark.createDataFrame([("C:\\Users\\jo\\Desktop\\a",), ("c:/users/jo/projects/b",), ("C:\\Users\\mia\\Desktop\\c",), ("D:\\data\\d",), ("\\\\server\\share\\e",)], "path string")
+    within = lambda *paths: [r[0][-1] for r in endpoints.in_scopes(files, endpoints.scopes(list(paths), "jo")).orderBy("path").collect()]
+    assert within("desktop") == ["a"] and sorted(within("all")) == ["a", "b"] and within("projects") == ["b"] and within("D:/data") == ["d"] and sorted(within("all_fixed_drives")) == ["a", "b", "c", "d"]
+    lists = spark.createDataFrame([("c:/USERS/jo/desktop/A", ["Everyone"], ["Write"], "jo"), ("c:/users/jo/desktop/a", ["Users"], ["Read"], None)], "path string, principals array<string>, permissions array<string>, owner string")
+    got = {r["path"][-1]: r for r in endpoints.with_access(files, lists).collect()}
+    assert got["a"]["principals"] == ["Everyone", "Users"] and got["a"]["owner"] == "jo" and got["a"]["has_acl"] and not got["d"]["has_acl"]
+    both = endpoints.of_workstation([files, files.limit(2)])
+    assert both.count() == 5 and both.select("source").distinct().first()[0] == "endpoint-local"
+
+
+def test_keyword_files(spark, tmp_path):
+    (tmp_path / "in.csv").write_text('\ufefftype,keyword,category\nMail Kind,"e-mail, private",PII\nMail Kind,"say ""hi""",PII\n,lost,PII\nother,,x\n', encoding="utf-8")
+    got = {r["type"]: r for r in keyword_files.read_csv(spark, f"file://{tmp_path}/in.csv").collect()}
+    assert got["mail_kind"]["terms"] == ["e-mail, private", 'say "hi"'] and got["mail_kind"]["category"] == "pii" and len(got) == 1
+    (tmp_path / "in.txt").write_text("# heading\none; two|'three'\n\nfour,\tfive\n")
+    assert sorted(r[0] for r in keyword_files.read_text(spark, f"file://{tmp_path}/in.txt").collect()) == ["five", "four", "one", "three", "two"]
+    assert keyword_files.read_json(spark, f"file://{tmp_path}/none").count() == 0
+    groups = spark.createDataFrame([("t1", "GDPR", "En", "PII", "Mail", "Mails", "high", "custom", ["Inbox", "inbox", "post"], "2024"), ("t2", "gdpr", "de", "pii", "mail", "", "odd", "built-in", ["Post"], "")], "tenant_id string, framework string, language string, category string, type string, label string, risk string, source string, terms array<string>, updated_at string")
+    clean = keyword_files.normalised(groups)
+    rows = {r["language"]: r for r in clean.collect()}
+    assert rows["en"]["terms"] == ["Inbox", "post"] and rows["en"]["risk"] == "HIGH" and rows["de"]["risk"] == "MEDIUM"
+    for kind in ("json", "csv", "txt"):
+        keyword_files.write(clean.drop("ord"), f"file://{tmp_path}/{kind}", kind)
+    assert keyword_files.read_json(spark, f"file://{tmp_path}/json").count() == 2
+    assert sorted(t for r in keyword_files.read_csv(spark, f"file://{tmp_path}/csv").collect() for t in r["terms"]) == ["Inbox", "Post", "post"]
+    assert keyword_files.read_text(spark, f"file://{tmp_path}/txt").count() == 3
+    with pytest.raises(ValueError):
+        keyword_files.write(clean, f"file://{tmp_path}/x", "pdf")
+    assert keywords.chosen(clean, language="de", source="built-in").count() == 1 and keywords.chosen(clean, source="all").count() == 2
+    built = keywords.built_in(spark, RULES)
+    assert built.count() == 67 and keywords.unknown_types(clean.withColumnRenamed("label", "name"), RULES).first()[0] == 2 and keywords.types(built).count() == 67
+    keyword_files.store(groups, f"file://{tmp_path}/store")
+    keyword_files.store(groups.where("tenant_id = 't1'").withColumn("language", groups.type), f"file://{tmp_path}/store")
+    assert spark.read.json(f"file://{tmp_path}/store").count() == 2
+
+
+def test_views(spark):
+    scans = spark.createDataFrame([(t, k, k) for t in ("a", "b") for k in range(5)], "tenant_id string, scan_id int, created_at int")
+    assert [r["scan_id"] for r in views.history_page(views.of_tenant(scans, "a"), 3).collect()] == [2, 3, 4]
+    assert len(views.history_page(scans, 0).collect()) == 1
+    assert [r["scan_id"] for r in views.page(scans.where("tenant_id = 'b'"), 2, 2, "scan_id").collect()] == [2, 3]
+    with pytest.raises(PermissionError):
+        views.of_tenant(scans, "a", "viewer", "admin")
+    users = spark.createDataFrame([("mia", "x", "viewer"), ("jo", "y", "admin")], "username string, password_hash string, role string")
+    assert [tuple(r) for r in views.listing(users).collect()] == [("jo", "admin"), ("mia", "viewer")]
+    files = spark.createDataFrame([(k, f"/users/{'jo' if k % 2 else 'mia'}/{k}", 10 - k, "jo" if k else " ") for k in range(5)], "doc_id long, path string, score int, owner string")
+    cut = views.truncated(files, 3).collect()
+    assert len(cut) == 3 and cut[0]["result_truncated"] and cut[0]["total_files"] == 5 and [r["doc_id"] for r in views.executive(files, 2).collect()] == [0, 1]
+    assert tuple(views.wrong_profile(files, "jo").first()) == (2, 3) and tuple(views.owners(files).first()) == (4, 1)
+    kinds = spark.createDataFrame([(".env",), (".pdf",), (".zzz",), (".own",)], "e string")
+    assert [r[0] for r in kinds.select(views.extension_group("e", (".own",))).collect()] == ["Secrets & config", "Documents", "Other", "Custom"]
+    labels = spark.createDataFrame([(80,), (55,), (10,)], "s int").select(views.posture_label("s", short=True))
+    assert [r[0] for r in labels.collect()] == ["Healthy", "Watch", "At risk"]
+    states = spark.createDataFrame([(".zip", ""), (".zip", "password_protected"), (".rar", ""), (".txt", "")], "e string, s string").select(views.archive_protection("e", "s").alias("p")).collect()
+    assert [(r["p"]["kind"], r["p"]["inspected"]) if r["p"] else None for r in states] == [("open", True), ("password_protected", False), ("unsupported_archive", False), None]
+    paths = spark.createDataFrame([("C:\\test_data\\a",), ("/home/Demo/x",), ("/home/democracy/x",)], "p string").select(views.demo_path("p"))
+    assert [r[0] for r in paths.collect()] == [True, True, False]
+    told = views.diagnostics(spark.createDataFrame([("/a/.b/c.txt",), ("/Windows/x.dll",), ("/d.csv",)], "path string"), 2).first()
+    assert (told["seen"], told["hidden"], told["system"], told["extensions"]) == (3, 1, 1, [".csv", ".dll", ".txt"]) and told["text"].startswith("seen 3; hidden 1")
+
+
+def test_leading_literals():
+    assert leading(r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b") == ("akia", "asia") and leading(r"\bglpat-[A-Za-z]{20,}") == ("glpat-",)
+    assert leading(r"\b(?:postgres(?:ql)?|mysql)://x") == ("postgres", "mysql") and leading(r"\bhttps?://[^:]") == ("http",)
+    assert leading(r"\b[A-Z]{6}") is None and leading(r"(?:\+994|0)(?:\s|-)?50") is None and leading(r"a(?:b|c)?") is None
+
+
+def test_stored_once(spark, tmp_path):
+    source = tmp_path / "in"
+    spark.range(3).write.parquet(f"file://{source}")
+    built = []
+    give = lambda: built.append(1) or spark.read.parquet(f"file://{source}")
+    for _ in range(2):
+        assert stored("t", f"file://{source}", give, spark).count() == 3
+    assert len(built) == 1
+    spark.range(5).write.mode("overwrite").parquet(f"file://{source}")
+    assert stored("t", f"file://{source}", give, spark).count() == 5 and len(built) == 2
