@@ -41,6 +41,8 @@ PARITY = 512
 MAX_BROADCAST_IDS = 2_000_000
 #: Pivots of a list in each round, about; the last number holds for all further rounds.
 PIVOTS = (2, 8, 64, 256)
+#: Ways in which the first round draws a pivot, by the value of the list.
+FIRST_PIVOTS = 6
 #: Sets in a file of the table they are stored in, about, and the most files of it.
 SETS_A_BUCKET, MOST_BUCKETS = 4_000, 50_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -181,10 +183,11 @@ def _lists(sets: DataFrame, percent: int) -> DataFrame:
 
 def _first_pivots(lists: DataFrame) -> DataFrame:
     """value, doc_id, n, component, pivot, first, other of the lists with two holders or more: the
-    smallest id and one drawn by hash are pivots, and stand beside every document of the list."""
+    smallest id and one drawn by hash are pivots, and stand beside every document of the list. The draw
+    depends on the value, so near copies that share many lists meet several pivots."""
     heads = (
         lists.groupBy("value")
-        .agg(F.count(F.lit(1)).alias("holders"), F.min("doc_id").alias("first"), F.min_by("doc_id", F.xxhash64("doc_id")).alias("other"))
+        .agg(F.count(F.lit(1)).alias("holders"), F.min("doc_id").alias("first"), F.min_by("doc_id", F.xxhash64("doc_id", F.pmod("value", F.lit(FIRST_PIVOTS)))).alias("other"))
         .where("holders > 1")
     )
     pivot = (F.col("doc_id") == F.col("first")) | (F.col("doc_id") == F.col("other"))
