@@ -87,6 +87,24 @@ def op10_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFram
     return near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import assign
+
+    return assign(_table(spark, sf_dir, "documents"))
+
+
 def _licence_sql() -> str:
     from .licences import COSINE, LICENCE_FILE, MARKERS, NOT_TOKEN, template_vectors
 
@@ -136,6 +154,18 @@ def _licence_sql() -> str:
     """
 
 
+def _divergence_sql() -> str:
+    from .divergence import duckdb_sql
+
+    return duckdb_sql()
+
+
+def _sharding_sql() -> str:
+    from .sharding import duckdb_sql
+
+    return duckdb_sql()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -149,11 +179,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language,
         op9_pseudo_likelihood,
         op10_embedding_near_duplicates,
+        op11_embedding_whitening,
+        op12_source_divergence,
+        op13_hilbert_sharding,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_licences": _licence_sql(),
+    "op12_source_divergence": _divergence_sql(),
+    "op13_hilbert_sharding": _sharding_sql(),
     "op6_warc": """
         WITH p AS (
             SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
