@@ -38,7 +38,8 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings, access and scores of all records: worked out once a scan, then read by every view."""
     source = f"{sf_dir}/documents.parquet"
-    return stored("assessed", source, lambda: risk.assess(findings.classify(records(spark, sf_dir))), spark)
+    rules = (fixed.DETECTORS, fixed.CONTEXTS, fixed.FINDING_WEIGHTS, fixed.EXTENSION_RISK)
+    return stored("assessed", source, lambda: risk.assess(findings.classify(records(spark, sf_dir))), spark, rules)
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
