@@ -148,3 +148,40 @@ def source_facet(assessed: DataFrame) -> DataFrame:
 
 def finding_facet(assessed: DataFrame) -> DataFrame:
     return assessed.select(F.explode(filters.facet_values()).alias("finding")).groupBy("finding").agg(F.count(F.lit(1)).alias("files"))
+
+
+def dashboard(assessed: DataFrame) -> DataFrame:
+    """rollup, value, files, critical, high, score, matches: seven rollups of a dashboard from one pass over the records.
+
+    ``department``, ``folder``, ``label`` (of the heat map) and ``level`` are grouping sets over the records; ``bucket`` (overlapping),
+    ``finding`` and ``category`` are a further set over what each record unfolds into, for which ``files`` counts records and ``matches`` their
+    findings. Levels and buckets without records have no row.
+    """
+    from .compliance import with_categories
+
+    one = lambda kind, value, n: F.struct(F.lit(kind).alias("kind"), value.alias("facet"), n.cast("long").alias("n"))
+    none = F.array().cast("array<struct<kind:string,facet:string,n:bigint>>")
+    each = F.concat(
+        F.array(one("record", F.lit(""), F.lit(0)), one("bucket", F.lit("ALL"), F.lit(0)), one("bucket", F.col("level"), F.lit(0))),
+        F.when(props.protected_in_views(), F.array(one("bucket", F.lit("PROTECTED"), F.lit(0)))).otherwise(none),
+        F.transform("findings", lambda f: one("finding", f["type"], f["count"])),
+        F.transform("categories", lambda c: one("category", c, F.lit(0))),
+    )
+    sets = ("department", "folder", "label", "level")
+    rows = with_categories(assessed).select(props.department().alias("department"), props.folder().alias("folder"), props.heat_group().alias("label"), "level", "score", F.explode(each).alias("e"))
+    rows = rows.select(*sets, "score", F.col("level").alias("own"), "e.kind", "e.facet", "e.n")
+    record = F.col("kind") == "record"
+    # grouped columns are null in the other sets, so counts use copies of them
+    rows = rows.withColumns({"is_record": record, "critical_record": record & (F.col("own") == "CRITICAL"), "high_record": record & (F.col("own") == "HIGH"), "points": F.when(record, F.col("score"))})
+    found = rows.groupingSets([*[[F.col(c)] for c in sets], [F.col("kind"), F.col("facet")]], *sets, "kind", "facet").agg(
+        F.grouping("facet").alias("whole"), *[F.grouping(c).alias(f"no_{c}") for c in sets], F.count_if("is_record").alias("records"), F.count_if("critical_record").alias("critical"),
+        F.count_if("high_record").alias("high"), F.sum("points").alias("score"), F.count(F.lit(1)).alias("times"), F.sum("n").alias("matches"),
+    )
+    name, value = F.when(F.col("whole") == 0, F.col("kind")), F.when(F.col("whole") == 0, F.col("facet"))
+    for c in sets:
+        name, value = name.when(F.col(f"no_{c}") == 0, c), value.when(F.col(f"no_{c}") == 0, F.col(c))
+    own = F.col("whole") == 1
+    files = F.when(own, F.col("records")).otherwise(F.col("times"))
+    only = lambda c: F.when(own, F.col(c)).alias(c)
+    out = found.where(own | (F.col("kind") != "record")).select(name.alias("rollup"), value.alias("value"), files.alias("files"), only("critical"), only("high"), only("score"), "matches")
+    return out.withColumn("matches", F.when(F.col("rollup") == "finding", F.col("matches")))

@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import observed, rescan
-from ..operators.filters import depth_at_most
 from ..functions import props
-from ..sources import inventory, listings, walk
+from ..operators import history, observed, report_store, rescan, rollups
+from ..operators.filters import depth_at_most
+from ..sources import inflate, inventory, listings, walk
 from ..sources.stored import kept, new_folder
+from ..streaming import sinks, tokens
+from ..streaming.watch import watch_scans
 from . import oracle as o
-from .catalogue import _EARLIER, query, records
+from .catalogue import _EARLIER, _SCANS, assessed, query, scans
+
+
+@contextmanager
+def set_conf(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for as long as the block runs."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 def _documents(sf_dir: str) -> str:
@@ -129,3 +148,157 @@ def incremental_texts_read(spark, sf_dir):
     rescan.refresh(spark, store, inventory.normalise(inventory.previous(now)))
     table, seen = rescan.refresh(spark, store, inventory.normalise(now))
     return table.agg(F.count(F.lit(1)).alias("files")).withColumn("detected", F.lit(int(seen.get["detected"])).cast("long"))
+
+
+# -- streams and sinks -----------------------------------------------------------------------------
+
+
+def _in_files(rows: DataFrame, order: str, name: str, files: int = 4) -> tuple[str, str]:
+    """The rows as a folder of files by ``order``, for a stream to read; its path and schema."""
+    path = new_folder(rows.sparkSession, name)
+    rows.repartitionByRange(files, order).write.parquet(path)
+    return path, rows.schema
+
+
+_LAST = "(SELECT max(ts) FROM events)"
+
+
+@query(
+    f"SELECT event_id FROM events WHERE event_type <> 'error' AND ts > {_LAST} - INTERVAL 7 DAYS AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND ts > {_LAST} - INTERVAL 7 DAYS)"
+)
+def live_tokens_streamed(spark, sf_dir):
+    """Tokens alive at the last event's moment; the list of revocations comes from a stream with state and timers."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    revoked = events.where("event_type = 'error'").select(F.col("user_id").cast("string").alias("token_id"), F.col("ts").alias("revoked_at"))
+    path, schema = _in_files(revoked, "revoked_at", "revocations")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(path)
+    changes = new_folder(spark, "changes")
+    with set_conf(spark, *tokens.STORE):
+        run = tokens.revocation_changes(stream, 7, "7 days").writeStream.foreachBatch(sinks.append_once(changes)).option("checkpointLocation", new_folder(spark, "checkpoint"))
+        run.trigger(availableNow=True).start().awaitTermination()
+    last = events.agg(F.max("ts").alias("last"))
+    moment = F.lit(last.first()["last"])
+    gone = tokens.revoked_at_moment(sinks.appended(spark, changes, tokens.CHANGE), moment)
+    alive = events.where(F.col("event_type") != "error").where(F.col("ts") > moment - F.expr("INTERVAL 7 DAYS"))
+    return alive.withColumn("token_id", F.col("user_id").cast("string")).join(gone, "token_id", "left_anti").select("event_id")
+
+
+ALERT = "tenant_id long, scan_id long, severity string, critical long"
+
+
+@query(o.sql("SELECT CAST(tenant_id AS BIGINT) AS tenant_id, scan_id, 'CRITICAL' AS severity, critical FROM scans WHERE critical > 0", more=_SCANS))
+def alert_log(spark, sf_dir):
+    """Scans arrive in files; each alerting one is logged once, though the first batch is handed on twice."""
+    path, schema = _in_files(scans(spark, sf_dir), "scan_id", "scans")
+    table = new_folder(spark, "alerts")
+    put = sinks.append_once(table)
+
+    def tell(found: DataFrame, number: int) -> None:
+        rows = found.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in ALERT.split(", ")])
+        put(rows, number)
+        if number == 0:
+            put(rows, number)
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    watch_scans(stream, tell, new_folder(spark, "checkpoint")).awaitTermination()
+    return sinks.appended(spark, table, ALERT)
+
+
+# -- reports as documents ----------------------------------------------------------------------------
+
+
+def reports(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Stored reports of three generations, and later ones that replace every fifth; as (JSON) text, the way they arrive."""
+    every = scans(spark, sf_dir)
+    shapes = {
+        0: F.struct(F.struct(*history.COUNTERS).alias("summary"), F.lit("first").alias("format")),
+        1: F.struct(F.lit(2).alias("version"), F.struct(F.struct(*history.COUNTERS).alias("counts"), F.array("tenant_id").alias("tenants")).alias("scan")),
+        2: F.struct(F.lit(3).alias("version"), F.col("total_files").alias("total"), *[F.col(c).cast("string").alias(f"{c}_files") for c in history.COUNTERS[:-1]]),
+    }
+    text = F.coalesce(*[F.when(F.col("scan_id") % 3 == k, F.to_json(s)) for k, s in shapes.items()])
+    later = every.where("scan_id % 5 = 0").withColumns({"critical": F.col("critical") + 1, "created_at": F.col("created_at") + F.expr("INTERVAL 1 DAY")})
+    again = every.where("scan_id % 10 = 0").withColumn("critical", F.lit(99).cast("long"))
+    named = lambda rows: report_store.parsed(rows.select("tenant_id", "scan_id", F.col("created_at").cast("timestamp").alias("created_at"), text.alias("report"))).drop("broken")
+    return named(every), named(later).unionByName(named(again))
+
+
+def upserted(spark, sf_dir) -> DataFrame:
+    path = new_folder(spark, "reports")
+    report_store.keep_last(*reports(spark, sf_dir)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query(o.sql("SELECT tenant_id, scan_id, CAST(scan_id % 3 + 1 AS INTEGER) AS generation, critical + CASE WHEN scan_id % 5 = 0 THEN 1 ELSE 0 END AS critical, high, medium, low, total_files FROM scans", more=_SCANS))
+def report_counters(spark, sf_dir):
+    """Counters read out of stored reports of three shapes, after later reports have replaced some."""
+    return report_store.counters(upserted(spark, sf_dir)).drop("created_at")
+
+
+@query(o.sql("SELECT CAST(scan_id % 3 AS BIGINT) AS shape, count(*) AS reports FROM scans GROUP BY 1", more=_SCANS))
+def report_shapes(spark, sf_dir):
+    """How many stored reports there are of each shape; shapes are told by their own schemas."""
+    found = report_store.shapes(upserted(spark, sf_dir))
+    number = F.when(F.col("shape").contains("summary"), 0).when(F.col("shape").contains("counts"), 1).otherwise(2).cast("long")
+    return found.groupBy(number.alias("shape")).agg(F.sum("reports").alias("reports"))
+
+
+# -- archives ------------------------------------------------------------------------------------------
+
+
+def archive_folder(spark, sf_dir) -> str:
+    """A folder of ZIP archives of twenty files each; every third archive holds another with the first of them."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("doc_id")
+        group, out, inner = int(rows["part"].iloc[0]), io.BytesIO(), io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            for name, content in zip(rows["name"], rows["content"], strict=True):
+                archive.writestr(name, content)
+            if group % 3 == 0:
+                with zipfile.ZipFile(inner, "w") as second:
+                    second.writestr(rows["name"].iloc[0], rows["content"].iloc[0])
+                archive.writestr("inner.zip", inner.getvalue())
+        return pd.DataFrame({"path": [f"/part_{group}.zip"], "content": [out.getvalue()]})
+
+    def write(path: str) -> None:
+        files = inventory.stand_in(spark, sf_dir).select("doc_id", "name", "content", F.expr("doc_id div 20").alias("part"))
+        walk.put(files.groupBy("part").applyInPandas(pack, "path string, content binary"), path)
+
+    return kept("archives", _documents(sf_dir), write, spark)
+
+
+@query(
+    o.sql(
+        "SELECT '/part_' || doc_id // 20 || '.zip::' || name AS entry, CAST(strlen(content) AS BIGINT) AS size, sha256, substr(content, 1, 40) AS head FROM files UNION ALL "
+        "SELECT '/part_' || doc_id // 20 || '.zip::inner.zip::' || name, strlen(content), sha256, substr(content, 1, 40) FROM files WHERE (doc_id // 20) % 3 = 0 QUALIFY row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id) = 1",
+        "files",
+    )
+)
+def archive_entries(spark, sf_dir):
+    """Entries of the archives that a walk finds, inflated and hashed in pieces; archives themselves are left out of the list."""
+    folder = archive_folder(spark, sf_dir)
+    found = inflate.contents(walk.walk(spark, folder).select("path"), folder)
+    return found.where("entry LIKE '%::%' AND entry NOT LIKE '%::inner.zip' AND protection IS NULL").select("entry", F.col("entry_size").alias("size"), "sha256", F.substring("preview", 1, 40).alias("head"))
+
+
+# -- one pass ------------------------------------------------------------------------------------------
+
+
+def _rollup(name: str, value: str) -> str:
+    return f"SELECT '{name}' AS rollup, {value} AS value, count(*) AS files, count(*) FILTER (level = 'CRITICAL') AS critical, count(*) FILTER (level = 'HIGH') AS high, CAST(sum(score) AS BIGINT) AS score, NULL::BIGINT AS matches FROM risk GROUP BY 2"
+
+
+@query(
+    o.sql(
+        " UNION ALL ".join(_rollup(*x) for x in (("department", o.DEPARTMENT), ("folder", o.FOLDER), ("label", o.HEAT), ("level", "level")))
+        + " UNION ALL SELECT 'bucket', bucket, count(*), NULL, NULL, NULL, NULL FROM (SELECT 'ALL' AS bucket FROM risk UNION ALL SELECT level FROM risk UNION ALL SELECT 'PROTECTED' FROM risk WHERE locked) GROUP BY bucket "
+        "UNION ALL SELECT 'finding', type, count(*), NULL, NULL, NULL, CAST(sum(count) AS BIGINT) FROM findings GROUP BY type UNION ALL SELECT 'category', category, count(*), NULL, NULL, NULL, NULL FROM categories GROUP BY category",
+        "risk", "categories",
+    )
+)
+def dashboard_one_pass(spark, sf_dir):
+    return rollups.dashboard(assessed(spark, sf_dir))
