@@ -165,4 +165,4 @@ def export(files: DataFrame, folder: str) -> None:
 
 def target_folder(folder: str, kind: str, target: str) -> str:
     """Where the answers of one target lie."""
-    return f"{folder}/kind={quote(kind)}/target={quote(target)}"
+    return f"{folder}/kind={quote(kind, safe="")}/target={quote(target, safe="")}"
