@@ -61,15 +61,15 @@ def valid_name(value: Column) -> Column:
     return F.length(name).between(2, 100) & (F.size(part) <= 5) & words
 
 
-def valid_date(value: Column) -> Column:
-    """Three numbers that are a day from 1900 on, year first or last, of this year at most."""
+def valid_date(value: Column, this_year: Column) -> Column:
+    """Three numbers that are a day from 1900 on, year first or last, of ``this_year`` at most."""
     n = F.transform(F.regexp_extract_all(value, F.lit(r"(\d+)"), F.lit(1)), lambda x: x.try_cast("int"))
     a, b, c = (F.try_element_at(n, F.lit(k)) for k in (1, 2, 3))
     year = F.when((c < 100) & (c <= 30), c + 2000).when(c < 100, c + 1900).otherwise(c)
 
     def real(y: Column, m: Column, d: Column) -> Column:
         day = F.to_date(F.try_to_timestamp(F.format_string("%04d-%02d-%02d", y, m, d), F.lit("yyyy-MM-dd")))
-        return F.coalesce(y.between(1900, F.year(F.current_date())) & day.isNotNull(), F.lit(False))
+        return F.coalesce(y.between(1900, this_year) & day.isNotNull(), F.lit(False))
 
     return (F.size(n) == 3) & F.when(a > 31, real(a, b, c)).otherwise(real(year, b, a) | real(year, a, b))
 

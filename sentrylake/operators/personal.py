@@ -1,17 +1,20 @@
-"""Personal and confidential data in texts: all rules as one table, joined with the texts they may concern.
+"""Personal and confidential data in texts: each step of each rule an expression of its own, with its patterns as literals.
 
 An automaton over all context words (a short function on Arrow batches) says which rules can
-have anything in a text; only those (text, step) pairs are looked at, by built-in functions. What each
-step needs stands in the rule table, which is broadcast: its size does not depend on the data.
+have anything in a text; only their expressions are evaluated there. A text is read where it lies: it is
+neither copied for each step nor joined with anything, and Spark compiles each pattern once a task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import replace
+from functools import reduce
+from operator import and_, or_
+from types import SimpleNamespace
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import validators as v
@@ -25,12 +28,8 @@ MOST_SAMPLES, MOST_VALUES = 10, 20
 SIDE = 150
 #: Terms of user-defined groups, all in all, that may be matched at once.
 MOST_TERMS = 10_000
-_STEP = (
-    "rule int, step int, kind string, pattern string, own_words array<string>, words array<string>, window int, in_value boolean, anywhere boolean, also string, unless array<string>, "
-    "unless_window int, unless_but string, around string, sorted_by array<string>, check string, form string, clip int, cut string, trim string, accept string, "
-    "accept_lower string, accept_word string, accept_both string, least int, most int, text_needs string, short int, long int, needs string, word_needs string, "
-    "word_skips string, skips string, skips_but string, value_skips string, inner string, inner_first boolean, extensions array<string>"
-)
+#: Expressions of rules, by application: all rules are some 200,000 calls of the driver's Java side, which are made once.
+_BUILT: dict[tuple, Column] = {}
 
 
 def _word_values(words: Iterable[str], longest: int) -> str:
@@ -38,33 +37,27 @@ def _word_values(words: Iterable[str], longest: int) -> str:
     return rf"(?iU)(?<![A-Za-z0-9_])({v.any_of(known)})(?![A-Za-z0-9_])\s*(?:[:=,-]|\bis\b)?\s*([^\r\n;]{{1,{longest}}})"
 
 
-def _step_row(number: int, place: int, rule: Rule, step) -> tuple:
+def _settings(rule: Rule, step) -> SimpleNamespace:
+    """What the expression of a step depends on, in one form for all kinds of steps."""
     get = lambda name, default=None: getattr(step, name, default) or default
-    words = [x.lower() for x in (get("words") or rule.words)]
+    least, most = get("text", (None, None))
+    short, long = getattr(step, "size", (0, 0))
     if step.kind == "near":
         # the text is led by SIDE line feeds, so that there are as many characters left of any match
         p = "(?U)" + step.pattern
         pattern = rf"(?=(?:{p}))(?<=([\s\S]{{{SIDE}}}))(?=([\s\S]{{0,{SIDE}}}))((?:{p}))"
     else:
         pattern = _word_values(rule.words, step.longest) if step.kind == "after" else get("or_pattern")
-    least, most = get("text", (None, None))
-    short, long = getattr(step, "size", (0, 0))
-    unless = [x.lower() for x in (get("unless") or get("not_after") or ())]
-    return (
-        number, place, step.kind, pattern, list(rule.words), words, getattr(step, "window", 0), getattr(step, "in_value", False), getattr(step, "anywhere", False), get("also"), unless or None,
-        getattr(step, "unless_window", 0) or SIDE, get("unless_but"), get("around"), list(get("sorted_by", ())) or None, get("check", ""), get("form", ""), getattr(step, "clip", 1000),
-        get("cut"), getattr(step, "trim", ""), get("accept"), get("accept_lower"), get("accept_word"), get("accept_both"), least, most, get("text_needs"), short, long,
-        get("needs"), get("word_needs"), get("word_skips"), get("skips"), get("skips_but"), get("value_skips"), get("inner", ""), getattr(step, "inner_first", False),
-        list(get("extensions", ())) or None,
+    return SimpleNamespace(
+        kind=step.kind, pattern=pattern, plain=get("pattern"), words=[x.lower() for x in (get("words") or rule.words)], window=getattr(step, "window", 0), in_value=getattr(step, "in_value", False),
+        anywhere=getattr(step, "anywhere", False), also=get("also"), unless=[x.lower() for x in (get("unless") or get("not_after") or ())], unless_window=getattr(step, "unless_window", 0) or SIDE,
+        unless_but=get("unless_but"), around=get("around"), sorted_by=list(get("sorted_by", ())), check=get("check", ""), form=get("form", ""), clip=getattr(step, "clip", 1000),
+        cut=get("cut"), trim=getattr(step, "trim", ""), accept=get("accept"), accept_lower=get("accept_lower"), accept_word=get("accept_word"), accept_both=get("accept_both"),
+        least=least, most=most, text_needs=get("text_needs"), short=short, long=long, needs=get("needs"), word_needs=get("word_needs"), word_skips=get("word_skips"),
+        skips=get("skips"), skips_but=get("skips_but"), value_skips=get("value_skips"), inner=get("inner", ""), inner_first=getattr(step, "inner_first", False), extensions=list(get("extensions", ())),
     )
 
 
-def rule_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
-    """A row per step of each rule."""
-    rows = [_step_row(n, k, rule, step) for n, rule in enumerate(rules) for k, step in enumerate(rule.steps)]
-    return spark.createDataFrame(rows, _STEP)
-
-
 def rules_in(lowered: Column, rules: tuple[Rule, ...]) -> Column:
     """Numbers of the rules that a lower-cased text holds a word or trigger of."""
     led: dict[str, set[int]] = {}
@@ -86,85 +79,123 @@ def rules_in(lowered: Column, rules: tuple[Rule, ...]) -> Column:
     return found(lowered)
 
 
-def _holds(text: Column, words: Column) -> Column:
-    return F.coalesce(F.exists(words, lambda w: text.contains(w)), F.lit(False))
+def _list(words: Iterable[str]) -> Column:
+    """The words as an array; a literal once Spark has folded it."""
+    return F.split(F.lit("\x00".join(words)), "\x00")
 
 
-def _found(pattern: Column, text: Column, missing: bool) -> Column:
-    """Whether a pattern of the rule table is found; ``missing`` where there is none."""
-    return F.when(pattern.isNull(), F.lit(missing)).otherwise(F.rlike(text, pattern))
+def _holds(text: Column, words: list[str]) -> Column:
+    """Whether a whole text has one of the words in it."""
+    return F.exists(_list(words), lambda w: text.contains(w)) if words else F.lit(False)
 
 
-def _all(text: Column, pattern: str | Column, group: int = 0) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(group))
+def _close(text: Column, words: list[str]) -> Column:
+    """The same of a few characters about a match, as one pattern."""
+    return text.rlike(v.any_of(words)) if words else F.lit(False)
 
 
-def _ok(value: Column, check: Column, context: Column) -> Column:
-    """The check of a step, by its name."""
-    first = F.regexp_substr(value, F.lit("^[^,;|/-]*"))
-    parts = F.split(value, "[,;|/-]")
-    coordinates = F.split(value, ",")
-    hardware = (
-        (value.rlike(v.whole(MAC)) | value.rlike(v.whole(MAC_DOTTED))) & v.valid_mac(value) | value.rlike(v.whole(IMEI)) & v.valid_imei(value)
-    )
-    face = F.lower(value).rlike(v.any_of(("face", "facial", "biometric", "embedding", "vector", "template", "uz", "sifet"))) & value.rlike(FACE_VECTOR)
-    contact = ~F.lower(value).isin("unknown", "null", "none", "test", "demo", "sample", "n/a", "na") & (
-        value.rlike(v.EMAIL) | value.rlike(v.PHONE) | v.valid_address(value) | F.exists(parts, v.is_relation) | v.valid_name(F.btrim(first))
-    )
+def _found(pattern: str | None, text: Column, missing: bool) -> Column:
+    """Whether a pattern is found; ``missing`` where there is none."""
+    return F.lit(missing) if pattern is None else text.rlike(pattern)
+
+
+def _any(*told: Column | bool) -> Column:
+    """Whether any holds; what is False in any row is left out."""
+    return reduce(or_, [t for t in told if t is not False], F.lit(False))
+
+
+def _all(text: Column, pattern: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+
+def _ok(value: Column, check: str, context: Callable[[], Column]) -> Column:
+    """The check of a step, by its name; null without one."""
+
+    def contact() -> Column:
+        first = F.regexp_substr(value, F.lit("^[^,;|/-]*"))
+        told = value.rlike(v.EMAIL) | value.rlike(v.PHONE) | v.valid_address(value) | F.exists(F.split(value, "[,;|/-]"), v.is_relation) | v.valid_name(F.btrim(first))
+        return ~F.lower(value).isin("unknown", "null", "none", "test", "demo", "sample", "n/a", "na") & told
+
+    def hardware() -> Column:
+        return (value.rlike(v.whole(MAC)) | value.rlike(v.whole(MAC_DOTTED))) & v.valid_mac(value) | value.rlike(v.whole(IMEI)) & v.valid_imei(value)
+
+    def face() -> Column:
+        return v.looks_like_base64(value) | F.lower(value).rlike(v.any_of(("face", "facial", "biometric", "embedding", "vector", "template", "uz", "sifet"))) & value.rlike(FACE_VECTOR)
+
+    def coordinates() -> Column:
+        pair = F.split(value, ",")
+        return v.valid_coordinates(F.btrim(pair[0]), F.btrim(pair[1]))
+
     checks = {
-        "name": v.valid_name(value), "email": v.valid_email(value), "phone": v.valid_phone(value), "address": v.valid_address(value), "ip": v.valid_ip(value),
-        "mac": v.valid_mac(value), "imei": v.valid_imei(value), "card": v.valid_card(value), "iban": v.valid_iban(value), "free_text": v.valid_free_text(value),
-        "secret": v.valid_secret(value), "secret_no_jwt": v.valid_secret(value) & ~value.rlike(v.whole(JWT)), "base64": v.looks_like_base64(value),
-        "mixed": value.rlike("(?U)[\\p{L}]") & value.rlike(r"(?U)\d"), "coordinates": v.valid_coordinates(F.btrim(coordinates[0]), F.btrim(coordinates[1])),
-        "hardware": hardware, "face": v.looks_like_base64(value) | face, "contact": contact,
-        "key_file": context & v.valid_secret(value) & F.lower(value).rlike(v.any_of(("key", "pfx", "p12", "jks", "keystore", "passphrase"))),
+        "name": v.valid_name, "email": v.valid_email, "phone": v.valid_phone, "address": v.valid_address, "ip": v.valid_ip, "mac": v.valid_mac, "imei": v.valid_imei, "card": v.valid_card,
+        "iban": v.valid_iban, "free_text": v.valid_free_text, "secret": v.valid_secret, "secret_no_jwt": lambda x: v.valid_secret(x) & ~x.rlike(v.whole(JWT)), "base64": v.looks_like_base64,
+        "mixed": lambda x: x.rlike("(?U)[\\p{L}]") & x.rlike(r"(?U)\d"), "coordinates": lambda _: coordinates(), "hardware": lambda _: hardware(), "face": lambda _: face(), "contact": lambda _: contact(),
+        "key_file": lambda x: context() & v.valid_secret(x) & F.lower(x).rlike(v.any_of(("key", "pfx", "p12", "jks", "keystore", "passphrase"))),
     }
-    out = F.lit(None).cast("boolean")
-    for name, told in checks.items():
-        out = F.when(check == name, told).otherwise(out)
-    return out
-
-
-def _formed(value: Column, form: Column) -> Column:
-    # what an assignment gives, what a query asks for
-    assigned = F.btrim(F.btrim(F.regexp_replace(value, r"\A[A-Za-z0-9_.-]*\s*[:=]\s*", "")), F.lit("'\""))
-    query = F.btrim(F.regexp_replace(value, r"\A[^:=]*[:=]\s*", ""), F.lit(" :=,-"))
-    return (
-        F.when(form == "upper", F.upper(value)).when(form == "compact", F.upper(F.regexp_replace(value, "[ -]", "")))
-        .when(form == "strip", F.btrim(F.regexp_replace(value, r"(?U)^\s+|\s+$", ""))).when(form == "assigned", assigned).when(form == "query", query).otherwise(value)
-    )
+    return checks[check](value) if check in checks else F.lit(None).cast("boolean")
 
 
-def _near_values(text: Column, s: dict[str, Column], context: Column) -> Column:
-    led = F.concat(F.lit("\n" * SIDE), text)
-    sides = F.arrays_zip(_all(led, s["pattern"], 1).alias("left"), _all(led, s["pattern"], 3).alias("value"), F.when(s["around"].isNotNull(), _all(led, s["pattern"], 2)).otherwise(F.array().cast("array<string>")).alias("right"))
+def _formed(value: Column, form: str) -> Column:
+    if form == "assigned":  # what an assignment gives
+        return F.btrim(F.btrim(F.regexp_replace(value, r"\A[A-Za-z0-9_.-]*\s*[:=]\s*", "")), F.lit("'\""))
+    if form == "query":  # what a query asks for
+        return F.btrim(F.regexp_replace(value, r"\A[^:=]*[:=]\s*", ""), F.lit(" :=,-"))
+    if form == "compact":
+        return F.upper(F.regexp_replace(value, "[ -]", ""))
+    if form == "strip":
+        return F.btrim(F.regexp_replace(value, r"(?U)^\s+|\s+$", ""))
+    return F.upper(value) if form == "upper" else value
 
-    def counts(m: Column) -> Column:
-        left = F.lower(m["left"])
-        window = lambda size: F.substring(left, F.lit(SIDE + 1) - size, size)
-        value = m["value"]
-        word = (
-            (s["window"] == 0) | _holds(window(s["window"]), s["words"]) | (s["in_value"] & _holds(F.lower(value), s["words"]))
-            | (s["anywhere"] & context) | _found(s["also"], value, False)
-        )
-        spoilt = _holds(window(s["unless_window"]), s["unless"]) & ~_found(s["unless_but"], window(F.lit(140)), False)
-        around = _found(s["around"], F.concat(left, F.lit(" "), F.lower(m["right"])), True)
-        query = (s["form"] != "query") | F.length(_formed(value, s["form"])).between(2, 160)
-        checked = F.when(s["form"] == "assigned", _formed(value, s["form"])).otherwise(value)
-        return word & ~spoilt & around & query & F.coalesce(_ok(checked, s["check"], context), F.lit(True))
-
-    kept = F.transform(F.filter(sides, counts), lambda m: F.substring(_formed(m["value"], s["form"]), F.lit(1), s["clip"]))
-    by_word = F.flatten(F.transform(s["sorted_by"], lambda w: F.filter(kept, lambda x: F.lower(x) == w)))
-    return F.when(s["sorted_by"].isNull(), kept).otherwise(by_word)
 
+def _near_values(text: Column, s: SimpleNamespace, context: Callable[[], Column]) -> Column:
+    led = F.concat(F.lit("\n" * SIDE), text)
+    parts = [_all(led, s.pattern, 1).alias("left"), _all(led, s.pattern, 3).alias("value")]
+    if s.around:
+        parts.append(_all(led, s.pattern, 2).alias("right"))
 
-def _inner_values(value: Column, candidate: Column, kind: Column) -> Column:
+    def counts(m: Column) -> Column:
+        left, value = F.lower(m["left"]), m["value"]
+        window = lambda size: F.substring(left, SIDE + 1 - size, size)
+        told = []
+        if s.window:
+            told.append(_any(_close(window(s.window), s.words), s.in_value and _close(F.lower(value), s.words), s.anywhere and context(), bool(s.also) and _found(s.also, value, False)))
+        if s.unless:
+            told.append(~(_close(window(s.unless_window), s.unless) & ~_found(s.unless_but, window(140), False)))
+        if s.around:
+            told.append(_found(s.around, F.concat(left, F.lit(" "), F.lower(m["right"])), True))
+        if s.form == "query":
+            told.append(F.length(_formed(value, s.form)).between(2, 160))
+        if s.check:
+            told.append(F.coalesce(_ok(_formed(value, s.form) if s.form == "assigned" else value, s.check, context), F.lit(True)))
+        return reduce(and_, told, F.lit(True))
+
+    # most texts have no match: one plain search says so
+    sides = F.when(text.rlike("(?U)" + s.plain), F.arrays_zip(*parts))
+    kept = F.coalesce(F.transform(F.filter(sides, counts), lambda m: F.substring(_formed(m["value"], s.form), 1, s.clip)), F.array().cast("array<string>"))
+    if not s.sorted_by:
+        return kept
+    return F.flatten(F.transform(_list(s.sorted_by), lambda w: F.filter(kept, lambda x: F.lower(x) == w)))
+
+
+def _inner_values(value: Column, candidate: Column, kind: str) -> Column:
     """What is found inside a value that follows a context word."""
     none = F.array().cast("array<string>")
     first = lambda found: F.slice(found, 1, 1)
-    pair = F.filter(first(_all(value, COORDINATES)), lambda p: v.valid_coordinates(F.btrim(F.split(p, ",")[0]), F.btrim(F.split(p, ",")[1])))
-    lat, lng = F.regexp_extract(value, LATITUDE, 1), F.regexp_extract(value, LONGITUDE, 1)
-    fields = F.when((lat != "") & (lng != "") & v.valid_coordinates(lat, lng), F.array(F.concat(lat, F.lit(", "), lng))).otherwise(none)
+    if kind == "dates":
+        return F.filter(_all(value, DATE), lambda d: v.valid_date(d, F.col("this_year")))
+    if kind == "pair":
+        pair = F.filter(first(_all(value, COORDINATES)), lambda p: v.valid_coordinates(F.btrim(F.split(p, ",")[0]), F.btrim(F.split(p, ",")[1])))
+        lat, lng = F.regexp_extract(value, LATITUDE, 1), F.regexp_extract(value, LONGITUDE, 1)
+        fields = F.when((lat != "") & (lng != "") & v.valid_coordinates(lat, lng), F.array(F.concat(lat, F.lit(", "), lng))).otherwise(none)
+        return F.when(F.size(pair) > 0, pair).otherwise(fields)
+    if kind == "url":
+        return F.transform(first(_all(value, URL)), lambda u: F.substring(u, 1, 160))
+    if kind == "card":
+        return F.filter(first(_all(candidate, CARD)), lambda _: v.valid_card(candidate))
+    if kind == "iban":
+        return F.transform(F.filter(first(_all(candidate, IBAN)), v.valid_iban), lambda x: F.upper(x))
+    if kind != "users":
+        return none
     # parts up to the first user name; the last piece of a URL is one that does not end the search
     told = F.transform(
         F.split(value, r"[,;|\r\n]"),
@@ -173,56 +204,55 @@ def _inner_values(value: Column, candidate: Column, kind: Column) -> Column:
     )
     named = F.filter(told, lambda t: F.coalesce(t["name"].isNotNull() & v.valid_username(t["name"]), F.lit(False)))
     end = F.array_position(F.transform(named, lambda t: t["ends"]), True)
-    users = F.transform(F.when(end > 0, F.slice(named, F.lit(1), end)).otherwise(named), lambda t: t["name"])
-    return (
-        F.when(kind == "dates", F.filter(_all(value, DATE), v.valid_date))
-        .when(kind == "pair", F.when(F.size(pair) > 0, pair).otherwise(fields))
-        .when(kind == "url", F.transform(first(_all(value, URL)), lambda u: F.substring(u, 1, 160)))
-        .when(kind == "card", F.filter(first(_all(candidate, CARD)), lambda _: v.valid_card(candidate)))
-        .when(kind == "iban", F.transform(F.filter(first(_all(candidate, IBAN)), v.valid_iban), lambda x: F.upper(x)))
-        .when(kind == "users", users)
-        .otherwise(none)
-    )
+    return F.transform(F.when(end > 0, F.slice(named, F.lit(1), end)).otherwise(named), lambda t: t["name"])
 
 
-def _after_values(text: Column, s: dict[str, Column], context: Column) -> Column:
+def _after_values(text: Column, lowered: Column, s: SimpleNamespace, context: Callable[[], Column]) -> Column:
+    # the text is searched once; a match by itself, which begins at its word, parts into the same groups
     pairs = F.transform(
-        F.arrays_zip(_all(text, s["pattern"], 1).alias("word"), _all(text, s["pattern"], 2).alias("value")),
-        lambda p: F.struct(p["word"].alias("word"), F.btrim(p["value"], F.lit(" \t:=-,")).alias("value")),
+        _all(text, s.pattern), lambda m: F.struct(F.regexp_extract(m, s.pattern, 1).alias("word"), F.btrim(F.regexp_extract(m, s.pattern, 2), F.lit(" \t:=-,")).alias("value"))
     )
     pairs = F.slice(F.filter(pairs, lambda p: p["value"] != ""), 1, MOST_VALUES)
+    none = F.array().cast("array<string>")
 
     def cut(value: Column) -> Column:
-        piece = F.when(s["cut"].isNull(), value).otherwise(F.split(value, s["cut"], 2)[0])
-        return F.when(s["trim"] != "", F.btrim(piece, s["trim"])).when(s["cut"].isNull(), piece).otherwise(F.regexp_replace(piece, r"(?U)^\s+|\s+$", ""))
+        piece = value if s.cut is None else F.split(value, s.cut, 2)[0]
+        if s.trim:
+            return F.btrim(piece, F.lit(s.trim))
+        return piece if s.cut is None else F.regexp_replace(piece, r"(?U)^\s+|\s+$", "")
 
     def given(p: Column) -> Column:
-        value, candidate = p["value"], cut(p["value"])
-        word, lower = F.lower(p["word"]), F.lower(candidate)
+        value, candidate, lower, word = p["value"], p["candidate"], p["lower"], F.lower(p["word"])
         both = F.concat(word, F.lit(" "), lower)
-        barred = (
-            (_found(s["skips"], both, False) & ~_found(s["skips_but"], both, False)) | _found(s["word_skips"], word, False)
-            | _found(s["value_skips"], candidate, False) | _found(s["value_skips"], lower, False)
-        )
-        at = F.call_function("locate", lower, F.lower(text))
-        start = F.greatest(at - 1 - SIDE, F.lit(0))
-        left = F.substring(F.lower(text), start + 1, at - 1 - start)
-        barred = barred | (s["unless"].isNotNull() & (at > 0) & _holds(left, s["unless"]))
-        fits = _found(s["needs"], both, True) & _found(s["word_needs"], word, True) & F.length(candidate).between(s["short"], s["long"])
-        birthplace = F.when(
-            s["check"] == "birthplace",
-            v.valid_name(candidate) & F.lower(value).rlike(v.any_of(("city", "country", "place", "yer", "seher", "olke", "rayon"))),
-        ).otherwise(F.coalesce(_ok(candidate, s["check"], context), F.lit(False)))
-        told = (
-            (s["least"].isNotNull() & v.valid_text(candidate, s["least"], s["most"]) & _found(s["text_needs"], lower, True))
-            | _found(s["accept"], candidate, False) | _found(s["accept_lower"], lower, False) | _found(s["accept_word"], word, False) | _found(s["accept_both"], both, False)
-            | birthplace
+        barred = [
+            bool(s.skips) and _found(s.skips, both, False) & ~_found(s.skips_but, both, False), bool(s.word_skips) and _found(s.word_skips, word, False),
+            bool(s.value_skips) and (_found(s.value_skips, candidate, False) | _found(s.value_skips, lower, False)),
+        ]
+        if s.unless:
+            at = F.call_function("locate", lower, lowered)
+            start = F.greatest(at - 1 - SIDE, F.lit(0))
+            barred.append((at > 0) & _close(F.substring(lowered, start + 1, at - 1 - start), s.unless))
+        fits = F.length(candidate).between(s.short, s.long)
+        if s.needs:
+            fits = fits & _found(s.needs, both, True)
+        if s.word_needs:
+            fits = fits & _found(s.word_needs, word, True)
+        if s.check == "birthplace":
+            checked = v.valid_name(candidate) & F.lower(value).rlike(v.any_of(("city", "country", "place", "yer", "seher", "olke", "rayon")))
+        else:
+            checked = bool(s.check) and F.coalesce(_ok(candidate, s.check, context), F.lit(False))
+        told = _any(
+            s.least is not None and v.valid_text(candidate, s.least, s.most) & _found(s.text_needs, lower, True), bool(s.accept) and _found(s.accept, candidate, False),
+            bool(s.accept_lower) and _found(s.accept_lower, lower, False), bool(s.accept_word) and _found(s.accept_word, word, False), bool(s.accept_both) and _found(s.accept_both, both, False), checked,
         )
-        own = F.when(fits & ~barred & F.coalesce(told, F.lit(False)), F.array(F.substring(_formed(candidate, s["form"]), F.lit(1), s["clip"]))).otherwise(F.array().cast("array<string>"))
-        inner = _inner_values(value, candidate, s["inner"])
-        return F.when(s["inner"] == "", own).when(s["inner_first"] & (F.size(inner) > 0), inner).otherwise(F.concat(inner, own))
+        own = F.when(fits & ~_any(*barred) & F.coalesce(told, F.lit(False)), F.array(F.substring(_formed(candidate, s.form), 1, s.clip))).otherwise(none)
+        if not s.inner:
+            return own
+        inner = _inner_values(value, candidate, s.inner)
+        return F.when(F.size(inner) > 0, inner).otherwise(F.concat(inner, own)) if s.inner_first else F.concat(inner, own)
 
-    return F.flatten(F.transform(pairs, given))
+    cuts = F.transform(pairs, lambda p: F.struct(p["word"].alias("word"), p["value"].alias("value"), cut(p["value"]).alias("candidate"), F.lower(cut(p["value"])).alias("lower")))
+    return F.flatten(F.transform(cuts, given))
 
 
 def _stands_alone(blob: Column, words: Column) -> Column:
@@ -238,46 +268,62 @@ def _stands_alone(blob: Column, words: Column) -> Column:
     return F.slice(F.array_distinct(F.filter(F.transform(words, v.squeezed), lambda w: (w != "") & there(w))), 1, MOST_SAMPLES)
 
 
-def detect(records: DataFrame, rules: tuple[Rule, ...] = RULES, words: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+def detect(records: DataFrame, rules: tuple[Rule, ...] = RULES, words: dict[str, tuple[str, ...]] | None = None, this_year: int | None = None) -> DataFrame:
     """doc_id, pos, type, risk, description, count, samples, framework, category, tier, label, matched_keywords: a row per record of ``records`` (doc_id, name, path, extension,
     content) and rule that finds a value in it, ``pos`` by the order of the rules.
 
-    ``words`` gives rules (by type) other context words. At most ten distinct redacted values
+    ``words`` gives rules (by type) other context words; dates count up to ``this_year`` (without it, the clock's). At most ten distinct redacted values
     count. Null and empty texts have findings by their path only. doc_id tells records apart; rows without
     one are left out. Only findings are shuffled, no texts.
     """
     rules = tuple(replace(r, words=words[r.type]) if words and r.type in words else r for r in rules)
-    steps = F.broadcast(rule_table(records.sparkSession, rules))
-    text = F.coalesce("content", F.lit(""))
     has = {f.lower() for f in records.columns}
     named = [F.coalesce(F.col(c).cast("string"), F.lit("")) if c in has else F.lit("") for c in ("path", "name", "extension", "content_status", "scan_error")]
+    year = F.year(F.current_date()) if this_year is None else F.lit(this_year)
     rows = records.where("doc_id is not null").select(
-        "doc_id", text.alias("text"), *[c.alias(f"f{k}") for k, c in enumerate(named)]
+        "doc_id", F.coalesce("content", F.lit("")).alias("text"), *[c.alias(f"f{k}") for k, c in enumerate(named)], year.alias("this_year")
     ).withColumn("about", F.lower(F.concat_ws(" ", *[f"f{k}" for k in range(5)])))
-    gated = rows.withColumn("rules", rules_in(F.lower(F.concat_ws(" ", "text", "about")), rules)).where("size(rules) > 0")
-    pairs = gated.withColumn("rule", F.explode("rules")).join(steps, "rule")
-    s = {c.split()[0]: F.col(c.split()[0]) for c in _STEP.split(", ")}
-    context = _holds(F.col("about"), s["words"]) | _holds(F.lower("text"), s["words"])
-    of_kind = F.coalesce(F.array_contains(s["extensions"], F.lower("f2")), F.lit(False)) | _found(s["pattern"], F.col("text"), False)
+    rows = once(rows, lowered=F.lower("text"))
+    gated = rows.withColumn("rules", rules_in(F.concat_ws(" ", "lowered", "about"), rules)).where("size(rules) > 0")
+    text, lowered, about = F.col("text"), F.col("lowered"), F.col("about")
     name = F.coalesce(F.nullif("f1", F.lit("")), F.nullif(F.element_at(F.split("f0", r"[\\/]"), -1), F.lit("")), F.lit("artifact"))
-    values = (
-        F.when(s["kind"] == "near", _near_values(F.col("text"), s, context))
-        .when(s["kind"] == "after", _after_values(F.col("text"), s, context))
-        .otherwise(F.when(context & of_kind, F.array(name)).otherwise(F.array().cast("array<string>")))
-    )
-    seen = F.slice(F.array_distinct(F.transform(values, lambda x: redacted(x, squeeze=True))), 1, MOST_SAMPLES)
-    evidence = F.lower(F.concat_ws(" ", "text", "f1", "f0", "f2"))
-    # within a function of arrays, since so large an expression is beyond what Spark compiles; and once a row
-    found = once(pairs, seen=F.transform(F.array(F.lit(0)), lambda _: seen)[0]).where("size(seen) > 0").select("doc_id", "rule", "step", "seen", _stands_alone(evidence, s["own_words"]).alias("matched"))
-    by_rule = found.groupBy("doc_id", "rule").agg(F.array_sort(F.collect_list(F.struct("step", "seen"))).alias("steps"), F.first("matched").alias("matched_keywords"))
-    samples = F.slice(F.array_distinct(F.flatten(F.transform("steps", lambda x: x["seen"]))), 1, MOST_SAMPLES)
-    about = F.broadcast(
-        records.sparkSession.createDataFrame(
-            [(n, r.type, r.risk, r.description, r.category, r.tier, r.label) for n, r in enumerate(rules)],
-            "rule int, type string, risk string, description string, category string, tier string, label string",
+    none = F.array().cast("array<string>")
+
+    def seen(rule: Rule, step) -> Column:
+        s = _settings(rule, step)
+        context = lambda: _holds(about, s.words) | _holds(lowered, s.words)
+        if s.kind == "near":
+            values = _near_values(text, s, context)
+        elif s.kind == "after":
+            values = _after_values(text, lowered, s, context)
+        else:
+            of_kind = _any(bool(s.extensions) and F.lower("f2").isin(*s.extensions), bool(s.pattern) and _found(s.pattern, text, False))
+            values = F.when(context() & of_kind, F.array(name)).otherwise(none)
+        return F.slice(F.array_distinct(F.transform(values, lambda x: redacted(x, squeeze=True))), 1, MOST_SAMPLES)
+
+    def steps_of(number: int, rule: Rule) -> Column:
+        every = F.array(*[F.struct(F.lit(k).alias("step"), seen(rule, step).alias("seen")) for k, step in enumerate(rule.steps)])
+        return F.when(F.array_contains("rules", number), F.struct(F.lit(number).alias("rule"), F.filter(every, lambda x: F.size(x["seen"]) > 0).alias("steps")))
+
+    spark = records.sparkSession
+    key = (spark.sparkContext.applicationId, rules)
+    if key not in _BUILT:
+        # within a function of arrays, since so large an expression is beyond what Spark compiles
+        _BUILT[key] = F.transform(F.array(F.lit(0)), lambda _: F.filter(F.array(*[steps_of(n, r) for n, r in enumerate(rules) if r.steps]), lambda x: F.size(x["steps"]) > 0))[0]
+    every = _BUILT[key]
+    found = gated.select("doc_id", F.lower(F.concat_ws(" ", "text", "f1", "f0", "f2")).alias("evidence"), F.explode(every).alias("x"))
+    facts = F.broadcast(
+        spark.createDataFrame(
+            [(n, list(r.words), r.type, r.risk, r.description, r.category, r.tier, r.label) for n, r in enumerate(rules)],
+            "rule int, own_words array<string>, type string, risk string, description string, category string, tier string, label string",
         )
     )
-    return by_rule.withColumn("samples", samples).join(about, "rule").select(
+    marked = found.select("doc_id", "evidence", F.col("x.rule").alias("rule"), F.col("x.steps").alias("steps")).join(facts.select("rule", "own_words"), "rule")
+    marked = once(marked, matched=_stands_alone(F.col("evidence"), F.col("own_words"))).select("doc_id", "rule", "steps", "matched")
+    # rows of one record come together: a record may be repeated
+    by_rule = marked.groupBy("doc_id", "rule").agg(F.array_sort(F.flatten(F.collect_list("steps"))).alias("steps"), F.first("matched").alias("matched_keywords"))
+    samples = F.slice(F.array_distinct(F.flatten(F.transform("steps", lambda x: x["seen"]))), 1, MOST_SAMPLES)
+    return by_rule.withColumn("samples", samples).join(facts.drop("own_words"), "rule").select(
         "doc_id", (F.col("rule") + 1).alias("pos"), "type", "risk", "description", F.size("samples").alias("count"), "samples",
         F.lit("gdpr").alias("framework"), "category", "tier", "label", "matched_keywords",
     )

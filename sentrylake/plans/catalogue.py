@@ -637,8 +637,12 @@ def _rules(*types: str) -> tuple:
     return tuple(r for r in personal_rules.RULES if r.type in types or not types)
 
 
+#: The year that dates of birth are compared with, in place of the clock's.
+THIS_YEAR = 2026
+
+
 def _personal(spark, sf_dir, *types: str) -> DataFrame:
-    return personal.detect(inventory.stand_in(spark, sf_dir), _rules(*types))
+    return personal.detect(inventory.stand_in(spark, sf_dir), _rules(*types), this_year=THIS_YEAR)
 
 
 @query()
@@ -668,7 +672,7 @@ def personal_categories(spark, sf_dir):
 def personal_risk(spark, sf_dir):
     """Score and level where personal data counts as well."""
     rows = findings.classify(records(spark, sf_dir), keep_content=True)
-    return risk.assess(personal.into_findings(rows.drop("content"), personal.detect(rows))).select("doc_id", "score", "level", F.size("findings").alias("n_findings"))
+    return risk.assess(personal.into_findings(rows.drop("content"), personal.detect(rows, this_year=THIS_YEAR))).select("doc_id", "score", "level", F.size("findings").alias("n_findings"))
 
 
 TERMS = [("custom_ledger", ["invoice register", "export"]), ("custom_code", ["git clone", "api_key"]), ("custom_people", ["patient", "board minutes"])]
