@@ -246,9 +246,13 @@ def report_shapes(spark, sf_dir):
 
 
 def archive_folder(spark, sf_dir) -> str:
-    """A folder of ZIP archives of twenty files each; every third archive holds another with the first of them."""
+    """A folder of ZIP archives of twenty files each; every third archive holds another with the first of them.
+
+    Contents that would shrink beyond the cap on ratios are stored as they are.
+    """
     import io
     import zipfile
+    import zlib
 
     import pandas as pd
 
@@ -257,7 +261,9 @@ def archive_folder(spark, sf_dir) -> str:
         group, out, inner = int(rows["part"].iloc[0]), io.BytesIO(), io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
             for name, content in zip(rows["name"], rows["content"], strict=True):
-                archive.writestr(name, content)
+                raw = content.encode()
+                dense = len(raw) < 50 * len(zlib.compress(raw))
+                archive.writestr(name, raw, zipfile.ZIP_DEFLATED if dense else zipfile.ZIP_STORED)
             if group % 3 == 0:
                 with zipfile.ZipFile(inner, "w") as second:
                     second.writestr(rows["name"].iloc[0], rows["content"].iloc[0])
