@@ -88,6 +88,15 @@ def top_findings(classified: DataFrame, k: int = 6) -> DataFrame:
     return finding_totals(classified).orderBy(F.col("matches").desc(), "type").limit(k)
 
 
+def findings_and_changes(classified: DataFrame, flags: DataFrame) -> DataFrame:
+    """type, matches, files: :func:`finding_totals` and how many files each type has, with the pseudo types that integrity
+    flags (doc_id, hash_changed, hash_duplicate) make of files: ``Hash changed`` and ``Duplicate hash``, one match a file."""
+    own = classified.select("doc_id", F.explode("findings").alias("f")).select("doc_id", F.col("f.type").alias("type"), F.greatest("f.count", F.lit(1)).alias("count"))
+    names = F.array(F.when(F.col("hash_changed"), "Hash changed"), F.when(F.col("hash_duplicate"), "Duplicate hash"))
+    pseudo = flags.select("doc_id", F.explode(F.array_compact(names)).alias("type"), F.lit(1).alias("count"))
+    return own.unionByName(pseudo).groupBy("type").agg(F.sum("count").alias("matches"), F.count_distinct("doc_id").alias("files"))
+
+
 def signal_sizes(classified: DataFrame, k: int = 6) -> DataFrame:
     """The top findings with a size relative to the largest."""
     largest = F.max("matches").over(Window.partitionBy(F.lit(1)))  # k rows
@@ -116,6 +125,14 @@ def remediation_queue(assessed: DataFrame, k: int = 18) -> DataFrame:
     return _ranked(assessed.where(F.col("level").isin("CRITICAL", "HIGH", "MEDIUM") | props.protected_in_views()), k)
 
 
+def remediation_tickets(assessed: DataFrame, k: int = 18) -> DataFrame:
+    """The remediation queue with what its rows show: ticket, term and status of the plan, and as owner the file's own, else the plan's."""
+    from .risk import remediation
+
+    rows = remediation_queue(assessed, k).withColumn("plan", remediation())
+    return rows.select("doc_id", "name", "level", "score", "plan.ticket", "plan.sla", "plan.status", F.coalesce(props.blank(F.trim("owner")), F.col("plan.owner")).alias("owner"))
+
+
 def findings_queue(assessed: DataFrame, k: int = 10) -> DataFrame:
     return _ranked(assessed.where((F.size("findings") > 0) | F.col("level").isin("CRITICAL", "HIGH")), k)
 

@@ -521,10 +521,51 @@ def login_failure_window(spark, sf_dir):
     return history.failures_in_window(errors, "user_id", "ts", 86400)
 
 
-@query("SELECT * FROM (VALUES ('finance', 'HIGH', 'block-and-alert', 'ledgers'), ('fr/', 'MEDIUM', 'monitor', 'reading room')) t(name, severity, action, reason)")
+_WORST = f"SELECT {o.DEPARTMENT} AS department, max(CASE level WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END) AS worst, count(*) FILTER (level = 'CRITICAL') AS critical FROM risk GROUP BY 1"
+
+
+@query(o.sql(f"SELECT lower(department) AS name, ['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][worst] AS severity, CASE WHEN worst >= 3 THEN 'block-and-alert' ELSE 'monitor' END AS action, critical || ' critical files' AS reason FROM ({_WORST})", "risk"))
 def dlp_policy(spark, sf_dir):
-    rows = [("finance", "HIGH", "ledgers"), ("fr/", "MEDIUM", "reading room")]
-    return history.level_policy(spark.createDataFrame(rows, "pattern string, level string, reason string"))
+    """Each department's worst level as an override of its paths, turned into a policy."""
+    rank = F.array_position(F.array(*map(F.lit, ("LOW", "MEDIUM", "HIGH", "CRITICAL"))), F.col("level"))
+    worst = assessed(spark, sf_dir).groupBy(props.department().alias("department")).agg(F.max_by("level", rank).alias("level"), F.count_if(F.col("level") == "CRITICAL").alias("critical"))
+    return history.level_policy(worst.select(F.lower("department").alias("pattern"), "level", F.concat("critical", F.lit(" critical files")).alias("reason")))
+
+
+@query(
+    o.sql(
+        SUMMARY_SQL.replace("FROM risk", "FROM (SELECT r.* REPLACE (CASE WHEN l.toxic IS NULL THEN r.level WHEN l.toxic = 1 THEN 'CRITICAL' WHEN l.quality = 0 THEN 'MEDIUM' ELSE 'LOW' END AS level) FROM risk r LEFT JOIN labels l ON l.doc_id = r.doc_id)"),
+        "risk",
+    )
+)
+def effective_summary(spark, sf_dir):
+    """The summary after manual overrides of levels."""
+    forced = F.when(F.col("toxic") == 1, "CRITICAL").when(F.col("quality") == 0, "MEDIUM").otherwise("LOW")
+    keys = inventory.stand_in(spark, sf_dir).select("doc_id", props.file_key().alias("file_key"))
+    manual = keys.join(table(spark, sf_dir, "labels").select("doc_id", forced.alias("forced_level")), "doc_id").select("file_key", "forced_level")
+    return rollups.summary(risk.effective(assessed(spark, sf_dir), manual))
+
+
+@query(
+    o.sql(
+        "SELECT type, CAST(sum(count) AS BIGINT) AS matches, count(DISTINCT doc_id) AS files FROM findings GROUP BY type UNION ALL SELECT 'Hash changed', count(*), count(*) FROM files f JOIN earlier e ON f.path = e.path AND f.source = e.source AND f.share = e.share WHERE f.sha256 <> e.sha256 HAVING count(*) > 0 "
+        "UNION ALL SELECT 'Duplicate hash', count(*), count(*) FROM (SELECT count(*) OVER (PARTITION BY sha256) AS n FROM files) WHERE n > 1 HAVING count(*) > 0",
+        "findings", "files", more=_EARLIER,
+    )
+)
+def finding_stats_with_integrity(spark, sf_dir):
+    return rollups.findings_and_changes(classified(spark, sf_dir), views.integrity_flags(*two_scans(spark, sf_dir)))
+
+
+@query(
+    o.sql(
+        f"SELECT doc_id, name, level, score, {_TICKET} AS ticket, CASE level {o.PLAN['sla']} END AS sla, CASE level {o.PLAN['status']} END AS status, coalesce(nullif(trim(owner), ''), CASE level {o.PLAN['owner']} END) AS owner "
+        "FROM risk WHERE level IN ('CRITICAL', 'HIGH', 'MEDIUM') OR locked ORDER BY score DESC, doc_id LIMIT 18",
+        "risk",
+    )
+)
+def remediation_tickets(spark, sf_dir):
+    return rollups.remediation_tickets(assessed(spark, sf_dir))
 
 
 # -- keyword library -------------------------------------------------------------------
@@ -820,10 +861,15 @@ def risk_recommendations(spark, sf_dir):
     return assessed(spark, sf_dir).select("doc_id", F.posexplode(risk.recommendations()).alias("place", "advice"))
 
 
-@query()
+_USER_PATH = "'C:\\Users\\' || CASE doc_id % 3 WHEN 0 THEN 'test.user01' WHEN 1 THEN 'Other' ELSE 'Third' END || CASE doc_id % 5 WHEN 0 THEN '\\Desktop' WHEN 1 THEN '\\Documents' WHEN 2 THEN '\\Projects\\Secure' WHEN 3 THEN '\\AppData' ELSE '' END || '\\doc_' || doc_id || '.txt'"
+
+
+@query("WITH f AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'D:/data/doc_' || doc_id ELSE " + _USER_PATH + " END AS path FROM documents) SELECT doc_id, path FROM f WHERE starts_with(path, 'D:/data/') OR starts_with(path, 'C:\\Users\\test.user01\\Desktop\\') OR starts_with(path, 'C:\\Users\\test.user01\\Projects\\Secure\\')")
 def endpoint_scopes(spark, sf_dir):
-    wanted = endpoints.scopes(["desktop", "All", "c_drive", "D:/data", "Projects/Secure"], "test.user01")
-    return spark.createDataFrame([(k, *w) for k, w in enumerate(wanted)], f"ord int, {endpoints.SCOPE}")
+    """Documents as files of three users of a machine: those in one user's desktop, a folder below that profile and a folder of a drive."""
+    path = F.expr("CASE WHEN doc_id % 7 = 0 THEN 'D:/data/doc_' || doc_id ELSE " + _USER_PATH.replace("\\", "\\\\") + " END")
+    files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"))
+    return endpoints.in_scopes(files, endpoints.scopes(["desktop", "D:/data", "Projects/Secure"], "test.user01"))
 
 
 @query(o.sql(f"SELECT {o.KEY} AS key, 'added' AS state FROM files WHERE {o.KEY} NOT IN (SELECT {o.KEY} FROM earlier) UNION ALL SELECT {o.KEY}, 'removed' FROM earlier WHERE {o.KEY} NOT IN (SELECT {o.KEY} FROM files) UNION ALL SELECT {o.KEY.replace('source', 'f.source').replace('share', 'f.share').replace('path', 'f.path')}, 'changed' FROM files f JOIN earlier e ON f.path = e.path AND f.source = e.source AND f.share = e.share WHERE f.sha256 <> e.sha256", "files", more=_EARLIER))
