@@ -73,6 +73,12 @@ def riskiest_folders(assessed: DataFrame, k: int = 6) -> DataFrame:
     return by_folder(assessed).orderBy(F.col("score").desc(), "folder").limit(k)
 
 
+def report_heatmap(assessed: DataFrame, k: int = 8) -> DataFrame:
+    """The riskiest folders as a report shades them: each by its score's share of the largest, 0.16 at least."""
+    largest = F.greatest(F.max("score").over(Window.partitionBy(F.lit(1))), F.lit(1)).cast("double")  # k rows
+    return riskiest_folders(assessed, k).select("folder", "files", "score", F.greatest(F.lit(0.16), F.col("score") / largest).alias("opacity"))
+
+
 def folder_heatmap(assessed: DataFrame, k: int = 12) -> DataFrame:
     """The groups with the most risk, with an intensity between 0.06 and 0.32."""
     top = _grouped(assessed, props.heat_group(), "label").drop("high").orderBy(F.col("score").desc(), "label").limit(k)

@@ -264,7 +264,7 @@ def risk_labels(spark, sf_dir):
     return assessed(spark, sf_dir).select("doc_id", props.risk_label("level", "score").alias("label"))
 
 
-@query()
+@query(o.sql("SELECT r.doc_id, coalesce(string_agg(reason, '; ' ORDER BY place), 'no signal') AS reasons FROM risk r LEFT JOIN told t ON t.doc_id = r.doc_id GROUP BY r.doc_id", "told"))
 def risk_reasons(spark, sf_dir):
     return assessed(spark, sf_dir).select("doc_id", F.array_join(risk.reasons(), "; ").alias("reasons"))
 
@@ -293,6 +293,16 @@ def folder_heatmap(spark, sf_dir):
     return rollups.folder_heatmap(assessed(spark, sf_dir))
 
 
+@query(
+    o.sql(
+        f"SELECT folder, files, score, greatest(CAST(0.16 AS DOUBLE), score / CAST(max(score) OVER () AS DOUBLE)) AS opacity FROM (SELECT {o.FOLDER} AS folder, count(*) AS files, CAST(sum(score) AS BIGINT) AS score FROM risk GROUP BY 1 ORDER BY score DESC, folder LIMIT 8)",
+        "risk",
+    )
+)
+def report_heatmap(spark, sf_dir):
+    return rollups.report_heatmap(assessed(spark, sf_dir))
+
+
 @query(o.sql("SELECT doc_id, level, score FROM risk WHERE level IN ('CRITICAL', 'HIGH') OR locked ORDER BY score DESC, doc_id LIMIT 16", "risk"))
 def priority_files(spark, sf_dir):
     return rollups.priority_files(assessed(spark, sf_dir)).select("doc_id", "level", "score")
@@ -751,7 +761,12 @@ def risk_register(spark, sf_dir):
     return report.register(assessed(spark, sf_dir))
 
 
-@query()
+@query(
+    o.sql(
+        "SELECT category, count(DISTINCT doc_id) AS files FROM (SELECT r.doc_id, CASE " + " ".join(f"WHEN regexp_matches(lower(reason), '{pattern}') THEN '{name}'" for pattern, name in report.REASONS) + " ELSE 'Risk context' END AS category FROM risk r LEFT JOIN told t ON t.doc_id = r.doc_id) GROUP BY category",
+        "told",
+    )
+)
 def reason_categories(spark, sf_dir):
     return report.reason_counts(assessed(spark, sf_dir))
 
@@ -856,7 +871,7 @@ def compliance_summary(spark, sf_dir):
     return found.select(F.col("total_compliance_findings").alias("total"), "critical", "high", "medium", "low")
 
 
-@query()
+@query(o.sql("SELECT r.doc_id, CAST(row_number() OVER (PARTITION BY r.doc_id ORDER BY place) - 1 AS INTEGER) AS place, coalesce(advice, 'keep watching and confirm the owner') AS advice FROM risk r LEFT JOIN advised a ON a.doc_id = r.doc_id", "advised"))
 def risk_recommendations(spark, sf_dir):
     return assessed(spark, sf_dir).select("doc_id", F.posexplode(risk.recommendations()).alias("place", "advice"))
 

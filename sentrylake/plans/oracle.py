@@ -150,16 +150,45 @@ CLAUSES = {
         "CASE WHEN protected OR contains(lower(content_status), 'encrypted') THEN -5 ELSE 5 END AS protection "
         "FROM matches JOIN evidences USING (doc_id, framework) JOIN (SELECT * EXCLUDE (wide, writable), wide, writable FROM risk) USING (doc_id)"
     ),
+    "told": lambda: _told(),
+    "advised": lambda: _advised(),
     "evaluated": lambda: f"SELECT *, greatest(1, least(100, base + data + evidence + exposure + location + protection)) AS compliance_score, {_control()} AS control FROM parts",
 }
 
 NEEDS = {
     "normal": ["files"], "plain": ["files"], "findings": ["plain"], "access": ["normal"], "folds": ["findings"], "scored": ["normal", "access", "folds"],
     "risk": ["scored"], "categories": ["findings", "types", "normal", "pathwords"], "matches": ["categories", "frameworks", "weights", "access"],
-    "evidences": ["matches", "findings", "types", "frameworks"], "parts": ["matches", "evidences", "risk"], "evaluated": ["parts"],
+    "evidences": ["matches", "findings", "types", "frameworks"], "parts": ["matches", "evidences", "risk"], "evaluated": ["parts"], "told": ["risk", "findings"], "advised": ["risk", "findings"],
 }
 
 
+def _told() -> str:
+    risky = [k for k, v in fixed.EXTENSION_RISK.items() if v > 0]
+    lines = (
+        ("'sensitive word in the path'", _like_any("lower(path)", fixed.PATH_KEYWORDS)), ("'extension ' || extension", f"extension IN ({_q(risky)})"),
+        ("'small file with findings'", "size > 0 AND size < 256 AND n_findings > 0"), ("'broad access'", "acl > 0 AND wide"), ("'broad write access'", "acl > 0 AND wide AND writable"),
+        ("'protected or unreadable'", f"protected OR {marked(FIRST_OF_THREE)}"), ("'on a network share'", "source = 'smb'"),
+    )
+    return "SELECT doc_id, pos AS place, replace(type, '_', ' ') || ' (' || count || ')' AS reason FROM findings" + "".join(
+        f" UNION ALL SELECT doc_id, {1000 + k}, {text} FROM risk WHERE {when}" for k, (text, when) in enumerate(lines)
+    )
+
+
+def _advised() -> str:
+    """What each finding and rule advises, in order; a text that comes again counts once, at its first place."""
+    first = " ".join(f"WHEN regexp_matches(type, '{pattern}') THEN [{_q(texts)}]" for pattern, texts in risk.ADVICE)
+    severe = "CASE WHEN risk IN ('CRITICAL', 'HIGH') THEN 'block movement until the owner confirms' ELSE 'watch where it moves' END"
+    rules = (
+        ("add the path to the data-loss policy", _like_any("lower(path)", fixed.PATH_KEYWORDS)), ("review groups and share permissions", "acl > 0"),
+        ("ask the owner for a readable copy", f"protected OR {marked(FIRST_OF_THREE)}"), ("review the share", "source = 'smb'"),
+    )
+    return (
+        f"SELECT doc_id, advice, min(place) AS place FROM (SELECT doc_id, unnest(texts) AS advice, pos * 10 + generate_subscripts(texts, 1) AS place FROM (SELECT doc_id, pos, CASE {first} ELSE [{_q(risk.GENERAL)}, {severe}] END AS texts FROM findings)"
+        + "".join(f" UNION ALL SELECT doc_id, '{text}', {100000 + k} FROM risk WHERE {when}" for k, (text, when) in enumerate(rules))
+        + ") GROUP BY doc_id, advice"
+    )
+
+
 def _control() -> str:
     out = "CASE "
     has = lambda c: f"list_contains(string_split(coalesce(matched, ''), ','), '{c}')"
