@@ -92,9 +92,17 @@ def extension_histogram(spark, sf_dir):
     return rollups.extension_histogram(records(spark, sf_dir))
 
 
-@query(o.sql("SELECT doc_id, CASE WHEN is_hidden AND is_system THEN 'H, S' WHEN is_hidden THEN 'H' WHEN is_system THEN 'S' ELSE 'Normal' END AS attributes FROM files", "files"))
+@query(
+    o.sql(
+        "SELECT doc_id, coalesce(nullif(concat_ws(', ', CASE WHEN bits & 32 <> 0 THEN 'A' END, CASE WHEN bits & 1 <> 0 THEN 'R' END, CASE WHEN is_hidden OR bits & 2 <> 0 THEN 'H' END, CASE WHEN is_system OR bits & 4 <> 0 THEN 'S' END), ''), 'Normal') AS attributes "
+        "FROM (SELECT *, CASE WHEN doc_id % 6 <> 5 THEN doc_id % 64 ELSE 0 END AS bits FROM files)",
+        "files",
+    )
+)
 def attribute_labels(spark, sf_dir):
-    return inventory.stand_in(spark, sf_dir).select("doc_id", props.attribute_label("is_hidden", "is_system").alias("attributes"))
+    """Labels from flags and from attribute bits, of which every sixth file has none."""
+    files = inventory.stand_in(spark, sf_dir).withColumn("bits", F.when(F.col("doc_id") % 6 != 5, F.col("doc_id") % 64))
+    return files.select("doc_id", props.attribute_label("is_hidden", "is_system", "bits").alias("attributes"))
 
 
 @query(
@@ -844,9 +852,17 @@ def demo_paths(spark, sf_dir):
     return inventory.stand_in(spark, sf_dir).select("doc_id", views.demo_path("path").alias("demo"))
 
 
-@query(o.sql("SELECT count(*) AS seen, count(*) FILTER (contains(path, '/.')) AS hidden, count(*) FILTER (contains(lower(path), '/windows/')) AS system FROM files", "files"))
+@query(
+    o.sql(
+        "SELECT *, 'seen ' || seen || '; hidden ' || hidden || '; system ' || system || '; skipped ' || skipped || '; too deep ' || too_deep || '; extensions ' || extensions AS text FROM ("
+        "SELECT count(*) AS seen, count(*) FILTER (contains(path, '/.')) AS hidden, count(*) FILTER (contains(lower(path), '/windows/')) AS system, count(*) FILTER (contains(lower(path), '/windows/') OR contains(path, '/node_modules/')) AS skipped, "
+        "count(*) FILTER (len(list_filter(string_split(path, '/'), lambda p: p <> '')) - 1 > 3) AS too_deep, array_to_string(list_sort(list(DISTINCT extension))[1:5], ', ') AS extensions FROM normal)",
+        "normal",
+    )
+)
 def scan_diagnostics(spark, sf_dir):
-    return views.diagnostics(inventory.stand_in(spark, sf_dir).drop("content"), 3).select("seen", "hidden", "system")
+    found = views.diagnostics(inventory.stand_in(spark, sf_dir).drop("content"), 3)
+    return found.withColumn("extensions", F.array_join("extensions", ", "))
 
 
 @query("SELECT event_id FROM events WHERE event_type IN ('error', 'click')")
@@ -893,10 +909,18 @@ def rescan_states(spark, sf_dir):
     return views.rescan(earlier, now)
 
 
-@query(o.sql("SELECT count(*) AS tenants, CAST(sum(critical) AS BIGINT) AS critical FROM nation LEFT JOIN (SELECT tenant_id, critical FROM ranked WHERE back = 1) ON tenant_id = n_nationkey", more=_SCANS))
+@query(
+    o.sql(
+        "SELECT count(*) AS tenants, CAST(sum(critical) AS BIGINT) AS critical, string_agg(n_name || ' ' || posture, ', ' ORDER BY n_name) FILTER (place <= 4) AS shown FROM ("
+        "SELECT n_name, critical, row_number() OVER (ORDER BY n_name) AS place, CASE WHEN critical IS NULL THEN NULL WHEN total_files <= 0 THEN 100 ELSE CAST(greatest(0, least(100, round_even(100 - (critical * 95 + high * 80 + medium * 55 + low * 20) / total_files, 0))) AS BIGINT) END AS posture "
+        "FROM nation LEFT JOIN (SELECT * FROM ranked WHERE back = 1) ON tenant_id = n_nationkey)",
+        more=_SCANS,
+    )
+)
 def portfolio_totals(spark, sf_dir):
     tenants = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("tenant_id"), F.col("n_name").alias("name"))
-    return views.portfolio_totals(tenants, scans(spark, sf_dir)).select("tenants", "critical")
+    found = views.portfolio_totals(tenants, scans(spark, sf_dir))
+    return found.select("tenants", "critical", F.array_join(F.transform("shown", lambda x: F.concat(x["name"], F.lit(" "), x["posture"].cast("string"))), ", ").alias("shown"))
 
 
 @query(o.sql("SELECT 'source' AS list, source AS value FROM (SELECT DISTINCT source FROM risk) UNION ALL SELECT 'finding', type FROM (SELECT DISTINCT type FROM findings) UNION ALL SELECT 'finding', 'Protected / locked' WHERE EXISTS (SELECT 1 FROM risk WHERE locked)", "risk", "findings"))
