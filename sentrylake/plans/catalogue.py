@@ -876,15 +876,31 @@ def compliance_evidence(spark, sf_dir):
     return compliance.evidence(assessed(spark, sf_dir)).select("doc_id", F.col("place").cast("long").alias("place"), "type", "risk", "count")
 
 
+_CHOSEN = {
+    "chosen": "SELECT * FROM evaluated WHERE framework IN ('gdpr', 'iso27001')",
+    "per_file": "SELECT doc_id, max(compliance_score) AS score, string_agg(framework, ',' ORDER BY framework) AS frameworks FROM chosen GROUP BY doc_id",
+    "first_categories": "SELECT category, count(*) AS files FROM categories WHERE doc_id IN (SELECT doc_id FROM chosen) GROUP BY category ORDER BY files DESC, category LIMIT 8",
+    "first_controls": "SELECT control, count(DISTINCT doc_id) AS files FROM chosen GROUP BY control ORDER BY files DESC, control LIMIT 8",
+    "first_files": "SELECT *, CASE WHEN score >= 85 THEN 'CRITICAL' WHEN score >= 70 THEN 'HIGH' WHEN score >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM per_file ORDER BY score DESC, doc_id LIMIT 10",
+}
+
+
 @query(
     o.sql(
-        "SELECT count(*) AS total, count(*) FILTER (score >= 85) AS critical, count(*) FILTER (score >= 70 AND score < 85) AS high, count(*) FILTER (score >= 40 AND score < 70) AS medium, count(*) FILTER (score < 40) AS low FROM (SELECT doc_id, max(compliance_score) AS score FROM evaluated WHERE framework IN ('gdpr', 'iso27001') GROUP BY doc_id)",
-        "evaluated",
+        "SELECT count(*) AS total, count(*) FILTER (score >= 85) AS critical, count(*) FILTER (score >= 70 AND score < 85) AS high, count(*) FILTER (score >= 40 AND score < 70) AS medium, count(*) FILTER (score < 40) AS low, "
+        "(SELECT string_agg(category || ' ' || files, '; ' ORDER BY files DESC, category) FROM first_categories) AS categories, (SELECT string_agg(control || ' ' || files, '; ' ORDER BY files DESC, control) FROM first_controls) AS controls, "
+        "(SELECT string_agg(doc_id || ' ' || score || ' ' || severity || ' ' || frameworks, '; ' ORDER BY score DESC, doc_id) FROM first_files) AS files FROM per_file",
+        "evaluated", more=_CHOSEN,
     )
-)
+)
 def compliance_summary(spark, sf_dir):
+    """Counts by severity, and the first categories, controls and files as text."""
     found = compliance.summary(assessed(spark, sf_dir), ["GDPR", "iso27001", "gdpr"])
-    return found.select(F.col("total_compliance_findings").alias("total"), "critical", "high", "medium", "low")
+    told = lambda name, *fields: F.array_join(F.transform(name, lambda x: F.concat_ws(" ", *[x[f].cast("string") for f in fields])), "; ")
+    return found.select(
+        F.col("total_compliance_findings").alias("total"), "critical", "high", "medium", "low", told("top_violated_categories", "category", "files").alias("categories"),
+        told("remediation_priorities", "control", "files").alias("controls"), told("top_risky_files", "doc_id", "score", "severity", "frameworks").alias("files"),
+    )
 
 
 @query(o.sql("SELECT r.doc_id, CAST(row_number() OVER (PARTITION BY r.doc_id ORDER BY place) - 1 AS INTEGER) AS place, coalesce(advice, 'keep watching and confirm the owner') AS advice FROM risk r LEFT JOIN advised a ON a.doc_id = r.doc_id", "advised"))
