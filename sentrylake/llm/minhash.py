@@ -3,9 +3,12 @@
 1. Every document is hashed to its set of shingles; equal sets collapse into one class.
 2. A short sketch (the ``SHORT`` smallest hashes) of each class goes into inverted lists;
    a class stays in the race only if enough of its values occur in a second class.
-3. Classes in the race list the rarest values of a long sketch (``LONG``), as many as it
-   takes for two similar sets to meet in a list. A passage that many documents share is
-   frequent, so it comes last and is listed only where it makes up most of a document.
+3. Classes in the race list their rarest values, as many as it takes for two similar sets to
+   meet in a list: sets of up to ``WHOLE`` members out of all their values, larger ones (and those whose
+   partners may be larger) out of a long sketch (``LONG``). A passage that many documents share is
+   frequent, so it comes last and is listed only where it makes up most of a document. Of two
+   similar sets the smaller is also met by its first few values alone; these entries are marked, and a
+   list is looked through only for pairs whose smaller set is marked there.
 4. Each list generates overlaps with a few pivots; parities of the sets rule pairs out, the
    union of two sketches estimates similarity and filters, the full sets confirm. Linked classes
    merge, and what is still outside the largest component of a list is compared in further
@@ -34,13 +37,17 @@ from .scratch import materialise, materialise_by, release
 SHINGLE = 5
 PERCENT = 75
 SHORT, LONG, FILTER = 32, 128, 64
+#: Sets up to this size are listed by all their values, so that what they must share is known exactly.
+WHOLE = 384
 MISS = 1e-9
 #: Buckets of the parities that rule pairs out before their sets are fetched.
 PARITY = 512
 #: Up to this many ids (8 bytes each) a set of documents is broadcast, beyond it shuffled.
 MAX_BROADCAST_IDS = 2_000_000
 #: Pivots of a list in each round, about; the last number holds for all further rounds.
-PIVOTS = (2, 8, 64, 256)
+PIVOTS = (2, 32, 512)
+#: Entries of a list that one task compares with the pivots of a round, about.
+SHARE = 20_000
 #: Ways in which the first round draws a pivot, by the value of the list.
 FIRST_PIVOTS = 6
 #: Sets in a file of the table they are stored in, about, and the most files of it.
@@ -169,29 +176,56 @@ def _in_race(classes: DataFrame, percent: int) -> DataFrame:
     return hits.where(F.col("hits") >= needed(F.col("n"), SHORT, percent)).select("doc_id")
 
 
-def _lists(sets: DataFrame, percent: int) -> DataFrame:
-    """value, doc_id, n: the inverted lists in which similar sets meet."""
-    postings = sets.select("doc_id", F.size("shingles").cast("long").alias("n"), F.explode(F.slice("shingles", 1, LONG)).alias("value"))
+def _rarest(values: DataFrame, needed_of: Column, marked_of: Column) -> DataFrame:
+    """value, doc_id, n, marked: of the values of each set (doc_id, n, value) that others hold too, the
+    rarest, so many that it holds fewer than ``needed_of`` besides; with ``marked_of`` in its place, the marked ones."""
     held = (
-        postings.join(_shared(postings), "value")
+        values.join(_shared(values), "value")
         .groupBy("doc_id")
         .agg(F.array_sort(F.collect_list(F.struct("holders", "value"))).alias("held"), F.first("n").alias("n"))
     )
-    listed = F.slice("held", 1, F.greatest(F.size("held") - needed(F.col("n"), LONG, percent) + 1, F.lit(0)).cast("int"))
-    return held.select("doc_id", "n", F.explode(listed).alias("posting")).select("posting.value", "doc_id", "n")
+    listed = F.slice("held", 1, F.greatest(F.size("held") - needed_of + 1, F.lit(0)).cast("int"))
+    return held.select("doc_id", "n", (F.size("held") - marked_of).alias("last"), F.posexplode(listed).alias("at", "posting")).select(
+        "posting.value", "doc_id", "n", (F.col("at") <= F.col("last")).alias("marked")
+    )
+
+
+def _lists(sets: DataFrame, percent: int) -> DataFrame:
+    """value, doc_id, n, marked: the inverted lists in which similar sets meet.
+
+    Two sets of ``WHOLE`` members at most share percent % of the larger one, and 2 percent / (100 + percent)
+    of the smaller one: a list holds as few values as that allows. Pairs with a larger set
+    meet in lists of sketches, which carry the complement of the value.
+    """
+    n = F.col("n")
+    of = sets.select("doc_id", F.size("shingles").cast("long").alias("n"), "shingles")
+    whole = of.where(n <= WHOLE).select("doc_id", "n", F.explode("shingles").alias("value"))
+    sketched = of.where(n * 100 > WHOLE * percent).select("doc_id", "n", F.explode(F.slice("shingles", 1, LONG)).alias("value"))
+    bound = F.lit(least_overlap(LONG, percent / 100))
+    exact = _rarest(whole, F.ceil(n * percent / 100), F.ceil(n * (2 * percent) / (100 + percent)))
+    return exact.unionByName(_rarest(sketched, bound, bound).withColumn("value", F.bitwise_not("value")))
 
 
 def _first_pivots(lists: DataFrame) -> DataFrame:
-    """value, doc_id, n, component, pivot, first, other of the lists with two holders or more: the
-    smallest id and one drawn by hash are pivots, and stand beside every document of the list. The draw
-    depends on the value, so near copies that share many lists meet several pivots."""
+    """value, doc_id, n, marked, component, pivot, shares, first, other of the lists with two holders or more,
+    from the smallest marked set on: the smallest id and one drawn by hash are pivots, and stand beside every
+    document of the list. The draw depends on the value, so near copies that share many lists meet several pivots."""
     heads = (
         lists.groupBy("value")
-        .agg(F.count(F.lit(1)).alias("holders"), F.min("doc_id").alias("first"), F.min_by("doc_id", F.xxhash64("doc_id", F.pmod("value", F.lit(FIRST_PIVOTS)))).alias("other"))
-        .where("holders > 1")
+        .agg(
+            F.count(F.lit(1)).alias("holders"),
+            F.min(F.when(F.col("marked"), F.col("n"))).alias("least"),
+            F.min("doc_id").alias("first"),
+            F.min_by("doc_id", F.xxhash64("doc_id", F.pmod("value", F.lit(FIRST_PIVOTS)))).alias("other"),
+        )
+        .where("holders > 1 and least is not null")
     )
     pivot = (F.col("doc_id") == F.col("first")) | (F.col("doc_id") == F.col("other"))
-    return lists.join(heads, "value").select("value", "doc_id", "n", F.col("doc_id").alias("component"), pivot.alias("pivot"), "first", "other")
+    return (
+        lists.join(heads, "value")
+        .where("n >= least")
+        .select("value", "doc_id", "n", "marked", F.col("doc_id").alias("component"), pivot.alias("pivot"), F.lit(1).alias("shares"), "first", "other")
+    )
 
 
 def _first_candidates(placed: DataFrame) -> DataFrame:
@@ -205,38 +239,57 @@ def _first_candidates(placed: DataFrame) -> DataFrame:
 
 
 def _next_pivots(lists: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """The same of the lists whose documents are not all of one component: about so many
-    pivots as the turn has, drawn by hash from outside the list's largest component. Components only grow, so
-    a list left out here stays settled."""
+    """The same (without first and other) of the lists whose documents are not all of one component and that hold
+    a marked one: about so many pivots as the turn has, drawn by hash from outside the list's largest component,
+    the marked ones before all others. Components only grow, so a list left out here stays settled."""
     known = labels.select(F.col("node").alias("doc_id"), "component")
-    placed = lists.join(known, "doc_id", "left").select("value", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    placed = lists.join(known, "doc_id", "left").select("value", "doc_id", "n", "marked", F.coalesce("component", "doc_id").alias("component"))
     open_lists = (
         placed.groupBy("value", "component")
-        .agg(F.count(F.lit(1)).alias("members"))
+        .agg(F.count(F.lit(1)).alias("members"), F.count_if("marked").alias("smaller"))
         .groupBy("value")
-        .agg(F.sum("members").alias("all"), F.max(F.struct("members", "component")).alias("largest"))
+        .agg(F.sum("members").alias("all"), F.sum("smaller").alias("smaller"), F.max(F.struct("members", "component", "smaller")).alias("largest"))
         .where(F.col("all") > F.col("largest.members"))
-        .select("value", F.col("largest.component").alias("largest"), (F.col("all") - F.col("largest.members")).alias("outside"))
+        .where("smaller > 0")
+        .select(
+            "value",
+            F.col("largest.component").alias("largest"),
+            (F.col("all") - F.col("largest.members")).alias("outside"),
+            (F.col("smaller") - F.col("largest.smaller")).alias("marked_outside"),
+            F.ceil(F.col("all") / SHARE).cast("int").alias("shares"),
+        )
     )
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.ceil(F.col("outside") / PIVOTS[min(turn, len(PIVOTS) - 1)])) == 0
-    return placed.join(open_lists, "value").select("value", "doc_id", "n", "component", (drawn & (F.col("component") != F.col("largest"))).alias("pivot"))
+    only_marked = F.col("marked_outside") > 0
+    drawn_from = F.when(only_marked, F.col("marked_outside")).otherwise(F.col("outside"))
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.ceil(drawn_from / PIVOTS[min(turn, len(PIVOTS) - 1)])) == 0
+    pivot = drawn & (F.col("component") != F.col("largest")) & (F.col("marked") | ~only_marked)
+    return placed.join(open_lists, "value").select("value", "doc_id", "n", "marked", "component", pivot.alias("pivot"), "shares")
 
 
 def _candidates(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: each pivot with the documents of its list that lie in other components, unless their sizes
-    or parities rule them out."""
+    """a, b: each pivot with the documents of its list that lie in other components, unless their marks, sizes
+    or parities rule them out. A long list is split into shares, and its pivots go to each."""
     bits = [F.col("parity")[k].alias(f"p{k}") for k in range(PARITY // 64)]
-    # a document's lists, LONG at most, meet its parities in one row
-    by_document = placed.groupBy("doc_id").agg(F.collect_list(F.struct("value", "n", "component", "pivot")).alias("held"))
-    marked = by_document.join(sets.select("doc_id", *bits), "doc_id").selectExpr("*", "inline(held)").drop("held")
-    pivots = marked.where("pivot").select(
-        "value", F.col("doc_id").alias("pivot_id"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component"),
-        *[F.col(f"p{k}").alias(f"q{k}") for k in range(PARITY // 64)],
+    # a document's lists, a few hundred at most, meet its parities in one row
+    by_document = placed.groupBy("doc_id").agg(F.collect_list(F.struct("value", "n", "marked", "component", "pivot", "shares")).alias("held"))
+    with_bits = by_document.join(sets.select("doc_id", *bits), "doc_id")
+    names = [f"p{k}" for k in range(PARITY // 64)]
+    entries = with_bits.select("doc_id", *names, F.explode("held").alias("e")).select(
+        "e.value", F.pmod(F.xxhash64("doc_id"), F.col("e.shares")).cast("int").alias("share"), "doc_id", "e.n", "e.marked", "e.component", *names
+    )
+    pivots = (
+        with_bits.select("doc_id", *names, F.explode(F.filter("held", lambda e: e["pivot"])).alias("e"))
+        .select(
+            "e.value", F.explode(F.sequence(F.lit(0), F.col("e.shares") - 1)).alias("share"), F.col("doc_id").alias("pivot_id"), F.col("e.n").alias("pivot_n"),
+            F.col("e.marked").alias("pivot_marked"), F.col("e.component").alias("pivot_component"), *[F.col(f"p{k}").alias(f"q{k}") for k in range(PARITY // 64)],
+        )
     )
     differing = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"q{k}"))) for k in range(PARITY // 64)))
+    smaller = F.struct("n", "doc_id") < F.struct("pivot_n", "pivot_id")
     return (
-        marked.join(pivots, "value")
+        entries.join(pivots, ["value", "share"])
         .where("component <> pivot_component")
+        .where(F.when(smaller, F.col("marked")).otherwise(F.col("pivot_marked")))
         .where(F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent)
         .where(may_be_similar(F.col("n"), F.col("pivot_n"), differing, percent))
         .select(F.least("doc_id", "pivot_id").alias("a"), F.greatest("doc_id", "pivot_id").alias("b"))
@@ -292,7 +345,7 @@ def _components_of_classes(sets: DataFrame, percent: int) -> DataFrame | None:
             break
         pairs = _candidates(placed, sets, percent) if turn else _first_candidates(placed)
         found = materialise(_linked(pairs, sets, percent), "edges")
-        lists = materialise(placed.where("not pivot").select("value", "doc_id", "n"), "lists")  # a pivot has met its whole list
+        lists = materialise(placed.where("not pivot").select("value", "doc_id", "n", "marked"), "lists")  # a pivot has met its whole list
         release(placed)
         if found.limit(1).count():
             edges.append(found)

@@ -96,16 +96,53 @@ def test_large_sets_and_hot_passages(spark):
 
 
 def test_further_rounds_and_shuffles_give_the_same(spark, monkeypatch):
-    """One pivot a round, and no broadcast of ids."""
+    """One pivot a round, lists split into shares, and no broadcast of ids."""
     rows = long_rows()
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(minhash, "PIVOTS", (1, 1))
+    monkeypatch.setattr(minhash, "SHARE", 7)
     monkeypatch.setattr(minhash, "MAX_BROADCAST_IDS", 3)
     wanted = brute(rows)
     assert near_duplicates(frame).toPandas().set_index("doc_id").component_id.to_dict() == wanted
     assert sorted(r["doc_id"] for r in keep_first(frame).collect()) == sorted(i for i, c in wanted.items() if i == c)
 
 
+def test_sizes_on_both_sides_of_the_whole_sets(spark, monkeypatch):
+    """Partners of which one is listed by all its values and the other by a sketch, or both in either way."""
+    monkeypatch.setattr(minhash, "WHOLE", 160)
+    draw = random.Random(3)
+    rows = []
+    for base in range(5):
+        words = prose(60 + base, 240).split()
+        for k in range(14):
+            own = words[: 240 - 10 * k]
+            for _ in range(draw.randrange(5)):
+                own[draw.randrange(len(own))] = f"edit{draw.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert dict(zip(found.doc_id, found.component_id)) == brute(rows)
+
+
+def test_entries_of_a_hot_list_do_not_come_back(spark, monkeypatch):
+    """Documents that share most of their text but are not similar: exact sets list few of their values, and what no
+    marked entry is left for is not looked at again."""
+    passage = prose(77, 100)
+    rows = [(k, f"{prose(500 + k, 22)} {passage} {prose(900 + k, 10)}") for k in range(300)]
+    entries = []
+    written = minhash.materialise
+
+    def counted(frame, name):
+        out = written(frame, name)
+        if name == "placed":
+            entries.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "materialise", counted)
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert dict(zip(found.doc_id, found.component_id)) == brute(rows)
+    assert sum(entries[1:]) <= 2 * entries[0]
+
+
 def test_rows_of_one_id(spark):
     """Different texts under one id: one of them stands for all, in every order of the rows."""
     a, b = prose(1, 60), prose(2, 60)
