@@ -30,9 +30,12 @@ from .scratch import materialise, release
 
 #: Sources that have a queue each. With more of them, those with a target and those with a share of
 #: 2 / MAX_QUEUES of the characters keep theirs; the tail shares half as many queues by hash.
-MAX_QUEUES = 256
-#: Children of a node of the dealing tree.
+MAX_QUEUES = 65_536
+#: Children of a node of the dealing tree at most; with many queues so few that a node has about ``CELLS`` numbers.
 FAN = 512
+CELLS = 1 << 17
+#: Nodes, and runs of single queues, that a task remembers.
+NODES, RUNS = 64, 512
 #: Up to this many (partition, queue) offsets are broadcast (24 bytes each).
 MAX_BROADCAST_OFFSETS = 1_000_000
 #: Pieces of text whose ids a Python worker remembers, some 200 bytes each, and the longest of them.
@@ -241,34 +244,38 @@ class Mixture:
         self.weights = np.array(weights if weights is not None else totals, float)
         self.tokens = int(self.totals.sum())
         self.windows = -(-self.tokens // window)
+        self.fan = max(2, min(FAN, CELLS // max(1, len(totals))))
         self.levels = 1
-        while FAN**self.levels < self.windows:
+        while self.fan**self.levels < self.windows:
             self.levels += 1
         self.nodes: OrderedDict[tuple[int, int], tuple] = OrderedDict()
         self.runs: dict[int, tuple] = {}
 
     def _node(self, level: int, index: int):
-        """(start of each child in each queue, queues' tokens of each child) of a node."""
+        """(start of each child in each queue, queues' tokens of each child, tokens of the queues before) of a node."""
         found = self.nodes.get((level, index))
         if found is None:
             if level == self.levels:
                 quota, start, weights = self.totals, np.zeros_like(self.totals), self.weights
             else:
-                starts, served = self._node(level + 1, index // FAN)
-                quota, start = served[index % FAN], starts[index % FAN]
+                starts, served, _ = self._node(level + 1, index // self.fan)
+                quota, start = served[index % self.fan], starts[index % self.fan]
                 weights = quota.astype(float)
-            span = FAN ** (level - 1) * self.window
-            first = index * FAN**level * self.window
+            span = self.fan ** (level - 1) * self.window
+            first = index * self.fan**level * self.window
             rooms = []
-            for child in range(FAN):
+            for child in range(self.fan):
                 at = first + child * span
                 if at >= self.tokens:
                     break
                 rooms.append(min(span, self.tokens - at))
-            served = deal(quota, rooms, weights)
-            found = (start + np.vstack([np.zeros_like(quota), np.cumsum(served, 0)[:-1]]), served)
+            held = np.flatnonzero(quota)  # low in the tree a node has few of many queues
+            served = np.zeros((len(rooms), len(quota)), np.int64)
+            served[:, held] = deal(quota[held], rooms, weights[held])
+            inside = np.cumsum(served, 1) - served if level == 1 else None
+            found = (start + np.vstack([np.zeros_like(quota), np.cumsum(served, 0)[:-1]]), served, inside)
             self.nodes[level, index] = found
-            if len(self.nodes) > 64:
+            if len(self.nodes) > NODES:
                 self.nodes.popitem(last=False)
         else:
             self.nodes.move_to_end((level, index))
@@ -280,11 +287,13 @@ class Mixture:
         if found is None or not found[1][0] <= start < found[2][-1]:
             index = 0
             for level in range(self.levels, 1, -1):
-                starts, _ = self._node(level, index)
-                index = index * FAN + int(np.searchsorted(starts[:, queue], start, "right")) - 1
-            starts, served = self._node(1, index)
+                starts, _, _ = self._node(level, index)
+                index = index * self.fan + int(np.searchsorted(starts[:, queue], start, "right")) - 1
+            starts, served, inside = self._node(1, index)
             own = starts[:, queue]
-            found = (index * FAN, own.tolist(), (own + served[:, queue]).tolist(), served[:, :queue].sum(1).tolist())
+            found = (index * self.fan, own.tolist(), (own + served[:, queue]).tolist(), inside[:, queue].tolist())
+            if len(self.runs) >= RUNS:
+                self.runs.clear()
             self.runs[queue] = found
         return found
 
@@ -316,14 +325,14 @@ def pack(
 
     ``targets`` are token shares by source name; without them each source has its share
     of the corpus, so that all queues end together. A source without a target gets its
-    share once those with one have run out. With more than 256 sources those without a target and
-    with less than 1/128 of the characters share queues, which hold their share together. Rows: doc_id, source, start,
+    share once those with one have run out. Each source has a queue of its own; only beyond ``MAX_QUEUES`` of them do those
+    without a target and with less than 2 / ``MAX_QUEUES`` of the characters share queues, which hold their share together. Rows: doc_id, source, start,
     length, ids (little-endian uint32), doc_tokens, sequence_id, offset, padded_length (of
     the sequence: ``window``, or its own length where that is a power of two).
 
     Null texts and sources count as empty; a null doc_id stays null; repeated rows are
     packed as often as they occur; an empty table gives no rows; other columns are ignored.
-    Only queue totals (at most 256 rows and one per target) reach the driver.
+    Only queue totals (a row a source, at most ``MAX_QUEUES`` and one per target) reach the driver and each task.
     """
     spark = docs.sparkSession
     tokens = materialise(tokenise(docs, tokenizer_path, end_id, remembered, targets or ()), "tokens")

@@ -3,7 +3,8 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from sentrylake.llm.packing import WordEncoder, deal, pack, sequences
+from sentrylake.llm import packing
+from sentrylake.llm.packing import Mixture, WordEncoder, deal, pack, sequences
 from sentrylake.llm.queries import tokenizer_path
 
 
@@ -38,8 +39,27 @@ def test_every_token_lies_in_one_piece(odd_documents):
     assert (sizes[sizes.index < sizes.index.max()] == 256).all()
 
 
-def test_many_sources_keep_targets_shares_and_names(spark):
-    """More sources than queues: targets hold, a large source has its share of every window, names are true."""
+@pytest.mark.parametrize("sources", [200, 300, 3000])
+def test_every_source_has_its_share_of_every_window(sources):
+    """Equal sources have a queue each, however many: no full window departs from a share by two tokens."""
+    mix = Mixture([700] * sources, None, 2048)
+    taken = np.zeros((mix.windows, sources), int)
+    places = []
+    for queue in range(sources):
+        for window, offset, n in mix.pieces(queue, 0, 700):
+            taken[window, queue] += n
+            places.append((window, offset, n))
+    assert taken.sum(0).tolist() == [700] * sources and (taken.sum(1)[:-1] == 2048).all()
+    assert abs(taken[:-1] - 2048 / sources).max() < 2
+    end = 0
+    for window, offset, n in sorted(places):
+        assert window * 2048 + offset == end
+        end += n
+
+
+def test_more_sources_than_queues_keep_targets_shares_and_names(spark, monkeypatch):
+    """Targets hold, a large source has its share of every window, names are true."""
+    monkeypatch.setattr(packing, "MAX_QUEUES", 256)
     big = [(k, "one two three four " * 8, "big") for k in range(300)]
     small = [(1000 + k, "five six seven eight " * 8, "queue 17" if k == 0 else f"s{k}") for k in range(600)]
     docs = spark.createDataFrame(big + small, "doc_id long, text string, source string").coalesce(2)
