@@ -95,3 +95,15 @@ def test_personal_data_counts_for_the_score(spark, found):
     assert after["score"] > before["score"] and after["findings"][-1]["category"] == "special_category_context"
     assert "special_category_context" in compliance.with_categories(risk.assess(both)).first()["categories"]
     assert "restrict sharing" in risk.assess(both).select(risk.remediation().alias("r")).first()["r"]["actions"] or after["findings"][-1]["category"] not in risk.REGULATED_CATEGORIES
+
+
+def test_steps_after_the_same_words_share_one_search(spark, monkeypatch):
+    from sentrylake.operators import personal
+    from sentrylake.functions.personal_rules import RULES
+
+    rule = next(r for r in RULES if len([s for s in r.steps if s.kind == "after"]) > len({s.longest for s in r.steps if s.kind == "after"}))
+    searches, plain = [], personal._pairs
+    monkeypatch.setattr(personal, "_pairs", lambda text, pattern: searches.append(pattern) or plain(text, pattern))
+    monkeypatch.setattr(personal, "_BUILT", {})
+    personal.detect(spark.createDataFrame([(1, "x")], "doc_id long, content string"), (rule,))
+    assert len(searches) == len(set(searches)) == len({s.longest for s in rule.steps if s.kind == "after"})
