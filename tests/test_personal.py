@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 """Personal-data rules on texts whose findings follow from the rules by hand."""
 
 import pytest
@@ -97,13 +98,11 @@ def test_personal_data_counts_for_the_score(spark, found):
     assert "restrict sharing" in risk.assess(both).select(risk.remediation().alias("r")).first()["r"]["actions"] or after["findings"][-1]["category"] not in risk.REGULATED_CATEGORIES
 
 
-def test_steps_after_the_same_words_share_one_search(spark, monkeypatch):
+def test_one_search_gives_a_match_and_its_left_side(spark):
     from sentrylake.operators import personal
     from sentrylake.functions.personal_rules import RULES
 
-    rule = next(r for r in RULES if len([s for s in r.steps if s.kind == "after"]) > len({s.longest for s in r.steps if s.kind == "after"}))
-    searches, plain = [], personal._pairs
-    monkeypatch.setattr(personal, "_pairs", lambda text, pattern: searches.append(pattern) or plain(text, pattern))
-    monkeypatch.setattr(personal, "_BUILT", {})
-    personal.detect(spark.createDataFrame([(1, "x")], "doc_id long, content string"), (rule,))
-    assert len(searches) == len(set(searches)) == len({s.longest for s in rule.steps if s.kind == "after"})
+    rule = next(r for r in RULES if r.type == "gdpr_tax_record")
+    settings = personal._settings(rule, next(s for s in rule.steps if s.kind == "near"))
+    told = str(personal._near_values(F.col("text"), settings, lambda: F.lit(True))._jc)
+    assert told.count("regexp_extract_all(") == 1
