@@ -13,6 +13,7 @@ from pyspark.sql.functions import udtf
 
 from .archives import ENTRIES, ENTRY_BYTES, RATIO, TOTAL_BYTES
 from .listings import _files
+from .walk import dealt
 
 CHUNK, PREVIEW_BYTES = 1 << 20, 256 << 10
 ROW = "entry string, entry_size long, sha256 string, preview string, protection string"
@@ -93,5 +94,4 @@ def contents(files: DataFrame, folder: str) -> DataFrame:
     Files of any size take one piece of memory; of an entry in an archive within an archive, the inner archive is held, at most
     25 MiB. Caps on number, size, total and ratio hold while reading, whatever the archive's directory says.
     """
-    dealt = files.repartition("path")
-    return dealt.lateralJoin(Contents(F.lit(folder), F.col("path").outer()))
+    return dealt(files).lateralJoin(Contents(F.lit(folder), F.col("path").outer()))

@@ -28,6 +28,13 @@ CHILD = "path string, is_folder boolean, size long, modified_at timestamp, faile
 FILE = "path string, size long, modified_at timestamp, is_folder boolean, reason string"
 
 
+def dealt(files: DataFrame) -> DataFrame:
+    """The rows dealt out by ``path``, into a given number of parts: a row takes a few bytes but stands for a file or folder of any
+    size, and where the number is left to Spark it puts small rows together, so that one task reads all files."""
+    spark = files.sparkSession
+    return files.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path")
+
+
 def _children(root: str):
     """Lists the folders of a batch; paths are relative to ``root`` and begin with a slash."""
 
@@ -98,7 +105,7 @@ def walk(
     levels, out = spark.createDataFrame([("/",)], "path string"), None
     while True:
         path = new_folder(spark, "level")
-        children = levels.repartition("path").mapInPandas(_children(folder), CHILD).select("*", reason.alias("reason"))
+        children = dealt(levels).mapInPandas(_children(folder), CHILD).select("*", reason.alias("reason"))
         children.write.parquet(path)
         found = spark.read.parquet(path)
         open_folder = F.col("is_folder") & F.col("reason").isNull()
@@ -138,7 +145,7 @@ def contents(walked: DataFrame, folder: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "size", "sha256", "preview"])
 
     files = walked.where("reason IS NULL AND NOT is_folder").select("path", "size")
-    return files.repartition("path").mapInPandas(run, "path string, size long, sha256 string, preview string")
+    return dealt(files).mapInPandas(run, "path string, size long, sha256 string, preview string")
 
 
 def put(files: DataFrame, folder: str) -> None:

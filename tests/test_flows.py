@@ -243,3 +243,11 @@ def test_seven_rollups_from_one_scan(spark):
     own = {r["value"]: (r["files"], r["critical"], r["high"], r["score"]) for r in rows if r["rollup"] == "department"}
     assert own == {r["department"]: (r["files"], r["critical"], r["high"], r["score"]) for r in rollups.by_department(catalogue.assessed(spark, SMALL)).collect()}
     assert {r["rollup"] for r in rows} == {"department", "folder", "label", "level", "bucket", "finding", "category"}
+
+
+def test_files_of_a_walk_are_dealt_out(spark, tree):
+    """Paths take a few bytes, so Spark would put them all into one part, whose task then reads every file."""
+    found = walk.walk(spark, str(tree), depth=None, include_system=True, include_skipped=True).where("NOT is_folder")
+    assert found.count() > 2
+    parts = lambda rows: rows.groupBy(F.spark_partition_id().alias("part")).count().count()
+    assert parts(inflate.contents(found.select("path"), str(tree))) > 1 and parts(walk.contents(found, str(tree))) > 1
