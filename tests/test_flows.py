@@ -9,6 +9,7 @@ import zipfile
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from sentrylake.operators import findings, observed, report_store, rescan, rollups
@@ -251,3 +252,20 @@ def test_files_of_a_walk_are_dealt_out(spark, tree):
     assert found.count() > 2
     parts = lambda rows: rows.groupBy(F.spark_partition_id().alias("part")).count().count()
     assert parts(inflate.contents(found.select("path"), str(tree))) > 1 and parts(walk.contents(found, str(tree))) > 1
+
+
+def test_revocations_are_rows_of_microseconds():
+    """A token's rows need no frame, and its moments no zone."""
+
+    class Held:
+        now = None
+        get = lambda self: self.now
+
+        def update(self, value):
+            self.now = value
+
+    kept = tokens.Revocations(1)
+    kept.until, timers, day = Held(), [], 86_400_000_000
+    kept.handle = type("Handle", (), {"registerTimer": lambda self, at: timers.append(at)})()
+    assert [tuple(r) for r in kept.handleInputRows(("a",), iter([Row(moment=5), Row(moment=7)]), None)] == [("a", day + 7, "revoked")]
+    assert list(kept.handleInputRows(("a",), iter([Row(moment=6)]), None)) == [] and timers == [(day + 7) // 1000] and kept.until.now == (day + 7,)
