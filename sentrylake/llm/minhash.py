@@ -8,7 +8,9 @@
    partners may be larger) out of a long sketch (``LONG``). A passage that many documents share is
    frequent, so it comes last and is listed only where it makes up most of a document. Of two
    similar sets the smaller is also met by its first few values alone; these entries are marked, and a
-   list is looked through only for pairs whose smaller set is marked there.
+   list is looked through only for pairs whose smaller set is marked there. An entry also tells how many values
+   its set has from there on: two sets are looked at only where both have left what they must share,
+   which the list of their first common value always grants.
 4. Each list generates overlaps with a few pivots; parities of the sets rule pairs out, the
    union of two sketches estimates similarity and filters, the full sets confirm. Linked classes
    merge, and what is still outside the largest component of a list is compared in further
@@ -38,7 +40,7 @@ SHINGLE = 5
 PERCENT = 75
 SHORT, LONG, FILTER = 32, 128, 64
 #: Sets up to this size are listed by all their values, so that what they must share is known exactly.
-WHOLE = 384
+WHOLE = 16_384
 MISS = 1e-9
 #: Buckets of the parities that rule pairs out before their sets are fetched.
 PARITY = 512
@@ -177,25 +179,26 @@ def _in_race(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _rarest(values: DataFrame, needed_of: Column, marked_of: Column) -> DataFrame:
-    """value, doc_id, n, marked: of the values of each set (doc_id, n, value) that others hold too, the
-    rarest, so many that it holds fewer than ``needed_of`` besides; with ``marked_of`` in its place, the marked ones."""
+    """value, doc_id, n, marked, rest: of the values of each set (doc_id, n, value) that others hold too, the
+    rarest, so many that it holds fewer than ``needed_of`` besides; with ``marked_of`` in its place, the marked ones.
+    ``rest`` counts a set's values from this one on, which comes at the same place in the order of all sets."""
     held = (
         values.join(_shared(values), "value")
         .groupBy("doc_id")
         .agg(F.array_sort(F.collect_list(F.struct("holders", "value"))).alias("held"), F.first("n").alias("n"))
     )
     listed = F.slice("held", 1, F.greatest(F.size("held") - needed_of + 1, F.lit(0)).cast("int"))
-    return held.select("doc_id", "n", (F.size("held") - marked_of).alias("last"), F.posexplode(listed).alias("at", "posting")).select(
-        "posting.value", "doc_id", "n", (F.col("at") <= F.col("last")).alias("marked")
+    return held.select("doc_id", "n", F.size("held").alias("size"), (F.size("held") - marked_of).alias("last"), F.posexplode(listed).alias("at", "posting")).select(
+        "posting.value", "doc_id", "n", (F.col("at") <= F.col("last")).alias("marked"), (F.col("size") - F.col("at")).alias("rest")
     )
 
 
 def _lists(sets: DataFrame, percent: int) -> DataFrame:
-    """value, doc_id, n, marked: the inverted lists in which similar sets meet.
+    """value, doc_id, n, marked, rest: the inverted lists in which similar sets meet.
 
     Two sets of ``WHOLE`` members at most share percent % of the larger one, and 2 percent / (100 + percent)
     of the smaller one: a list holds as few values as that allows. Pairs with a larger set
-    meet in lists of sketches, which carry the complement of the value.
+    meet in lists of sketches, which carry the complement of the value and no ``rest``.
     """
     n = F.col("n")
     of = sets.select("doc_id", F.size("shingles").cast("long").alias("n"), "shingles")
@@ -203,12 +206,22 @@ def _lists(sets: DataFrame, percent: int) -> DataFrame:
     sketched = of.where(n * 100 > WHOLE * percent).select("doc_id", "n", F.explode(F.slice("shingles", 1, LONG)).alias("value"))
     bound = F.lit(least_overlap(LONG, percent / 100))
     exact = _rarest(whole, F.ceil(n * percent / 100), F.ceil(n * (2 * percent) / (100 + percent)))
-    return exact.unionByName(_rarest(sketched, bound, bound).withColumn("value", F.bitwise_not("value")))
+    return exact.unionByName(_rarest(sketched, bound, bound).withColumns({"value": F.bitwise_not("value"), "rest": F.lit(None).cast("int")}))
 
 
-def _first_pivots(lists: DataFrame) -> DataFrame:
-    """value, doc_id, n, marked, component, pivot, shares, first, other of the lists with two holders or more,
-    from the smallest marked set on: the smallest id and one drawn by hash are pivots, and stand beside every
+def may_share(n: Column, m: Column, rest: Column, percent: int) -> Column:
+    """Whether sets of ``n`` and ``m`` that share ``rest`` members at most can be similar; without ``rest``, true."""
+    return F.coalesce(rest * (100 + percent) >= (n + m) * percent, F.lit(True))
+
+
+def _has_partner(least: Column, percent: int) -> Column:
+    """Whether an entry of a list can be of a similar pair there, of which the smaller set is marked and has ``least`` members or more."""
+    return may_share(F.col("n"), F.least("n", least), F.col("rest"), percent)
+
+
+def _first_pivots(lists: DataFrame, percent: int) -> DataFrame:
+    """value, doc_id, n, marked, rest, component, pivot, shares, first, other of the lists with two holders or more,
+    without entries that the smallest marked set leaves no partner: the smallest id and one drawn by hash are pivots, and stand beside every
     document of the list. The draw depends on the value, so near copies that share many lists meet several pivots."""
     heads = (
         lists.groupBy("value")
@@ -223,8 +236,8 @@ def _first_pivots(lists: DataFrame) -> DataFrame:
     pivot = (F.col("doc_id") == F.col("first")) | (F.col("doc_id") == F.col("other"))
     return (
         lists.join(heads, "value")
-        .where("n >= least")
-        .select("value", "doc_id", "n", "marked", F.col("doc_id").alias("component"), pivot.alias("pivot"), F.lit(1).alias("shares"), "first", "other")
+        .where(_has_partner(F.col("least"), percent))
+        .select("value", "doc_id", "n", "marked", "rest", F.col("doc_id").alias("component"), pivot.alias("pivot"), F.lit(1).alias("shares"), "first", "other")
     )
 
 
@@ -238,12 +251,14 @@ def _first_candidates(placed: DataFrame) -> DataFrame:
     )
 
 
-def _next_pivots(lists: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+def _next_pivots(lists: DataFrame, labels: DataFrame, turn: int, percent: int) -> DataFrame:
     """The same (without first and other) of the lists whose documents are not all of one component and that hold
     a marked one: about so many pivots as the turn has, drawn by hash from outside the list's largest component,
     the marked ones before all others. Components only grow, so a list left out here stays settled."""
     known = labels.select(F.col("node").alias("doc_id"), "component")
-    placed = lists.join(known, "doc_id", "left").select("value", "doc_id", "n", "marked", F.coalesce("component", "doc_id").alias("component"))
+    least = lists.where("marked").groupBy("value").agg(F.min("n").alias("least"))
+    lists = lists.join(least, "value").where(_has_partner(F.col("least"), percent))
+    placed = lists.join(known, "doc_id", "left").select("value", "doc_id", "n", "marked", "rest", F.coalesce("component", "doc_id").alias("component"))
     open_lists = (
         placed.groupBy("value", "component")
         .agg(F.count(F.lit(1)).alias("members"), F.count_if("marked").alias("smaller"))
@@ -263,25 +278,25 @@ def _next_pivots(lists: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     drawn_from = F.when(only_marked, F.col("marked_outside")).otherwise(F.col("outside"))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.ceil(drawn_from / PIVOTS[min(turn, len(PIVOTS) - 1)])) == 0
     pivot = drawn & (F.col("component") != F.col("largest")) & (F.col("marked") | ~only_marked)
-    return placed.join(open_lists, "value").select("value", "doc_id", "n", "marked", "component", pivot.alias("pivot"), "shares")
+    return placed.join(open_lists, "value").select("value", "doc_id", "n", "marked", "rest", "component", pivot.alias("pivot"), "shares")
 
 
 def _candidates(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: each pivot with the documents of its list that lie in other components, unless their marks, sizes
-    or parities rule them out. A long list is split into shares, and its pivots go to each."""
+    """a, b: each pivot with the documents of its list that lie in other components, unless their marks, sizes,
+    the values they have from there on or parities rule them out. A long list is split into shares, and its pivots go to each."""
     bits = [F.col("parity")[k].alias(f"p{k}") for k in range(PARITY // 64)]
     # a document's lists, a few hundred at most, meet its parities in one row
-    by_document = placed.groupBy("doc_id").agg(F.collect_list(F.struct("value", "n", "marked", "component", "pivot", "shares")).alias("held"))
+    by_document = placed.groupBy("doc_id").agg(F.collect_list(F.struct("value", "n", "marked", "rest", "component", "pivot", "shares")).alias("held"))
     with_bits = by_document.join(sets.select("doc_id", *bits), "doc_id")
     names = [f"p{k}" for k in range(PARITY // 64)]
     entries = with_bits.select("doc_id", *names, F.explode("held").alias("e")).select(
-        "e.value", F.pmod(F.xxhash64("doc_id"), F.col("e.shares")).cast("int").alias("share"), "doc_id", "e.n", "e.marked", "e.component", *names
+        "e.value", F.pmod(F.xxhash64("doc_id"), F.col("e.shares")).cast("int").alias("share"), "doc_id", "e.n", "e.marked", "e.rest", "e.component", *names
     )
     pivots = (
         with_bits.select("doc_id", *names, F.explode(F.filter("held", lambda e: e["pivot"])).alias("e"))
         .select(
             "e.value", F.explode(F.sequence(F.lit(0), F.col("e.shares") - 1)).alias("share"), F.col("doc_id").alias("pivot_id"), F.col("e.n").alias("pivot_n"),
-            F.col("e.marked").alias("pivot_marked"), F.col("e.component").alias("pivot_component"), *[F.col(f"p{k}").alias(f"q{k}") for k in range(PARITY // 64)],
+            F.col("e.marked").alias("pivot_marked"), F.col("e.rest").alias("pivot_rest"), F.col("e.component").alias("pivot_component"), *[F.col(f"p{k}").alias(f"q{k}") for k in range(PARITY // 64)],
         )
     )
     differing = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"q{k}"))) for k in range(PARITY // 64)))
@@ -291,6 +306,7 @@ def _candidates(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .where("component <> pivot_component")
         .where(F.when(smaller, F.col("marked")).otherwise(F.col("pivot_marked")))
         .where(F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent)
+        .where(may_share(F.col("n"), F.col("pivot_n"), F.least("rest", "pivot_rest"), percent))
         .where(may_be_similar(F.col("n"), F.col("pivot_n"), differing, percent))
         .select(F.least("doc_id", "pivot_id").alias("a"), F.greatest("doc_id", "pivot_id").alias("b"))
         .distinct()
@@ -336,16 +352,16 @@ def _components_of_classes(sets: DataFrame, percent: int) -> DataFrame | None:
     turn = 0
     while True:
         if turn:
-            placed = _next_pivots(lists, labels if labels is not None else _no_labels(sets), turn)
+            placed = _next_pivots(lists, labels if labels is not None else _no_labels(sets), turn, percent)
         else:
-            placed = _first_pivots(lists)
+            placed = _first_pivots(lists, percent)
         placed = materialise(placed, "placed")
         release(lists)
         if not placed.limit(1).count():
             break
         pairs = _candidates(placed, sets, percent) if turn else _first_candidates(placed)
         found = materialise(_linked(pairs, sets, percent), "edges")
-        lists = materialise(placed.where("not pivot").select("value", "doc_id", "n", "marked"), "lists")  # a pivot has met its whole list
+        lists = materialise(placed.where("not pivot").select("value", "doc_id", "n", "marked", "rest"), "lists")  # a pivot has met its whole list
         release(placed)
         if found.limit(1).count():
             edges.append(found)

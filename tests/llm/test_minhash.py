@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sentrylake.llm import minhash
 from sentrylake.llm.minhash import PARITY, keep_first, near_duplicates, parity
@@ -155,3 +156,39 @@ def test_rows_of_one_id(spark):
         kept = keep_first(spark.createDataFrame(order, "doc_id long, text string")).toPandas()
         assert kept.doc_id.is_unique and 1 in set(kept.doc_id)
     assert len(seen) == 1
+
+
+def test_noisy_copies_of_a_long_text_are_ruled_out_by_what_they_have_left(spark, monkeypatch):
+    """Copies that each keep too little of one text to be similar to others: no entry of theirs may be compared again
+    and again in lists of that text's values."""
+    draw = random.Random(8)
+    base = prose(31, 460).split()
+    rows = [(0, " ".join(base)), (1, " ".join(base[:440]))]
+    for k in range(2, 150):
+        own = list(base)
+        for at in draw.sample(range(460), 14 if k % 10 == 0 else 21):
+            own[at] = f"edit{draw.randrange(10**6)}"
+        rows.append((k, " ".join(own)))
+    looked_at = []
+    written = minhash.materialise
+
+    def counted(frame, name):
+        out = written(frame, name)
+        if name == "placed":
+            each = out.groupBy("value").agg(F.count(F.lit(1)).alias("entries"), F.count_if("pivot").alias("pivots"))
+            looked_at.append(each.agg(F.coalesce(F.sum(F.col("entries") * F.col("pivots")), F.lit(0))).first()[0])
+        return out
+
+    monkeypatch.setattr(minhash, "materialise", counted)
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    wanted = brute(rows)
+    assert dict(zip(found.doc_id, found.component_id)) == wanted
+    assert sum(i == c for i, c in wanted.items()) > 50  # most stay alone
+    assert sum(looked_at[1:]) <= 20 * len(rows)
+
+
+def test_what_sets_have_left_bounds_their_similarity(spark):
+    rows = [(n, m, shared) for n in range(1, 30, 3) for m in range(1, 30, 4) for shared in range(min(n, m) + 1)]
+    frame = spark.createDataFrame(rows, "n long, m long, shared int")
+    judged = frame.select("*", minhash.may_share(F.col("n"), F.col("m"), F.col("shared"), 75).alias("may")).collect()
+    assert all(r.may == (100 * r.shared >= 75 * (r.n + r.m - r.shared)) for r in judged)
