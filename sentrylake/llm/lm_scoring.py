@@ -41,6 +41,8 @@ SIDE, HIDDEN = 2, 16
 AROUND, SIGNS = 8, 16
 #: Each document trains in one of the rounds; the length of an Adagrad step.
 ROUNDS, RATE = 2, 0.3
+#: Tokens that a task of a round trains on at least, if fewer tasks keep all cores busy: each hands on a whole network.
+TOKENS_A_TASK = 4_000_000
 #: Distinct words a task counts before it passes them on.
 COUNTER_SIZE = 300_000
 #: Positions in one step of scoring and of training, and tokens shuffled among each other in training.
@@ -372,11 +374,18 @@ def signatures(encoded: DataFrame, size: int) -> np.ndarray:
 _COLUMNS = [f"w{k}" for k in range(HIDDEN + 1)]
 
 
+def _tasks(encoded: DataFrame, rounds: int) -> DataFrame:
+    """ids and row of ``encoded`` in as many partitions as it has tokens for, a core at least has one."""
+    tokens = (encoded.agg(F.sum(F.length("ids"))).first()[0] or 0) // 2
+    return encoded.select("row", "ids").coalesce(max(encoded.sparkSession.sparkContext.defaultParallelism, -(-tokens // (rounds * TOKENS_A_TASK))))
+
+
 def train(encoded: DataFrame, first: np.ndarray, number: np.ndarray, rounds: int = ROUNDS) -> Network:
     """A network from ``encoded`` (row, ids binary), whose ids have a ``number`` each: each partition trains its own on
     the documents of a round; then each row of weights becomes their average, by how often they met it."""
     spark = encoded.sparkSession
     network = Network.start(first)
+    encoded = _tasks(encoded, rounds)
     for turn_of in range(rounds):
         sent = spark.sparkContext.broadcast((network, number))
 

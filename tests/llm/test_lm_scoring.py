@@ -185,3 +185,10 @@ def test_odd_rows(odd_documents, no_documents):
     assert (empty.n_tokens == 0).all() and (empty.log_likelihood == 0).all() and empty.per_token.isna().all()
     assert (rows[rows.n_tokens > 0].log_likelihood < 0).all()
     assert score(no_documents).count() == 0
+
+
+def test_many_small_partitions_do_not_hand_on_a_network_each(spark):
+    frame = spark.createDataFrame([(k, bytes(200)) for k in range(300)], "row long, ids binary").repartition(60)
+    dealt = lm_scoring._tasks(frame, 2)
+    assert dealt.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert sorted(r.row for r in dealt.collect()) == list(range(300))
