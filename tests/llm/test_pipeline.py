@@ -1,4 +1,10 @@
+import random
+
 import corpus_pipeline
+from sentrylake.llm import minhash
+
+from .conftest import prose
+from .test_minhash import brute
 
 
 def test_stages_keep_columns_and_take_effect(spark):
@@ -34,3 +40,28 @@ def test_labels_of_one_class_keep_all(spark, odd_documents, tmp_path):
     spark.createDataFrame([(1, 1, 0), (9, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
     kept = dict(corpus_pipeline.STAGES)["quality"](spark, odd_documents, f"file://{tmp_path}")
     assert kept.count() == odd_documents.count()
+
+
+def test_near_duplicates_of_the_pipeline_leave_few_entries_to_later_rounds(spark, monkeypatch):
+    """Noisy copies of one long text, most of them too noisy to be similar to any other."""
+    draw = random.Random(12)
+    base = prose(32, 460).split()
+    rows = [(0, " ".join(base), "a")]
+    for k in range(1, 120):
+        own = list(base)
+        for at in draw.sample(range(460), 21):
+            own[at] = f"edit{draw.randrange(10**6)}"
+        rows.append((k, " ".join(own), "a"))
+    later = []
+    candidates = minhash._candidates
+
+    def counted(placed, sets, percent):
+        later.append(placed.count())
+        return candidates(placed, sets, percent)
+
+    monkeypatch.setattr(minhash, "_candidates", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    wanted = brute([r[:2] for r in rows])
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, c in wanted.items() if i == c)
+    assert sum(later) <= len(rows)
