@@ -39,12 +39,12 @@ NODES, RUNS = 64, 512
 #: Up to this many (partition, queue) offsets are broadcast (24 bytes each).
 MAX_BROADCAST_OFFSETS = 1_000_000
 #: Pieces of text whose ids a Python worker remembers, some 200 bytes each, and the longest of them.
-PIECE_CACHE = 400_000
+PIECE_CACHE = 320_000
 LONGEST_REMEMBERED = 64
 #: Pieces encoded in one call.
 PIECES_A_CALL = 2048
 #: Texts cut at a time, about so many characters.
-CUT_CHARACTERS = 1 << 21
+CUT_CHARACTERS = 1 << 20
 _LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
 #: Texts with these are cut at white space only: contractions, special tokens, other scripts.
 _WHOLE = f"'|<\\||[^\\x00-\\x7f{_LATIN}]"
@@ -59,7 +59,8 @@ class WordEncoder:
     Texts are cut at spaces and line feeds and, where it holds Latin letters only and neither apostrophes nor
     special tokens, between letters and all else. That is done in Arrow, a batch at a time; each distinct piece of
     a batch is looked up or encoded once, and the ids of all pieces are gathered in Arrow too. New runs of letters
-    are encoded many in one text, where the ends of words tell them apart.
+    are encoded many in one text, where the ends of words tell them apart. Of what is remembered, the half that
+    was met last stays when the other goes, so frequent pieces are not learnt again.
     """
 
     def __init__(self, path: str, remembered: int = PIECE_CACHE):
@@ -75,6 +76,7 @@ class WordEncoder:
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.remembered = remembered
 
     def _apart(self, some: list[str]) -> None:
@@ -99,9 +101,11 @@ class WordEncoder:
             self._apart(others[at : at + PIECES_A_CALL])
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
-        if len(self.pieces) > self.remembered:
-            self.pieces.clear()
+        if len(self.pieces) > self.remembered // 2:
+            self.pieces, self.older = {}, self.pieces
         missing = [p for p in pieces if p not in self.pieces]
+        self.pieces.update((p, self.older[p]) for p in missing if p in self.older)
+        missing = [p for p in missing if p not in self.pieces]
         self._learn(missing)
         found = list(map(self.pieces.__getitem__, pieces))
         for p in missing:  # what is long is not kept: the bound counts pieces
@@ -118,6 +122,7 @@ class WordEncoder:
             stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + CUT_CHARACTERS)))
             out.extend(self._encode(texts[at:stop]))
             at = stop
+        pa.default_memory_pool().release_unused()  # else a worker holds on to what its largest texts took
         return out
 
     def _encode(self, texts: pa.Array) -> list[bytes]:

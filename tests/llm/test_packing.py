@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -16,6 +18,17 @@ def test_encoder_equals_the_tokenizer(text):
         assert np.frombuffer(ids, own.dtype).tolist() == whole.encode(wanted, add_special_tokens=False).ids
 
 
+def test_frequent_pieces_are_learnt_once_and_few_are_kept(monkeypatch):
+    """A piece that every batch holds stays when the encoder forgets others; ids are the tokenizer's."""
+    own, whole = WordEncoder(tokenizer_path(), remembered=40), Tokenizer.from_file(tokenizer_path())
+    learnt, teach = Counter(), own._learn
+    monkeypatch.setattr(own, "_learn", lambda missing: (learnt.update(missing), teach(missing)))
+    for k in range(30):
+        text = "common " + " ".join("word" + chr(97 + k % 26) * (1 + k // 26) + chr(97 + j) for j in range(10))
+        assert np.frombuffer(own.encode(pa.array([text]))[0], own.dtype).tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert learnt["common"] == 1 and len(own.pieces) + len(own.older) <= 40 + 2 * 11
+
+
 def test_deal_fills_rooms_and_keeps_the_mixture():
     served = deal(np.array([600, 300, 100]), [100] * 10, np.array([0.6, 0.3, 0.1]))
     assert (served.sum(1) == 100).all() and served.sum(0).tolist() == [600, 300, 100]
