@@ -145,8 +145,9 @@ def _exponentials(h: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.nd
     """exp of ``h`` times ``weights``, each row up to a factor, and the logarithm of that factor."""
     logits = h @ weights.T
     less = np.zeros(len(h), np.float32)
-    # no value of the layer is beyond 1
-    if np.abs(weights).sum(1).max(initial=0.0) > _HIGHEST:
+    # no value of the layer is beyond 1; rows are added up only where the largest weight leaves it open
+    largest = max(weights.max(initial=0.0), -weights.min(initial=0.0))
+    if largest * weights.shape[1] > _HIGHEST and np.abs(weights).sum(1).max(initial=0.0) > _HIGHEST:
         less = logits.max(1)
         logits -= less[:, None]
     np.exp(logits, out=logits)
@@ -338,18 +339,20 @@ def signatures(encoded: DataFrame, size: int) -> np.ndarray:
 
     def each():
         stands = np.vstack([np.random.default_rng(7).normal(0, 1, (size, SIGNS)), np.zeros((1, SIGNS))])
-        total, met = np.zeros((size, SIGNS)), np.zeros(size, np.int64)
+        total, met = np.zeros((size + 1, SIGNS)), np.zeros(size, np.int64)
 
         def turn(batch: pa.RecordBatch):
             for some in _groups([np.frombuffer(x, np.uint16) for x in batch.column("ids").to_pylist()], MIXED):
                 line, at = lines(some, size, AROUND)
-                for i in range(0, len(at), MIXED):
-                    here = at[i : i + MIXED]
-                    piece = np.take(stands, line[here[0] - AROUND : here[-1] + AROUND + 1], axis=0)
-                    upto = np.vstack([np.zeros((1, SIGNS)), np.cumsum(piece, axis=0)])
-                    own = here - here[0] + AROUND
-                    keys, sums = sums_by(line[here], upto[own + AROUND + 1] - upto[own - AROUND] - piece[own])
-                    total[keys] += sums
+                for i in range(0, len(at), MINIBATCH):
+                    begin, end = at[i], at[min(i + MINIBATCH, len(at)) - 1] + 1
+                    piece = np.take(stands, line[begin - AROUND : end + AROUND], axis=0)
+                    upto = np.zeros((len(piece) + 1, SIGNS))
+                    np.cumsum(piece, axis=0, out=upto[1:])
+                    near = upto[2 * AROUND + 1 :] - upto[: -2 * AROUND - 1]
+                    near -= piece[AROUND:-AROUND]
+                    keys, sums = sums_by(line[begin:end], near)
+                    total[keys] += sums  # the row of the places between documents is not handed on
                 met[:] += np.bincount(line[at], minlength=size)
 
         def finish():

@@ -105,6 +105,19 @@ def test_signatures_equal_a_plain_loop(spark, monkeypatch):
     assert np.abs(found[:4] - wanted / np.linalg.norm(wanted, axis=1, keepdims=True)).max() < 1e-4 and not found[4].any()
 
 
+def test_rows_of_small_weights_are_not_added_up(monkeypatch):
+    """The bound on logits comes from the largest weight; only large weights are looked at row by row, and nothing overflows."""
+    added = []
+    absolute = np.abs
+    monkeypatch.setattr(lm_scoring.np, "abs", lambda x: added.append(len(x)) or absolute(x))
+    h = np.full((3, HIDDEN + 1), 0.9, np.float32)
+    for scale, rows in ((0.5, []), (50.0, [4])):
+        weights = np.linspace(-scale, scale, 4, dtype=np.float32)[:, None].repeat(HIDDEN + 1, 1)
+        powers, less = lm_scoring._exponentials(h, weights)
+        wanted = (h.astype(float) @ weights.T.astype(float))
+        assert added == rows and np.allclose(np.log(powers[:, -1]) + less, wanted[:, -1], rtol=1e-4)
+
+
 def test_frequent_words_are_chosen_by_their_counts(spark):
     """All words of the least count that fits, none of a count that does not; words in order of counts."""
     counts = spark.createDataFrame([(f"w{k}", n) for k, n in enumerate([9, 7, 7, 3, 3, 3, 1])], "word string, n long")
