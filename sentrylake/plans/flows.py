@@ -248,7 +248,7 @@ def report_shapes(spark, sf_dir):
 def archive_folder(spark, sf_dir) -> str:
     """A folder of ZIP archives of twenty files each; every third archive holds another with the first of them.
 
-    Contents that would shrink beyond the cap on ratios are stored as they are.
+    Contents that would shrink beyond the cap on ratios, inner archives too, are stored as they are.
     """
     import io
     import zipfile
@@ -260,14 +260,14 @@ def archive_folder(spark, sf_dir) -> str:
         rows = rows.sort_values("doc_id")
         group, out, inner = int(rows["part"].iloc[0]), io.BytesIO(), io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
-            for name, content in zip(rows["name"], rows["content"], strict=True):
-                raw = content.encode()
-                dense = len(raw) < 50 * len(zlib.compress(raw))
-                archive.writestr(name, raw, zipfile.ZIP_DEFLATED if dense else zipfile.ZIP_STORED)
+            files = [(name, content.encode()) for name, content in zip(rows["name"], rows["content"], strict=True)]
             if group % 3 == 0:
                 with zipfile.ZipFile(inner, "w") as second:
-                    second.writestr(rows["name"].iloc[0], rows["content"].iloc[0])
-                archive.writestr("inner.zip", inner.getvalue())
+                    second.writestr(*files[0])
+                files.append(("inner.zip", inner.getvalue()))
+            for name, raw in files:
+                dense = len(raw) < 50 * len(zlib.compress(raw))
+                archive.writestr(name, raw, zipfile.ZIP_DEFLATED if dense else zipfile.ZIP_STORED)
         return pd.DataFrame({"path": [f"/part_{group}.zip"], "content": [out.getvalue()]})
 
     def write(path: str) -> None:

@@ -233,6 +233,13 @@ def test_archives_are_read_in_pieces_under_caps(spark, tmp_path):
     shutil.rmtree(tmp_path)
 
 
+def test_inner_archive_of_a_repeated_line_is_read(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "Vich. " * 20_000, "en", "web", 120_000), (2, "plain", "en", "web", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["entry"]: r["size"] for r in catalogue.QUERIES["archive_entries"](spark, str(tmp_path)).collect()}
+    assert found["/part_0.zip::inner.zip::doc_1.csv"] == found["/part_0.zip::doc_1.csv"] > 120_000 and len(found) == 3
+
+
 # -- one pass ------------------------------------------------------------------------------------------
 
 
