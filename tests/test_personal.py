@@ -106,3 +106,11 @@ def test_one_search_gives_a_match_and_its_left_side(spark):
     settings = personal._settings(rule, next(s for s in rule.steps if s.kind == "near"))
     told = str(personal._near_values(F.col("text"), settings, lambda: F.lit(True))._jc)
     assert told.count("regexp_extract_all(") == 1
+
+
+def test_values_behind_the_first_twenty_count(spark):
+    text = "full name: 1\n" * 25 + "full name: Leyla Mammadova\n"
+    records = spark.createDataFrame([(1, text, None, None, None)], "doc_id long, content string, name string, path string, extension string")
+    names = tuple(r for r in RULES if r.type == "gdpr_full_name")
+    assert [r["samples"] for r in personal.detect(records, names).collect()] == [["Ley***va"]]
+    assert not personal.detect(records, names, most_values=20).collect()
