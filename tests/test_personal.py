@@ -114,3 +114,11 @@ def test_values_behind_the_first_twenty_count(spark):
     names = tuple(r for r in RULES if r.type == "gdpr_full_name")
     assert [r["samples"] for r in personal.detect(records, names).collect()] == [["Ley***va"]]
     assert not personal.detect(records, names, most_values=20).collect()
+
+
+def test_values_behind_the_first_twenty_count_for_the_score(spark):
+    text = "payment terms: 1234\n" * 25 + "payment terms: half of it at once\n"
+    rows = findings.classify(normalise(spark.createDataFrame([record(1, "/x/a.txt", text)], RECORD)), keep_content=True)
+    terms = tuple(r for r in RULES if r.type == "gdpr_vendor_supplier_terms")
+    told = risk.assess(personal.into_findings(rows.drop("content"), personal.detect(rows, terms))).first()["findings"][-1]
+    assert (told["type"], told["count"], told["samples"]) == ("gdpr_vendor_supplier_terms", 2, ["***", "hal***ce"])
