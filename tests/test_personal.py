@@ -122,3 +122,23 @@ def test_values_behind_the_first_twenty_count_for_the_score(spark):
     terms = tuple(r for r in RULES if r.type == "gdpr_vendor_supplier_terms")
     told = risk.assess(personal.into_findings(rows.drop("content"), personal.detect(rows, terms))).first()["findings"][-1]
     assert (told["type"], told["count"], told["samples"]) == ("gdpr_vendor_supplier_terms", 2, ["***", "hal***ce"])
+
+
+def test_gates_name_the_steps_that_can_find_something():
+    import pandas as pd
+
+    from sentrylake.functions import gates
+
+    place = {r.type: n for n, r in enumerate(RULES)}
+
+    def told(text, kelvin=False):
+        batch = (pd.Series([text]), pd.Series([""]), pd.Series([kelvin]))
+        return set(next(gates._worker(*gates._plan(RULES))(iter([batch])))[0])
+
+    tax, number = RULES[place["gdpr_tax_record"]], lambda kind, k: gates.SHIFT * place[kind] + k
+    after, money = (number("gdpr_tax_record", next(k for k, s in enumerate(tax.steps) if test(s))) for test in (lambda s: s.kind == "after", lambda s: "AZN" in getattr(s, "pattern", "") and "€" in s.pattern))
+    assert not told("weinberg oranges") and after in told("der ein berg") and money not in told("der ein berg")
+    assert money in told("der ein berg 500 azn") and money not in told("der ein " + "berg " * 30 + "500 azn")
+    # letters that patterns take for others, and texts whose places cannot be told
+    assert number("gdpr_passport_number", 1) in told("mrz " + "-" * 100 + " paſsport c01234567") and {after, money} <= told("weinberg oranges", kelvin=True)
+    assert number("gdpr_password_secret", 0) in told("my password = abc123!xyz") and number("gdpr_password_secret", 0) not in told("a password is needed")
