@@ -142,3 +142,9 @@ def test_gates_name_the_steps_that_can_find_something():
     # letters that patterns take for others, and texts whose places cannot be told
     assert number("gdpr_passport_number", 1) in told("mrz " + "-" * 100 + " paſsport c01234567") and {after, money} <= told("weinberg oranges", kelvin=True)
     assert number("gdpr_password_secret", 0) in told("my password = abc123!xyz") and number("gdpr_password_secret", 0) not in told("a password is needed")
+
+
+def test_a_text_is_not_searched_plainly_first(spark):
+    rule = next(r for r in RULES if r.type == "gdpr_phone_number")
+    told = str(personal._near_values(F.col("text"), personal._settings(rule, rule.steps[0]), lambda: F.lit(True))._jc).lower()
+    assert "regexp_extract_all(" in told and "rlike(text" not in told
